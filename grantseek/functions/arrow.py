@@ -157,6 +157,10 @@ def split_text(text: str, size: int, overlap: int, min_size: int) -> list[str]:
     return [c.strip() for c in packed if c.strip()]
 
 
+def pieces_of(c: Column, size: int) -> Column:
+    return _udf(lambda v: list(cut_pieces(v, size)), "array<string>")(c)
+
+
 def split_sections(texts: Column, size: int, overlap: int, min_size: int) -> Column:
     """Chunks of every section of a document, in order: array of text to array of arrays."""
     def split(s: pd.Series) -> pd.Series:

@@ -11,11 +11,7 @@ from grantseek.functions import arrow, text
 
 def recursive_split(df: DataFrame, column: str, size: int = CHUNK_SIZE) -> DataFrame:
     """Add ``pieces``: parts of the text no longer than ``size``, cut at the strongest boundaries."""
-    @F.pandas_udf("array<string>")
-    def pieces(s: "pd.Series") -> "pd.Series":  # noqa: F821
-        import pandas as pd
-        return pd.Series([None if v is None else list(arrow.cut_pieces(v, size)) for v in s], dtype=object)
-    return df.withColumn("pieces", pieces(column))
+    return df.withColumn("pieces", arrow.pieces_of(F.col(column), size))
 
 
 def chunk_sections(

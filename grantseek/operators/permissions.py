@@ -55,7 +55,7 @@ def assign_scopes(requests: DataFrame) -> DataFrame:
     """Add scope_id: requests of one user for the same collections share one scope."""
     kb_ids = F.col("kb_ids") if "kb_ids" in requests.columns else F.lit(None).cast("array<bigint>")
     asked = F.array_sort(F.array_distinct(F.coalesce(kb_ids, F.array().cast("array<bigint>"))))
-    keyed = requests.drop("kb_ids").withColumn("kb_ids", asked)
+    keyed = requests.withColumn("kb_ids", asked)
     ids = keyed.groupBy("user_id", "kb_ids").agg(F.min("query_id").alias("scope_id"))
     return keyed.join(ids, ["user_id", "kb_ids"])
 
@@ -161,8 +161,8 @@ def place_access(scope_kbs: DataFrame, folder_access: DataFrame, rules: DataFram
     none = F.lit(False)
     places = folder_access.join(held, ["scope_id", "kb_id"]).select(
         "scope_id", "kb_id", "is_admin", F.col("folder_id").alias("place"), "denied", "visible", "granted")
-    outside = held.select("scope_id", "kb_id", "is_admin", F.explode(F.array(F.lit(ROOT), F.lit(DANGLING)))
-                          .cast("bigint").alias("place")).select(
+    outside = held.select("scope_id", "kb_id", "is_admin", F.explode(F.array(F.lit(ROOT), F.lit(DANGLING))
+                          .cast("array<bigint>")).alias("place")).select(
         "*", none.alias("denied"), (F.col("place") == ROOT).alias("visible"), none.alias("granted"))
     flags = places.unionByName(outside).join(kb_rules, ["scope_id", "kb_id"], "left")
 
