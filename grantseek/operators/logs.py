@@ -119,7 +119,7 @@ def latest_version(versions: DataFrame, newest: int = 50) -> DataFrame:
 
 # ---------------------------------------------------------------- lockouts
 
-LOCKOUT_SCHEMA = "attempt_id bigint, user_id bigint, at timestamp, ok boolean, outcome string, failures int"
+LOCKOUT_SCHEMA = "attempt_id bigint, user_id bigint, tried_at timestamp, ok boolean, outcome string, failures int"
 _EXIT_SCHEMA = "part int, first_user bigint, last_user bigint, failures int, locked_until bigint"
 
 
@@ -135,7 +135,7 @@ def lock_step(at: int, ok: bool, failures: int, locked_until: int, max_failures:
 
 
 def login_lockouts(attempts: DataFrame, max_failures: int = MAX_FAILURES, minutes: int = LOCK_MINUTES) -> DataFrame:
-    """Outcome of every login attempt (attempt_id, user_id, at, ok) and failures counted after it.
+    """Outcome of every login attempt (attempt_id, user_id, tried_at, ok) and failures counted after it.
 
     The fifth failure in a row locks the account and resets the counter;
     attempts while locked are denied and do not count; a success resets.
@@ -148,8 +148,8 @@ def login_lockouts(attempts: DataFrame, max_failures: int = MAX_FAILURES, minute
     are enough. Only one row per partition reaches the driver.
     """
     ordered = cut_lineage(
-        attempts.select("attempt_id", "user_id", F.col("at").cast("timestamp").alias("at"), "ok")
-        .withColumn("us", F.unix_micros("at"))
+        attempts.select("attempt_id", "user_id", F.col("tried_at").cast("timestamp").alias("tried_at"), "ok")
+        .withColumn("us", F.unix_micros("tried_at"))
         .repartitionByRange("user_id", "us", "attempt_id").sortWithinPartitions("user_id", "us", "attempt_id"))
     lock_us = minutes * 60 * 1_000_000
 
@@ -168,7 +168,7 @@ def login_lockouts(attempts: DataFrame, max_failures: int = MAX_FAILURES, minute
                     outcomes.append(outcome)
                     counts.append(failures)
                 if not report:
-                    yield pdf[["attempt_id", "user_id", "at", "ok"]].assign(
+                    yield pdf[["attempt_id", "user_id", "tried_at", "ok"]].assign(
                         outcome=outcomes, failures=np.array(counts, dtype=np.int32))
             if report and first is not None:
                 yield pd.DataFrame({"part": [part], "first_user": [first], "last_user": [user],

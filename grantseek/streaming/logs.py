@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ def drop_replayed_logs(logs: DataFrame, watermark: str = "1 hour") -> DataFrame:
 def lockout_stream(
     attempts: DataFrame, max_failures: int = MAX_FAILURES, minutes: int = LOCK_MINUTES, watermark: str = "1 hour",
 ) -> DataFrame:
-    """Login lockouts as attempts arrive (attempt_id, user_id, at, ok).
+    """Login lockouts as attempts arrive (attempt_id, user_id, tried_at, ok).
 
     State per user: failures so far and the end of the lock, two numbers. A
     user's attempts are taken in time order within a micro-batch; state that has
@@ -57,20 +58,19 @@ def lockout_stream(
             if failures == 0:
                 state.remove()
             return
-        for pdf in frames:
-            pdf = pdf.sort_values(["us", "attempt_id"])
-            outcomes, counts = [], []
-            for at, ok in zip(pdf["us"], pdf["ok"]):
-                outcome, failures, until = lock_step(at, ok, failures, until, max_failures, lock_us)
-                outcomes.append(outcome)
-                counts.append(failures)
-            if len(pdf):
-                yield pdf[["attempt_id", "user_id", "at", "ok"]].assign(
-                    outcome=outcomes, failures=pd.array(counts, dtype="int32"))
-        state.update((failures, until))
+        # One user's rows of one micro-batch; the source's rate limit bounds them.
+        rows = pd.concat(list(frames)).sort_values(["us", "attempt_id"])
+        outcomes, counts = [], []
+        for at, ok in zip(rows["us"], rows["ok"]):
+            outcome, failures, until = lock_step(at, ok, failures, until, max_failures, lock_us)
+            outcomes.append(outcome)
+            counts.append(failures)
+        state.update((int(failures), int(until)))
         state.setTimeoutTimestamp(max(until // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield rows[["attempt_id", "user_id", "tried_at", "ok"]].assign(
+            outcome=outcomes, failures=np.array(counts, dtype=np.int32))
 
-    rows = attempts.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", watermark).withColumn(
-        "us", F.unix_micros("at"))
+    rows = attempts.withColumn("tried_at", F.col("tried_at").cast("timestamp")).withWatermark(
+        "tried_at", watermark).withColumn("us", F.unix_micros("tried_at"))
     return rows.groupBy("user_id").applyInPandasWithState(
         step, LOCKOUT_SCHEMA, "failures int, locked_until bigint", "append", "EventTimeTimeout")

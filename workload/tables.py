@@ -80,8 +80,8 @@ SELECT conv_id AS session_id, conv_id % 50 AS user_id, max(CASE WHEN turn = 0 TH
 SELECT conv_id * 100 + turn AS message_id, conv_id AS session_id, conv_id % 50 AS user_id, role, text AS content
  FROM conversations""",
     "fx_exposure": """
-SELECT message_id, user_id, message_id AS created_at, concat(CAST((message_id * 3) % (SELECT count(*) FROM documents) AS STRING), '-0000') AS hit_a,
- concat(CAST((message_id * 5) % (SELECT count(*) FROM documents) AS STRING), '-0000') AS hit_b FROM fx_message""",
+SELECT event_id, user_id, event_id AS created_at, concat(CAST((event_id * 3) % (SELECT count(*) FROM documents) AS STRING), '-0000') AS hit_a,
+ concat(CAST((event_id * 7 + user_id) % (SELECT count(*) FROM documents) AS STRING), '-0000') AS hit_b FROM events""",
     "fx_status": """
 SELECT document_id, concat('ds', CAST(kb_id AS STRING)) AS dataset_id, name,
  CASE WHEN size_bytes % 5 = 0 THEN 'pending' WHEN size_bytes % 5 = 1 THEN 'parsing' WHEN size_bytes % 5 = 2 THEN 'failed' ELSE 'done' END AS state,
@@ -112,7 +112,7 @@ SELECT c_custkey AS client_id, concat('Brand#', CAST(c_custkey % 30 AS STRING))
 SELECT o_orderkey AS token_id, o_custkey AS user_id, o_orderstatus = 'F' AS revoked, o_orderdate AS created_at,
  o_orderdate + INTERVAL 30 DAY AS expires_at, concat('PC%20', o_orderpriority, '+', CAST(o_orderkey AS STRING)) AS device_name FROM orders""",
     "fx_attempt": """
-SELECT event_id AS attempt_id, user_id % 100 AS user_id, ts AS at, event_type = 'purchase' AS ok FROM events""",
+SELECT event_id AS attempt_id, user_id % 100 AS user_id, ts AS tried_at, event_type = 'purchase' AS ok FROM events""",
 }
 
 # Index tokens and request terms, in DuckDB only; Spark uses the library.
