@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -39,10 +40,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably, so that later stages survive a lost executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, ordered: bool = False) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back.
+
+    Later stages survive a lost executor and never repeat the work. A written
+    table also has a known size, so joins with it are planned by that size. With
+    ``ordered`` partitions and the order of their rows are kept as they are.
+    """
+    spark = df.sparkSession
+    folder = ensure_checkpoint_dir(spark)
+    if ordered:
+        return df.checkpoint(eager=True)
+    path = f"{folder}/grantseek/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread_join(

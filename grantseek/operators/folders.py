@@ -5,35 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantseek.common import cut_lineage, spread_join
+from grantseek.common import cut_lineage
 
 
 def ancestor_closure(folders: DataFrame) -> DataFrame:
     """(folder_id, ancestor_id, distance): self, parent, grandparent and so on.
 
-    Pointer doubling: every round doubles the distance covered, so a tree of
-    depth d takes log2(d) joins. Lineage is cut each round. A cycle ends at the
-    first folder met twice, and a missing parent row ends the chain.
+    Every round doubles the distance covered, so a tree of depth d takes log2(d)
+    joins, each written out. Only least distances are kept: a cycle ends at the
+    first folder met twice. A missing parent row ends the chain.
     """
-    known = folders.select("folder_id")
-    parents = folders.where("parent_id IS NOT NULL").select("folder_id", F.col("parent_id").alias("jump"))
-    parents = parents.join(known.withColumnRenamed("folder_id", "jump"), "jump", "left_semi")
-    closure = cut_lineage(known.select("folder_id", F.col("folder_id").alias("ancestor_id"),
-                                       F.lit(0).alias("distance")))
-    jumps = cut_lineage(parents.where("folder_id <> jump").select("folder_id", "jump"))
-    step = 1
-    while not jumps.isEmpty():
-        beyond = closure.select(F.col("folder_id").alias("jump"), "ancestor_id", F.col("distance").alias("_d"))
-        further = jumps.join(beyond, "jump").select(
-            "folder_id", "ancestor_id", (F.col("_d") + step).cast("int").alias("distance"))
+    own = folders.select("folder_id", F.col("folder_id").alias("ancestor_id"), F.lit(0).alias("distance"))
+    parents = folders.where("parent_id <> folder_id").select("folder_id", F.col("parent_id").alias("ancestor_id"))
+    known = folders.select(F.col("folder_id").alias("ancestor_id"))
+    above = parents.join(known, "ancestor_id", "left_semi").select("folder_id", "ancestor_id", F.lit(1).alias("distance"))
+    closure = cut_lineage(own.unionByName(above))
+    reach = 1
+    while not (far := closure.where(F.col("distance") == reach)).isEmpty():
+        jumps = far.select("folder_id", F.col("ancestor_id").alias("_via"))
+        beyond = closure.where("distance > 0").select(
+            F.col("folder_id").alias("_via"), "ancestor_id", (F.col("distance") + reach).alias("distance"))
+        further = jumps.join(beyond, "_via").select("folder_id", "ancestor_id", "distance")
         closure = cut_lineage(closure.unionByName(further).groupBy("folder_id", "ancestor_id").agg(
             F.min("distance").alias("distance")))
-        after = jumps.select(F.col("folder_id").alias("jump"), F.col("jump").alias("_next"))
-        moved = jumps.join(after, "jump").select("folder_id", F.col("_next").alias("jump"))
-        # A target already in the closure at a shorter distance closes a cycle.
-        visited = closure.select("folder_id", F.col("ancestor_id").alias("jump"))
-        jumps = cut_lineage(moved.join(visited, ["folder_id", "jump"], "left_anti"))
-        step *= 2
+        reach *= 2
     return closure
 
 

@@ -10,7 +10,7 @@ from grantseek.common import (
 )
 from grantseek.functions import text
 from grantseek.operators.embedding import score_pass
-from grantseek.operators.lexical import bm25_search
+from grantseek.operators.lexical import CorpusStats, bm25_pass
 
 UNNAMED_DOCUMENT = "未命名文档"  # fixed value
 
@@ -24,7 +24,7 @@ def candidates(lex: DataFrame, vec: DataFrame) -> DataFrame:
 
 
 def hybrid_search(
-    chunks: DataFrame, postings: DataFrame, queries: DataFrame, totals: DataFrame,
+    chunks: DataFrame, postings: DataFrame, queries: DataFrame, stats: CorpusStats,
     audience: DataFrame | None = None, *, top: int = TOP_K, weight: float = VECTOR_WEIGHT,
     threshold: float = THRESHOLD, keyword_limit: int = KEYWORD_LIMIT,
 ) -> DataFrame:
@@ -38,14 +38,19 @@ def hybrid_search(
         raise ValueError("weight lies between 0 and 1")
     found = None
     for part in split_passes(queries, "query_id"):
-        one = _hybrid_pass(chunks, postings, part, totals, audience, max(top, 1), weight, threshold, keyword_limit)
+        one = hybrid_pass(chunks, postings, part, stats, audience, top, weight, threshold, keyword_limit)
         found = one if found is None else found.unionByName(one)
     return found
 
 
-def _hybrid_pass(chunks, postings, queries, totals, audience, top, weight, threshold, keyword_limit):
+def hybrid_pass(
+    chunks: DataFrame, postings: DataFrame, queries: DataFrame, stats: CorpusStats, audience: DataFrame | None,
+    top: int, weight: float, threshold: float, keyword_limit: int = KEYWORD_LIMIT,
+) -> DataFrame:
+    """The search for one pass of requests."""
+    top = max(top, 1)
     # At most one pass of requests times keyword_limit rows: small enough to broadcast.
-    hits = cut_lineage(bm25_search(postings, queries, totals, audience, keyword_limit))
+    hits = cut_lineage(bm25_pass(postings, queries, stats, audience, keyword_limit))
     by_chunk = hits.groupBy("chunk_id").agg(F.collect_set("query_id").alias("hits"))
     scope = chunks.select(*[c for c in ("chunk_id", "document_id", "embedding", "model") if c in chunks.columns])
     if audience is not None:

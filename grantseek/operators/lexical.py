@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantseek.common import KEYWORD_LIMIT, split_passes, top_k
+from grantseek.common import KEYWORD_LIMIT, cut_lineage, split_passes, top_k
 from grantseek.functions import text
 
 # Published Okapi constants and the floor that keeps every hit above zero.
@@ -37,6 +39,19 @@ def corpus_totals(chunks: DataFrame) -> DataFrame:
     return source.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg(F.size("lex")).alias("avg_dl"))
 
 
+@dataclass(frozen=True)
+class CorpusStats:
+    """Statistics of the whole index: written when the index is, read by every search."""
+
+    totals: DataFrame
+    frequencies: DataFrame
+
+
+def corpus_stats(chunks: DataFrame) -> CorpusStats:
+    """Both statistics, written once."""
+    return CorpusStats(cut_lineage(corpus_totals(chunks)), cut_lineage(document_frequencies(build_postings(chunks))))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, scope_id, token) for questions that do not carry terms yet."""
     terms = F.col("terms") if "terms" in queries.columns else text.query_tokens(F.col("question"))
@@ -45,7 +60,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def bm25_search(
-    postings: DataFrame, queries: DataFrame, totals: DataFrame, audience: DataFrame | None = None,
+    postings: DataFrame, queries: DataFrame, stats: CorpusStats, audience: DataFrame | None = None,
     limit: int = KEYWORD_LIMIT,
 ) -> DataFrame:
     """Best ``limit`` chunks per request by Okapi BM25 over any matching term.
@@ -56,17 +71,21 @@ def bm25_search(
     key of a shuffle. With postings bucketed by chunk the sum needs no shuffle
     either, and each task sends on at most ``limit`` rows per request.
     """
-    stats = totals.first()
-    n_chunks, avg_dl = int(stats["n_chunks"]), float(stats["avg_dl"] or 0.0) or 1.0
     found = None
     for part in split_passes(queries, "query_id"):
-        hits = _bm25_pass(postings, query_terms(part), n_chunks, avg_dl, audience, limit)
+        hits = bm25_pass(postings, part, stats, audience, limit)
         found = hits if found is None else found.unionByName(hits)
     return found
 
 
-def _bm25_pass(postings, terms, n_chunks, avg_dl, audience, limit):
-    df = document_frequencies(postings.join(F.broadcast(terms.select("token").distinct()), "token", "left_semi"))
+def bm25_pass(
+    postings: DataFrame, queries: DataFrame, stats: CorpusStats, audience: DataFrame | None, limit: int,
+) -> DataFrame:
+    """The search for one pass of requests."""
+    row = stats.totals.first()
+    n_chunks, avg_dl = int(row["n_chunks"]), float(row["avg_dl"] or 0.0) or 1.0
+    terms = query_terms(queries)
+    df = stats.frequencies.join(F.broadcast(terms.select("token").distinct()), "token")
     idf = F.greatest(F.log((F.lit(float(n_chunks)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
     weighted = terms.join(df, "token").select("token", "query_id", "scope_id", idf.alias("idf"))
     matched = postings.join(F.broadcast(weighted), "token")

@@ -150,7 +150,8 @@ def login_lockouts(attempts: DataFrame, max_failures: int = MAX_FAILURES, minute
     ordered = cut_lineage(
         attempts.select("attempt_id", "user_id", F.col("tried_at").cast("timestamp").alias("tried_at"), "ok")
         .withColumn("us", F.unix_micros("tried_at"))
-        .repartitionByRange("user_id", "us", "attempt_id").sortWithinPartitions("user_id", "us", "attempt_id"))
+        .repartitionByRange("user_id", "us", "attempt_id").sortWithinPartitions("user_id", "us", "attempt_id"),
+        ordered=True)
     lock_us = minutes * 60 * 1_000_000
 
     def replay(entry: dict[int, tuple[int, int, int]], report: bool):

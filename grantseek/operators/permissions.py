@@ -2,20 +2,24 @@
 
 A *scope* is what one user may use for one request. Functions take a ``scopes``
 table (scope_id, user_id, role, tags, kb_ids) so that a whole batch of requests
-is resolved at once. Documents are decided by *place* (collection, folder,
-visibility) first; rules on single documents only correct that. Places are far
-fewer than documents, so no table of users x documents is needed for a search.
+is resolved at once.
+
+What a scope sees follows from its collection alone, except where a rule names
+a folder or a document. So decisions are kept as one row per scope and
+collection, corrected by one row per scope and folder under a rule, corrected by
+one row per scope and document under a rule. A search never builds a table of
+scopes x folders or scopes x documents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grantseek.common import spread_join, top_k
+from grantseek.common import spread_join
 
 SHOWN_BY = ("rule_allow", "admin", "folder_allow", "public")
-ROOT, DANGLING = 0, -1  # places outside any folder, and in a folder that does not exist
+ROOT, DANGLING = 0, -1  # places outside any folder, and in a folder the collection does not have
 
 
 # ---------------------------------------------------------------- collections
@@ -55,9 +59,8 @@ def assign_scopes(requests: DataFrame) -> DataFrame:
     """Add scope_id: requests of one user for the same collections share one scope."""
     kb_ids = F.col("kb_ids") if "kb_ids" in requests.columns else F.lit(None).cast("array<bigint>")
     asked = F.array_sort(F.array_distinct(F.coalesce(kb_ids, F.array().cast("array<bigint>"))))
-    keyed = requests.withColumn("kb_ids", asked)
-    ids = keyed.groupBy("user_id", "kb_ids").agg(F.min("query_id").alias("scope_id"))
-    return keyed.join(ids, ["user_id", "kb_ids"])
+    same = Window.partitionBy("user_id", "kb_ids")
+    return requests.withColumn("kb_ids", asked).withColumn("scope_id", F.min("query_id").over(same))
 
 
 def scopes_of(requests: DataFrame, users: DataFrame) -> DataFrame:
@@ -120,206 +123,259 @@ def rule_targets(acl: DataFrame) -> DataFrame:
 def applicable_rules(scopes: DataFrame, scope_kbs: DataFrame, acl: DataFrame) -> DataFrame:
     """Rules that bear on each scope: scope_id, kb_id, target, ids, allow, deny.
 
-    A role or tag may own a large share of the rules; that side is salted.
+    Rules of other subjects fall out first. A role or tag may own a large share
+    of the rules; its copies are merged and the join with its scopes is salted.
     """
-    targets = rule_targets(acl).withColumn("_spread", F.xxhash64("kb_id", "document_id", "chunk_id", "folder_id"))
-    held = spread_join(targets, expand_subjects(scopes), ["subject_type", "subject_id"], by="_spread")
-    mine = held.join(scope_kbs.select("scope_id", "kb_id"), ["scope_id", "kb_id"], "left_semi")
-    return mine.groupBy("scope_id", "kb_id", "target", "document_id", "chunk_id", "folder_id").agg(
+    subjects = expand_subjects(scopes)
+    mine = acl.join(subjects.select("subject_type", "subject_id").distinct(), ["subject_type", "subject_id"], "left_semi")
+    targets = rule_targets(mine).withColumn("_spread", F.xxhash64("kb_id", "document_id", "chunk_id", "folder_id"))
+    held = spread_join(targets, subjects, ["subject_type", "subject_id"], by="_spread")
+    held = held.join(scope_kbs.select("scope_id", "kb_id"), ["scope_id", "kb_id"], "left_semi")
+    return held.groupBy("scope_id", "kb_id", "target", "document_id", "chunk_id", "folder_id").agg(
         F.max("allow").alias("allow"), F.max("deny").alias("deny"))
 
 
-def folder_visibility(scope_kbs: DataFrame, folders: DataFrame, closure: DataFrame, rules: DataFrame) -> DataFrame:
-    """(scope_id, kb_id, folder_id, denied, visible, granted) over each folder's chain of ancestors."""
-    shut = closure.join(
-        folders.where("visibility = 'restricted'").select(F.col("folder_id").alias("ancestor_id")), "ancestor_id",
-        "left_semi").select("folder_id").distinct().withColumn("_restricted", F.lit(True))
+def kb_access(scope_kbs: DataFrame, rules: DataFrame) -> DataFrame:
+    """scope_kbs with the collection's own rules: kb_allow and kb_deny."""
+    ruled = rules.where("target = 'kb'").select(
+        "scope_id", "kb_id", F.col("allow").alias("_allow"), F.col("deny").alias("_deny"))
+    return scope_kbs.join(ruled, ["scope_id", "kb_id"], "left").select(
+        *scope_kbs.columns, F.coalesce("_allow", F.lit(False)).alias("kb_allow"),
+        F.coalesce("_deny", F.lit(False)).alias("kb_deny"))
+
+
+def folder_hits(rules: DataFrame, closure: DataFrame) -> DataFrame:
+    """(scope_id, place, f_allow, f_deny) for folders with a rule on themselves or an ancestor."""
     on_folder = rules.where("target = 'folder'").groupBy("scope_id", F.col("folder_id").alias("ancestor_id")).agg(
         F.max("allow").alias("allow"), F.max("deny").alias("deny"))
-    chain = closure.select("folder_id", "ancestor_id")
-    hits = on_folder.join(chain, "ancestor_id").groupBy("scope_id", "folder_id").agg(
-        F.max("allow").alias("_allow"), F.max("deny").alias("_deny"))
-    base = folders.select("folder_id", "kb_id").join(shut, "folder_id", "left")
-    every = spread_join(base, scope_kbs.select("scope_id", "kb_id", "is_admin"), ["kb_id"], by="folder_id")
-    flags = every.join(hits, ["scope_id", "folder_id"], "left")
-    no = F.lit(False)
-    deny, allow = F.coalesce("_deny", no), F.coalesce("_allow", no)
-    open_to_all = F.col("is_admin") | ~F.coalesce("_restricted", no)
-    return flags.select("scope_id", "kb_id", "folder_id", deny.alias("denied"),
-                        (~deny & (allow | open_to_all)).alias("visible"), (~deny & allow).alias("granted"))
+    below = spread_join(closure.select("folder_id", "ancestor_id"), on_folder, ["ancestor_id"], by="folder_id")
+    return below.groupBy("scope_id", F.col("folder_id").alias("place")).agg(
+        F.max("allow").alias("f_allow"), F.max("deny").alias("f_deny"))
 
 
-def place_access(scope_kbs: DataFrame, folder_access: DataFrame, rules: DataFrame) -> DataFrame:
-    """Decision for every place: scope_id, kb_id, place, public_by, restricted_by.
+def folder_places(folders: DataFrame, closure: DataFrame) -> DataFrame:
+    """(place, kb_id, shut): shut folders are restricted or lie below a restricted one."""
+    restricted = folders.where("visibility = 'restricted'").select(F.col("folder_id").alias("ancestor_id"))
+    shut = closure.join(restricted, "ancestor_id", "left_semi").select("folder_id").distinct()
+    return folders.select("folder_id", "kb_id").join(shut.withColumn("_shut", F.lit(True)), "folder_id", "left").select(
+        F.col("folder_id").alias("place"), "kb_id", F.coalesce("_shut", F.lit(False)).alias("shut"))
 
-    ``*_by`` names the first rule that decides a public or restricted document
-    lying there, before rules on the document itself.
-    """
-    kb_rules = rules.where("target = 'kb'").select("scope_id", "kb_id", F.col("allow").alias("_kb_allow"),
-                                                   F.col("deny").alias("_kb_deny"))
-    held = scope_kbs.select("scope_id", "kb_id", "is_admin")
-    none = F.lit(False)
-    places = folder_access.join(held, ["scope_id", "kb_id"]).select(
-        "scope_id", "kb_id", "is_admin", F.col("folder_id").alias("place"), "denied", "visible", "granted")
-    outside = held.select("scope_id", "kb_id", "is_admin", F.explode(F.array(F.lit(ROOT), F.lit(DANGLING))
-                          .cast("array<bigint>")).alias("place")).select(
-        "*", none.alias("denied"), (F.col("place") == ROOT).alias("visible"), none.alias("granted"))
-    flags = places.unionByName(outside).join(kb_rules, ["scope_id", "kb_id"], "left")
-
-    def decided(last: str) -> Column:
-        return (F.when(F.coalesce("_kb_deny", none), "rule_deny")
-                .when(F.coalesce("_kb_allow", none), "rule_allow")
-                .when(F.col("denied"), "folder_deny")
-                .when(F.col("is_admin"), "admin")
-                .when(~F.col("visible"), "folder_hidden")
-                .when(F.col("granted"), "folder_allow")
-                .otherwise(last))
-    return flags.select("scope_id", "kb_id", "place", decided("public").alias("public_by"),
-                        decided("restricted").alias("restricted_by"))
-
-
-def placed_documents(documents: DataFrame, folders: DataFrame) -> DataFrame:
-    """(document_id, kb_id, place, is_public)."""
-    known = folders.select("folder_id", "kb_id", F.lit(True).alias("_known"))
-    place = F.when(F.col("folder_id").isNull(), ROOT).when(F.col("_known"), F.col("folder_id")).otherwise(DANGLING)
+
+def placed_documents(documents: DataFrame, places: DataFrame) -> DataFrame:
+    """(document_id, kb_id, place, shut, is_public)."""
+    known = places.select(F.col("place").alias("folder_id"), "kb_id", "shut")
+    outside = F.col("folder_id").isNull()
     return documents.select("document_id", "kb_id", "folder_id", "visibility").join(
         known, ["folder_id", "kb_id"], "left").select(
-        "document_id", "kb_id", place.cast("bigint").alias("place"),
+        "document_id", "kb_id",
+        F.when(outside, ROOT).when(F.col("shut").isNull(), DANGLING).otherwise(F.col("folder_id")).cast("bigint").alias("place"),
+        F.when(outside, False).otherwise(F.coalesce("shut", F.lit(True))).alias("shut"),
         (F.col("visibility") == "public").alias("is_public"))
 
 
+def decision(hit: bool = False, document: bool = False) -> Column:
+    """The rule that decides a document, the first that applies.
+
+    Reads kb_allow, kb_deny, is_admin, shut and is_public; with ``hit`` also
+    f_allow and f_deny of the folder, with ``document`` d_allow and d_deny.
+    """
+    flag = lambda name, given: F.coalesce(F.col(name), F.lit(False)) if given else F.lit(False)
+    f_allow, f_deny = flag("f_allow", hit), flag("f_deny", hit)
+    return (F.when(F.col("kb_deny") | flag("d_deny", document), "rule_deny")
+            .when(F.col("kb_allow") | flag("d_allow", document), "rule_allow")
+            .when(f_deny, "folder_deny")
+            .when(F.col("is_admin"), "admin")
+            .when(F.col("shut") & ~f_allow, "folder_hidden")
+            .when(f_allow, "folder_allow")
+            .when(F.col("is_public"), "public")
+            .otherwise("restricted"))
+
+
+def shown(by: Column) -> Column:
+    return by.isin(*SHOWN_BY)
+
+
+def folder_visibility(access: DataFrame, places: DataFrame, hits: DataFrame) -> DataFrame:
+    """(scope_id, kb_id, folder_id, denied, visible, granted) for every folder of every scope.
+
+    The full listing, for reports; searches use ``folder_hits`` alone.
+    """
+    every = spread_join(places, access.select("scope_id", "kb_id", "is_admin"), ["kb_id"], by="place")
+    flags = every.join(hits, ["scope_id", "place"], "left")
+    deny, allow = F.coalesce("f_deny", F.lit(False)), F.coalesce("f_allow", F.lit(False))
+    return flags.select("scope_id", "kb_id", F.col("place").alias("folder_id"), deny.alias("denied"),
+                        (~deny & (allow | F.col("is_admin") | ~F.col("shut"))).alias("visible"),
+                        (~deny & allow).alias("granted"))
+
+
 def _document_rules(rules: DataFrame) -> DataFrame:
     return rules.where("target = 'document'").groupBy("scope_id", "document_id").agg(
-        F.max("allow").alias("_doc_allow"), F.max("deny").alias("_doc_deny"))
+        F.max("allow").alias("d_allow"), F.max("deny").alias("d_deny"))
 
 
-def _decide(at_place: DataFrame, rules: DataFrame) -> DataFrame:
-    """Correct the decision of the place by rules on the document itself."""
-    flags = at_place.join(_document_rules(rules), ["scope_id", "document_id"], "left")
-    by_place = F.when(F.col("is_public"), F.col("public_by")).otherwise(F.col("restricted_by"))
-    by = (F.when((by_place == "rule_deny") | F.coalesce("_doc_deny", F.lit(False)), "rule_deny")
-          .when(F.coalesce("_doc_allow", F.lit(False)), "rule_allow").otherwise(by_place))
-    return flags.select("scope_id", "kb_id", "document_id", by.alias("decided_by")).withColumn(
-        "visible", F.col("decided_by").isin(*SHOWN_BY))
+def _decide(pairs: DataFrame, hits: DataFrame, rules: DataFrame) -> DataFrame:
+    """Decision of placed documents joined with ``kb_access``: one row per (scope, document)."""
+    flags = pairs.join(hits, ["scope_id", "place"], "left").join(
+        _document_rules(rules), ["scope_id", "document_id"], "left")
+    return flags.select("scope_id", "kb_id", "document_id", decision(hit=True, document=True).alias("decided_by")).withColumn(
+        "visible", shown(F.col("decided_by")))
 
 
-def document_visibility(placed: DataFrame, access: DataFrame, rules: DataFrame) -> DataFrame:
+def document_visibility(placed: DataFrame, access: DataFrame, hits: DataFrame, rules: DataFrame) -> DataFrame:
     """Every document of every scope's collections: decided_by and visible.
 
     The result is scopes x documents by definition; a search uses ``audience``
-    and ``visible_pairs`` instead. Hot places are salted by document.
+    and ``visible_pairs`` instead. Hot collections are salted by document.
     """
-    return _decide(spread_join(placed, access, ["kb_id", "place"], by="document_id"), rules)
+    return _decide(spread_join(placed, access.drop("dataset_id"), ["kb_id"], by="document_id"), hits, rules)
 
 
-def visible_pairs(pairs: DataFrame, placed: DataFrame, access: DataFrame, rules: DataFrame) -> DataFrame:
+def visible_pairs(pairs: DataFrame, placed: DataFrame, access: DataFrame, hits: DataFrame, rules: DataFrame) -> DataFrame:
     """The same decision for given (scope_id, document_id) pairs only."""
     at = pairs.select("scope_id", "document_id").distinct().join(placed, "document_id")
-    return _decide(at.join(access, ["scope_id", "kb_id", "place"]), rules)
+    return _decide(at.join(access.drop("dataset_id"), ["scope_id", "kb_id"]), hits, rules)
+
+
+def opened_documents(rules: DataFrame) -> DataFrame:
+    """(scope_id, document_id) with an allowed chunk: searched, and shown by whitelist."""
+    return rules.where("target = 'chunk' AND allow AND document_id IS NOT NULL").select(
+        "scope_id", "document_id").distinct()
 
 
 def search_documents(visible: DataFrame, rules: DataFrame) -> DataFrame:
     """(scope_id, document_id) a search may touch: visible ones and those with an allowed chunk."""
-    shown = visible.where("visible").select("scope_id", "document_id")
-    opened = rules.where("target = 'chunk' AND allow AND document_id IS NOT NULL").select("scope_id", "document_id")
-    return shown.unionByName(opened).distinct()
+    return visible.where("visible").select("scope_id", "document_id").unionByName(opened_documents(rules)).distinct()
+
+
+def _kinds(access: DataFrame) -> DataFrame:
+    """kb_access once per kind of place (shut or not) and document (public or not): four rows each."""
+    kinds = F.array(*[F.struct(F.lit(s).alias("shut"), F.lit(p).alias("is_public")) for s in (False, True) for p in (False, True)])
+    return access.withColumn("_kind", F.explode(kinds)).select("*", "_kind.*").drop("_kind", "dataset_id")
 
 
-def audience(placed: DataFrame, access: DataFrame, rules: DataFrame) -> DataFrame:
+def _folder_changes(access: DataFrame, places: DataFrame, hits: DataFrame) -> DataFrame:
+    """Where a folder rule changes a decision: scope_id, kb_id, place, is_public, before, after."""
+    at = hits.join(places, "place").join(access.drop("dataset_id"), ["scope_id", "kb_id"])
+    both = at.withColumn("is_public", F.explode(F.array(F.lit(False), F.lit(True))))
+    return both.select("scope_id", "kb_id", "place", "is_public", decision().alias("before"),
+                       decision(hit=True).alias("after")).where("before <> after")
+
+
+def audience(placed: DataFrame, places: DataFrame, access: DataFrame, hits: DataFrame, rules: DataFrame) -> DataFrame:
     """(document_id, audience): the scopes that may search each document, as a list.
 
-    For one pass of requests, so a list is never longer than the pass. Scopes are
-    gathered per place and handed to the documents there; only documents with
-    rules of their own are corrected one by one. Work is proportional to
-    documents + places + rules, not to scopes x documents.
+    For one pass of requests, so a list is never longer than the pass. Scopes
+    are gathered per collection and kind of document, corrected per folder under
+    a rule, corrected per document under a rule. Work is proportional to
+    documents + rules, not to scopes x documents.
     """
-    def scopes_shown(column: str) -> Column:
-        return F.array_sort(F.collect_set(F.when(F.col(column).isin(*SHOWN_BY), F.col("scope_id"))))
-    by_place = access.groupBy("kb_id", "place").agg(
-        scopes_shown("public_by").alias("_public"), scopes_shown("restricted_by").alias("_restricted"))
-    listed = spread_join(placed, by_place, ["kb_id", "place"], by="document_id").select(
-        "document_id", F.when(F.col("is_public"), F.col("_public")).otherwise(F.col("_restricted")).alias("_base"))
-
-    ruled = rules.where("target = 'document' OR (target = 'chunk' AND allow)").where("document_id IS NOT NULL")
-    ruled = ruled.select("scope_id", "document_id").distinct()
-    exact = visible_pairs(ruled, placed, access, rules)
-    opened = rules.where("target = 'chunk' AND allow AND document_id IS NOT NULL").select(
-        "scope_id", "document_id", F.lit(True).alias("_opened")).distinct()
-    checked = exact.join(opened, ["scope_id", "document_id"], "left").select(
-        "document_id", "scope_id", (F.col("visible") | F.coalesce("_opened", F.lit(False))).alias("_on"))
-    fixes = checked.groupBy("document_id").agg(
-        F.collect_set(F.when(F.col("_on"), F.col("scope_id"))).alias("_add"),
-        F.collect_set(F.when(~F.col("_on"), F.col("scope_id"))).alias("_drop"))
-    fixed = F.when(F.col("_add").isNull(), F.col("_base")).otherwise(
-        F.array_union(F.array_except("_base", "_drop"), "_add"))
-    return listed.join(fixes, "document_id", "left").select("document_id", fixed.alias("audience")).where(
-        F.size("audience") > 0)
-
-
-def chunk_visibility(hits: DataFrame, placed: DataFrame, access: DataFrame, rules: DataFrame) -> DataFrame:
-    """Add ``visible`` to hits (scope_id, chunk_id, document_id): the last word before a prompt."""
+    scopes_where = lambda cond: F.collect_set(F.when(cond, F.col("scope_id")))
+    kind = ["kb_id", "shut", "is_public"]
+    base = _kinds(access).groupBy(*kind).agg(scopes_where(shown(decision())).alias("_base"))
+    moved = _folder_changes(access, places, hits).withColumns({"_was": shown(F.col("before")), "_is": shown(F.col("after"))})
+    by_folder = moved.where("_was <> _is").groupBy("place", "is_public").agg(
+        scopes_where(F.col("_is")).alias("_f_add"), scopes_where(F.col("_was")).alias("_f_drop"))
+    opened = opened_documents(rules)
+    ruled = rules.where("target = 'document'").select("scope_id", "document_id").unionByName(opened)
+    exact = visible_pairs(ruled, placed, access, hits, rules).join(
+        opened.withColumn("_opened", F.lit(True)), ["scope_id", "document_id"], "left")
+    on = F.col("visible") | F.coalesce("_opened", F.lit(False))
+    by_document = exact.groupBy("document_id").agg(
+        scopes_where(on).alias("_d_add"), scopes_where(~on).alias("_d_drop"))
+
+    def corrected(base_list: Column, add: str, drop: str) -> Column:
+        return F.when(F.col(add).isNull(), base_list).otherwise(F.array_union(F.array_except(base_list, drop), add))
+    listed = spread_join(placed, base, kind, by="document_id", how="left")
+    listed = spread_join(listed, by_folder, ["place", "is_public"], by="document_id", how="left")
+    listed = listed.join(by_document, "document_id", "left")
+    none = F.array().cast("array<bigint>")
+    final = corrected(corrected(F.coalesce("_base", none), "_f_add", "_f_drop"), "_d_add", "_d_drop")
+    return listed.select("document_id", final.alias("audience")).where(F.size("audience") > 0)
+
+
+def chunk_visibility(found: DataFrame, placed: DataFrame, access: DataFrame, hits: DataFrame, rules: DataFrame) -> DataFrame:
+    """Add ``visible`` to chunks found (scope_id, chunk_id, document_id): the last word before a prompt."""
     on_chunk = rules.where("target = 'chunk'").groupBy("scope_id", "chunk_id").agg(
         F.max("allow").alias("_c_allow"), F.max("deny").alias("_c_deny"))
-    listed = rules.where("target = 'chunk' AND allow AND document_id IS NOT NULL").select(
-        "scope_id", "document_id", F.lit(True).alias("_white")).distinct()
-    docs = visible_pairs(hits, placed, access, rules).select("scope_id", "document_id", F.col("visible").alias("_doc"))
+    listed = opened_documents(rules).withColumn("_white", F.lit(True))
+    docs = visible_pairs(found, placed, access, hits, rules).select(
+        "scope_id", "document_id", F.col("visible").alias("_doc"))
     key = ["scope_id", "document_id"]
-    flags = hits.join(on_chunk, ["scope_id", "chunk_id"], "left").join(listed, key, "left").join(docs, key, "left")
+    flags = found.join(on_chunk, ["scope_id", "chunk_id"], "left").join(listed, key, "left").join(docs, key, "left")
     no = F.lit(False)
     seen = (F.when(F.coalesce("_c_deny", no), no).when(F.coalesce("_c_allow", no), F.lit(True))
             .when(F.coalesce("_white", no), no).otherwise(F.coalesce("_doc", no)))
     return flags.withColumn("visible", seen).drop("_c_allow", "_c_deny", "_white", "_doc")
 
 
-def permission_filter(hits: DataFrame, placed: DataFrame, access: DataFrame, rules: DataFrame) -> DataFrame:
-    """Only the hits the scope may see."""
-    return chunk_visibility(hits, placed, access, rules).where("visible").drop("visible")
+def permission_filter(found: DataFrame, placed: DataFrame, access: DataFrame, hits: DataFrame, rules: DataFrame) -> DataFrame:
+    """Only the chunks the scope may see."""
+    return chunk_visibility(found, placed, access, hits, rules).where("visible").drop("visible")
 
 
 # ---------------------------------------------------------------- reports
 
-def place_sizes(placed: DataFrame) -> DataFrame:
-    """Documents per place and visibility."""
-    return placed.groupBy("kb_id", "place", "is_public").agg(F.count(F.lit(1)).alias("n_docs"))
+def _changes(placed: DataFrame, places: DataFrame, access: DataFrame, hits: DataFrame, rules: DataFrame):
+    """How decisions move away from those of the collection: by folder (with its documents counted) and by document."""
+    sizes = placed.groupBy("place", "is_public").agg(F.count(F.lit(1)).alias("n_docs"))
+    by_folder = _folder_changes(access, places, hits).join(sizes, ["place", "is_public"])
+    ruled = rules.where("target = 'document'").select("scope_id", "document_id").distinct()
+    at = ruled.join(placed, "document_id").join(access.drop("dataset_id"), ["scope_id", "kb_id"]).join(
+        hits, ["scope_id", "place"], "left").join(_document_rules(rules), ["scope_id", "document_id"], "left")
+    by_document = at.select("scope_id", "document_id", decision(hit=True).alias("before"),
+                            decision(hit=True, document=True).alias("after")).where("before <> after")
+    return by_folder, by_document
 
 
-def visible_counts(placed: DataFrame, access: DataFrame, rules: DataFrame) -> DataFrame:
-    """(scope_id, n_visible) from place sizes, corrected by the documents that have rules."""
-    sizes = place_sizes(placed)
-    by = F.when(F.col("is_public"), F.col("public_by")).otherwise(F.col("restricted_by"))
-    at_places = access.join(sizes, ["kb_id", "place"]).where(by.isin(*SHOWN_BY)).select(
+def visible_counts(placed: DataFrame, places: DataFrame, access: DataFrame, hits: DataFrame, rules: DataFrame) -> DataFrame:
+    """(scope_id, n_visible) from document counts per collection and kind, corrected where rules act."""
+    sizes = placed.groupBy("kb_id", "shut", "is_public").agg(F.count(F.lit(1)).alias("n_docs"))
+    base = _kinds(access).where(shown(decision())).join(sizes, ["kb_id", "shut", "is_public"]).select(
         "scope_id", F.col("n_docs").alias("n"))
-    ruled = rules.where("target = 'document'").select("scope_id", "document_id").distinct()
-    at = ruled.join(placed, "document_id").join(access, ["scope_id", "kb_id", "place"])
-    before = at.where(by.isin(*SHOWN_BY)).select("scope_id", F.lit(-1).cast("bigint").alias("n"))
-    after = _decide(at, rules).where("visible").select("scope_id", F.lit(1).cast("bigint").alias("n"))
-    return at_places.unionByName(before).unionByName(after).groupBy("scope_id").agg(F.sum("n").alias("n_visible"))
+    by_folder, by_document = _changes(placed, places, access, hits, rules)
+    step = shown(F.col("after")).cast("bigint") - shown(F.col("before")).cast("bigint")
+    fixes = by_folder.select("scope_id", (step * F.col("n_docs")).alias("n")).unionByName(
+        by_document.select("scope_id", step.alias("n")))
+    return base.unionByName(fixes).groupBy("scope_id").agg(F.sum("n").alias("n_visible"))
+
+
+def folder_counts_of(access: DataFrame, places: DataFrame, hits: DataFrame) -> DataFrame:
+    """(scope_id, total_folders, visible_folders, folder_granted) without listing folders per scope."""
+    sizes = places.groupBy("kb_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("shut")).alias("n_open"))
+    base = access.join(sizes, "kb_id").select(
+        "scope_id", F.col("n").alias("total"), F.when(F.col("is_admin"), F.col("n")).otherwise(F.col("n_open")).alias("visible"),
+        F.lit(0).cast("bigint").alias("granted"))
+    at = hits.join(places, "place").join(access.drop("dataset_id"), ["scope_id", "kb_id"])
+    before = F.col("is_admin") | ~F.col("shut")
+    after = ~F.col("f_deny") & (F.col("f_allow") | before)
+    fixes = at.select("scope_id", F.lit(0).cast("bigint").alias("total"),
+                      (after.cast("bigint") - before.cast("bigint")).alias("visible"),
+                      (~F.col("f_deny") & F.col("f_allow")).cast("bigint").alias("granted"))
+    return base.unionByName(fixes).groupBy("scope_id").agg(
+        F.sum("total").alias("total_folders"), F.sum("visible").alias("visible_folders"), F.sum("granted").alias("folder_granted"))
 
 
 def scope_stats(
-    scopes: DataFrame, scope_kbs: DataFrame, documents: DataFrame, folder_access: DataFrame, rules: DataFrame,
-    placed: DataFrame, access: DataFrame,
+    scopes: DataFrame, access: DataFrame, documents: DataFrame, placed: DataFrame, places: DataFrame, hits: DataFrame,
+    rules: DataFrame,
 ) -> DataFrame:
     """Eleven counts per scope, none of them from a table of scopes x documents."""
-    kb = scope_kbs.groupBy("scope_id").agg(
+    kb = access.groupBy("scope_id").agg(
         F.count(F.lit(1)).alias("kb_count"), F.count_distinct("dataset_id").alias("dataset_count"))
     sizes = documents.groupBy("kb_id").agg(F.count(F.lit(1)).alias("_n"))
-    totals = scope_kbs.join(sizes, "kb_id").groupBy("scope_id").agg(F.sum("_n").alias("total_documents"))
-    shown = visible_counts(placed, access, rules).withColumnRenamed("n_visible", "visible_documents")
-    opened = rules.where("target = 'chunk' AND allow AND document_id IS NOT NULL").select(
-        "scope_id", "document_id").distinct()
-    seen = visible_pairs(opened, placed, access, rules).where("visible").select("scope_id", "document_id")
+    totals = access.join(sizes, "kb_id").groupBy("scope_id").agg(F.sum("_n").alias("total_documents"))
+    seen_docs = visible_counts(placed, places, access, hits, rules).withColumnRenamed("n_visible", "visible_documents")
+    opened = opened_documents(rules)
+    seen = visible_pairs(opened, placed, access, hits, rules).where("visible").select("scope_id", "document_id")
     extra = opened.join(seen, ["scope_id", "document_id"], "left_anti").groupBy("scope_id").agg(
         F.count(F.lit(1)).alias("_extra"))
     white = opened.groupBy("scope_id").agg(F.count(F.lit(1)).alias("documents_in_whitelist_mode"))
     chunk = rules.where("target = 'chunk'").groupBy("scope_id", "chunk_id").agg(
         F.max("allow").alias("allow"), F.max("deny").alias("deny")).groupBy("scope_id").agg(
         F.count_if("allow").alias("chunk_allow_rules"), F.count_if("deny").alias("chunk_deny_rules"))
-    tree = folder_access.groupBy("scope_id").agg(
-        F.count(F.lit(1)).alias("total_folders"), F.count_if("visible").alias("visible_folders"),
-        F.count_if("granted").alias("folder_granted"))
     out = scopes.select("scope_id")
-    for part in (kb, totals, shown, extra, white, chunk, tree):
+    for part in (kb, totals, seen_docs, extra, white, chunk, folder_counts_of(access, places, hits)):
         out = out.join(part, "scope_id", "left")
     out = out.withColumn("searchable_documents", F.coalesce("visible_documents", F.lit(0)) + F.coalesce("_extra", F.lit(0)))
     names = ["kb_count", "dataset_count", "visible_documents", "searchable_documents", "total_documents",
@@ -328,50 +384,47 @@ def scope_stats(
     return out.select("scope_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in names])
 
 
-def diagnose(
-    placed: DataFrame, access: DataFrame, folder_access: DataFrame, rules: DataFrame,
-) -> DataFrame:
+def diagnose(placed: DataFrame, places: DataFrame, access: DataFrame, hits: DataFrame, rules: DataFrame) -> DataFrame:
     """Why somebody can or cannot find something: (scope_id, kind, item), one row per fact."""
-    decided = document_visibility(placed, access, rules)
+    decided = document_visibility(placed, access, hits, rules)
     docs = decided.select("scope_id", F.when(F.col("visible"), "visible_document").otherwise("hidden_document")
                           .alias("kind"), F.col("document_id").alias("item"))
+    tree = folder_visibility(access, places, hits)
     chunk = rules.where("target = 'chunk'")
+    fact = lambda df, kind, item: df.select("scope_id", F.lit(kind).alias("kind"), F.col(item).cast("string").alias("item"))
     facts = [
-        docs,
-        chunk.where("allow").select("scope_id", F.lit("allowed_chunk").alias("kind"), F.col("chunk_id").alias("item")),
-        chunk.where("deny").select("scope_id", F.lit("denied_chunk").alias("kind"), F.col("chunk_id").alias("item")),
-        chunk.where("allow AND document_id IS NOT NULL").select(
-            "scope_id", F.lit("whitelist_document").alias("kind"), F.col("document_id").alias("item")),
-        folder_access.select("scope_id", F.when(F.col("visible"), "visible_folder").otherwise("hidden_folder")
-                             .alias("kind"), F.col("folder_id").cast("string").alias("item")),
-        folder_access.where("granted").select("scope_id", F.lit("granted_folder").alias("kind"),
-                                              F.col("folder_id").cast("string").alias("item")),
+        fact(chunk.where("allow"), "allowed_chunk", "chunk_id"),
+        fact(chunk.where("deny"), "denied_chunk", "chunk_id"),
+        fact(opened_documents(rules), "whitelist_document", "document_id"),
+        fact(tree.where("visible"), "visible_folder", "folder_id"),
+        fact(tree.where("NOT visible"), "hidden_folder", "folder_id"),
+        fact(tree.where("granted"), "granted_folder", "folder_id"),
     ]
-    out = facts[0]
-    for f in facts[1:]:
+    out = docs
+    for f in facts:
         out = out.unionByName(f)
     return out.distinct()
 
 
-def visibility_matrix(placed: DataFrame, access: DataFrame, rules: DataFrame) -> DataFrame:
+def visibility_matrix(placed: DataFrame, places: DataFrame, access: DataFrame, hits: DataFrame, rules: DataFrame) -> DataFrame:
     """(document_id, decided_by, n_scopes): how many scopes each rule decides, per document.
 
-    Scopes are counted per place and decision first; documents with rules of
-    their own are corrected, so users x documents is never built.
+    Scopes are counted per collection and kind, then per folder and document
+    under a rule; users x documents is never built.
     """
-    by_public = access.groupBy("kb_id", "place", F.lit(True).alias("is_public"), F.col("public_by").alias("decided_by"))
-    by_restricted = access.groupBy("kb_id", "place", F.lit(False).alias("is_public"),
-                                   F.col("restricted_by").alias("decided_by"))
-    at_place = by_public.agg(F.count(F.lit(1)).alias("n")).unionByName(
-        by_restricted.agg(F.count(F.lit(1)).alias("n")))
-    base = spread_join(placed, at_place, ["kb_id", "place", "is_public"], by="document_id").select(
-        "document_id", "decided_by", "n")
-    ruled = rules.where("target = 'document'").select("scope_id", "document_id").distinct()
-    at = ruled.join(placed, "document_id").join(access, ["scope_id", "kb_id", "place"])
-    by_place = F.when(F.col("is_public"), F.col("public_by")).otherwise(F.col("restricted_by"))
-    minus = at.select("document_id", by_place.alias("decided_by"), F.lit(-1).cast("bigint").alias("n"))
-    plus = _decide(at, rules).select("document_id", "decided_by", F.lit(1).cast("bigint").alias("n"))
-    return base.unionByName(minus).unionByName(plus).groupBy("document_id", "decided_by").agg(
+    kind = ["kb_id", "shut", "is_public"]
+    base = _kinds(access).groupBy(*kind, decision().alias("decided_by")).agg(F.count(F.lit(1)).alias("n"))
+    by_kb = spread_join(placed, base, kind, by="document_id").select("document_id", "decided_by", "n")
+
+    def moves(df: DataFrame, *key: str) -> DataFrame:
+        one = F.lit(1).cast("bigint")
+        steps = F.array(F.struct(F.col("before").alias("decided_by"), (-one).alias("n")),
+                        F.struct(F.col("after").alias("decided_by"), one.alias("n")))
+        return df.select(*key, F.explode(steps).alias("_m")).groupBy(*key, "_m.decided_by").agg(F.sum("_m.n").alias("n"))
+    at_folder = moves(_folder_changes(access, places, hits), "place", "is_public")
+    by_folder = spread_join(placed, at_folder, ["place", "is_public"], by="document_id").select("document_id", "decided_by", "n")
+    by_document = moves(_changes(placed, places, access, hits, rules)[1], "document_id")
+    return by_kb.unionByName(by_folder).unionByName(by_document).groupBy("document_id", "decided_by").agg(
         F.sum("n").alias("n_scopes")).where("n_scopes <> 0")
 
 

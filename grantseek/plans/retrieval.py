@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,38 +30,49 @@ class Catalogue:
     folders: DataFrame
     documents: DataFrame
     acl: DataFrame
+    # ancestor_closure and folder_places, if stored; they change only when folders do.
+    closure: DataFrame | None = None
+    places: DataFrame | None = None
 
 
 @dataclass(frozen=True)
 class Resolved:
-    """What a batch of scopes may use."""
+    """What a batch of scopes may use: see the permission operators for the columns."""
 
     scopes: DataFrame
-    scope_kbs: DataFrame
+    access: DataFrame
     rules: DataFrame
-    folder_access: DataFrame
+    hits: DataFrame
+    places: DataFrame
     placed: DataFrame
-    access: DataFrame
+
+    def decide(self) -> dict[str, DataFrame]:
+        """Arguments of a decision about documents."""
+        return {"placed": self.placed, "access": self.access, "hits": self.hits, "rules": self.rules}
+
+    def listing(self) -> dict[str, DataFrame]:
+        """Arguments of a listing over folders and documents."""
+        return self.decide() | {"places": self.places}
 
 
-def resolve(scopes: DataFrame, cat: Catalogue, closure: DataFrame | None = None, keep: bool = True) -> Resolved:
-    """Collections, rules and places of every scope, each written once and reused."""
-    closure = tree.ancestor_closure(cat.folders) if closure is None else closure
-    hold = cut_lineage if keep else (lambda df: df)
-    scope_kbs = hold(perm.requested_scope(scopes, cat.kbs, cat.grants))
-    rules = hold(perm.applicable_rules(scopes, scope_kbs, cat.acl))
-    folder_access = hold(perm.folder_visibility(scope_kbs, cat.folders, closure, rules))
-    access = hold(perm.place_access(scope_kbs, folder_access, rules))
-    return Resolved(scopes, scope_kbs, rules, folder_access, perm.placed_documents(cat.documents, cat.folders), access)
+def resolve(scopes: DataFrame, cat: Catalogue) -> Resolved:
+    """Collections, rules and folders of every scope. What is read many times is written once."""
+    closure = tree.ancestor_closure(cat.folders) if cat.closure is None else cat.closure
+    scope_kbs = cut_lineage(perm.requested_scope(scopes, cat.kbs, cat.grants))
+    rules = cut_lineage(perm.applicable_rules(scopes, scope_kbs, cat.acl))
+    hits = cut_lineage(perm.folder_hits(rules, closure))
+    places = perm.folder_places(cat.folders, closure) if cat.places is None else cat.places
+    return Resolved(scopes, perm.kb_access(scope_kbs, rules), rules, hits, places,
+                    perm.placed_documents(cat.documents, places))
 
 
-def empty_reason(requests: DataFrame, scope_kbs: DataFrame, searchable: DataFrame, kept: DataFrame) -> DataFrame:
+def empty_reason(requests: DataFrame, access: DataFrame, searchable: DataFrame, kept: DataFrame) -> DataFrame:
     """(query_id, reason): null where there are citations.
 
     searchable: scope_id of scopes with at least one document to search.
     kept: query_id of requests with citations.
     """
-    has_kb = scope_kbs.select("scope_id").distinct().withColumn("_kb", F.lit(True))
+    has_kb = access.select("scope_id").distinct().withColumn("_kb", F.lit(True))
     has_doc = searchable.select("scope_id").distinct().withColumn("_doc", F.lit(True))
     has_hit = kept.select("query_id").distinct().withColumn("_hit", F.lit(True))
     rows = requests.select("query_id", "scope_id", text.strip(F.coalesce("question", F.lit(""))).alias("_q"))
@@ -71,17 +82,16 @@ def empty_reason(requests: DataFrame, scope_kbs: DataFrame, searchable: DataFram
     return rows.select("query_id", reason.alias("reason"))
 
 
-def searchable_scopes(resolved: Resolved) -> DataFrame:
-    """Scopes with at least one document to search, from counts per place."""
-    shown = perm.visible_counts(resolved.placed, resolved.access, resolved.rules).where("n_visible > 0")
-    opened = resolved.rules.where("target = 'chunk' AND allow AND document_id IS NOT NULL")
-    return shown.select("scope_id").unionByName(opened.select("scope_id")).distinct()
+def searchable_scopes(listed: DataFrame, rules: DataFrame) -> DataFrame:
+    """Scopes with at least one document to search; ``listed`` is the audience of every document."""
+    shown = listed.select(F.explode("audience").alias("scope_id")).distinct()
+    return shown.unionByName(perm.opened_documents(rules).select("scope_id")).distinct()
 
 
 def retrieve(
-    requests: DataFrame, cat: Catalogue, chunks: DataFrame, postings: DataFrame, totals: DataFrame, *,
-    closure: DataFrame | None = None, top: int = TOP_K, top_n: int = TOP_N, weight: float = VECTOR_WEIGHT,
-    threshold: float = THRESHOLD, final_threshold: float | None = THRESHOLD,
+    requests: DataFrame, cat: Catalogue, chunks: DataFrame, postings: DataFrame, stats: lexical.CorpusStats, *,
+    top: int = TOP_K, top_n: int = TOP_N, weight: float = VECTOR_WEIGHT, threshold: float = THRESHOLD,
+    final_threshold: float | None = THRESHOLD,
 ) -> tuple[DataFrame, DataFrame]:
     """(summary, citations) for requests: query_id, user_id, question, qvec, optionally kb_ids and model.
 
@@ -89,36 +99,37 @@ def retrieve(
     A pass of requests is resolved at a time, so the scopes listed beside a
     document are at most one pass long.
     """
-    closure = tree.ancestor_closure(cat.folders) if closure is None else closure
+    if cat.closure is None:
+        cat = replace(cat, closure=tree.ancestor_closure(cat.folders))
     summary = cited = None
     for part in split_passes(requests, "query_id"):
-        s, c = _retrieve_pass(part, cat, chunks, postings, totals, closure, top, top_n, weight, threshold,
-                              final_threshold)
+        s, c = _retrieve_pass(part, cat, chunks, postings, stats, top, top_n, weight, threshold, final_threshold)
         summary = s if summary is None else summary.unionByName(s)
         cited = c if cited is None else cited.unionByName(c)
     return summary, cited
 
 
-def _retrieve_pass(requests, cat, chunks, postings, totals, closure, top, top_n, weight, threshold, final_threshold):
+def _retrieve_pass(requests, cat, chunks, postings, stats, top, top_n, weight, threshold, final_threshold):
     asked = cut_lineage(perm.assign_scopes(requests))
-    resolved = resolve(perm.scopes_of(asked, cat.users), cat, closure)
-    listed = cut_lineage(perm.audience(resolved.placed, resolved.access, resolved.rules))
+    resolved = resolve(perm.scopes_of(asked, cat.users), cat)
+    listed = cut_lineage(perm.audience(**resolved.listing()))
     live = asked.where(F.length(text.strip(F.col("question"))) > 0)
-    picked = hybrid.hybrid_search(chunks, postings, live, totals, listed, top=top, weight=weight, threshold=threshold)
-    # Written once: the counts and the citations both read it.
-    hits = cut_lineage(hybrid.late_fetch(picked, chunks).join(live.select("query_id", "scope_id"), "query_id"))
-    seen = cut_lineage(perm.permission_filter(hits, resolved.placed, resolved.access, resolved.rules))
-    best = hybrid.final_rank(hybrid.dedupe_hits(seen), top_n, final_threshold)
-    cited = cut_lineage(hybrid.citations(best, cat.documents, cat.kbs))
-
-    count = lambda df, name: df.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))
+    picked = hybrid.hybrid_pass(chunks, postings, live, stats, listed, top, weight, threshold)
+    # Written once, without text: the counts and the citations both read it. A chunk
+    # is picked once per request, so there is nothing to de-duplicate.
+    judged = cut_lineage(perm.chunk_visibility(
+        picked.join(F.broadcast(live.select("query_id", "scope_id")), "query_id"), **resolved.decide()))
+    best = hybrid.final_rank(judged.where("visible"), top_n, final_threshold)
+    cited = hybrid.citations(hybrid.late_fetch(best, chunks), cat.documents, cat.kbs)
+
+    counts = judged.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("_raw"), F.count_if(~F.col("visible")).alias("_dropped"))
+    kept = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("_kept"))
+    reasons = empty_reason(asked, resolved.access, searchable_scopes(listed, resolved.rules), best)
     zero = lambda c: F.coalesce(c, F.lit(0))
-    reasons = empty_reason(asked, resolved.scope_kbs, searchable_scopes(resolved), cited)
-    counted = reasons.join(count(hits, "_raw"), "query_id", "left").join(
-        count(seen, "_seen"), "query_id", "left").join(count(cited, "_kept"), "query_id", "left")
-    summary = counted.select("query_id", zero("_raw").alias("raw_candidates"),
-                             (zero("_raw") - zero("_seen")).alias("dropped_by_permission"),
-                             zero("_kept").alias("kept"), "reason")
+    summary = reasons.join(counts, "query_id", "left").join(kept, "query_id", "left").select(
+        "query_id", zero("_raw").alias("raw_candidates"), zero("_dropped").alias("dropped_by_permission"),
+        zero("_kept").alias("kept"), "reason")
     return summary, cited
 
 

@@ -42,7 +42,7 @@ def _(t):
 @query("p4_requested_scope", "SELECT scope_id AS query_id, kb_id, is_admin FROM d_scope_kb")
 def _(t):
     requests, resolved = scoped(t)
-    return by_request(t, resolved.scope_kbs.drop("dataset_id"), requests)
+    return by_request(t, resolved.access.select("scope_id", "kb_id", "is_admin"), requests)
 
 
 @query("p5_expand_subjects", """
@@ -64,14 +64,14 @@ def _(t):
 @query("p7_folder_visibility", "SELECT scope_id AS query_id, kb_id, folder_id, denied, visible, granted FROM d_folder_state")
 def _(t):
     requests, resolved = scoped(t)
-    return by_request(t, resolved.folder_access, requests)
+    return by_request(t, perm.folder_visibility(resolved.access, resolved.places, resolved.hits), requests)
 
 
 @query("p8_document_visibility", """
 SELECT scope_id AS query_id, kb_id, document_id, decided_by, decided_by IN ('rule_allow', 'admin', 'folder_allow', 'public') AS visible FROM d_decision""")
 def _(t):
     requests, resolved = scoped(t)
-    return by_request(t, perm.document_visibility(resolved.placed, resolved.access, resolved.rules), requests)
+    return by_request(t, perm.document_visibility(**resolved.decide()), requests)
 
 
 @query("p9_chunk_visibility", """
@@ -85,15 +85,15 @@ def _(t):
     """Every chunk of the collections each request may read."""
     requests, resolved = scoped(t)
     chunks = t.chunk.select("chunk_id", "document_id").join(t.document.select("document_id", "kb_id"), "document_id")
-    hits = chunks.join(resolved.scope_kbs.select("scope_id", "kb_id"), "kb_id").drop("kb_id")
-    seen = perm.chunk_visibility(hits, resolved.placed, resolved.access, resolved.rules)
+    hits = chunks.join(resolved.access.select("scope_id", "kb_id"), "kb_id").drop("kb_id")
+    seen = perm.chunk_visibility(hits, **resolved.decide())
     return by_request(t, seen, requests).select("query_id", "chunk_id", "visible")
 
 
 @query("p10_search_documents", "SELECT scope_id AS query_id, document_id FROM d_search_doc")
 def _(t):
     requests, resolved = scoped(t)
-    visible = perm.document_visibility(resolved.placed, resolved.access, resolved.rules)
+    visible = perm.document_visibility(**resolved.decide())
     return by_request(t, perm.search_documents(visible, resolved.rules), requests)
 
 
@@ -102,7 +102,7 @@ SELECT d.document_id, count(*) AS n_requests, CAST(sum(s.scope_id) AS BIGINT) AS
 def _(t):
     """The per-document list a search uses gives the same pairs."""
     requests, resolved = scoped(t)
-    listed = perm.audience(resolved.placed, resolved.access, resolved.rules)
+    listed = perm.audience(**resolved.listing())
     pairs = listed.select("document_id", F.explode("audience").alias("scope_id"))
     return by_request(t, pairs, requests).groupBy("document_id").agg(
         F.count(F.lit(1)).alias("n_requests"), F.sum("query_id").alias("id_sum"))
@@ -123,7 +123,7 @@ SELECT s.scope_id AS query_id,
  (SELECT count(*) FROM d_folder_state f WHERE f.scope_id = s.scope_id AND f.granted) AS folder_granted FROM d_scope s""")
 def _(t):
     requests, r = scoped(t)
-    stats = perm.scope_stats(r.scopes, r.scope_kbs, t.document, r.folder_access, r.rules, r.placed, r.access)
+    stats = perm.scope_stats(r.scopes, documents=t.document, **r.listing())
     return by_request(t, stats, requests)
 
 
@@ -136,7 +136,7 @@ SELECT DISTINCT scope_id AS query_id, kind, item FROM (
  UNION ALL SELECT scope_id, 'granted_folder', CAST(folder_id AS STRING) FROM d_folder_state WHERE granted)""")
 def _(t):
     requests, r = scoped(t)
-    return by_request(t, perm.diagnose(r.placed, r.access, r.folder_access, r.rules), requests)
+    return by_request(t, perm.diagnose(**r.listing()), requests)
 
 
 @query("p13_visibility_matrix", """
@@ -149,7 +149,7 @@ def _(t):
         "kb_ids", F.coalesce("kb_ids", F.array().cast("array<bigint>")))
     cat = catalogue_of(t)
     r = retrieval.resolve(perm.scopes_of(requests, cat.users), cat)
-    return perm.visibility_matrix(r.placed, r.access, r.rules)
+    return perm.visibility_matrix(**r.listing())
 
 
 @query("p13_user_visible_counts", """
@@ -174,7 +174,7 @@ def _(t):
     """Visible documents of every user, without a row per user and document."""
     cat = catalogue_of(t)
     r = retrieval.resolve(perm.user_scopes(cat.users), cat)
-    counts = perm.visible_counts(r.placed, r.access, r.rules).where("n_visible > 0")
+    counts = perm.visible_counts(**r.listing()).where("n_visible > 0")
     return counts.withColumnRenamed("scope_id", "user_id")
 
 
@@ -350,7 +350,7 @@ SELECT s.scope_id AS query_id, f.folder_id, {_COUNTS} FROM d_folder_state s JOIN
 WHERE NOT EXISTS (SELECT 1 FROM d_closure c JOIN d_folder_state x ON x.folder_id = c.ancestor_id WHERE x.scope_id = s.scope_id AND c.folder_id = s.folder_id AND NOT x.visible)""")
 def _(t):
     requests, r = scoped(t)
-    rows = tree.folder_tree(t.folder, t.document, t.acl, tree.ancestor_closure(t.folder), r.folder_access)
+    rows = tree.folder_tree(t.folder, t.document, t.acl, tree.ancestor_closure(t.folder), perm.folder_visibility(r.access, r.places, r.hits))
     return by_request(t, rows, requests).select("query_id", "folder_id", "doc_count", "child_count", "acl_count")
 
 

@@ -5,18 +5,38 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grantseek.functions import text, vectors
-from grantseek.operators import chat, chunking, embedding, hybrid, lexical
+from grantseek.operators import chat, chunking, embedding, folders, hybrid, lexical
 from grantseek.operators import permissions as perm
 from grantseek.plans import ingest, retrieval
 from workload.registry import query
 
 
+def spread(t, df):
+    """Stored in as many parts as there are cores; the test data is one small file per table."""
+    return df.repartition(t.spark.sparkContext.defaultParallelism, "document_id")
+
+
 def chunks_of(t):
-    return lexical.with_tokens(t.chunk)
+    """The index as it is stored: tokens made once, when chunks are written."""
+    return t.stored("index_chunk", lambda: lexical.with_tokens(spread(t, t.chunk)))
 
 
 def lines_of(t):
-    return lexical.with_tokens(chunking.line_chunks(t.document.select("document_id", "kb_id", "text"), "text"))
+    lines = chunking.line_chunks(t.document.select("document_id", "kb_id", "text"), "text")
+    return t.stored("index_line", lambda: lexical.with_tokens(spread(t, lines)))
+
+
+def stats_of(t, name, chunks):
+    """Index statistics as they are stored beside the index."""
+    return lexical.CorpusStats(
+        t.stored(f"{name}_totals", lambda: lexical.corpus_totals(chunks)),
+        t.stored(f"{name}_frequencies", lambda: lexical.document_frequencies(lexical.build_postings(chunks))))
+
+
+def index_of(t):
+    """(chunks, postings, statistics) of the vector index."""
+    chunks = chunks_of(t)
+    return chunks, lexical.build_postings(chunks), stats_of(t, "chunk", chunks)
 
 
 def requests_of(t):
@@ -25,7 +45,9 @@ def requests_of(t):
 
 
 def catalogue_of(t):
-    return retrieval.Catalogue(t.user, t.kb, t.grant, t.folder, t.document, t.acl)
+    closure = t.stored("closure", lambda: folders.ancestor_closure(t.folder))
+    places = t.stored("places", lambda: perm.folder_places(t.folder, closure))
+    return retrieval.Catalogue(t.user, t.kb, t.grant, t.folder, t.document, t.acl, closure, places)
 
 
 def scoped(t):
@@ -37,20 +59,19 @@ def scoped(t):
 
 
 def audience_of(resolved):
-    return perm.audience(resolved.placed, resolved.access, resolved.rules)
+    return perm.audience(**resolved.listing())
 
 
 def search(t, **kw):
-    chunks = chunks_of(t)
-    return hybrid.hybrid_search(chunks, lexical.build_postings(chunks), t.request, lexical.corpus_totals(chunks), **kw)
+    chunks, postings, stats = index_of(t)
+    return hybrid.hybrid_search(chunks, postings, t.request, stats, **kw)
 
 
 def scoped_search(t, threshold):
     requests, resolved = scoped(t)
-    chunks = chunks_of(t)
-    hits = hybrid.hybrid_search(chunks, lexical.build_postings(chunks), requests, lexical.corpus_totals(chunks),
-                                audience_of(resolved), threshold=threshold)
-    return hits.join(requests.select("query_id", "scope_id"), "query_id"), resolved
+    chunks, postings, stats = index_of(t)
+    found = hybrid.hybrid_search(chunks, postings, requests, stats, audience_of(resolved), threshold=threshold)
+    return found.join(requests.select("query_id", "scope_id"), "query_id"), resolved
 
 
 # ---------------------------------------------------------------- vectors
@@ -136,8 +157,8 @@ def _(t):
 @query("l3_bm25_search", """
 SELECT query_id, chunk_id, document_id, kw, CAST(row_number() OVER (PARTITION BY query_id ORDER BY kw DESC, chunk_id) AS INT) AS kw_rank FROM d_kw_open""")
 def _(t):
-    chunks = chunks_of(t)
-    return lexical.bm25_search(lexical.build_postings(chunks), t.request, lexical.corpus_totals(chunks))
+    _chunks, postings, stats = index_of(t)
+    return lexical.bm25_search(postings, t.request, stats)
 
 
 @query("l3_bm25_lines", """
@@ -150,15 +171,14 @@ SELECT query_id, chunk_id, document_id, kw, rn AS kw_rank FROM (
   GROUP BY t.query_id, p.chunk_id, p.document_id, p.dl, s.avgdl)) WHERE rn <= 200""")
 def _(t):
     chunks = lines_of(t)
-    return lexical.bm25_search(lexical.build_postings(chunks), t.request, lexical.corpus_totals(chunks))
+    return lexical.bm25_search(lexical.build_postings(chunks), t.request, stats_of(t, "line", chunks))
 
 
 @query("l3_bm25_scoped", "SELECT query_id, chunk_id, document_id, kw FROM d_kw_scoped")
 def _(t):
     requests, resolved = scoped(t)
-    chunks = chunks_of(t)
-    return lexical.bm25_search(lexical.build_postings(chunks), requests, lexical.corpus_totals(chunks),
-                               audience_of(resolved)).drop("kw_rank")
+    _chunks, postings, stats = index_of(t)
+    return lexical.bm25_search(postings, requests, stats, audience_of(resolved)).drop("kw_rank")
 
 
 @query("l4_substring_search", "SELECT chunk_id FROM d_line WHERE content ILIKE '%TION%'")
@@ -191,8 +211,8 @@ SELECT coalesce(v.query_id, k.query_id) AS query_id, coalesce(v.chunk_id, k.chun
 FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vec DESC, chunk_id) AS rn FROM d_vec_open) WHERE rn <= 50) v
 FULL JOIN d_kw_open k ON k.query_id = v.query_id AND k.chunk_id = v.chunk_id""")
 def _(t):
-    chunks = chunks_of(t)
-    lex = lexical.bm25_search(lexical.build_postings(chunks), t.request, lexical.corpus_totals(chunks))
+    chunks, postings, stats = index_of(t)
+    lex = lexical.bm25_search(postings, t.request, stats)
     return hybrid.candidates(lex, embedding.vector_topk(chunks, t.request, 50))
 
 
@@ -218,7 +238,7 @@ def _(t):
 @query("h4_permission_filter", "SELECT query_id, chunk_id FROM d_seen_low")
 def _(t):
     hits, resolved = scoped_search(t, 0.15)
-    return perm.permission_filter(hits, resolved.placed, resolved.access, resolved.rules).select("query_id", "chunk_id")
+    return perm.permission_filter(hits, **resolved.decide()).select("query_id", "chunk_id")
 
 
 @query("h5_dedupe_hits", "SELECT query_id, chunk_id, CAST(hybrid_rank AS INT) AS hybrid_rank FROM d_top_open")
@@ -237,9 +257,9 @@ def _(t):
 
 
 def preview(t, threshold):
-    chunks = chunks_of(t)
-    return retrieval.retrieve(requests_of(t), catalogue_of(t), chunks, lexical.build_postings(chunks),
-                              lexical.corpus_totals(chunks), threshold=threshold, final_threshold=threshold)
+    chunks, postings, stats = index_of(t)
+    return retrieval.retrieve(requests_of(t), catalogue_of(t), chunks, postings, stats, threshold=threshold,
+                              final_threshold=threshold)
 
 
 @query("h7_citations", """
@@ -277,9 +297,10 @@ SELECT r.query_id, CASE WHEN NOT EXISTS (SELECT 1 FROM d_scope_kb x WHERE x.scop
   WHEN NOT EXISTS (SELECT 1 FROM d_kw_scoped x WHERE x.query_id = r.query_id) THEN 'nothing found' END AS reason FROM fx_request r""")
 def _(t):
     requests, resolved = scoped(t)
-    chunks = chunks_of(t)
-    hits = lexical.bm25_search(lexical.build_postings(chunks), requests, lexical.corpus_totals(chunks), audience_of(resolved))
-    return retrieval.empty_reason(requests, resolved.scope_kbs, retrieval.searchable_scopes(resolved), hits)
+    _chunks, postings, stats = index_of(t)
+    listed = audience_of(resolved)
+    hits = lexical.bm25_search(postings, requests, stats, listed)
+    return retrieval.empty_reason(requests, resolved.access, retrieval.searchable_scopes(listed, resolved.rules), hits)
 
 
 @query("h10_context_block", """

@@ -8,10 +8,13 @@ query names in front of it as CTEs.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grantseek.common import ensure_checkpoint_dir
+
 BASE = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
         "conversations").split()
 
@@ -282,15 +285,30 @@ def fx(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
 class Tables:
-    """Derived tables of one scale factor by attribute: ``t.user``, ``t.acl`` ..."""
+    """Derived tables of one scale factor by attribute: ``t.user``, ``t.acl`` ...
+
+    As in a running system these are stored tables: each is derived in full from
+    the test data once per session and scale factor, then read.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def stored(self, name: str, make) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STORED:
+            path = f"{ensure_checkpoint_dir(self.spark)}/tables/{uuid.uuid4().hex}"
+            make().write.parquet(path)
+            _STORED[key] = path
+        return self.spark.read.parquet(_STORED[key])
+
     def __getattr__(self, name: str) -> DataFrame:
         if f"fx_{name}" in FX:
-            return fx(self.spark, self.sf_dir, f"fx_{name}")
+            return self.stored(name, lambda: fx(self.spark, self.sf_dir, f"fx_{name}"))
         if name in BASE:
             return table(self.spark, self.sf_dir, name)
         raise AttributeError(name)
