@@ -56,6 +56,15 @@ def cut_lineage(df: DataFrame, ordered: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fill_cores(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan that has fewer partitions than cores (few or small files) before CPU-heavy work.
+
+    Large inputs pass through: their partitions outnumber the cores already.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def spread_join(
     big: DataFrame, small: DataFrame, on: Sequence[str], by: str, salts: int = 8, how: str = "inner"
 ) -> DataFrame:
@@ -73,18 +82,16 @@ def spread_join(
 
 def top_k(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, *,
-    rank: str = "rank", salts: int = 1, salt_on: str | None = None,
+    rank: str = "rank", salts: int = 1,
 ) -> DataFrame:
     """First ``k`` rows of every key, numbered from 1 in column ``rank``.
 
     Spark cuts each input partition to ``k`` rows per key before the shuffle.
-    With ``salts`` > 1 the survivors of a hot key are cut once more in parallel
-    before one task sees them, so the last step reads at most salts * k rows.
+    With ``salts`` > 1 the survivors of groups of input partitions are cut once
+    more in parallel, so the last step reads at most salts * k rows of a key.
     """
     if salts > 1:
-        if salt_on is None:
-            raise ValueError("salt_on names the column that spreads a key")
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(salts)))
+        salted = df.withColumn("_salt", F.spark_partition_id() % salts)
         inner = Window.partitionBy(*keys, "_salt").orderBy(*order)
         df = salted.withColumn(rank, F.row_number().over(inner)).where(F.col(rank) <= k).drop(rank, "_salt")
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)

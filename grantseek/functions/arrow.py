@@ -9,6 +9,7 @@ import json
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -161,10 +162,22 @@ def pieces_of(c: Column, size: int) -> Column:
     return _udf(lambda v: list(cut_pieces(v, size)), "array<string>")(c)
 
 
-def split_sections(texts: Column, size: int, overlap: int, min_size: int) -> Column:
-    """Chunks of every section of a document, in order: array of text to array of arrays."""
-    def split(s: pd.Series) -> pd.Series:
-        return pd.Series(
-            [None if v is None else [split_text(t, size, overlap, min_size) if t and t.strip() else [] for t in v]
-             for v in s], dtype=object)
-    return F.pandas_udf(split, "array<array<string>>")(texts)
+def split_sections(sections: Column, size: int, overlap: int, min_size: int) -> Column:
+    """Chunks (content, page) of a document's sections (text, page), in order.
+
+    Marked non-deterministic so that no filter above makes Spark evaluate it twice.
+    """
+    def split(documents: pa.Array) -> pa.Array:
+        content: list[str] = []
+        page: list[int | None] = []
+        ends = [0]
+        for parts in documents.to_pylist():
+            for section in parts or ():
+                cut = split_text(section["text"] or "", size, overlap, min_size)
+                content.extend(cut)
+                page.extend([section["page"]] * len(cut))
+            ends.append(len(content))
+        chunks = pa.StructArray.from_arrays(
+            [pa.array(content, pa.string()), pa.array(page, pa.int32())], names=["content", "page"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), chunks)
+    return F.arrow_udf(split, "array<struct<content:string,page:int>>").asNondeterministic()(sections)

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from grantseek.functions import arrow
 
 # Character classes, patterns and word lists of the text rules.
-ZERO_WIDTH = r"[\u200b-\u200f\u2028\u2029\ufeff]"
-CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+WHITE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+         "\u2028\u2029\u202f\u205f\u3000")
+INVISIBLE = r"[\u200b-\u200f\u2028\u2029\ufeff\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 BLANK_RUN = r"[ \t\u3000]{2,}"
+UNTIDY = r"[\x00-\x09\x0b-\x1f\x7f\u200b-\u200f\u2028\u2029\u3000\ufeff]|  |\n\n\n"
 CJK = r"[\u4e00-\u9fff]"
 WORD = "[0-9a-z_]+"
 SPECIAL = r'^["*():^\-]$'
@@ -22,29 +24,32 @@ SENSITIVE_KEYS = [
     "refresh_token", "access_token", "secret", "authorization",
 ]
 
-# Characters NFKC leaves alone in any order: ASCII, Latin-1 letters, CJK ideographs, 、 and 。
-_NFKC_MAY_CHANGE = r"[^\x00-\x7f\u00c0-\u00ff\u4e00-\u9fff\u3001\u3002]"
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+# All characters but those NFKC leaves alone in any order: ASCII, Latin-1 letters, CJK ideographs, 、 and 。
+_NFKC_MAY_CHANGE = r"[\x{80}-\x{bf}\x{100}-\x{3000}\x{3003}-\x{4dff}\x{a000}-\x{10ffff}]"
 
 
 def strip(c: Column) -> Column:
     """Remove Unicode white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def nfkc(c: Column) -> Column:
     """NFKC normal form. Only rows holding a character it may change travel to Python."""
-    return F.coalesce(arrow.nfkc(F.when(c.rlike(_NFKC_MAY_CHANGE), c)), c)
+    not_ascii = F.octet_length(c) > F.char_length(c)
+    return F.coalesce(arrow.nfkc(F.when(not_ascii & c.rlike(_NFKC_MAY_CHANGE), c)), c)
 
 
 def clean_text(c: Column) -> Column:
-    """Normalised text: one kind of newline, no control or zero-width characters, short gaps."""
-    out = F.regexp_replace(nfkc(F.coalesce(c, F.lit(""))), "\r\n?", "\n")
-    out = F.regexp_replace(out, ZERO_WIDTH, "")
-    out = F.regexp_replace(out, CONTROL, "")
+    """Normalised text: one kind of newline, no control or zero-width characters, short gaps.
+
+    Most texts hold nothing to change, which one scan finds out.
+    """
+    given = nfkc(F.coalesce(c, F.lit("")))
+    out = F.regexp_replace(given, "\r\n?", "\n")
+    out = F.regexp_replace(out, INVISIBLE, "")
     out = F.regexp_replace(out, BLANK_RUN, " ")
     out = F.regexp_replace(out, "\n{3,}", "\n\n")
-    return strip(out)
+    return strip(F.when(given.rlike(UNTIDY), out).otherwise(given))
 
 
 def html_to_text(c: Column) -> Column:
@@ -52,12 +57,7 @@ def html_to_text(c: Column) -> Column:
     out = F.regexp_replace(c, r"(?is)<(script|style)\b[^>]*>.*?</\1>", " ")
     out = F.regexp_replace(out, r"(?i)</?(p|div|br|li|tr|h[1-6]|section|article)\b[^>]*>", "\n")
     out = F.regexp_replace(out, "<[^>]+>", " ")
-    return clean_text(unescape_entities(out))
-
-
-def unescape_entities(c: Column) -> Column:
-    """Decode character references; rows without an ampersand stay in the JVM."""
-    return F.coalesce(arrow.unescape(F.when(c.contains("&"), c)), c)
+    return clean_text(arrow.unescape(out))
 
 
 def bigrams(c: Column) -> Column:
@@ -67,14 +67,18 @@ def bigrams(c: Column) -> Column:
     return F.when(n > 0, pairs).otherwise(F.array().cast("array<string>"))
 
 
+def _words(c: Column) -> Column:
+    """ASCII words in lower case. İ is the one character left whose lower case holds an ASCII letter."""
+    return F.regexp_extract_all(F.lower(F.replace(c, F.lit("İ"), F.lit(" "))), F.lit(WORD), F.lit(0))
+
+
 def lex_tokens(c: Column) -> Column:
     """Distinct index tokens: bigrams for runs with CJK characters, ASCII words otherwise."""
     text = nfkc(F.coalesce(c, F.lit("")))
-    words = F.regexp_extract_all(F.translate(text, _UPPER, _UPPER.lower()), F.lit(WORD), F.lit(0))
+    words = _words(text)
     mixed = F.flatten(F.transform(
         F.split(text, r"(?U)\s+"),
-        lambda run: F.when(run.rlike(CJK), bigrams(F.lower(run))).otherwise(
-            F.regexp_extract_all(F.translate(run, _UPPER, _UPPER.lower()), F.lit(WORD), F.lit(0))),
+        lambda run: F.when(run.rlike(CJK), bigrams(F.lower(run))).otherwise(_words(run)),
     ))
     return F.array_distinct(F.when(text.rlike(CJK), mixed).otherwise(words))
 

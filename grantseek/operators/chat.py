@@ -57,7 +57,7 @@ def history_window(messages: DataFrame, rounds: int = HISTORY_ROUNDS) -> DataFra
     ``position`` counts back from the newest message (1) and orders the result.
     """
     tail = top_k(messages, ["session_id"], [F.desc("message_id")], rounds * 2, rank="position",
-                 salts=8, salt_on="message_id")
+                 salts=8)
     body = strip(F.coalesce("content", F.lit("")))
     return tail.withColumn("content", body).where("content <> ''").select(
         "session_id", "message_id", "position", F.when(F.col("role") == "user", "user").otherwise("assistant").alias("role"),

@@ -27,11 +27,8 @@ def chunk_sections(
     overlap = CHUNK_OVERLAP if overlap is None else overlap
     min_size = min_size or CHUNK_MIN
     keep = [c for c in df.columns if c != "sections"]
-    split = df.withColumn("_parts", arrow.split_sections(F.col("sections.text"), size, overlap, min_size))
-    flat = F.flatten(F.zip_with(
-        "_parts", "sections",
-        lambda parts, sec: F.transform(parts, lambda p: F.struct(p.alias("content"), sec["page"].alias("page")))))
-    rows = split.select(*keep, F.posexplode(flat).alias("ordinal", "_chunk"))
+    split = df.withColumn("_chunks", arrow.split_sections(F.col("sections"), size, overlap, min_size))
+    rows = split.select(*keep, F.posexplode("_chunks").alias("ordinal", "_chunk"))
     return rows.select(
         text.make_chunk_id(F.col("document_id"), F.col("ordinal")).alias("chunk_id"), *keep, "ordinal",
         F.col("_chunk.content").alias("content"), F.col("_chunk.page").alias("page"),

@@ -215,7 +215,7 @@ def vector_topk(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, threshold
     found = [score_pass(chunks, q, k=k, threshold=threshold).where("kind = 'top'")
              for q in split_passes(queries, "query_id")]
     return top_k(_union(found).select("query_id", "chunk_id", "document_id", "score"), ["query_id"],
-                 [F.desc("score"), F.asc("chunk_id")], k, salts=16, salt_on="chunk_id")
+                 [F.desc("score"), F.asc("chunk_id")], k, salts=16)
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:

@@ -92,7 +92,7 @@ def hybrid_pass(
     ranked = ranked.join(bounds, "query_id").select(
         *key, "document_id", F.col("vec").alias("similarity"), "kw", final.alias("final"))
     return top_k(ranked, ["query_id"], [F.desc("final"), F.asc("chunk_id")], top, rank="hybrid_rank",
-                 salts=16, salt_on="chunk_id")
+                 salts=16)
 
 
 def late_fetch(picked: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -96,7 +96,7 @@ def bm25_pass(
     scored = scored.select("query_id", "chunk_id", "document_id",
                            F.round(F.col("idf") * F.lit(K1 + 1.0) / length, 6).alias("kw"))
     return top_k(scored, ["query_id"], [F.desc("kw"), F.asc("chunk_id")], limit, rank="kw_rank",
-                 salts=16, salt_on="chunk_id")
+                 salts=16)
 
 
 def substring_search(chunks: DataFrame, keyword: str, case_sensitive: bool = False) -> DataFrame:

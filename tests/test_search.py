@@ -105,7 +105,7 @@ def test_hot_key_helpers(spark):
         a = sorted(map(str, common.spread_join(big, small, ["k"], by="v", how=how).collect()))
         assert a == sorted(map(str, big.join(small, "k", how).collect()))
     one = common.top_k(big, ["k"], [F.desc("v")], 2)
-    two = common.top_k(big, ["k"], [F.desc("v")], 2, salts=8, salt_on="v")
+    two = common.top_k(big, ["k"], [F.desc("v")], 2, salts=8)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
 
 

@@ -11,19 +11,14 @@ from grantseek.plans import ingest, retrieval
 from workload.registry import query
 
 
-def spread(t, df):
-    """Stored in as many parts as there are cores; the test data is one small file per table."""
-    return df.repartition(t.spark.sparkContext.defaultParallelism, "document_id")
-
-
 def chunks_of(t):
     """The index as it is stored: tokens made once, when chunks are written."""
-    return t.stored("index_chunk", lambda: lexical.with_tokens(spread(t, t.chunk)))
+    return t.stored("index_chunk", lambda: lexical.with_tokens(t.chunk))
 
 
 def lines_of(t):
     lines = chunking.line_chunks(t.document.select("document_id", "kb_id", "text"), "text")
-    return t.stored("index_line", lambda: lexical.with_tokens(spread(t, lines)))
+    return t.stored("index_line", lambda: lexical.with_tokens(lines))
 
 
 def stats_of(t, name, chunks):

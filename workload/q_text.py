@@ -259,8 +259,9 @@ def _(t):
     """Chunks of one section stay in bounds, come from the text, and never lose it."""
     from grantseek.functions import arrow
     body = text.clean_text(F.col("text"))
-    parts = F.get(arrow.split_sections(F.array("body"), 400, 80, 24), F.lit(0))
-    rows = t.document.select("document_id", body.alias("body")).withColumn("chunks", parts)
+    section = F.struct(F.col("body").alias("text"), F.lit(None).cast("int").alias("page"))
+    parts = arrow.split_sections(F.array(section), 400, 80, 24)
+    rows = t.document.select("document_id", body.alias("body")).withColumn("parts", parts).withColumn("chunks", F.col("parts.content"))
     flat = lambda c: F.regexp_replace(c, r"(?U)\s", "")
     sizes = F.transform("chunks", lambda c: F.char_length(c))
     inner = F.slice(sizes, 1, F.greatest(F.size(sizes) - 1, F.lit(0)))

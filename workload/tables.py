@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantseek.common import ensure_checkpoint_dir
+from grantseek.common import ensure_checkpoint_dir, fill_cores
 
 BASE = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
         "conversations").split()
@@ -302,7 +302,8 @@ class Tables:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _STORED:
             path = f"{ensure_checkpoint_dir(self.spark)}/tables/{uuid.uuid4().hex}"
-            make().write.parquet(path)
+            # As many files as cores; the test data is one small file per table.
+            make().repartition(self.spark.sparkContext.defaultParallelism).write.parquet(path)
             _STORED[key] = path
         return self.spark.read.parquet(_STORED[key])
 
@@ -310,5 +311,6 @@ class Tables:
         if f"fx_{name}" in FX:
             return self.stored(name, lambda: fx(self.spark, self.sf_dir, f"fx_{name}"))
         if name in BASE:
-            return table(self.spark, self.sf_dir, name)
+            rows = table(self.spark, self.sf_dir, name)
+            return fill_cores(rows, rows.columns[0]) if name in ("documents", "pages") else rows
         raise AttributeError(name)
