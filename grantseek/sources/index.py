@@ -28,12 +28,13 @@ def write_index(chunks: DataFrame, path: str, buckets: int = DOC_BUCKETS) -> Non
      .write.mode("overwrite").partitionBy("dataset_id", "doc_bucket").parquet(path))
 
 
-def save_bucketed(df: DataFrame, table: str, by: str = "chunk_id", buckets: int = 64) -> None:
-    """Save chunks or postings as a table bucketed by chunk or document.
+def save_bucketed(df: DataFrame, table: str, path: str | None = None, buckets: int = 64, by: str = "document_id") -> None:
+    """Save chunks or postings as a table bucketed by document.
 
-    Keyword sums and joins on that key then need no shuffle of the index.
+    Keyword sums and joins with documents then need no shuffle of the index.
     """
-    df.write.mode("overwrite").format("parquet").bucketBy(buckets, by).sortBy(by).saveAsTable(table)
+    writer = df.repartition(buckets, by).write.mode("overwrite").format("parquet").bucketBy(buckets, by).sortBy(by)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

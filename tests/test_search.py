@@ -112,17 +112,17 @@ def test_hot_key_helpers(spark):
 def test_bucketed_postings_sum_without_a_shuffle(spark):
     chunks, queries, _scope = corpus(9)
     df = lexical.with_tokens(spark.createDataFrame(chunks, "chunk_id string, document_id string, content string, embedding array<float>"))
-    index.save_bucketed(lexical.build_postings(df), "postings_by_chunk", "chunk_id", 4)
+    index.save_bucketed(df, "chunks_by_document", buckets=4)
     try:
         stats = lexical.corpus_stats(df)
         q = spark.createDataFrame(queries, "query_id bigint, question string, qvec array<float>")
-        got = lexical.bm25_search(spark.table("postings_by_chunk"), q, stats)
+        got = lexical.bm25_search(lexical.build_postings(spark.table("chunks_by_document")), q, stats)
         plain = lexical.bm25_search(lexical.build_postings(df), q, stats)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
         plan = got._jdf.queryExecution().executedPlan().toString()
-        assert not any("hashpartitioning(" in line and "chunk_id" in line for line in plan.splitlines())
+        assert not any("hashpartitioning(" in line and "document_id" in line for line in plan.splitlines())
     finally:
-        spark.sql("DROP TABLE postings_by_chunk")
+        spark.sql("DROP TABLE chunks_by_document")
 
 
 def test_final_rank_orders_by_similarity(spark):

@@ -13,12 +13,12 @@ from workload.registry import query
 
 def chunks_of(t):
     """The index as it is stored: tokens made once, when chunks are written."""
-    return t.stored("index_chunk", lambda: lexical.with_tokens(t.chunk))
+    return t.bucketed("index_chunk", lambda: lexical.with_tokens(t.chunk))
 
 
 def lines_of(t):
     lines = chunking.line_chunks(t.document.select("document_id", "kb_id", "text"), "text")
-    return t.stored("index_line", lambda: lexical.with_tokens(lines))
+    return t.bucketed("index_line", lambda: lexical.with_tokens(lines))
 
 
 def stats_of(t, name, chunks):

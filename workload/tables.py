@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grantseek.common import ensure_checkpoint_dir, fill_cores
+from grantseek.sources.index import save_bucketed
 
 BASE = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
         "conversations").split()
@@ -307,6 +308,16 @@ class Tables:
             _STORED[key] = path
         return self.spark.read.parquet(_STORED[key])
 
+    def bucketed(self, name: str, make) -> DataFrame:
+        """The same as a table bucketed by document, the layout of a stored index."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STORED:
+            ident = uuid.uuid4().hex
+            path = f"{ensure_checkpoint_dir(self.spark)}/tables/{ident}"
+            save_bucketed(make(), f"index_{ident}", path, self.spark.sparkContext.defaultParallelism)
+            _STORED[key] = f"index_{ident}"
+        return self.spark.table(_STORED[key])
+
     def __getattr__(self, name: str) -> DataFrame:
         if f"fx_{name}" in FX:
             return self.stored(name, lambda: fx(self.spark, self.sf_dir, f"fx_{name}"))
