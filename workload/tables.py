@@ -286,7 +286,8 @@ def fx(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
-_STORED: dict[tuple[str, str, str], str] = {}
+TEXT = ("document", "chunk", "file")
+_STORED: dict[tuple[str, str, str], object] = {}
 
 
 class Tables:
@@ -303,10 +304,13 @@ class Tables:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _STORED:
             path = f"{ensure_checkpoint_dir(self.spark)}/tables/{uuid.uuid4().hex}"
-            # As many files as cores; the test data is one small file per table.
-            make().repartition(self.spark.sparkContext.defaultParallelism).write.parquet(path)
-            _STORED[key] = path
-        return self.spark.read.parquet(_STORED[key])
+            rows = make()
+            if name in TEXT:  # as many files as cores; the test data is one small file per table
+                rows = rows.repartition(self.spark.sparkContext.defaultParallelism)
+            rows.write.parquet(path)
+            _STORED[key] = path, rows.schema
+        path, schema = _STORED[key]
+        return self.spark.read.schema(schema).parquet(path)
 
     def bucketed(self, name: str, make) -> DataFrame:
         """The same as a table bucketed by document, the layout of a stored index."""
