@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grantseek.common import HISTORY_ROUNDS, THRESHOLD, top_k
+from grantseek.common import HISTORY_ROUNDS, top_k
 from grantseek.functions.text import like_filter, strip
 from grantseek.operators.hybrid import UNNAMED_DOCUMENT
 

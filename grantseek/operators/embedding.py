@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantseek.common import KEYWORD_LIMIT, TOP_K, cut_lineage, split_passes, top_k
+from grantseek.common import TOP_K, split_passes, top_k
 
 EMBED_BATCH = 16  # fixed value: texts per encoder call
 

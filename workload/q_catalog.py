@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from grantseek.operators import catalog, chunking, lexical
+from grantseek.operators import catalog, chunking
 from grantseek.operators import permissions as perm
 from grantseek.sources import index
 from workload.registry import query

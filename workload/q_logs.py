@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from grantseek.operators import chat, logs
 from grantseek.operators import permissions as perm
-from grantseek.plans import retrieval
 from grantseek.sources import audit
 from workload.q_search import catalogue_of
 from workload.registry import query
