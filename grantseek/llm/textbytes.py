@@ -17,8 +17,8 @@ SLAB = 2 << 20  # bytes of text that are worked on at once
 WORD_BREAKS = b" \t\n\x0b\x0c\r"  # every other byte belongs to a word (fixed rule)
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_CODES = np.random.default_rng(20240917).integers(0, 1 << 64, 256, dtype=U64, endpoint=False)
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # of two independent hashes
+_CODES = np.random.default_rng(20240917).integers(0, 1 << 64, (2, 256), dtype=U64, endpoint=False)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BREAK = np.zeros(256, bool)
@@ -34,24 +34,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=2)
+def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     def run(base: int) -> np.ndarray:
         out = np.full(n, base & ((1 << 64) - 1), U64)
         out[0] = 1
         return np.cumprod(out, dtype=U64)
-    return run(_BASE), run(pow(_BASE, -1, 1 << 64))
+    return run(_BASES[which]), run(pow(_BASES[which], -1, 1 << 64))
 
 
 class SpanHash:
-    """Hashes of spans of ``data``; with ``fold`` A-Z count as a-z."""
+    """Hashes of spans of ``data``; with ``fold`` A-Z count as a-z. ``which`` (0, 1) picks one of two independent hashes."""
 
-    def __init__(self, data: np.ndarray, fold: bool = False):
+    def __init__(self, data: np.ndarray, fold: bool = False, which: int = 0):
         size = SLAB
         while size < len(data) + 1:
             size *= 2
-        up, self._down = _powers(size)
-        codes = _CODES[_LOWER] if fold else _CODES
+        up, self._down = _powers(size, which)
+        codes = _CODES[which][_LOWER] if fold else _CODES[which]
         self._sums = np.zeros(len(data) + 1, U64)
         np.cumsum(codes[data] * up[: len(data)], out=self._sums[1:])
 
