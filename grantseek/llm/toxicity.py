@@ -312,3 +312,13 @@ def scored(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``scored`` with a classifier that ``train`` fits on the labels."""
     return scored(docs, train(docs, labels, sample, id_col, text_col), id_col, text_col)
+
+
+def without_toxic(docs: DataFrame, classifier: Classifier, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more; all columns. The decision is taken where a text is read, nothing is joined."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, bounds = text_bytes(batch.column(batch.schema.get_field_index(text_col)))
+            score = np.concatenate([classifier.score(data[bounds[a]: bounds[b]], bounds[a: b + 1] - bounds[a]) for a, b in slabs(bounds)] or [np.zeros(0)])
+            yield batch.filter(pa.array(score < threshold))
+    return docs.mapInArrow(run, docs.schema)
