@@ -108,7 +108,7 @@ def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 stem = [1 if end[i] < len(low) and _LETTER[low[end[i]]] else 0 for i in at]
                 spelled = [low[start[i]: end[i]].decode("utf-8", "replace") for i in at]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row[at] + a)), pa.array(signed(h[at])), pa.array(spelled), pa.array(stem, pa.int32())],
+                    [batch.column(0).take(pa.array(row[at] + a)), pa.array(signed(h[at])), pa.array(spelled, pa.string()), pa.array(stem, pa.int32())],
                     ["toxic", "term", "spelled", "stem"])
 
 
