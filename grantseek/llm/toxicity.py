@@ -254,8 +254,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
              .where("_id is not null and toxic in (0, 1)").where(fold("_id") != 0).dropDuplicates(["_id"]))
     shares = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total = sum(shares.values())
+    constant = Classifier([], np.zeros(_design(np.zeros((1, 0)), np.zeros(1), np.zeros((1, 3))).shape[1]), 40.0 if shares.get(1) and not shares.get(0) else -40.0)
     if len(shares) < 2:
-        return Classifier([], np.zeros(_design(np.zeros((1, 0)), np.zeros(1), np.zeros((1, 3))).shape[1]), 40.0 * (1 if shares.get(1) else -1))
+        return constant
     chosen = top_k(known, ["toxic"], [F.xxhash64("_id"), F.col("_id")], sample, salts=16).select("_id", "toxic")
     rows = (docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
             .select("toxic", "text", F.pmod(F.xxhash64(F.lit(1), "_id"), F.lit(2)).cast("int").alias("half")))  # chosen: at most 2 * sample rows
@@ -276,6 +277,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
                          pa.array([hits[i][hits[i] > 0].tolist()], pa.list_(pa.float32())), pa.array([[touched[i], *shape[i]]], pa.list_(pa.float64()))],
                         ["toxic", "half", "at", "hits", "rest"])
     measured = rows.mapInArrow(measure, "toxic int, half int, at array<int>, hits array<float>, rest array<double>").collect()  # bounded by the sample
+    if {r["toxic"] for r in measured} != {0, 1}:  # labels of documents that aren't there
+        return constant
     other = [r for r in measured if r["half"] == 1]
     measured = other if {r["toxic"] for r in other} == {0, 1} else measured
     y = np.array([r["toxic"] for r in measured])
