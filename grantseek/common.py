@@ -56,15 +56,6 @@ def cut_lineage(df: DataFrame, ordered: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fill_cores(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan that has fewer partitions than cores (few or small files) before CPU-heavy work.
-
-    Large inputs pass through: their partitions outnumber the cores already.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def spread_join(
     big: DataFrame, small: DataFrame, on: Sequence[str], by: str, salts: int = 8, how: str = "inner"
 ) -> DataFrame:

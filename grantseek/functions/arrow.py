@@ -83,7 +83,7 @@ def csv_text(c: Column) -> Column:
 def _json_text(raw: str) -> str:
     try:
         return json.dumps(json.loads(raw), ensure_ascii=False, indent=2)
-    except ValueError:
+    except (ValueError, RecursionError):  # no JSON, or nested deeper than the parser goes
         return raw
 
 
@@ -91,26 +91,36 @@ def json_text(c: Column) -> Column:
     return _udf(_json_text)(c)
 
 
-def _masked(value):
+DETAIL_CHARS = 2000
+
+
+def _shortened(text: str) -> str:
+    return text if len(text) <= DETAIL_CHARS else text[:DETAIL_CHARS] + "…"
+
+
+def _sanitized(raw: str) -> str:
+    """JSON detail with sensitive values masked and long texts cut, at any depth of objects.
+
+    What is no JSON at all is kept as text of the same length limit: a bad detail must not cost the row.
+    """
     from grantseek.functions.text import SENSITIVE_KEYS
-    out = {}
-    for key, item in value.items():
-        if key.lower() in SENSITIVE_KEYS:
-            out[key] = "***"
-        elif isinstance(item, dict):
-            out[key] = _masked(item)
-        elif isinstance(item, str) and len(item) > 2000:
-            out[key] = item[:2000] + "…"
-        else:
-            out[key] = item
-    return out
+    try:
+        value = json.loads(raw)
+        if not isinstance(value, dict):
+            return raw
+        open_objects = [value]
+        while open_objects:
+            fields = open_objects.pop()
+            fields.update({k: "***" for k in fields if k.lower() in SENSITIVE_KEYS})
+            fields.update({k: _shortened(v) for k, v in fields.items() if isinstance(v, str)})
+            open_objects += [v for v in fields.values() if isinstance(v, dict)]
+        return json.dumps(value, ensure_ascii=False)
+    except (ValueError, RecursionError):
+        return raw[:DETAIL_CHARS]
 
 
 def sanitize_json(c: Column) -> Column:
-    def mask(raw: str) -> str:
-        value = json.loads(raw)
-        return json.dumps(_masked(value), ensure_ascii=False) if isinstance(value, dict) else raw
-    return _udf(mask)(c)
+    return _udf(_sanitized)(c)
 
 
 def cut_pieces(text: str, size: int):
@@ -141,21 +151,30 @@ def cut_pieces(text: str, size: int):
         todo.extend((s, -1 if len(s) <= size else level + 1) for s in reversed(segments))
 
 
+def pack(lengths: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
+    """Spans (from, to) over the concatenated pieces, of at most ``size``; each but the first reaches back ``overlap``.
+
+    A span never reaches back beyond the start of the one before, and not at all if its first piece would not fit then.
+    """
+    spans: list[tuple[int, int]] = []
+    start = end = 0
+    for length in lengths:
+        if end + length - start > size:
+            spans.append((start, end))
+            back = max(start, end - max(overlap, 0))
+            start = back if end + length - back <= size else end
+        end += length
+    return [*spans, (start, end)] if end else []
+
+
 def split_text(text: str, size: int, overlap: int, min_size: int) -> list[str]:
-    """Chunks of one section: pieces packed greedily, each new chunk opening with the old tail."""
-    packed: list[str] = []
-    for piece in cut_pieces(text, size):
-        if not packed:
-            packed.append(piece)
-        elif len(packed[-1]) + len(piece) <= size:
-            packed[-1] += piece
-        else:
-            tail = packed[-1][-overlap:] if overlap > 0 else ""
-            packed.append(tail + piece if len(tail) + len(piece) <= size else piece)
-    if len(packed) > 1 and len(packed[-1]) < min_size:
-        last = packed.pop()
-        packed[-1] += last
-    return [c.strip() for c in packed if c.strip()]
+    """Chunks of one section. A last chunk of fewer than ``min_size`` characters goes to the one before."""
+    pieces = list(cut_pieces(text, size))
+    whole = "".join(pieces)
+    chunks = [whole[a:b] for a, b in pack([len(p) for p in pieces], size, overlap)]
+    if len(chunks) > 1 and len(chunks[-1]) < min_size:
+        chunks[-2:] = ["".join(chunks[-2:])]
+    return [kept for chunk in chunks if (kept := chunk.strip())]
 
 
 def pieces_of(c: Column, size: int) -> Column:

@@ -169,10 +169,14 @@ def exposure_audit(messages: DataFrame) -> DataFrame:
         "user_id", "chunk_id").agg(F.min("created_at").alias("first_seen"), F.count(F.lit(1)).alias("n"))
 
 
-def denied_exposure(exposure: DataFrame, rules: DataFrame) -> DataFrame:
-    """Chunks a user once saw that a chunk rule denies today (rules of ``user_scopes``)."""
-    denied = rules.where("target = 'chunk' AND deny").select(F.col("scope_id").alias("user_id"), "chunk_id").distinct()
-    return exposure.join(denied, ["user_id", "chunk_id"], "left_semi")
+def denied_exposure(exposure: DataFrame, decided: DataFrame) -> DataFrame:
+    """Chunks a user once saw and may not see today, for whatever reason.
+
+    ``decided`` is ``chunk_visibility`` of the exposures (scope_id being the user). A chunk that is gone has no decision
+    and is not reported.
+    """
+    hidden = decided.where("not visible").select(F.col("scope_id").alias("user_id"), "chunk_id").distinct()
+    return exposure.join(hidden, ["user_id", "chunk_id"], "left_semi")
 
 
 def retrieval_quality(logs: DataFrame, detail: str = "detail") -> DataFrame:

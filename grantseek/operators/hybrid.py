@@ -120,9 +120,12 @@ def final_rank(hits: DataFrame, top_n: int = TOP_N, threshold: float | None = TH
 
 
 def citations(hits: DataFrame, documents: DataFrame, kbs: DataFrame) -> DataFrame:
-    """Numbered citations with the document's name, collection, address, author and page."""
+    """Numbered citations with the document's name, collection, address, author and page.
+
+    Hits are few (top_n for each request): their ids pick the documents where they are read, and only those move.
+    """
     have = set(documents.columns)
-    doc = documents.select(
+    doc = documents.join(hits.select("document_id").distinct().hint("broadcast"), "document_id", "left_semi").select(
         "document_id", F.col("name").alias("_name"), "kb_id",
         *[(F.col(c) if c in have else F.lit(None).cast("string")).alias(c) for c in ("original_url", "author")])
     meta = doc.join(kbs.select("kb_id", F.col("name").alias("kb_name")), "kb_id", "left")

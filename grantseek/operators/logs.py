@@ -51,6 +51,17 @@ def list_logs(
     return rows
 
 
+def newest_logs(rows: DataFrame, limit: int, after: tuple | None = None) -> DataFrame:
+    """The next ``limit`` rows, newest first; ``after`` is (created_at, log_id) of the last row of the page before.
+
+    Going on after a key costs the same on every page; Spark keeps ``limit`` rows of each partition.
+    """
+    if after is not None:
+        at, log_id = (v if isinstance(v, Column) else F.lit(v) for v in after)
+        rows = rows.where((F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("log_id") < log_id)))
+    return rows.orderBy(F.desc("created_at"), F.desc("log_id")).limit(limit)
+
+
 def log_actions(logs: DataFrame) -> DataFrame:
     return logs.select("action").distinct().orderBy("action")
 

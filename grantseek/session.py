@@ -9,6 +9,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Parsing and encoding cost far more than reading: small splits, one for each core at least.
+    "spark.sql.files.maxPartitionBytes": "16m",
+    "spark.sql.files.openCostInBytes": "256k",
     "spark.sql.session.timeZone": "UTC",
 }
 

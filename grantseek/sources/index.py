@@ -11,10 +11,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from grantseek.common import cut_lineage
 
 DOC_BUCKETS = 64
+DOCUMENT = ["dataset_id", "document_id"]
 
 
 def with_bucket(chunks: DataFrame, buckets: int = DOC_BUCKETS) -> DataFrame:
@@ -38,7 +40,18 @@ def save_bucketed(df: DataFrame, table: str, path: str | None = None, buckets: i
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The stored index. Folder names are read as text: a dataset may be called ``007``, ``1e5`` or ``2024-01-01``."""
+    found = spark.read.parquet(path).schema
+    kinds = {"dataset_id": StringType(), "doc_bucket": IntegerType()}
+    schema = StructType([StructField(f.name, kinds.get(f.name, f.dataType), f.nullable) for f in found])
+    return spark.read.schema(schema).parquet(path)
+
+
+def index_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a bucket has been written below ``path``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/dataset_id=*/doc_bucket=*")
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder)
+    return found is not None and len(found) > 0
 
 
 def scan_index(
@@ -54,10 +67,11 @@ def scan_index(
 def replace_document_chunks(index: DataFrame, new: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """The index after whole documents are replaced; old chunks never mix with new ones.
 
-    ``documents`` names replaced documents that may have no new chunk at all.
+    ``documents`` names replaced documents that may have no new chunk at all. A document is known by dataset and id; to move
+    one to another dataset, name it in the old one as well.
     """
-    touched = (new if documents is None else documents).select("document_id").distinct()
-    return index.join(touched, "document_id", "left_anti").select(index.columns).unionByName(
+    touched = (new if documents is None else documents).select(*DOCUMENT).distinct()
+    return index.join(touched, DOCUMENT, "left_anti").select(index.columns).unionByName(
         new, allowMissingColumns=True)
 
 
@@ -76,15 +90,12 @@ def replace_on_disk(
     """
     touched = with_bucket(documents.select("dataset_id", "document_id").distinct(), buckets)
     fresh = with_bucket(new, buckets)
-    try:
-        old = read_index(spark, path)
-    except Exception as exc:  # the first batch finds no index
-        if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
-            raise
+    if not index_exists(spark, path):  # the first batch
         write_index(new, path, buckets)
         return
+    old = read_index(spark, path)
     affected = old.join(_buckets_of(touched), ["dataset_id", "doc_bucket"], "left_semi").select(old.columns)
-    left = affected.join(touched.select("document_id").distinct(), "document_id", "left_anti").select(old.columns)
+    left = affected.join(touched.select(*DOCUMENT).distinct(), DOCUMENT, "left_anti").select(old.columns)
     rows = cut_lineage(left.unionByName(fresh, allowMissingColumns=True))
     emptied = cut_lineage(_buckets_of(affected).join(_buckets_of(rows), ["dataset_id", "doc_bucket"], "left_anti"))
     (rows.repartition("dataset_id", "doc_bucket").sortWithinPartitions("dataset_id", "doc_bucket", "document_id", "ordinal")

@@ -1,8 +1,10 @@
+import json
 import os
 
 from pyspark.sql import functions as F
 
 from grantseek.operators import catalog, embedding, hybrid, lexical
+from grantseek.functions import arrow
 from grantseek.plans import ingest
 from grantseek.sources import audit, files, index
 
@@ -24,7 +26,8 @@ def test_scan_and_parse(spark, tmp_path):
     sample(str(tmp_path))
     scanned = files.scan_files(spark, str(tmp_path))
     names = {r["name"] for r in scanned.select("name").collect()}
-    assert names == {"a.txt", "b.MD", "c.html", "d.csv", "e.json", "f.doc", "g.pdf", "i.txt"}
+    assert names == {"a.txt", "b.MD", "c.html", "d.csv", "e.json", "f.doc", "g.pdf", "h.txt", "i.txt"}
+    assert [r["name"] for r in files.validate_files(scanned).where("reject_reason = 'file is empty'").collect()] == ["h.txt"]
     parsed = {r["name"]: r for r in files.parse_documents(scanned).collect()}
     body = {n: "".join(s["text"] for s in r["sections"]) for n, r in parsed.items()}
     assert body["a.txt"] == "纯文本。第二句。"
@@ -34,9 +37,21 @@ def test_scan_and_parse(spark, tmp_path):
     assert body["e.json"] == '{\n "k": "值"\n}'
     assert parsed["f.doc"]["state"] == "failed" and ".docx" in parsed["f.doc"]["message"]
     assert parsed["i.txt"]["message"] == "file holds no text"
+    assert parsed["h.txt"]["state"] == "failed" and parsed["h.txt"]["message"] == "file is empty"
     assert parsed["a.txt"]["char_count"] == 8
 
 
+def test_bad_files_and_details_cost_no_row(spark):
+    deep = b"[" * 200_000
+    df = spark.createDataFrame([("deep.json", bytearray(deep)), ("no.json", bytearray(b"{")), ("x.csv", bytearray(b'a,"b')), ("ok.txt", bytearray(b"fine"))], "name string, content binary")
+    rows = {r["name"]: r for r in files.parse_documents(df).collect()}
+    assert len(rows) == 4 and rows["ok.txt"]["state"] == "parsed"
+    details = ["{", "[" * 200_000, '{"a": ' * 90_000, "x" * 3000, '["Token"]', '{"Token": "s", "in": {"PASSWORD": 1, "t": "' + "y" * 3000 + '"}, "l": [{"token": 2}]}', None]
+    out = [r[0] for r in spark.createDataFrame([(i, d) for i, d in enumerate(details)], "i int, d string").orderBy("i").select(arrow.sanitize_json(F.col("d"))).collect()]
+    assert out[0] == "{" and [len(o) for o in out[1:4]] == [2000] * 3 and out[4] == '["Token"]' and out[6] is None
+    assert json.loads(out[5]) == {"Token": "***", "in": {"PASSWORD": "***", "t": "y" * 2000 + "…"}, "l": [{"token": 2}]}
+
+
 def test_explicit_extension_wins(spark):
     df = spark.createDataFrame([("noname", ".TXT", bytearray(b"hi")), ("x.zip", None, bytearray(b"hi")), ("y.txt", "", bytearray(b""))], "name string, ext string, content binary")
     rows = {r["name"]: r for r in files.parse_documents(df).collect()}
@@ -71,6 +86,16 @@ def test_replace_on_disk_is_whole_and_repeatable(spark, tmp_path):
         assert left == {"a-0000": "A0", "b-0000": "b0"}
 
 
+def test_dataset_ids_that_look_like_numbers(spark, tmp_path):
+    path = str(tmp_path / "index")
+    first = chunk_rows(spark, [(d, ds, 0, f"{ds}/{d}") for ds in ("007", "7", "1e5", "2024-01-01") for d in ("d1", "d2")])
+    index.replace_on_disk(spark, path, first, first, buckets=2)
+    for _ in range(2):
+        index.replace_on_disk(spark, path, chunk_rows(spark, [("d1", "007", 0, "new")]), chunk_rows(spark, [("d1", "007", 0, ""), ("d2", "1e5", 0, "")]), buckets=2)
+        left = sorted((r["dataset_id"], r["document_id"], r["content"]) for r in index.read_index(spark, path).collect())
+        assert left == sorted([("007", "d1", "new"), ("007", "d2", "007/d2"), ("1e5", "d1", "1e5/d1")] + [(ds, d, f"{ds}/{d}") for ds in ("7", "2024-01-01") for d in ("d1", "d2")])
+
+
 def test_scan_index_prunes_partitions(spark, tmp_path):
     path = str(tmp_path / "index")
     index.write_index(chunk_rows(spark, [("a", "x", 0, "a0"), ("c", "y", 0, "c0")]), path, buckets=2)
@@ -109,6 +134,6 @@ def test_bulk_register(spark, tmp_path):
     scanned = files.scan_files(spark, str(tmp_path), files.UPLOAD_EXTS + ("exe",))
     checked = files.file_identity(files.validate_files(scanned))
     rows, counts = catalog.bulk_register(checked, 3, "x, y ,", "https://h/")
-    assert {r["success"]: r["files"] for r in counts.collect()} == {True: 8, False: 1}
+    assert {r["success"]: r["files"] for r in counts.collect()} == {True: 8, False: 2}
     one = rows.where("name = 'b.MD'").first()
     assert one["tags"] == ["x", "y"] and one["original_url"] == "https://h/b" and one["source_path"].endswith("b.MD")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from grantseek.operators import chat, logs
 from grantseek.operators import permissions as perm
+from grantseek.plans import retrieval
 from grantseek.sources import audit
 from workload.q_search import catalogue_of
 from workload.registry import query
@@ -122,14 +123,19 @@ def _(t):
 
 
 @query("a12_denied_exposure", f"""
-SELECT DISTINCT e.user_id, e.chunk_id FROM {_EXPOSED} e JOIN fx_user u ON u.user_id = e.user_id JOIN fx_acl a ON a.chunk_id = e.chunk_id AND a.effect = 'deny'
- AND ((a.subject_type = 'user' AND a.subject_id = CAST(u.user_id AS STRING)) OR (a.subject_type = 'role' AND a.subject_id = u.role) OR (a.subject_type = 'tag' AND a.subject_id = u.tag))
-JOIN d_readable r ON r.user_id = u.user_id AND r.kb_id = a.kb_id""")
+SELECT DISTINCT e.user_id, e.chunk_id FROM {_EXPOSED} e JOIN fx_user u ON u.user_id = e.user_id JOIN fx_chunk c ON c.chunk_id = e.chunk_id
+WHERE CASE WHEN EXISTS (SELECT 1 FROM d_chunk_rule_u r WHERE r.scope_id = e.user_id AND r.chunk_id = e.chunk_id AND r.effect = 'deny') THEN true
+ WHEN EXISTS (SELECT 1 FROM d_chunk_rule_u r WHERE r.scope_id = e.user_id AND r.chunk_id = e.chunk_id AND r.effect = 'allow') THEN false
+ WHEN EXISTS (SELECT 1 FROM d_chunk_rule_u r WHERE r.scope_id = e.user_id AND r.document_id = c.document_id AND r.effect = 'allow') THEN true
+ ELSE NOT EXISTS (SELECT 1 FROM d_visible_u v WHERE v.scope_id = e.user_id AND v.document_id = c.document_id) END""")
 def _(t):
     cat = catalogue_of(t)
-    scopes = perm.user_scopes(cat.users)
-    rules = perm.applicable_rules(scopes, perm.requested_scope(scopes, cat.kbs, cat.grants), cat.acl)
-    return chat.denied_exposure(exposures(t), rules).select("user_id", "chunk_id")
+    seen = exposures(t)
+    users = cat.users.join(seen.select("user_id").distinct(), "user_id", "left_semi")
+    resolved = retrieval.resolve(perm.user_scopes(users), cat)
+    found = seen.join(users.select("user_id"), "user_id", "left_semi").join(t.chunk.select("chunk_id", "document_id"), "chunk_id")
+    decided = perm.chunk_visibility(found.select(F.col("user_id").alias("scope_id"), "chunk_id", "document_id"), **resolved.decide())
+    return chat.denied_exposure(seen, decided).select("user_id", "chunk_id")
 
 
 @query("a13_retrieval_quality", """

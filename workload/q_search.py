@@ -201,14 +201,16 @@ def _(t):
 # ---------------------------------------------------------------- hybrid
 
 @query("h1_candidates", """
-SELECT coalesce(v.query_id, k.query_id) AS query_id, coalesce(v.chunk_id, k.chunk_id) AS chunk_id, coalesce(v.vec, 0.0) AS vec,
- coalesce(k.kw, 0.0) AS kw, k.kw IS NOT NULL AS is_hit
-FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vec DESC, chunk_id) AS rn FROM d_vec_open) WHERE rn <= 50) v
-FULL JOIN d_kw_open k ON k.query_id = v.query_id AND k.chunk_id = v.chunk_id""")
+SELECT coalesce(v.query_id, k.query_id) AS query_id, count(*) AS n, count(*) FILTER (WHERE k.kw IS NOT NULL) AS n_hits,
+ count(*) FILTER (WHERE k.kw IS NOT NULL AND coalesce(v.vec, 0.0) = 0) AS n_keyword_only, max(coalesce(k.kw, 0.0)) AS best_kw, max(coalesce(v.vec, 0.0)) AS best_vec, round(sum(coalesce(v.vec, 0.0)), 3) AS sum_vec
+FROM d_vec_open v FULL JOIN d_kw_open k ON k.query_id = v.query_id AND k.chunk_id = v.chunk_id GROUP BY ALL""")
 def _(t):
+    """All scores of both sides, as counts and sums of each request."""
     chunks, postings, stats = index_of(t)
-    lex = lexical.bm25_search(postings, t.request, stats)
-    return hybrid.candidates(lex, embedding.vector_topk(chunks, t.request, 50))
+    both = hybrid.candidates(lexical.bm25_search(postings, t.request, stats), embedding.vector_topk(chunks, t.request, chunks.count()))
+    return both.groupBy("query_id").agg(
+        F.count("*").alias("n"), F.count_if("is_hit").alias("n_hits"), F.count_if(F.col("is_hit") & (F.col("vec") == 0)).alias("n_keyword_only"),
+        F.max("kw").alias("best_kw"), F.max("vec").alias("best_vec"), F.round(F.sum("vec"), 3).alias("sum_vec"))
 
 
 for _name, _suffix, _threshold in (("h2_hybrid_search", "", 0.4), ("h2_hybrid_search_low", "_low", 0.15)):
@@ -298,8 +300,7 @@ def _(t):
     return retrieval.empty_reason(requests, resolved.access, retrieval.searchable_scopes(listed, resolved.rules), hits)
 
 
-@query("h10_context_block", """
-SELECT r.query_id, coalesce(c.context, '（本轮没有检索到任何可用片段）') AS context FROM fx_request r LEFT JOIN (
+CONTEXTS_SQL = """
  SELECT query_id, string_agg(concat('[', CAST(rank AS STRING), '] 来源：', name, '（', kb_name, '）', chr(10), substring(body, 1, CAST(6000 - used AS BIGINT))),
    concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY rank) AS context
  FROM (SELECT k.query_id, k.rank, d.name, b.name AS kb_name, trim(c.content, ' ' || chr(10)) AS body,
@@ -307,24 +308,33 @@ SELECT r.query_id, coalesce(c.context, '（本轮没有检索到任何可用片
   FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vec DESC, hybrid_rank, chunk_id) AS rank
     FROM d_top_open_low WHERE vec >= 0.15 QUALIFY rank <= 8) k
   JOIN fx_document d ON d.document_id = k.document_id JOIN fx_kb b ON b.kb_id = d.kb_id JOIN fx_chunk c ON c.chunk_id = k.chunk_id)
- WHERE used < 6000 GROUP BY query_id) c ON c.query_id = r.query_id""")
-def _(t):
+ WHERE used < 6000 GROUP BY query_id"""
+
+
+def contexts_of(t):
     ranked = hybrid.final_rank(hybrid.late_fetch(search(t, threshold=0.15), t.chunk), threshold=0.15)
     return chat.context_block(hybrid.citations(ranked, t.document, t.kb), t.request, budget=6000)
 
 
+@query("h10_context_block", f"""
+SELECT r.query_id, coalesce(c.context, '（本轮没有检索到任何可用片段）') AS context FROM fx_request r LEFT JOIN ({CONTEXTS_SQL}) c ON c.query_id = r.query_id""")
+def _(t):
+    return contexts_of(t)
+
+
 @query("h11_prompt_messages", """
-SELECT m.query_id, 2 + coalesce(h.n, 0) AS n_messages, '【参考片段】' || chr(10) || '（本轮没有检索到任何可用片段）' || chr(10) || chr(10) || '【用户问题】' || chr(10) || m.question AS last_message
+SELECT m.query_id, 2 + coalesce(h.n, 0) AS n_messages,
+ CASE WHEN m.query_id % 2 = 0 THEN '【用户附加内容】' || chr(10) || '[附件] note.txt' || chr(10) || substring(m.question, 1, 8000) || chr(10) || chr(10) ELSE '' END
+ || '【参考片段】' || chr(10) || coalesce(c.context, '（本轮没有检索到任何可用片段）') || chr(10) || chr(10) || '【用户问题】' || chr(10) || m.question AS last_message
 FROM fx_request m LEFT JOIN (SELECT session_id, count(*) AS n FROM (
   SELECT session_id, content, row_number() OVER (PARTITION BY session_id ORDER BY message_id DESC) AS p FROM fx_message)
- WHERE p <= 12 AND trim(content) <> '' GROUP BY session_id) h ON h.session_id = m.query_id""")
+ WHERE p <= 12 AND trim(content) <> '' GROUP BY session_id) h ON h.session_id = m.query_id
+LEFT JOIN (""" + CONTEXTS_SQL + """) c ON c.query_id = m.query_id""")
 def _(t):
+    """History, passages and, for every second request, an attached file."""
     asked = t.request.select("query_id", "question", F.col("query_id").alias("session_id"))
-    none = hybrid.citations(t.chunk.where("false").select(
-        F.lit(0).cast("bigint").alias("query_id"), F.lit(1).alias("index"), "chunk_id", "document_id", "content",
-        F.lit(0.0).alias("similarity")), t.document, t.kb)
-    contexts = chat.context_block(none, asked)
-    rows = chat.prompt_messages(asked, contexts, chat.history_window(t.message))
+    files = asked.where("query_id % 2 = 0").select("query_id", F.lit(1).alias("seq"), F.lit("file").alias("type"), F.lit("note.txt").alias("name"), F.col("question").alias("text"))
+    rows = chat.prompt_messages(asked, contexts_of(t), chat.history_window(t.message), files)
     return rows.select("query_id", F.size("messages").cast("bigint").alias("n_messages"),
                        F.element_at("messages", -1)["content"].alias("last_message"))
 

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantseek.common import ensure_checkpoint_dir, fill_cores
+from grantseek.common import ensure_checkpoint_dir
 from grantseek.sources.index import save_bucketed
 
 BASE = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -199,6 +199,11 @@ SELECT k.scope_id, d.kb_id, d.document_id, CASE
 SELECT scope_id, kb_id, document_id FROM d_decision WHERE decided_by IN ('rule_allow', 'admin', 'folder_allow', 'public')""",
     "d_search_doc": """
 SELECT scope_id, document_id FROM d_visible UNION SELECT scope_id, document_id FROM d_chunk_rule WHERE effect = 'allow' AND document_id IS NOT NULL""",
+    # the same for every user who was shown something
+    "d_scope_u": """
+SELECT user_id AS scope_id, user_id, role, tag FROM fx_user WHERE user_id IN (SELECT user_id FROM fx_exposure)""",
+    "d_scope_kb_u": """
+SELECT s.scope_id, d.kb_id, s.role = 'admin' AS is_admin FROM d_scope_u s JOIN d_readable d ON d.user_id = s.user_id""",
     # search
     "d_stat": "SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(lex)) AS avgdl FROM d_chunk_lex",
     "d_df": "SELECT token, CAST(count(*) AS DOUBLE) AS df FROM d_chunk_posting GROUP BY token",
@@ -247,6 +252,8 @@ SELECT * FROM (SELECT h.*, CASE
 SELECT query_id, chunk_id, document_id, vec, row_number() OVER (PARTITION BY query_id ORDER BY vec DESC, hybrid_rank, chunk_id) AS rank
  FROM d_seen{_name} WHERE vec >= {_cut} QUALIFY rank <= 8"""
 
+_BY_SCOPE = ("d_rule", "d_chunk_rule", "d_doc_rule", "d_folder_rule", "d_kb_rule", "d_folder_hit", "d_folder_state", "d_decision", "d_visible")
+DUCK |= {f"{name}_u": re.sub(rf"\b({'|'.join(('d_scope', 'd_scope_kb', *_BY_SCOPE))})\b", r"\1_u", DUCK[name]) for name in _BY_SCOPE}
 ALL = {**FX, **DUCK}
 _NAME = re.compile(r"\b(?:fx|d)_[a-z_]+\b")
 
@@ -326,6 +333,5 @@ class Tables:
         if f"fx_{name}" in FX:
             return self.stored(name, lambda: fx(self.spark, self.sf_dir, f"fx_{name}"))
         if name in BASE:
-            rows = table(self.spark, self.sf_dir, name)
-            return fill_cores(rows, rows.columns[0]) if name in ("documents", "pages") else rows
+            return table(self.spark, self.sf_dir, name)
         raise AttributeError(name)
