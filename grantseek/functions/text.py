@@ -16,6 +16,11 @@ UNTIDY = r"[\x00-\x09\x0b-\x1f\x7f\u200b-\u200f\u2028\u2029\u3000\ufeff]|  |\n\n
 CJK = r"[\u4e00-\u9fff]"
 WORD = "[0-9a-z_]+"
 SPECIAL = r'^["*():^\-]$'
+SILENT_ELEMENT = r"(?is)<(script|style)\b[^>]*>.*?</\1>"
+LINE_TAG = r"(?i)</?(p|div|br|li|tr|h[1-6]|section|article)\b[^>]*>"
+TAG = "<[^>]+>"
+ATTACHED_SCRIPT = r"(?i)<script[\s\S]*?</script>"
+ATTACHED_STYLE = r"(?i)<style[\s\S]*?</style>"
 MAX_QUERY_TERMS = 32
 DEFAULT_TITLE = "新对话"
 ANAPHORA = ["它", "这个", "那个", "上述", "刚才", "继续", "还有", "他", "该"]
@@ -54,9 +59,8 @@ def clean_text(c: Column) -> Column:
 
 def html_to_text(c: Column) -> Column:
     """Readable text of an HTML page."""
-    out = F.regexp_replace(c, r"(?is)<(script|style)\b[^>]*>.*?</\1>", " ")
-    out = F.regexp_replace(out, r"(?i)</?(p|div|br|li|tr|h[1-6]|section|article)\b[^>]*>", "\n")
-    out = F.regexp_replace(out, "<[^>]+>", " ")
+    out = F.regexp_replace(F.regexp_replace(c, SILENT_ELEMENT, " "), LINE_TAG, "\n")
+    out = F.regexp_replace(out, TAG, " ")
     return clean_text(arrow.unescape(out))
 
 
@@ -119,9 +123,8 @@ def attachment_text(content: Column, ext: Column, limit: int = 20000) -> Column:
     # The extensions read as plain text.
     readable = ext.isin("txt", "md", "markdown", "csv", "json", "html", "htm")
     raw = arrow.decode_attachment(F.when(readable, F.substring(content, 1, limit * 4)))
-    flat = F.regexp_replace(raw, r"(?i)<script[\s\S]*?</script>", " ")
-    flat = F.regexp_replace(flat, r"(?i)<style[\s\S]*?</style>", " ")
-    flat = F.regexp_replace(F.regexp_replace(flat, "<[^>]+>", " "), r"(?U)\s+", " ")
+    flat = F.regexp_replace(F.regexp_replace(raw, ATTACHED_SCRIPT, " "), ATTACHED_STYLE, " ")
+    flat = F.regexp_replace(F.regexp_replace(flat, TAG, " "), r"(?U)\s+", " ")
     text = F.when(ext.isin("html", "htm"), flat).otherwise(raw)
     return F.coalesce(F.substring(text, 1, limit), F.lit(""))
 

@@ -227,8 +227,7 @@ def _(t):
 
 
 @query("s11_unsupported_formats", """
-SELECT doc_id, ext, CASE ext WHEN 'pdf' THEN 'binary format: extract its text before loading'
- WHEN 'epub' THEN 'EPUB book: convert it to PDF or plain text' ELSE concat('cannot read .', ext, '; readable formats: txt md csv json html') END AS message
+SELECT doc_id, ext, concat('no parser for .', ext, '; save it as one of: ', CASE ext WHEN 'pdf' THEN 'txt, html' WHEN 'epub' THEN 'html, txt' ELSE 'txt, md, csv, json, html' END) AS message
 FROM (SELECT doc_id, lower(regexp_extract(name, '(?:^|/)[^/]*[^/.][^/]*\\.([^/.]*)$', 1)) AS ext FROM fx_file)
 WHERE ext NOT IN ('txt','md','markdown','csv','json','log','html','htm','text')""")
 def _(t):
