@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from grantseek.common import ensure_checkpoint_dir
 from grantseek.functions import text
 from grantseek.operators import chunking
 from grantseek.sources import files
@@ -175,6 +178,15 @@ def _(t):
     return files.checksum_duplicates(t.documents.withColumn("checksum", F.sha2("text", 256)), "doc_id")
 
 
+@query("s1_scan_files", "SELECT source, sum(strlen(text) + 1) AS size, sum(strlen(text) + 1) AS bytes_read, min('txt') AS ext FROM documents GROUP BY source")
+def _(t):
+    """The documents written as one text file for each source and core, then scanned."""
+    folder = f"{ensure_checkpoint_dir(t.spark)}/scanned-{uuid.uuid4().hex}"
+    t.documents.select("source", "text").write.partitionBy("source").text(folder)
+    rows = files.scan_files(t.spark, folder).withColumn("source", F.regexp_extract("path", "source=([^/]*)/", 1))
+    return rows.groupBy("source").agg(F.sum("size").alias("size"), F.sum(F.length("content")).alias("bytes_read"), F.min("ext").alias("ext"))
+
+
 @query("s7_parse_html", f"""
 SELECT page_id, CASE WHEN body = '' THEN 'failed' ELSE 'parsed' END AS state, CAST(length(body) AS BIGINT) AS char_count, body
 FROM (SELECT page_id, {d_html('html')} AS body FROM pages)""")
@@ -193,12 +205,23 @@ def _(t):
     return rows.select("doc_id", "state", "char_count", F.array_join("sections.text", "").alias("body"))
 
 
-@query("s5_parse_documents")
-def _(t):
-    """Every format at once: documents as CSV, JSON, Markdown and unreadable types, pages as HTML."""
-    ext = F.element_at(F.array(*[F.lit(e) for e in ("csv", "json", "md", "pdf", "zip")]), (F.col("doc_id") % 5 + 1).cast("int"))
-    docs = t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id"),
-                              F.concat(F.lit("f."), ext).alias("name"), F.col("text").cast("binary").alias("content"))
+@query("s5_parse_documents", f"""
+SELECT document_id, ext, CASE WHEN message IS NULL THEN 'parsed' ELSE 'failed' END AS state, CASE WHEN message IS NULL THEN length(body) ELSE 0 END AS char_count,
+ message, CASE WHEN message IS NULL THEN body ELSE '' END AS body
+FROM (SELECT *, CASE WHEN ext IN ('pdf', 'zip') THEN concat('no parser for .', ext, '; save it as one of: ', CASE ext WHEN 'pdf' THEN 'txt, html' ELSE 'txt, md, csv, json, html' END)
+  WHEN body = '' THEN 'file holds no text' END AS message
+ FROM (SELECT concat('d', CAST(doc_id AS STRING)) AS document_id, CASE doc_id % 5 WHEN 0 THEN 'csv' WHEN 1 THEN 'json' WHEN 2 THEN 'md' WHEN 3 THEN 'pdf' ELSE 'zip' END AS ext,
+   CASE WHEN doc_id % 5 = 0 THEN concat(lang, ' | ', source, ' | x, y') WHEN doc_id % 10 = 1 THEN concat('{{', chr(10), ' "k": ', CAST(doc_id AS STRING), chr(10), '}}') ELSE {d_clean('text')} END AS body
+  FROM documents
+  UNION ALL SELECT concat('p', CAST(page_id AS STRING)), 'htm', {d_html('html')} FROM pages))""")
+def _(t):
+    """Every format at once: documents as CSV, JSON, prose named JSON, Markdown and unreadable types, pages as HTML."""
+    i = F.col("doc_id")
+    ext = F.element_at(F.array(*[F.lit(e) for e in ("csv", "json", "md", "pdf", "zip")]), (i % 5 + 1).cast("int"))
+    body = (F.when(i % 5 == 0, F.concat(F.lit(" "), "lang", F.lit(" ,"), "source", F.lit(',"x, y"\n,,\n')))
+            .when(i % 10 == 1, F.concat(F.lit('{"k":'), i.cast("string"), F.lit("}"))).otherwise(F.col("text")))
+    docs = t.documents.select(F.concat(F.lit("d"), i.cast("string")).alias("document_id"),
+                              F.concat(F.lit("f."), ext).alias("name"), body.cast("binary").alias("content"))
     pages = t.pages.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("document_id"),
                            F.lit("f.htm").alias("name"), F.col("html").cast("binary").alias("content"))
     return files.parse_documents(docs.unionByName(pages)).select(
