@@ -131,7 +131,7 @@ def latest_version(versions: DataFrame, newest: int = 50) -> DataFrame:
 # ---------------------------------------------------------------- lockouts
 
 LOCKOUT_SCHEMA = "attempt_id bigint, user_id bigint, tried_at timestamp, ok boolean, outcome string, failures int"
-_EXIT_SCHEMA = "part int, first_user bigint, last_user bigint, failures int, locked_until bigint"
+_EXIT_SCHEMA = "part int, first_user bigint, first_us bigint, last_user bigint, failures array<int>, locked_until array<bigint>"
 
 
 def lock_step(at: int, ok: bool, failures: int, locked_until: int, max_failures: int, lock_us: int):
@@ -152,11 +152,11 @@ def login_lockouts(attempts: DataFrame, max_failures: int = MAX_FAILURES, minute
     attempts while locked are denied and do not count; a success resets.
 
     Attempts are range-partitioned by (user, time), so one user's attempts may
-    spread over many tasks. Each task reads its rows once with constant memory.
-    A first round assumes nothing carries over; then every partition is told
-    the state its predecessor ended in, until these states no longer change.
-    They settle at the first success or lock after a boundary, so a few rounds
-    are enough. Only one row per partition reaches the driver.
+    spread over many tasks. Each task reads its rows with constant memory. A
+    first replay tells, for each partition, the state it ends in for *every*
+    number of failures it may begin with; the driver chains these, one row for each
+    partition, and a second replay gives the outcomes. Only a partition that begins inside a
+    lock, whose end no number of failures tells, is read once more by itself.
     """
     ordered = cut_lineage(
         attempts.select("attempt_id", "user_id", F.col("tried_at").cast("timestamp").alias("tried_at"), "ok")
@@ -165,34 +165,52 @@ def login_lockouts(attempts: DataFrame, max_failures: int = MAX_FAILURES, minute
         ordered=True)
     lock_us = minutes * 60 * 1_000_000
 
-    def replay(entry: dict[int, tuple[int, int, int]], report: bool):
+    def follow(pdf: pd.DataFrame, user, states: list[tuple[int, int]]):
+        """Replay rows from all ``states`` of ``user`` at once; they are one state as soon as another user comes."""
+        outcomes, counts = [], []
+        for who, at, ok in zip(pdf["user_id"], pdf["us"], pdf["ok"]):
+            if who != user:
+                user, states = who, [(0, 0)]
+            steps = [lock_step(at, ok, failures, until, max_failures, lock_us) for failures, until in states]
+            states = [(failures, until) for _, failures, until in steps]
+            outcomes.append(steps[0][0])
+            counts.append(states[0][0])
+        return user, states, outcomes, counts
+
+    def exits(only: int | None = None, entry: tuple[int, int] | None = None):
+        """The end of each partition for every number of failures; with ``only``, of one partition for one entry."""
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            part = TaskContext.get().partitionId()
-            user, failures, until = entry.get(part, (None, 0, 0))
-            first = None
+            part, begun = TaskContext.get().partitionId(), None
+            if only is not None and part != only:
+                return
+            user, states = None, []
             for pdf in batches:
-                outcomes, counts = [], []
-                for who, at, ok in zip(pdf["user_id"], pdf["us"], pdf["ok"]):
-                    if who != user:
-                        user, failures, until = who, 0, 0
-                    first = who if first is None else first
-                    outcome, failures, until = lock_step(at, ok, failures, until, max_failures, lock_us)
-                    outcomes.append(outcome)
-                    counts.append(failures)
-                if not report:
-                    yield pdf[["attempt_id", "user_id", "tried_at", "ok"]].assign(
-                        outcome=outcomes, failures=np.array(counts, dtype=np.int32))
-            if report and first is not None:
-                yield pd.DataFrame({"part": [part], "first_user": [first], "last_user": [user],
-                                    "failures": [failures], "locked_until": [until]})
-        return run
+                if begun is None and len(pdf):
+                    user = pdf["user_id"].iloc[0]
+                    begun = (user, pdf["us"].iloc[0])
+                    states = [entry] if entry else [(n, 0) for n in range(max(1, max_failures))]
+                user, states, *_ = follow(pdf, user, states)
+            if begun:
+                yield pd.DataFrame({"part": [part], "first_user": [begun[0]], "first_us": [begun[1]], "last_user": [user],
+                                    "failures": [[f for f, _ in states]], "locked_until": [[u for _, u in states]]})
+        return ordered.mapInPandas(run, _EXIT_SCHEMA).orderBy("part").collect()
 
     entry: dict[int, tuple[int, int, int]] = {}
-    while True:
-        ends = ordered.mapInPandas(replay(entry, True), _EXIT_SCHEMA).orderBy("part").collect()
-        told = {b["part"]: (a["last_user"], a["failures"], a["locked_until"])
-                for a, b in zip(ends, ends[1:]) if a["last_user"] == b["first_user"]}
-        if told == entry:
-            break
-        entry = told
-    return ordered.mapInPandas(replay(entry, False), LOCKOUT_SCHEMA)
+    user, state = None, (0, 0)
+    for end in exits():
+        if user == end["first_user"] and state != (0, 0):
+            entry[end["part"]] = (user, *state)
+            if state[1] > end["first_us"]:  # it begins inside a lock
+                end = exits(end["part"], state)[0]
+        else:
+            state = (0, 0)
+        at = state[0] if len(end["failures"]) > 1 else 0
+        user, state = end["last_user"], (end["failures"][at], end["locked_until"][at])
+
+    def outcomes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, *state = entry.get(TaskContext.get().partitionId(), (None, 0, 0))
+        states = [tuple(state)]
+        for pdf in batches:
+            user, states, outcomes, counts = follow(pdf, user, states)
+            yield pdf[["attempt_id", "user_id", "tried_at", "ok"]].assign(outcome=outcomes, failures=np.array(counts, dtype=np.int32))
+    return ordered.mapInPandas(outcomes_of, LOCKOUT_SCHEMA)

@@ -49,6 +49,26 @@ def test_lockouts_of_a_hot_user_cross_partitions(spark, seed):
     assert got == by_hand(rows)
 
 
+def test_an_endless_row_of_failures_takes_two_replays(spark, monkeypatch):
+    """Every boundary carries a count; the driver chains them without reading anything again."""
+    rows = [(i, 7, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i), False) for i in range(1600)]
+    df = spark.createDataFrame(rows, "attempt_id bigint, user_id bigint, tried_at timestamp, ok boolean").repartition(16)
+    replays = []
+    real = type(df).mapInPandas
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, *a, **k: replays.append(1) or real(self, *a, **k))
+    got = {r["attempt_id"]: r["outcome"] for r in logs.login_lockouts(df, minutes=0).collect()}
+    assert got == {i: "locked" if i % 5 == 4 else "failed" for i in range(1600)} and len(replays) == 2
+
+
+def test_pages_of_logs_go_on_after_a_key(spark):
+    rows = spark.createDataFrame([(i, i // 3) for i in range(20)], "log_id bigint, created_at bigint")
+    seen, after = [], None
+    while page := [(r["created_at"], r["log_id"]) for r in logs.newest_logs(rows, 6, after).collect()]:
+        seen += page
+        after = page[-1]
+    assert seen == sorted(((i // 3, i) for i in range(20)), reverse=True)
+
+
 def test_lockout_stream_equals_batch(spark, tmp_path):
     rng = random.Random(5)
     rows = sorted(((rng.randrange(3), rng.randrange(600), rng.random() < 0.2) for _ in range(200)), key=lambda r: r[1])

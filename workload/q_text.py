@@ -178,7 +178,7 @@ def _(t):
     return files.checksum_duplicates(t.documents.withColumn("checksum", F.sha2("text", 256)), "doc_id")
 
 
-@query("s1_scan_files", "SELECT source, sum(strlen(text) + 1) AS size, sum(strlen(text) + 1) AS bytes_read, min('txt') AS ext FROM documents GROUP BY source")
+@query("s1_scan_files", "SELECT source, CAST(sum(strlen(text) + 1) AS BIGINT) AS size, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes_read, min('txt') AS ext FROM documents GROUP BY source")
 def _(t):
     """The documents written as one text file for each source and core, then scanned."""
     folder = f"{ensure_checkpoint_dir(t.spark)}/scanned-{uuid.uuid4().hex}"
