@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from grantseek.llm.textbytes import slabs, text_bytes
 
 SPACE = "▁"  # what a space is in the vocabulary (fixed)
+NEVER = float("-inf")
 _ONE = (1,)
-REMEMBER = 500_000  # words, and pairs of pieces, that a task keeps
+REMEMBER = 1_200_000  # words, and pairs of pieces, that a task keeps
 
 
 class PrefixCounter:
@@ -53,6 +54,22 @@ class PrefixCounter:
 
     def merge(self, text: str) -> list[str]:
         """Pieces of ``text``: the adjacent pair of the best score is merged first, leftmost first."""
+        if len(text) > 40:
+            return self._merge_long(text)
+        parts, score = list(text), self.score
+        gains = [score.get(text[i: i + 2], NEVER) for i in range(len(parts) - 1)]
+        while gains and (best := max(gains)) > NEVER:
+            i = gains.index(best)
+            parts[i: i + 2] = [parts[i] + parts[i + 1]]
+            del gains[i]
+            if i < len(gains):
+                gains[i] = score.get(parts[i] + parts[i + 1], NEVER)
+            if i:
+                gains[i - 1] = score.get(parts[i - 1] + parts[i], NEVER)
+        return parts
+
+    def _merge_long(self, text: str) -> list[str]:
+        """The same for long texts: a heap of pairs over a linked list."""
         parts: list[str | None] = list(text)
         n, score = len(parts), self.score
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -118,20 +135,18 @@ class PrefixCounter:
         """Keep the counts of ``words``. In sorted order each begins with a prefix whose table is there already."""
         if len(self.words) + len(words) > REMEMBER:
             self.words.clear()
-        counts, last, alone, before = [0], [""], [False], ""
-        cores: dict[str, list[str]] = {}
-        for word in words:
-            cores.setdefault(self._core(word), []).append(word)
-        for core in sorted(cores):
+        counts, last, alone, before, extend = [0], [""], [False], "", self._extend
+        ordered = sorted([(self._core(word), word) for word in words])
+        for core, whole in ordered:
             word = SPACE + core
-            shared, most = 0, min(len(word), len(before))
-            while shared < most and word[shared] == before[shared]:
-                shared += 1
-            del counts[shared + 1:], last[shared + 1:], alone[shared + 1:]
-            self._extend(word, counts, last, alone)
-            before = word
-            for whole in cores[core]:
-                self.words[whole] = counts[-1] + sum(map(self.weight, whole[len(core):]))
+            if word != before:
+                shared, most = 0, min(len(word), len(before))
+                while shared < most and word[shared] == before[shared]:
+                    shared += 1
+                del counts[shared + 1:], last[shared + 1:], alone[shared + 1:]
+                extend(word, counts, last, alone)
+                before = word
+            self.words[whole] = counts[-1] if whole == core else counts[-1] + sum(map(self.weight, whole[len(core):]))
 
     def _core(self, word: str) -> str:
         """``word`` without the characters at its end that no piece holds together with the one before: they stand alone."""
