@@ -223,11 +223,22 @@ def _kept(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, str, lis
     return sum(h - low for low, h in merged), len(merged), digest.hexdigest(), [{"low": low, "high": high} for low, high in merged]
 
 
+_CODEC = "zstd"
+MOVED = "id long, size long, body binary"
+
+
+def _packed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Ids and texts, the texts compressed: they are moved once, as few bytes as can be."""
+    raw = [(t.as_py() or "").encode() for t in batch.column(1)]
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in raw], pa.int64()),
+                                       pa.array([pa.compress(r, _CODEC, asbytes=True) for r in raw], pa.binary())], ["id", "size", "body"])
+
+
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for key, text, spans in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-            raw = (text.as_py() or "").encode()
+        for key, size, body, spans in zip(*(batch.column(i) for i in range(4)), strict=True):
+            raw = pa.decompress(body.as_py(), size.as_py(), _CODEC, asbytes=True) if size.as_py() else b""
             pairs = spans.as_py()
             packed = np.array(pairs or [], np.int64)
             removed, runs, digest, kept = _kept(raw, list(zip((packed >> 32).tolist(), (packed & 0xFFFFFFFF).tolist(), strict=True)))
@@ -258,10 +269,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
                 ids = batch.column(0)
                 hit = touched.hits(mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(U64) + U64(5)))
                 hit &= ids.is_valid().to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(hit == wanted))
+                yield _packed(batch.filter(pa.array(hit == wanted)))
         return run
-    schema = "id long, text string"
-    moved = rows.mapInArrow(having(True), schema).join(lists.withColumnRenamed("doc", "id").hint("merge"), "id", "left")
-    still = rows.mapInArrow(having(False), schema).withColumn("spans", F.lit(None).cast("array<bigint>"))
+    moved = rows.mapInArrow(having(True), MOVED).join(lists.withColumnRenamed("doc", "id").hint("merge"), "id", "left")
+    still = rows.mapInArrow(having(False), MOVED).withColumn("spans", F.lit(None).cast("array<bigint>"))
     out = moved.mapInArrow(_apply, RESULT).unionByName(still.mapInArrow(_apply, RESULT))
     return out.withColumnRenamed("id", id_col)

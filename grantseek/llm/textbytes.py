@@ -1,7 +1,7 @@
 """Whole texts of an Arrow batch as one byte buffer, and 64-bit hashes of any span of it in constant time.
 
 A span's hash is a polynomial over random 64-bit byte codes, read off prefix sums, so all spans of a buffer
-cost a few vector operations. Memory is about 40 times the slab that is hashed at once (``SLAB`` bytes, or
+cost a few vector operations. Memory is about 100 times the slab that is hashed at once (``SLAB`` bytes, or
 one longer text).
 """
 
@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLAB = 2 << 20  # bytes of text that are worked on at once
+SLAB = 1 << 20  # bytes of text that are worked on at once
 WORD_BREAKS = b" \t\n\x0b\x0c\r"  # every other byte belongs to a word (fixed rule)
 
 U64 = np.uint64
