@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from grantseek.llm.textbytes import U64
 
-BITS = 27  # log2 of its size: 16 MB, whatever the data
+BITS = 28  # log2 of its size: 32 MB, whatever the data
 
 
 class Bitmap:
@@ -40,6 +40,15 @@ class Bitmap:
         return {"bits": self.bits, "_table": self._table}
 
 
+def likely(rows: DataFrame, column: str, members: Bitmap, wanted: bool = True) -> DataFrame:
+    """``rows`` whose ``column`` may be a member (or, not ``wanted``, surely is none); members are ``xxhash64`` of the values."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = members.hits(batch.column(batch.num_columns - 1).to_numpy().view(U64))
+            yield batch.filter(pa.array(hit == wanted)).select(range(batch.num_columns - 1))
+    return rows.withColumn("__hash", F.xxhash64(column)).mapInArrow(run, rows.schema)
+
+
 def hashed(rows: DataFrame, make, schema: str) -> DataFrame:
     """The hashes that ``make(batch)`` gives for Arrow batches of ``rows``, as one long column."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,5 +37,5 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``exact_duplicates`` drops; all columns. A row without an id stays if it is not a copy."""
     marks = exact_duplicates(docs, id_col, text_col)
-    dropped = marks.where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_dropped")).distinct()
-    return docs.join(dropped, docs[id_col] == dropped["_dropped"], "left_anti")
+    dropped = marks.where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__dropped")).distinct()
+    return docs.join(dropped, docs[id_col] == dropped["__dropped"], "left_anti")

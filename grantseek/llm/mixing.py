@@ -137,10 +137,10 @@ def mixed_documents(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", text
     Rows with an id; a document given twice in ``docs`` is taken for both its rows.
     """
     plan = mix_sources(docs, seed, id_col=id_col, text_col=text_col, **options).where("taken > 0")
-    plan = plan.select(F.col(id_col).alias("_id"), F.explode(F.concat(
+    plan = plan.select(F.col(id_col).alias("__doc"), F.explode(F.concat(
         F.array_repeat(F.lit(None).cast("array<struct<from:bigint,to:bigint>>"), F.col("copies").cast("int")),
-        F.when(F.size("spans") > 0, F.array("spans")).otherwise(F.array().cast("array<array<struct<from:bigint,to:bigint>>>")))).alias("_spans"))
+        F.when(F.size("spans") > 0, F.array("spans")).otherwise(F.array().cast("array<array<struct<from:bigint,to:bigint>>>")))).alias("__spans"))
     words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(words, (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")))), " ")
-    whole = docs.join(plan, docs[id_col] == plan["_id"])
-    return whole.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut)).select(*docs.columns)
+    cut = F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice(words, (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")))), " ")
+    whole = docs.join(plan, docs[id_col] == plan["__doc"])
+    return whole.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut)).select(*docs.columns)
