@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from grantseek.llm.textbytes import U64
 
-BITS = 28  # log2 of its size: 32 MB, whatever the data
+BITS = 27  # log2 of its size: 16 MB at most, whatever the data
 
 
 class Bitmap:
@@ -25,19 +25,30 @@ class Bitmap:
         word = F.shiftrightunsigned(h, 64 - bits + 6)
         bit = F.expr(f"shiftleft(1L, cast(shiftright({column}, 1) & 63 as int))")
         words = hashes.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-        table = np.zeros(1 << (bits - 6), U64)
-        table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(U64)
-        self._table = hashes.sparkSession.sparkContext.broadcast(table)
+        index = words.column("word").to_numpy().astype(np.uint32)
+        values = words.column("bits").to_numpy().view(U64)
+        sparse = 12 * len(index) < 8 << (bits - 6)  # whichever is smaller is sent
+        self._held = hashes.sparkSession.sparkContext.broadcast((index, values) if sparse else (None, self._filled(index, values)))
+        self._table = None
 
-    def __contains__(self, item) -> bool:
-        raise TypeError("use hits()")
+    def _filled(self, index: np.ndarray, values: np.ndarray) -> np.ndarray:
+        table = np.zeros(1 << (self.bits - 6), U64)
+        table[index] = values
+        return table
 
     def hits(self, hashes: np.ndarray) -> np.ndarray:
+        if self._table is None:
+            index, values = self._held.value
+            self._table = values if index is None else self._filled(index, values)
         word = (hashes >> U64(64 - self.bits + 6)).astype(np.int64)
-        return (self._table.value[word] >> ((hashes >> U64(1)) & U64(63))) & U64(1) == 1
+        return (self._table[word] >> ((hashes >> U64(1)) & U64(63))) & U64(1) == 1
+
+    def close(self) -> None:
+        """Free it everywhere; for bitmaps that no lazy table reads any more."""
+        self._held.destroy()
 
     def __getstate__(self):
-        return {"bits": self.bits, "_table": self._table}
+        return {"bits": self.bits, "_held": self._held, "_table": None}
 
 
 def likely(rows: DataFrame, column: str, members: Bitmap, wanted: bool = True) -> DataFrame:

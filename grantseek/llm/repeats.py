@@ -177,11 +177,14 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, length: int = LENGTH, gra
     grams = texts.mapInArrow(_grams(length, gram), "gram long, n byte").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
     repeated = Bitmap(grams.select("gram"))
     regions = scratch.write(texts.mapInArrow(_regions(repeated, length, gram), REGION))
+    repeated.close()
     strings = length - gram + 1  # that hold a gram
     widths = [SPLIT ** k for k in range(30, -1, -1) if 3 * SPLIT ** k <= strings]  # each a part of the one before
     parent, active, found = 0, None, []
     for width in [strings, *(widths or [1])]:
         nodes = scratch.write(regions.mapInArrow(_nodes(width, parent, active, length, gram), NODE))
+        if active is not None:
+            active.close()
         by_core, by_hull = Window.partitionBy("core"), Window.partitionBy("core", "hull").orderBy("doc", "at")
         ranked = (nodes.where("core is not null").withColumn("place", F.rank().over(by_hull))
                   .withColumn("mixed", F.min("hull").over(by_core) < F.max("hull").over(by_core)))
@@ -192,6 +195,7 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, length: int = LENGTH, gra
         found.append(scratch.write(gone.select("doc", F.greatest(F.col("at") - d2, F.lit(0)).cast("int").alias("low"),
                                                (F.col("at") - d1 + length).cast("int").alias("high"))))
         if width == 1:
+            scratch.drop(nodes, ranked, regions)
             break  # cores and hulls are the strings themselves
         on = ranked.where("not copy")
         active = Bitmap(hashed(on, lambda b: node_hash(*(b.column(i).to_numpy().astype(np.int64) for i in range(3))), "h long"))
