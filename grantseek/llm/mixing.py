@@ -78,26 +78,42 @@ def mix_sources(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGH
 
     ``taken`` words are ``copies`` times the whole document and the words ``spans`` (from, to; counted from 0) once
     more. Null and blank texts have size 0 and give nothing; a null source is a source of its own. Rows without
-    an id are laid out like others. An id that comes twice gives two rows. The same rows and seed give the same mix,
-    whatever the partitions. An empty table gives no rows.
+    an id are laid out like others, in the order of a hash of their text. An id that comes twice gives two rows. The
+    same rows and seed give the same mix, whatever the partitions. An empty table gives no rows.
+    """
+    return _laid_out(docs, seed, weights, share, most, block, id_col, text_col, source_col).withColumnsRenamed({"id": id_col, "source": source_col})
+
+
+def _laid_out(docs: DataFrame, seed: int, weights: tuple[int, ...], share: float, most: float, block: int, id_col: str, text_col: str,
+              source_col: str, carry: bool = False) -> DataFrame:
+    """``mix_sources`` under the names id and source. With ``carry`` only rows of a size, each with its row of ``docs`` as ``row``.
+
+    A row's words are laid out beside its own text; no join by id, which may be null or come twice, has to find it again.
     """
     scratch = Scratch(docs.sparkSession)
-    sized = scratch.write(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))
+    facts = [F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie")]
+    sized = scratch.write(docs.select(*facts))
+    rows = docs.select(*facts, F.struct(*docs.columns).alias("row")) if carry else sized
     sources = scratch.write(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
                             .withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source"))))
-    facts = sources.where("source_size > 0").agg(F.min("source_size").alias("least"), F.sum("target").alias("target")).first()
-    width = max(1, min(block, int(facts["least"] or 0) // SHARD_BLOCKS))
-    total = round((facts["target"] or 0.0) / width)
+    totals = sources.where("source_size > 0").agg(F.min("source_size").alias("least"), F.sum("target").alias("target")).first()
+    width = max(1, min(block, int(totals["least"] or 0) // SHARD_BLOCKS))
+    total = round((totals["target"] or 0.0) / width)
 
     quota = apportion(sources.withColumn("_all", F.lit(0)).withColumn("_q", F.lit(total)), ["_all"], "rank", "target", "_q")
     shards_of = F.greatest(F.floor(F.col("source_size") / (width * SHARD_BLOCKS)), F.lit(1))
     sources = sources.join(quota.select("rank", "seats"), "rank").withColumn("shards", shards_of)
     few = F.broadcast(sources.select("source", "rank", "source_size", "target", "shards")) if sources.count() <= 10_000 else sources.select("source", "rank", "source_size", "target", "shards")
-    order = F.xxhash64(F.lit(seed), "id")
-    placed = (sized.join(few, sized["source"].eqNullSafe(few["source"])).drop(few["source"])
-              .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.col("shards"))))
 
-    shards = scratch.write(placed.where("size > 0").groupBy("rank", "shard").agg(F.sum("size").alias("shard_size")).withColumn("batch", F.floor(F.col("shard") / BATCH)))
+    def seeded(seed: int) -> Column:
+        return F.when(F.col("id").isNull(), F.xxhash64(F.lit(seed), "tie")).otherwise(F.xxhash64(F.lit(seed), "id"))
+
+    def place(rows: DataFrame) -> DataFrame:
+        return (rows.join(few, rows["source"].eqNullSafe(few["source"])).drop(few["source"])
+                .withColumn("shard", F.pmod(seeded(seed + 1), F.col("shards"))))
+    placed = place(rows)
+
+    shards = scratch.write(place(sized).where("size > 0").groupBy("rank", "shard").agg(F.sum("size").alias("shard_size")).withColumn("batch", F.floor(F.col("shard") / BATCH)))
     batches = shards.groupBy("rank", "batch").agg(F.sum("shard_size").alias("batch_size")).join(sources.select("rank", F.col("seats").alias("_q")), "rank")
     by_batch = apportion(batches, ["rank"], "batch", "batch_size", "_q").withColumnRenamed("seats", "_q")
     quotas = apportion(shards.join(by_batch, ["rank", "batch"]), ["rank", "batch"], "shard", "shard_size", "_q")
@@ -113,7 +129,7 @@ def mix_sources(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGH
         F.when(F.col("rest") > 0, F.least(run * width, F.col("shard_size"))).otherwise(F.col("first") * width).alias("to1"),
         F.greatest((run - F.col("blocks")) * width, F.lit(0)).alias("to2"))
 
-    line = Window.partitionBy("rank", "shard").orderBy(order, "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = Window.partitionBy("rank", "shard").orderBy(seeded(seed), "id", "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = placed.where("size > 0").withColumn("end", F.sum("size").over(line)).withColumn("begin", F.col("end") - F.col("size"))
     laid = laid.join(quotas, ["rank", "shard"])
 
@@ -124,23 +140,26 @@ def mix_sources(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGH
     laid = laid.withColumn("spans", spans)
     extra = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["to"] - s["from"])
     out = laid.select("id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size") + extra).cast("long").alias("taken"),
-                      F.col("copies").cast("long").alias("copies"), "spans")
+                      F.col("copies").cast("long").alias("copies"), "spans", *(["row"] if carry else []))
+    if carry:
+        return out
     empty = placed.where("size = 0").select("id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"),
                                             F.lit(0).cast("long").alias("copies"),
                                             F.array().cast("array<struct<from:bigint,to:bigint>>").alias("spans"))
-    return out.unionByName(empty).withColumnsRenamed({"id": id_col, "source": source_col})
+    return out.unionByName(empty)
 
 
-def mixed_documents(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST,
+                    block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: a row of ``docs`` for each copy taken, then one whose text is the words of the spans, if any.
 
-    Rows with an id; a document given twice in ``docs`` is taken for both its rows.
+    Every row of ``docs`` gives the words that ``mix_sources`` takes of it, with or without an id of its own.
     """
-    plan = mix_sources(docs, seed, id_col=id_col, text_col=text_col, **options).where("taken > 0")
-    plan = plan.select(F.col(id_col).alias("__doc"), F.explode(F.concat(
+    plan = _laid_out(docs, seed, weights, share, most, block, id_col, text_col, source_col, carry=True).where("taken > 0")
+    plan = plan.select("row", F.explode(F.concat(
         F.array_repeat(F.lit(None).cast("array<struct<from:bigint,to:bigint>>"), F.col("copies").cast("int")),
         F.when(F.size("spans") > 0, F.array("spans")).otherwise(F.array().cast("array<array<struct<from:bigint,to:bigint>>>")))).alias("__spans"))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all(F.col("row")[text_col], F.lit(WORD), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice(words, (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")))), " ")
-    whole = docs.join(plan, docs[id_col] == plan["__doc"])
-    return whole.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut)).select(*docs.columns)
+    mixed = F.when(F.col("__spans").isNull(), F.col("row")[text_col]).otherwise(cut)
+    return plan.select(*(mixed.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

@@ -93,3 +93,23 @@ def test_mixing_bears_anything(spark):
     blank = docs.withColumn("text", F.lit(None).cast("string"))
     assert {(r["size"], r.taken, r.target) for r in mixing.mix_sources(blank).collect()} == {(0, 0, 0.0)}
     assert mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_rows_without_or_with_the_same_id_are_mixed_by_row(spark):
+    text = [" ".join(f"{name}{i}" for i in range(n)) for name, n in (("a", 900), ("b", 700), ("c", 400), ("d", 300))]
+    rows = [(None, text[0], None, "s"), (None, text[1], None, "t"), (7, text[2], None, "s"), (7, text[2], None, "s"), (7, text[3], None, "t"), (8, text[1], None, None)]
+    rows += [(None, f"only {i} of these", None, "u") for i in range(40)]
+    for docs in (documents(spark, rows), hostile(spark).withColumn("source", F.when(F.col("doc_id") == 9, "z"))):
+        taken, sizes, got, seen = {}, {}, {}, {}
+        for r in mixing.mix_sources(docs).collect():
+            taken[r.source] = taken.get(r.source, 0) + r.taken
+        for r in docs.collect():
+            for w in re.findall(r"[^\x20\x09-\x0D]+", r.text or ""):
+                sizes[r.source, r.doc_id, w] = sizes.get((r.source, r.doc_id, w), 0) + 1
+        for r in mixing.mixed_documents(docs).collect():
+            for w in re.findall(r"[^\x20\x09-\x0D]+", r.text):
+                got[r.source] = got.get(r.source, 0) + 1
+                seen[r.source, r.doc_id, w] = seen.get((r.source, r.doc_id, w), 0) + 1
+        assert got == {s: n for s, n in taken.items() if n}
+        assert all(n <= 2 * sizes[k] for k, n in seen.items())
+        assert any(i is None for _, i, _ in seen)
