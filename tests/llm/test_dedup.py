@@ -164,6 +164,18 @@ def test_exact_groups(spark):
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(["-11", "1", "3", "4", "5", "7", "8", "9", "10", "None"])
 
 
+def test_exact_copies_go_by_row(spark):
+    docs = documents(spark, [(1, "a copy"), (2, "a  copy"), (2, "a text of its own"), (2, "a text of its own", None, "s"), (3, "three"), (3, "three"), (3, "other"),
+                             (None, "none"), (None, "none"), (None, "three"), (None, "alone"), (None, None), (9, "")])
+    want = [(1, "a copy"), (2, "a text of its own"), (3, "other"), (3, "three"), (9, ""), (None, "alone"), (None, "none")]
+    left = exact_dedup.drop_exact_duplicates(docs)
+    assert left.dtypes == docs.dtypes
+    got = left.collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=lambda r: (r[0] is None, r[0] or 0, r[1])) == want
+    assert sorted(map(str, got)) == sorted(map(str, exact_dedup.drop_exact_duplicates(docs.repartition(7)).collect()))
+    assert exact_dedup.drop_exact_duplicates(docs.limit(0)).count() == 0
+
+
 def test_exact_groups_need_no_python(spark):
     plan = exact_dedup.exact_duplicates(hostile(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
