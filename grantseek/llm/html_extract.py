@@ -36,8 +36,9 @@ DEPTH = 32  # nearest elements around a block that describe it
 # end an open one of the same kind (fixed by HTML).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
-                   "strike strong sub sup time tt u var wbr".split())
-SILENT = frozenset("script style noscript template svg math iframe object textarea select".split())
+                   "strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow msub msup msubsup mfrac msqrt mroot mstyle semantics".split())
+SILENT = frozenset("script style textarea select".split())
+UNENDING = frozenset("script style".split())  # without an end tag these go to the end of the page
 CLOSES = {"p": ("p",), "li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
@@ -83,12 +84,13 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order: white space is one space, character references are decoded, blank blocks are left out.
 
-    Unclosed and stray tags are put up with; what stands in scripts, styles and the like is no text.
+    Unclosed and stray tags are put up with; what stands in scripts, styles and form controls is no text.
     """
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
     linked, silent = 0, ""
+    endless: set[str] = set()  # form controls that no end tag follows any more
 
     def flush() -> None:
         nonlocal linked
@@ -109,9 +111,11 @@ def blocks(page: str) -> list[Block]:
 
     at, end = 0, len(page)
     while at < end:
-        if silent:  # skip to the end tag, or to the end of the page
+        if silent:  # skip to the end tag; a form control without one is read on from its start tag
             found = re.compile(f"</{silent}\\b[^>]*>", re.I).search(page, at)
-            at, silent = (found.end() if found else end), ""
+            if not found and silent not in UNENDING:
+                endless.add(silent)
+            at, silent = (found.end() if found else end if silent in UNENDING else at), ""
             continue
         found = _TOKEN.match(page, at)
         if found is None:  # a tag that never ends
@@ -137,7 +141,7 @@ def blocks(page: str) -> list[Block]:
                     break
             continue
         if tag in SILENT:
-            silent = "" if attributes.endswith("/") else tag
+            silent = "" if attributes.endswith("/") or tag in endless else tag
             continue
         if tag in ENDS_P:
             close(("p",))

@@ -120,6 +120,14 @@ def test_blocks_of_a_page():
     assert [b.text for b in html_extract.blocks("x<script>never ends <p>y")] == ["x"]
 
 
+def test_only_scripts_styles_and_form_controls_are_silent():
+    page = ("<article><p>Mass is <math><mi>m</mi><mo>=</mo><mn>2</mn></math> here</p><noscript><p>Fallback</p></noscript><object>No plug-in</object>"
+            "<template><p>Kept</p></template><svg><text>Label</text></svg><iframe>Frame</iframe><select><option>a</select><textarea>b</textarea><style>c</style></article>")
+    assert [b.text for b in html_extract.blocks(page)] == ["Mass is m=2 here", "Fallback", "No plug-in", "Kept", "Label", "Frame"]
+    for tag in ("math", "object", "noscript", "template", "svg", "iframe", "select", "textarea"):
+        assert [b.text for b in html_extract.blocks(f"<p>x</p><{tag}><p>y</p><{tag}><p>z</p>")] == ["x", "y", "z"]
+
+
 def test_articles_of_held_back_pages(spark):
     pages = read(spark, "pages").withColumn("text", F.lit("clash")).withColumn("key", F.lit(1))
     network = html_extract.train(pages, sample=60)
