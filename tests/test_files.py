@@ -137,3 +137,13 @@ def test_bulk_register(spark, tmp_path):
     assert {r["success"]: r["files"] for r in counts.collect()} == {True: 8, False: 2}
     one = rows.where("name = 'b.MD'").first()
     assert one["tags"] == ["x", "y"] and one["original_url"] == "https://h/b" and one["source_path"].endswith("b.MD")
+
+
+def test_empty_files_in_hidden_folders_are_left_out(spark, tmp_path):
+    for name in ("a.txt", "_logs/b.txt", ".git/c.txt", "x/_y/z/d.txt", "x/_k=1/e.txt", "x/f.txt", "_g.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"")
+        (tmp_path / name).with_suffix(".md").write_bytes(b"full")
+    empty = {r["name"] for r in files.scan_files(spark, str(tmp_path)).where("size = 0").collect()}
+    full = {r["name"] for r in files.scan_files(spark, str(tmp_path)).where("size > 0").collect()}
+    assert empty == {n.replace(".md", ".txt") for n in full} == {"a.txt", "e.txt", "f.txt"}
