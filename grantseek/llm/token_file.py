@@ -16,6 +16,7 @@ task leaves nothing behind, whatever store holds the files.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,13 +36,15 @@ MAGIC, VERSION = b"TOKENIDS", 1
 HEAD = struct.Struct("<8sHHIIIQQQq")
 SEGMENT = 8 << 20  # ids from which on a segment ends, after a whole document
 RANGE_BYTES = 32 << 20  # of text in a file
-REMEMBER = 400_000  # words that a task keeps
+REMEMBER = 600_000  # words that a task keeps
 
 
 class WordEncoder:
     """Ids of whole texts under a ``tokenizers`` file that drops white space and joins nothing across it.
 
-    Each word between spaces or line feeds goes through the library once; its ids are kept packed.
+    Each word between spaces or line feeds goes through the library once; its ids are kept packed. A word of plain letters,
+    with or without marks behind them, is what the library's normaliser and splitter leave as it is, but for its case: its
+    letters go to the library's model directly.
     """
 
     def __init__(self, path: str, end_id: int | None):
@@ -51,35 +54,66 @@ class WordEncoder:
         self.width = 2 if max(self._library.get_vocab_size(True), (end_id or 0) + 1) <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.end = b"" if end_id is None else self.pack([end_id])
-        for probe in ("ab cd", "'s 's", "x́ ́y", "1 2", "<|endoftext|> <|end", " a\n\nb ", "ff e. \n'T"):
-            parts = [i for word in probe.replace("\n", " ").split(" ") for i in self._ids([word])[0]]
-            if self._ids([probe])[0] != parts:
+        for probe in ("ab cd", "'s 's", "x\u0301 \u0301y", "1 2", "<|endoftext|> <|end", " a\n\nb ", "ff e. \n'T"):
+            if self._ids(probe) != [i for word in probe.replace("\n", " ").split(" ") for i in self._ids(word)]:
                 raise ValueError("the vocabulary joins characters across white space; words have no ids of their own")
-        self._known = {"": b""}
+        self._direct = all(self._ids(w) == self._model_ids(w.lower()) for w in _PROBES) and all(
+            self._ids(w + t) == self._ids(w) + self._ids(t) for w in _PROBES for t in _MARKS)
+        self._words, self._letters = _Known(self._word), _Known(self._model_packed)
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [found.ids for found in self._library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, text: str) -> list[int]:
+        return self._library.encode(text, add_special_tokens=False).ids
+
+    def _model_ids(self, letters: str) -> list[int]:
+        return [token.id for token in self._library.model.tokenize(letters.encode().decode("latin-1").translate(_VISIBLE))]
+
+    def _model_packed(self, letters: str) -> bytes:
+        return self.pack(self._model_ids(letters))
+
+    def _word(self, word: str) -> bytes:
+        if self._direct and (plain := _PLAIN(word)):
+            letters, marks = plain.groups()
+            return (self._letters[letters.lower()] if letters else b"") + (self._words[marks] if letters and marks else self.pack(self._ids(marks)) if marks else b"")
+        return self.pack(self._ids(word))
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text, the end id behind them."""
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        known = self._known
-        fresh = list(set().union(*split).difference(known))
-        if len(known) + len(fresh) > REMEMBER:
-            known.clear()
-            known[""] = b""
-            fresh = list(set().union(*split).difference(known))
-        for k in range(0, len(fresh), 10_000):
-            some = fresh[k: k + 10_000]
-            known.update(zip(some, map(self.pack, self._ids(some)), strict=True))
-        out = [b"".join(map(known.__getitem__, words)) + self.end for words in split]
-        for word in fresh:
-            if len(word) > 64:
-                del known[word]
-        return out
+    def encode(self, text: str) -> bytes:
+        """Packed ids of a whole text, the end id behind them."""
+        return b"".join(map(self._words.__getitem__, text.replace("\n", " ").split(" "))) + self.end
+
+
+class _Known(dict):
+    """What ``make`` gives for a word; made when first asked for, forgotten when there are too many."""
+
+    def __init__(self, make):
+        super().__init__()
+        self._make = make
+
+    def __missing__(self, word: str) -> bytes:
+        packed = self._make(word)
+        if len(word) <= 64:
+            if len(self) >= REMEMBER:
+                self.clear()
+            self[word] = packed
+        return packed
+
+
+# Letters of Latin-1, which are in normal form alone and beside each other, then ASCII marks and digits.
+_PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*)([!-@\[-`{-~]*)").fullmatch
+_PROBES = ("a", "The", "straße", "ÀÉÿþ", "Æther", "xylophonically", "é", "QQQQ")
+_MARKS = (",", "'", "...", "!?", "1", "'12", "$$$", "</", "<|")
+
+
+def _visible_bytes() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it is visible, else the next free one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_VISIBLE = _visible_bytes()
 
 
 @lru_cache(maxsize=2)
@@ -150,7 +184,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
         for batch in batches:
             column = batch.column(1)
             for a, b in slabs(text_bytes(column)[1], 4 << 20):
-                for name, ids in zip(batch.column(0).slice(a, b - a).to_pylist(), coder.encode([text or "" for text in column.slice(a, b - a).to_pylist()]), strict=True):
+                for name, text in zip(batch.column(0).slice(a, b - a).to_pylist(), column.slice(a, b - a).to_pylist(), strict=True):
+                    ids = coder.encode(text or "")
                     names.append(name)
                     packed.append(ids)
                     held += len(ids)

@@ -51,7 +51,15 @@ AWKWARD = st.text(alphabet=st.sampled_from(list("aAbeéÉ'stTrev́İΣςﬁ1２
 def test_words_have_the_ids_of_the_library(texts):
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
     coder = token_file.loaded(PATH, 2)
-    assert [np.frombuffer(p, coder.dtype).tolist() for p in coder.encode(texts)] == [ids_of(t) for t in texts]
+    assert [np.frombuffer(coder.encode(t), coder.dtype).tolist() for t in texts] == [ids_of(t) for t in texts]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("aAtTsSzßÀÿÖéµ×'.,!1$<|>")), max_size=12), max_size=8))
+def test_plain_words_go_to_the_model(words):
+    coder = token_file.loaded(PATH, 2)
+    assert coder._direct
+    assert np.frombuffer(coder.encode(" ".join(words)), coder.dtype).tolist() == ids_of(" ".join(words))
 
 
 def test_a_segment_gives_single_documents():
@@ -105,7 +113,7 @@ def test_one_text_of_30_mb_and_many_segments(spark, monkeypatch):
     long = " ".join(f"w{i % 977} the" for i in range(4_000_000))
     assert len(long) > 30_000_000
     coder = token_file.loaded(PATH, 2)
-    packed = coder.encode([long])[0]
+    packed = coder.encode(long)
     period = " ".join(f"w{i} the" for i in range(977))
     ids = np.array(ids_of(period)[:-1], "<u2")
     whole = np.frombuffer(packed, "<u2")
