@@ -7,8 +7,9 @@ from collections.abc import Callable
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from grantseek.llm import bpe, exact_dedup, html_extract, language_id, mixing, neighbours, ngram_join, repeats, token_counts, token_file, toxicity
+from grantseek.llm import bpe, exact_dedup, html_extract, language_id, mixing, neighbours, ngram_join, periodic, repeats, token_counts, token_file, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,6 +88,26 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.file_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def _repeated_tails(docs: DataFrame) -> DataFrame:
+    """The texts in which op12 looks for runs: in one of ten, picked by its id, the words from one on repeat with a period."""
+    words, n = F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)"), F.size("words").cast("long")
+    hash_ = F.crc32(F.col("doc_id").cast("string"))
+    picked = docs.select("doc_id", "text", hash_.alias("h"), F.when(F.pmod(hash_, F.lit(10)) == 0, words).alias("words"))
+    g = F.floor(F.col("h") / 10)
+    start = picked.select("doc_id", "text", "words", g.alias("g"), F.pmod(g, F.greatest(n, F.lit(1))).alias("a"), n.alias("n"))
+    period = F.lit(1) + F.floor((F.col("n") - F.col("a")) / (F.lit(3) + F.pmod("g", F.lit(8))))
+    planned = start.withColumn("p", period)
+    tail, times = F.slice("words", (F.col("a") + 1).cast("int"), F.col("p").cast("int")), F.ceil((F.col("n") - F.col("a")) / F.col("p"))
+    repeated = F.slice(F.flatten(F.array_repeat(tail, times.cast("int"))), F.lit(1), (F.col("n") - F.col("a")).cast("int"))
+    whole = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), repeated), " ")
+    return planned.select("doc_id", F.when(F.col("n") > 0, whole).otherwise(F.col("text")).alias("text"))
+
+
+@_query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(_repeated_tails(_table(spark, sf_dir, "documents")))
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
