@@ -14,8 +14,10 @@ least distance is the run's period; every multiple of it ends at the same words.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -282,13 +284,10 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list[byt
         names, column = batch.column(0), batch.column(1)
         data, rows = text_bytes(column)
         for a, b in slabs(rows, SLAB):
-            number: dict[bytes, int] = {}
+            number: dict[bytes, int] = defaultdict(count(1).__next__)
             words, codes = [], []
             for k in range(a, b):
                 found = data[rows[k]: rows[k + 1]].tobytes().split()  # at the six bytes of ASCII white space
-                for word in found:
-                    if word not in number:
-                        number[word] = len(number) + 1
                 words.append(found)
                 codes.append(np.fromiter(map(number.__getitem__, found), np.int64, len(found)))
             bounds = np.concatenate([[0], np.cumsum([len(c) for c in codes])])

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantseek.llm import bpe, exact_dedup, html_extract, language_id, mixing, neighbours, ngram_join, periodic, repeats, token_counts, token_file, toxicity
+from grantseek.llm import bpe, conversations, exact_dedup, html_extract, language_id, mixing, neighbours, ngram_join, periodic, repeats, token_counts, token_file, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,6 +108,24 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(_repeated_tails(_table(spark, sf_dir, "documents")))
 
 
+def _damaged(table: DataFrame) -> DataFrame:
+    """The turns that op13 repairs: some are dropped, emptied, cut, repeated or given to the user, picked by conversation and turn."""
+    blank = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(F.col("turn").cast("string"), blank))
+    kind, text = F.pmod(F.crc32(key), F.lit(20)), F.coalesce("text", blank)
+    rows = table.where(kind != 0).select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(F.coalesce("role", blank)).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(F.when(kind == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"))
+    return rows.drop("copy")
+
+
+@_query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "conversations")
+    return conversations.Repair(_damaged(table)).report(table)
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
