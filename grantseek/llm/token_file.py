@@ -35,8 +35,8 @@ from grantseek.llm.textbytes import slabs, text_bytes
 MAGIC, VERSION = b"TOKENIDS", 1
 HEAD = struct.Struct("<8sHHIIIQQQq")
 SEGMENT = 8 << 20  # ids from which on a segment ends, after a whole document
-RANGE_BYTES = 32 << 20  # of text in a file
-REMEMBER = 600_000  # words that a task keeps
+RANGE_BYTES = 12 << 20  # of text in a file
+WORDS, LETTERS = 200_000, 500_000  # words as they stand, and runs of letters, that a task keeps
 
 
 class WordEncoder:
@@ -59,7 +59,7 @@ class WordEncoder:
                 raise ValueError("the vocabulary joins characters across white space; words have no ids of their own")
         self._direct = all(self._ids(w) == self._model_ids(w.lower()) for w in _PROBES) and all(
             self._ids(w + t) == self._ids(w) + self._ids(t) for w in _PROBES for t in _MARKS)
-        self._words, self._letters = _Known(self._word), _Known(self._model_packed)
+        self._words, self._letters = _Known(self._word, WORDS), _Known(self._model_packed, LETTERS)
 
     def _ids(self, text: str) -> list[int]:
         return self._library.encode(text, add_special_tokens=False).ids
@@ -87,14 +87,14 @@ class WordEncoder:
 class _Known(dict):
     """What ``make`` gives for a word; made when first asked for, forgotten when there are too many."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self._make = make
+        self._make, self._most = make, most
 
     def __missing__(self, word: str) -> bytes:
         packed = self._make(word)
         if len(word) <= 64:
-            if len(self) >= REMEMBER:
+            if len(self) >= self._most:
                 self.clear()
             self[word] = packed
         return packed
