@@ -52,6 +52,23 @@ def corpus_stats(chunks: DataFrame) -> CorpusStats:
     return CorpusStats(cut_lineage(corpus_totals(chunks)), cut_lineage(document_frequencies(build_postings(chunks))))
 
 
+@dataclass(frozen=True)
+class StoredPostings:
+    """A stored lexical index as a keyword search reads it.
+
+    postings: token, dl, chunk_id, document_id in files that lie in order of (token, dl). lexicon: chunk_id, document_id, lex.
+    """
+
+    postings: DataFrame
+    lexicon: DataFrame
+    n_chunks: int
+    n_tokens: int
+
+    @property
+    def avg_dl(self) -> float:
+        return self.n_tokens / self.n_chunks if self.n_tokens else 1.0
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, scope_id, token) for questions that do not carry terms yet."""
     terms = F.col("terms") if "terms" in queries.columns else text.query_tokens(F.col("question"))
@@ -60,7 +77,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def bm25_search(
-    postings: DataFrame, queries: DataFrame, stats: CorpusStats, audience: DataFrame | None = None,
+    postings: DataFrame | StoredPostings, queries: DataFrame, stats: CorpusStats, audience: DataFrame | None = None,
     limit: int = KEYWORD_LIMIT,
 ) -> DataFrame:
     """Best ``limit`` chunks per request by Okapi BM25 over any matching term.
@@ -69,7 +86,9 @@ def bm25_search(
     scope ids) restricts hits to documents the request may search. Request terms
     are broadcast, at most one pass of them, so a frequent token is never a join
     key of a shuffle. With postings bucketed by chunk the sum needs no shuffle
-    either, and each task sends on at most ``limit`` rows per request.
+    either, and each task sends on at most ``limit`` rows per request. With
+    ``StoredPostings`` only the postings that can still reach the answer are
+    read (see ``ranked``); the answer is the same.
     """
     found = None
     for part in split_passes(queries, "query_id"):
@@ -79,9 +98,12 @@ def bm25_search(
 
 
 def bm25_pass(
-    postings: DataFrame, queries: DataFrame, stats: CorpusStats, audience: DataFrame | None, limit: int,
+    postings: DataFrame | StoredPostings, queries: DataFrame, stats: CorpusStats, audience: DataFrame | None, limit: int,
 ) -> DataFrame:
     """The search for one pass of requests."""
+    if isinstance(postings, StoredPostings):
+        from grantseek.operators import ranked
+        return ranked.bounded_pass(postings, queries, stats.frequencies, audience, limit)
     row = stats.totals.first()
     n_chunks, avg_dl = int(row["n_chunks"]), float(row["avg_dl"] or 0.0) or 1.0
     terms = query_terms(queries)

@@ -11,27 +11,33 @@ from grantseek.plans import ingest, retrieval
 from workload.registry import query
 
 
-def chunks_of(t):
-    """The index as it is stored: tokens made once, when chunks are written."""
-    return t.bucketed("index_chunk", lambda: lexical.with_tokens(t.chunk))
+def chunk_index(t):
+    """The vector index as it is stored: tokens, postings and statistics are made when chunks are written."""
+    return t.index("chunk_index", lambda store: store.commit(t.chunk))
 
 
-def lines_of(t):
+def line_index(t):
     lines = chunking.line_chunks(t.document.select("document_id", "kb_id", "text"), "text")
-    return t.bucketed("index_line", lambda: lexical.with_tokens(lines))
+    named = lines.withColumn("dataset_id", F.concat(F.lit("ds"), F.col("kb_id").cast("string")))
+    return t.index("line_index", lambda store: store.commit(named))
 
 
-def stats_of(t, name, chunks):
-    """Index statistics as they are stored beside the index."""
-    return lexical.CorpusStats(
-        t.stored(f"{name}_totals", lambda: lexical.corpus_totals(chunks)),
-        t.stored(f"{name}_frequencies", lambda: lexical.document_frequencies(lexical.build_postings(chunks))))
+def renewed_index(t):
+    """The same after commits that replace, remove and bring back documents, of datasets whose names look like numbers."""
+    number = F.col("document_id").cast("bigint")
+    kb = number % 25
+    chunks = t.chunk.withColumn("dataset_id", F.when(kb == 7, "007").when(kb == 8, "1e5").otherwise(F.concat(F.lit("ds"), kb.cast("string"))))
+    renewed = chunks.withColumn("content", F.concat(F.lit("renewed tion "), "content"))
+    return t.index(
+        "renewed_index", lambda store: store.commit(chunks.where(number % 3 != 2)), lambda store: store.commit(renewed.where(number % 5 == 0)),
+        lambda store: store.commit(removed=chunks.where(number % 7 == 0)),
+        lambda store: store.commit(chunks.where((number % 3 == 2) & (number % 7 == 0))), lambda store: store.compact(2))
 
 
 def index_of(t):
     """(chunks, postings, statistics) of the vector index."""
-    chunks = chunks_of(t)
-    return chunks, lexical.build_postings(chunks), stats_of(t, "chunk", chunks)
+    snapshot = chunk_index(t)
+    return snapshot.chunks(), snapshot.stored_postings(), snapshot.stats()
 
 
 def requests_of(t):
@@ -136,17 +142,46 @@ def _(t):
 
 @query("l1_build_postings", "SELECT token, chunk_id, document_id, CAST(dl AS INT) AS dl FROM d_posting")
 def _(t):
-    return lexical.build_postings(lines_of(t))
+    return line_index(t).postings().select("token", "chunk_id", "document_id", "dl")
 
 
 @query("l2_document_frequencies", "SELECT token, count(*) AS df FROM d_posting GROUP BY token")
 def _(t):
-    return lexical.document_frequencies(lexical.build_postings(lines_of(t)))
+    return lexical.document_frequencies(line_index(t).postings())
 
 
 @query("l2_corpus_totals", "SELECT count(*) AS n_chunks, round(avg(len(lex)), 9) AS avg_dl FROM d_lex")
 def _(t):
-    return lexical.corpus_totals(lines_of(t)).withColumn("avg_dl", F.round("avg_dl", 9))
+    return lexical.corpus_totals(line_index(t).chunks()).withColumn("avg_dl", F.round("avg_dl", 9))
+
+
+@query("l2_maintained_frequencies", "SELECT token, count(*) AS df FROM d_kept_posting GROUP BY token")
+def _(t):
+    """Kept by commits, never counted again."""
+    return renewed_index(t).frequencies()
+
+
+@query("l2_maintained_totals", "SELECT count(*) AS n_chunks, round(avg(len(lex)), 9) AS avg_dl FROM d_kept_lex")
+def _(t):
+    return renewed_index(t).totals().withColumn("avg_dl", F.round("avg_dl", 9))
+
+
+@query("s13_committed_chunks", "SELECT dataset_id, document_id, chunk_id, content FROM d_kept_chunk")
+def _(t):
+    return renewed_index(t).chunks().select("dataset_id", "document_id", "chunk_id", "content")
+
+
+@query("s13_committed_search", """
+SELECT query_id, chunk_id, document_id, kw, CAST(row_number() OVER (PARTITION BY query_id ORDER BY kw DESC, chunk_id) AS INT) AS kw_rank FROM (
+ SELECT t.query_id, p.chunk_id, p.document_id,
+  round(sum(greatest(ln((s.n - f.df + 0.5) / (f.df + 0.5)), 0.000001)) * 2.2 / (1.0 + 1.2 * (0.25 + 0.75 * p.dl / s.avgdl)), 6) AS kw
+ FROM d_term t JOIN d_kept_posting p ON p.token = t.token JOIN (SELECT token, CAST(count(*) AS DOUBLE) AS df FROM d_kept_posting GROUP BY token) f ON f.token = t.token
+ CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(lex)) AS avgdl FROM d_kept_lex) s
+ GROUP BY t.query_id, p.chunk_id, p.document_id, p.dl, s.avgdl) QUALIFY kw_rank <= 200""")
+def _(t):
+    """Keyword search over what the last commit left."""
+    snapshot = renewed_index(t)
+    return lexical.bm25_search(snapshot.stored_postings(), t.request, snapshot.stats())
 
 
 @query("l3_bm25_search", """
@@ -165,8 +200,8 @@ SELECT query_id, chunk_id, document_id, kw, rn AS kw_rank FROM (
   CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(lex)) AS avgdl FROM d_lex) s
   GROUP BY t.query_id, p.chunk_id, p.document_id, p.dl, s.avgdl)) WHERE rn <= 200""")
 def _(t):
-    chunks = lines_of(t)
-    return lexical.bm25_search(lexical.build_postings(chunks), t.request, stats_of(t, "line", chunks))
+    snapshot = line_index(t)
+    return lexical.bm25_search(snapshot.stored_postings(), t.request, snapshot.stats())
 
 
 @query("l3_bm25_scoped", "SELECT query_id, chunk_id, document_id, kw FROM d_kw_scoped")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from grantseek.common import ensure_checkpoint_dir
 from grantseek.sources.index import save_bucketed
+from grantseek.sources.store import IndexStore, Snapshot
 
 BASE = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
         "conversations").split()
@@ -204,6 +205,16 @@ SELECT scope_id, document_id FROM d_visible UNION SELECT scope_id, document_id F
 SELECT user_id AS scope_id, user_id, role, tag FROM fx_user WHERE user_id IN (SELECT user_id FROM fx_exposure)""",
     "d_scope_kb_u": """
 SELECT s.scope_id, d.kb_id, s.role = 'admin' AS is_admin FROM d_scope_u s JOIN d_readable d ON d.user_id = s.user_id""",
+    # an index after four commits: some documents, others renewed, some removed, some back
+    "d_kept_chunk": """
+SELECT concat(CAST(v AS STRING), '-0000') AS chunk_id, CAST(v AS STRING) AS document_id,
+ CASE v % 25 WHEN 7 THEN '007' WHEN 8 THEN '1e5' ELSE concat('ds', CAST(v % 25 AS STRING)) END AS dataset_id,
+ CASE WHEN v % 7 <> 0 AND v % 5 = 0 THEN concat('renewed tion ', text) ELSE text END AS content
+ FROM (SELECT e.vec_id AS v, d.text FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id)
+ WHERE CASE WHEN v % 7 = 0 THEN v % 3 = 2 WHEN v % 5 = 0 THEN true ELSE v % 3 <> 2 END""",
+    "d_kept_lex": """
+SELECT chunk_id, document_id, list_distinct(list_transform(regexp_extract_all(content, '[0-9A-Za-z_]+'), lambda x: lower(x))) AS lex FROM d_kept_chunk""",
+    "d_kept_posting": "SELECT unnest(lex) AS token, chunk_id, document_id, len(lex) AS dl FROM d_kept_lex",
     # search
     "d_stat": "SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(lex)) AS avgdl FROM d_chunk_lex",
     "d_df": "SELECT token, CAST(count(*) AS DOUBLE) AS df FROM d_chunk_posting GROUP BY token",
@@ -329,6 +340,16 @@ class Tables:
             _STORED[key] = f"index_{ident}"
         return self.spark.table(_STORED[key])
 
+    def index(self, name: str, *commits) -> Snapshot:
+        """A stored index made by these commits, each a function of the store, once per session and scale factor."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STORED:
+            store = IndexStore(self.spark, f"{ensure_checkpoint_dir(self.spark)}/tables/{uuid.uuid4().hex}", buckets=16)
+            for commit in commits:
+                commit(store)
+            _STORED[key] = store.snapshot()
+        return _STORED[key]
+
     def __getattr__(self, name: str) -> DataFrame:
         if f"fx_{name}" in FX:
             return self.stored(name, lambda: fx(self.spark, self.sf_dir, f"fx_{name}"))
