@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grantseek.common import TOP_K, split_passes, top_k
+from grantseek.operators.best import Best, Floor
 
 EMBED_BATCH = 16  # fixed value: texts per encoder call
 
@@ -82,27 +83,6 @@ def _ragged(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.repeat(np.arange(len(column)), lengths), column.flatten()
 
 
-class _Best:
-    """Running best ``k`` chunks per request inside one task."""
-
-    def __init__(self, k: int, by_id: bool):
-        self.k, self.by_id, self.frames = k, by_id, []
-        self.held = 0
-
-    def add(self, frame: pd.DataFrame) -> None:
-        self.frames.append(frame)
-        self.held += len(frame)
-        if self.held > 200_000:
-            self.frames = [self.result()]
-            self.held = len(self.frames[0])
-
-    def result(self) -> pd.DataFrame:
-        rows = pd.concat(self.frames, ignore_index=True)
-        keys, up = (["query_id", "chunk_id"], [True, True]) if self.by_id else (
-            ["query_id", "score", "chunk_id"], [True, False, True])
-        return rows.sort_values(keys, ascending=up, kind="stable").groupby("query_id", sort=False).head(self.k)
-
-
 def score_pass(
     chunks: DataFrame, queries: DataFrame, *, k: int, threshold: float | None = None, rank_by_id: bool = False,
 ) -> DataFrame:
@@ -130,7 +110,8 @@ def score_pass(
     floor = -np.inf if threshold is None else threshold
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(k, rank_by_id)
+        best = Best(k, rank_by_id)
+        needed = [Floor(k, np.full(len(g[2]), floor)) for g in groups]
         stats: dict[int, list[float]] = {}
         for batch in batches:
             table = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
@@ -144,7 +125,7 @@ def score_pass(
             docs = table["document_id"].to_numpy(zero_copy_only=False)
             aud = _ragged(table["audience"]) if "audience" in table else None
             hit = _ragged(table["hits"]) if "hits" in table else None
-            for model, dim, query_ids, scope_ids, mat in groups:
+            for (model, dim, query_ids, scope_ids, mat), enough in zip(groups, needed, strict=True):
                 rows = np.flatnonzero((dims == dim) & (models == model))
                 if not len(rows):
                     continue
@@ -163,10 +144,9 @@ def score_pass(
                     col = scores[allowed[:, j], j]
                     n, lo, hi = stats.get(query_ids[j], (0, np.inf, -np.inf))
                     stats[query_ids[j]] = (n + len(col), min(lo, col.min()), max(hi, col.max()))
-                r, j = np.nonzero(allowed & (scores >= floor))
-                if len(r) and k:
-                    best.add(pd.DataFrame({"query_id": query_ids[j], "chunk_id": ids[rows[r]],
-                                           "document_id": docs[rows[r]], "score": scores[r, j]}))
+                if k:
+                    r, j = np.nonzero(allowed & (scores >= floor) if rank_by_id else enough.fits(scores, allowed))
+                    best.add(query_ids[j], ids[rows[r]], docs[rows[r]], scores[r, j])
                 if hit is not None and len(hit[0]):
                     place = np.full(batch.num_rows, -1)
                     place[rows] = np.arange(len(rows))
@@ -181,9 +161,9 @@ def score_pass(
         if stats:
             yield _rows("stat", len(stats), query_id=list(stats), n=[v[0] for v in stats.values()],
                         lo=[v[1] for v in stats.values()], hi=[v[2] for v in stats.values()])
-        if best.frames:
-            top = best.result()
-            yield _rows("top", len(top), **{c: top[c].tolist() for c in top.columns})
+        query, chunk, document, score = best.rows()
+        if len(query):
+            yield _rows("top", len(query), query_id=query, chunk_id=chunk, document_id=document, score=score)
 
     wanted = [c for c in ("chunk_id", "document_id", "embedding", "audience", "hits", "model") if c in has]
     if not groups:

@@ -4,29 +4,36 @@ A token counts once in a chunk, so the score of a chunk with ``dl`` tokens is th
 factor that falls with ``dl``. With the tokens of a request in order of idf, a chunk whose first token is the j-th
 scores at most the sum of the next ``dl`` of them from the j-th on, times the factor. This gives two rounds:
 
-1. The rarest tokens, until they have some times ``limit`` postings. The chunks found get their whole score from their own
-   tokens; the ``limit``-th best is a floor that the answer cannot be below.
+1. The chunks of the rarest tokens, until these have some times ``limit`` postings. They get their whole score for every request of the
+   pass from their own tokens; the ``limit``-th best of a request is a floor that its answer cannot be below.
 2. Of every other token only the postings of lengths at which the bound reaches the floor. A chunk of the answer has a first token,
-   and its posting is among them. Chunks found get their whole score in the same way.
+   and its posting is among them. The chunks found get their whole score in the same way.
 
-Postings are stored in order of (token, dl): the tokens of a pass skip row groups, and so do the lengths.
+Postings are stored in order of (token, dl): the tokens of a pass skip row groups, and so do the lengths. Scores of a batch of chunks are
+a sparse product: tokens of the chunks with the weights of the requests.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grantseek.common import cut_lineage, top_k
 from grantseek.operators import lexical
+from grantseek.operators.best import Best, Floor
 
 FIRST = 5  # times the limit: postings of the first round
 CLOSE = 2e-6  # scores are rounded to six places; a bound this much below the floor may still round up to it
-BROADCAST_CHUNKS = 500_000  # chunks with their requests that are sent to every task at most; more are joined by a shuffle
-TERMS = "token string, query_id bigint, scope_id bigint, least int, most int"
+BROADCAST_CHUNKS = 500_000  # chunk ids that are sent to every task at most; more are joined by a shuffle
+CELLS = 1 << 20  # of the largest matrix in a task
+ANY = (0, 2**31 - 1)  # every length
+FOUND = "query_id bigint, chunk_id string, document_id string, kw double"
 
 
 def idf(df: int, n_chunks: int) -> float:
@@ -77,7 +84,7 @@ def _pass_requests(index: lexical.StoredPostings, queries: DataFrame, frequencie
     """Requests of a pass with the frequencies of their tokens: at most a pass times 32 rows reach the driver."""
     asked = lexical.query_terms(queries).collect()
     tokens = sorted({r["token"] for r in asked})
-    known = {r["token"]: r["df"] for r in frequencies.where(F.col("token").isin(tokens)).collect()} if tokens else {}
+    known = {r["token"]: r["df"] for r in frequencies.where(one_of("token", tokens)).collect()} if tokens else {}
     by: dict[tuple[int, int], list[tuple[str, int]]] = {}
     for r in asked:
         by.setdefault((r["query_id"], r["scope_id"]), [])
@@ -86,45 +93,102 @@ def _pass_requests(index: lexical.StoredPostings, queries: DataFrame, frequencie
     return [_Request(q, s, found, index.n_chunks) for (q, s), found in by.items() if found]
 
 
-def matching(index: lexical.StoredPostings, terms: list[tuple]) -> DataFrame:
-    """Postings of the terms (see TERMS): the tokens and the greatest length are filters of the scan."""
-    spark = index.postings.sparkSession
-    rows = index.postings.where(F.col("token").isin(sorted({t[0] for t in terms})) & (F.col("dl") <= max(t[4] for t in terms)))
-    wanted = F.broadcast(spark.createDataFrame(terms, TERMS))  # at most a pass times 32 rows
-    return rows.join(wanted, "token").where(F.col("dl").between(F.col("least"), F.col("most")))
+def one_of(column: str, values: Sequence[str]):
+    """``column IN (...)`` as text: thousands of values are one call."""
+    quoted = ",".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+    return F.expr(f"{column} IN ({quoted})")
 
 
-def _scored(index: lexical.StoredPostings, found: DataFrame, requests: list[_Request]) -> DataFrame:
-    """(query_id, chunk_id, document_id, kw) for pairs of request and chunk, from the chunk's own tokens."""
-    spark = found.sparkSession
-    by_chunk = cut_lineage(found.groupBy("chunk_id", "document_id").agg(F.collect_set("query_id").alias("queries")))
-    side = F.broadcast(by_chunk) if by_chunk.count() <= BROADCAST_CHUNKS else by_chunk
-    weights = spark.createDataFrame([(r.query_id, [t[1] for t in r.tokens], {t[1]: t[0] for t in r.tokens}) for r in requests],
-                                    "query_id bigint, tokens array<string>, idf map<string,double>")
-    pairs = index.lexicon.join(side, ["chunk_id", "document_id"]).select("chunk_id", "document_id", "lex", F.explode("queries").alias("query_id"))
-    shared = pairs.join(F.broadcast(weights), "query_id")
-    whole = F.aggregate(F.array_intersect("lex", "tokens"), F.lit(0.0), lambda sum_, token: sum_ + F.element_at("idf", token))
-    length = F.lit(1.0) + F.lit(lexical.K1) * (F.lit(1.0 - lexical.B) + F.lit(lexical.B) * F.size("lex") / F.lit(index.avg_dl))
-    return shared.select("query_id", "chunk_id", "document_id", F.round(whole * F.lit(lexical.K1 + 1.0) / length, 6).alias("kw"))
-
-
-def _allowed(rows: DataFrame, audience: DataFrame | None) -> DataFrame:
-    """Without chunks of documents that the request may not search."""
-    if audience is None:
+def matching(postings: DataFrame, terms: dict[str, tuple[int, int]]) -> DataFrame:
+    """Postings of the tokens at the lengths that go with them; tokens and the greatest length are filters of the scan."""
+    rows = postings.where(one_of("token", sorted(terms)))
+    if all(reach == ANY for reach in terms.values()):
         return rows
-    return rows.join(audience, "document_id").where(F.array_contains("audience", F.col("scope_id"))).drop("audience")
+    rows = rows.where((F.col("dl") >= min(r[0] for r in terms.values())) & (F.col("dl") <= max(r[1] for r in terms.values())))
+    wanted = rows.sparkSession.createDataFrame([(t, *r) for t, r in terms.items()], "token string, least int, most int")
+    return rows.join(F.broadcast(wanted), "token").where(F.col("dl").between(F.col("least"), F.col("most")))  # a pass times 32 rows at most
 
 
-def second_round(requests: list[_Request], taken: dict[int, int], floors: dict[int, float], avg_dl: float) -> list[tuple]:
-    """Terms of the second round with the lengths at which their postings are read."""
-    terms = []
+def _scored(
+    index: lexical.StoredPostings, found: DataFrame, requests: list[_Request], audience: DataFrame | None, limit: int, floors: dict[int, float],
+) -> DataFrame:
+    """(query_id, chunk_id, document_id, kw): the best ``limit`` of each request in each task, not below its floor, of the chunks found."""
+    chunks = cut_lineage(found.select("chunk_id").distinct())
+    side = F.broadcast(chunks) if chunks.count() <= BROADCAST_CHUNKS else chunks
+    rows = index.lexicon.join(side, "chunk_id", "left_semi")
+    if audience is not None:
+        rows = rows.join(audience, "document_id")
+    # The requests of each token and its weight in them: a pass times 32 numbers.
+    pairs = sorted((t[1], q, t[0]) for q, r in enumerate(requests) for t in r.tokens)
+    vocabulary = pa.array(sorted({p[0] for p in pairs}), pa.string())
+    bounds = np.searchsorted(np.array([p[0] for p in pairs]), np.array([*vocabulary.to_pylist()]))
+    bounds, asking, weight = np.append(bounds, len(pairs)), np.array([p[1] for p in pairs]), np.array([p[2] for p in pairs])
+    ids, scopes = np.array([r.query_id for r in requests]), np.array([r.scope_id for r in requests])
+    floor, avg_dl = np.array([floors.get(r.query_id, 0.0) for r in requests]), index.avg_dl
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, needed = Best(limit), Floor(limit, floor)
+        for batch in batches:
+            lex = batch.column(2)
+            lengths = np.nan_to_num(lex.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            code = pc.index_in(lex.flatten(), value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(batch.num_rows), lengths)[code >= 0]
+            code = code[code >= 0]
+            chunk, document = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            listed = batch.column(3) if batch.num_columns > 3 else None
+            step = max(1, CELLS // len(ids))
+            for begin in range(0, batch.num_rows, step):
+                rows = np.arange(begin, min(begin + step, batch.num_rows))
+                part = slice(*np.searchsorted(owner, (begin, begin + step)))
+                times = (bounds[1:] - bounds[:-1])[code[part]]
+                pair = np.repeat(bounds[code[part]] - np.cumsum(times) + times, times) + np.arange(times.sum())
+                cell = np.repeat((owner[part] - begin) * len(ids), times) + asking[pair]
+                scores = np.bincount(cell, weights=weight[pair], minlength=len(rows) * len(ids)).reshape(len(rows), len(ids))
+                scores *= ((lexical.K1 + 1.0) / (1.0 + lexical.K1 * (1.0 - lexical.B + lexical.B * lengths[rows] / avg_dl)))[:, None]
+                scores = np.round(scores, 6)
+                allowed = scores > 0
+                if listed is not None:
+                    allowed &= _allowed(listed, rows, scopes)
+                r, q = np.nonzero(needed.fits(scores, allowed))
+                best.add(ids[q], chunk[rows[r]], document[rows[r]], scores[r, q])
+        query, chunk, document, score = best.rows()
+        yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(chunk, pa.string()), pa.array(document, pa.string()), pa.array(score)],
+                                         ["query_id", "chunk_id", "document_id", "kw"])
+    columns = ["chunk_id", "document_id", "lex", *(["audience"] if audience is not None else [])]
+    return rows.select(*columns).mapInArrow(scan, FOUND)
+
+
+def _allowed(listed: pa.Array, rows: np.ndarray, scopes: np.ndarray) -> np.ndarray:
+    """Whether the scope of each request (columns) is listed beside each of the rows."""
+    some = listed.take(pa.array(rows))
+    who = some.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(rows)), np.nan_to_num(some.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+    known, column = np.unique(scopes, return_inverse=True)
+    at = np.minimum(np.searchsorted(known, who), len(known) - 1)
+    hit = known[at] == who
+    seen = np.zeros((len(rows), len(known)), bool)
+    seen[row[hit], at[hit]] = True
+    return seen[:, column]
+
+
+def first_round(requests: list[_Request], limit: int) -> dict[str, tuple[int, int]]:
+    """The rarest tokens of each request, all lengths."""
+    return {t[1]: ANY for r in requests for t in r.tokens[: r.first(FIRST * limit)]}
+
+
+def second_round(requests: list[_Request], taken: dict[str, tuple[int, int]], floors: dict[int, float], avg_dl: float) -> dict[str, tuple[int, int]]:
+    """The other tokens, with the lengths at which a posting can still lead to an answer of some request."""
+    terms: dict[str, tuple[int, int]] = {}
     for r in requests:
         weights = [t[0] for t in r.tokens]
-        for j in range(taken[r.query_id], len(weights)):
-            if r.query_id not in floors:  # fewer than the limit so far: everything counts
-                terms.append((r.tokens[j][1], r.query_id, r.scope_id, 0, 2**31 - 1))
-            elif reach := lengths_above(weights[j:], floors[r.query_id] - CLOSE, avg_dl):
-                terms.append((r.tokens[j][1], r.query_id, r.scope_id, *reach))
+        for j, (_, token, _) in enumerate(r.tokens):
+            if token in taken:
+                continue
+            # Fewer than the limit so far: everything counts.
+            reach = lengths_above(weights[j:], floors[r.query_id] - CLOSE, avg_dl) if r.query_id in floors else ANY
+            if reach:
+                held = terms.get(token, reach)
+                terms[token] = min(held[0], reach[0]), max(held[1], reach[1])
     return terms
 
 
@@ -134,19 +198,15 @@ def bounded_pass(
     """The best ``limit`` chunks of each request of one pass: query_id, chunk_id, document_id, kw, kw_rank."""
     requests = _pass_requests(index, queries, frequencies)
     if not requests:
-        return index.postings.sparkSession.createDataFrame([], "query_id bigint, chunk_id string, document_id string, kw double, kw_rank int")
-    taken = {r.query_id: r.first(FIRST * limit) for r in requests}
-    terms = [(r.tokens[j][1], r.query_id, r.scope_id, 0, 2**31 - 1) for r in requests for j in range(taken[r.query_id])]
+        return index.postings.sparkSession.createDataFrame([], f"{FOUND}, kw_rank int")
     best = [F.desc("kw"), F.asc("chunk_id")]
-    columns = ["query_id", "chunk_id", "document_id", "kw"]
-    found = _allowed(matching(index, terms), audience)
-    scored = cut_lineage(top_k(_scored(index, found, requests), ["query_id"], best, limit, rank="kw_rank", salts=16))
+    taken = first_round(requests, limit)
+    scored = _scored(index, matching(index.postings, taken), requests, audience, limit, {})
+    scored = cut_lineage(top_k(scored, ["query_id"], best, limit, rank="kw_rank", salts=16))
     floors = {r["query_id"]: r["kw"] for r in scored.where(F.col("kw_rank") == limit).select("query_id", "kw").collect()}  # a row a request
     terms = second_round(requests, taken, floors, index.avg_dl)
     if not terms:
         return scored
-    rest = _scored(index, _allowed(matching(index, terms), audience), requests)
-    least = F.broadcast(scored.sparkSession.createDataFrame(list(floors.items()), "query_id bigint, floor double"))
-    rest = rest.join(least, "query_id", "left").where(F.col("kw") >= F.coalesce("floor", F.lit(0.0))).drop("floor")
-    both = scored.select(*columns).unionByName(rest.select(*columns)).distinct()  # a chunk of both rounds has one score
+    rest = _scored(index, matching(index.postings, terms), requests, audience, limit, floors)
+    both = scored.drop("kw_rank").unionByName(rest).distinct()  # a chunk of both rounds has one score
     return top_k(both, ["query_id"], best, limit, rank="kw_rank", salts=16)

@@ -5,10 +5,11 @@ import random
 import re
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grantseek.operators import lexical, ranked
+from grantseek.operators import best, lexical, ranked
 from grantseek.sources import store as stored
 from grantseek.sources.store import ConcurrentCommit, IndexStore
 
@@ -182,7 +183,7 @@ def test_terms_reach_the_scan_and_skip_row_groups(spark, tmp_path, monkeypatch):
     rows = [("a", str(d), f"{d:05d}", 0, " ".join(f"t{(d * 17 + i) % 3000:04d}" for i in range(12))) for d in range(4000)]
     store.commit(spark.createDataFrame(rows, SCHEMA))
     index = store.snapshot().stored_postings()
-    found = ranked.matching(index, [("t0100", 1, 1, 0, 50), ("t2900", 1, 1, 0, 50)])
+    found = ranked.matching(index.postings, {"t0100": (0, 50), "t2900": (0, 40)})
     text = plan(found)
     assert re.search(r"PushedFilters: \[.*In\(token, \[t0100,t2900\]\)", text) and "LessThanOrEqual(dl,50)" in text
     assert found.count() == sum(t in r[4].split() for r in rows for t in ("t0100", "t2900"))
@@ -237,10 +238,40 @@ def test_bounded_search_touches_few_postings(spark, tmp_path):
     index = snapshot.stored_postings()
     queries = spark.createDataFrame([(q, " ".join(WORDS[:8] + rng.sample(vocabulary, 12))) for q in range(8)], "query_id bigint, question string")
     requests = ranked._pass_requests(index, queries, snapshot.frequencies())
-    taken = {r.query_id: r.first(25) for r in requests}
-    best = lexical.bm25_search(index, queries, snapshot.stats(), limit=5)
-    floors = {r.query_id: r.kw for r in best.where("kw_rank = 5").collect()}
+    answer = lexical.bm25_search(index, queries, snapshot.stats(), limit=5)
+    floors = {r.query_id: r.kw for r in answer.where("kw_rank = 5").collect()}
     whole = sum(t[2] for r in requests for t in r.tokens)
-    read = sum(t[2] for r in requests for t in r.tokens[: taken[r.query_id]]) + (
-        ranked.matching(index, terms).count() if (terms := ranked.second_round(requests, taken, floors, index.avg_dl)) else 0)
+    taken = ranked.first_round(requests, 5)
+    terms = ranked.second_round(requests, taken, floors, index.avg_dl)
+    read = ranked.matching(index.postings, taken).count() + (ranked.matching(index.postings, terms).count() if terms else 0)
     assert read < whole / 10
+
+
+@pytest.mark.parametrize("by_id", [False, True])
+def test_best_rows_of_a_stream(monkeypatch, by_id):
+    monkeypatch.setattr(best, "HELD", 50)
+    rng = random.Random(8)
+    held, rows = best.Best(7, by_id), []
+    for _ in range(60):
+        part = [(rng.randrange(4), f"c{rng.randrange(10**6)}", "d", rng.randrange(5) / 4) for _ in range(rng.randrange(30))]
+        rows += part
+        held.add(*(np.array(c) for c in (zip(*part, strict=True) if part else ([], [], [], []))))
+    want = []
+    for q in range(4):
+        mine = sorted((r for r in rows if r[0] == q), key=(lambda r: r[1]) if by_id else (lambda r: (-r[3], r[1])))
+        want += mine[:7]
+    assert [(int(a), str(b), str(c), float(d)) for a, b, c, d in zip(*held.rows(), strict=True)] == want
+    assert len(best.Best(3).rows()[0]) == 0
+
+
+def test_floor_keeps_every_row_of_the_best():
+    rng = np.random.default_rng(9)
+    floor, kept, scores = best.Floor(5, np.full(3, 0.25)), [], []
+    for n in (2, 40, 0, 7, 60):
+        part = rng.integers(0, 8, (n, 3)) / 8
+        allowed = rng.random((n, 3)) < 0.8
+        kept += list(np.where(floor.fits(part, allowed), part, -1))
+        scores += list(np.where(allowed & (part >= 0.25), part, -1))
+    for q in range(3):
+        assert sorted((r[q] for r in kept), reverse=True)[:5] == sorted((r[q] for r in scores), reverse=True)[:5]
+    assert sum((np.array(kept) >= 0).sum(axis=0)) < sum((np.array(scores) >= 0).sum(axis=0))
