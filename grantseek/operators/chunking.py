@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from grantseek.common import CHUNK_MIN, CHUNK_OVERLAP, CHUNK_SIZE
 from grantseek.functions import arrow, text
@@ -35,6 +37,39 @@ def chunk_sections(
         text.approx_tokens(F.col("_chunk.content")).alias("tokens"))
 
 
+class ChunkText:
+    """Table function ``chunk_text(text [, size [, overlap [, min_size]]])``: ordinal, content, tokens.
+
+    For SQL: ``SELECT d.id, c.* FROM docs d, LATERAL chunk_text(d.text) c``. A missing text gives no row; a size that is
+    missing or null has its default.
+    """
+
+    @staticmethod
+    def analyze(text: AnalyzeArgument, *sizes: AnalyzeArgument) -> AnalyzeResult:
+        if not isinstance(text.dataType, StringType):
+            raise ValueError(f"chunk_text takes a text, not {text.dataType.simpleString()}")
+        if len(sizes) > 3:
+            raise ValueError("chunk_text takes a text, a size, an overlap and a least size")
+        for given in sizes:
+            if given.isConstantExpression and given.value is not None and (not isinstance(given.value, int) or given.value < 0):
+                raise ValueError("sizes of chunk_text are whole numbers from 0 on")
+        schema = StructType().add("ordinal", IntegerType()).add("content", StringType()).add("tokens", IntegerType())
+        return AnalyzeResult(schema)
+
+    def eval(self, text: str, *sizes: int):
+        size, overlap, least = [*sizes, None, None, None][:3]
+        size, least = size or CHUNK_SIZE, least or CHUNK_MIN
+        overlap = CHUNK_OVERLAP if overlap is None else overlap
+        for ordinal, content in enumerate(arrow.split_text(text or "", size, overlap, least)):
+            yield ordinal, content, len(content) // 4
+
+
+def register_chunk_function(spark: SparkSession, name: str = "chunk_text") -> str:
+    """Make ``ChunkText`` known to SQL; returns its name."""
+    spark.udtf.register(name, F.udtf(ChunkText))
+    return name
+
+
 def hard_chunks(df: DataFrame, column: str, size: int = CHUNK_SIZE) -> DataFrame:
     """Chunks by length alone, for text without any boundary."""
     body = text.strip(F.col(column))

@@ -11,6 +11,7 @@ from grantseek.common import (
 from grantseek.functions import text
 from grantseek.operators.embedding import score_pass
 from grantseek.operators.lexical import CorpusStats, bm25_pass
+from grantseek.sources.store import Snapshot
 
 UNNAMED_DOCUMENT = "未命名文档"  # fixed value
 
@@ -95,12 +96,16 @@ def hybrid_pass(
                  salts=16)
 
 
-def late_fetch(picked: DataFrame, chunks: DataFrame) -> DataFrame:
+def late_fetch(picked: DataFrame, chunks: DataFrame | Snapshot) -> DataFrame:
     """Text of the winners only; chunks gone meanwhile fall out.
 
     Winners number requests x top_k; whether they are broadcast is left to their
-    measured size at run time.
+    measured size at run time. Of a stored index only the buckets of the winners'
+    documents are read.
     """
+    if isinstance(chunks, Snapshot):
+        picked = cut_lineage(picked)
+        chunks = chunks.holding(picked)
     extra = [c for c in ("content", "page", "ordinal") if c in chunks.columns]
     return picked.join(chunks.select("chunk_id", *extra), "chunk_id")
 

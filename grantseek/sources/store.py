@@ -63,6 +63,7 @@ class Snapshot:
     n_chunks: int = 0
     n_tokens: int = 0
     schema: StructType | None = field(default=None, compare=False)
+    buckets: int = DOC_BUCKETS
 
     def read(self, part: str, schema: StructType, segments) -> DataFrame:
         """The rows of one part of some segments, live or not."""
@@ -89,6 +90,11 @@ class Snapshot:
             rows = rows.where(F.col("doc_bucket").isin(buckets))
         return self._live(rows).drop("seq")
 
+    def holding(self, picked: DataFrame) -> DataFrame:
+        """Live chunks in the buckets of the documents picked (document_id): files of other buckets are not opened."""
+        found = with_bucket(picked.select("document_id"), self.buckets).select("doc_bucket").distinct().collect()  # at most ``buckets`` numbers
+        return self.chunks([r[0] for r in found])
+
     def postings(self) -> DataFrame:
         """(token, dl, chunk_id, dataset_id, document_id) of live chunks; files lie in order of token and dl."""
         filled = [s for s in self.segments if s.rows]
@@ -150,11 +156,11 @@ class IndexStore:
         """The newest version, or a given one."""
         known = self.versions()
         if version is None and not known:
-            return Snapshot(self.spark, self.path, 0)
+            return Snapshot(self.spark, self.path, 0, buckets=self.buckets)
         version = known[-1] if version is None else version
         found = self._manifest(version)
         return Snapshot(self.spark, self.path, version, tuple(Segment(**s) for s in found["segments"]), found["n_chunks"], found["n_tokens"],
-                        StructType.fromJson(found["schema"]))
+                        StructType.fromJson(found["schema"]), found["buckets"])
 
     def _publish(self, base: int, version: int, segments: list[Segment], n_chunks: int, n_tokens: int, schema: StructType) -> None:
         """Make the version visible: claimed by creating a file that must not exist, then renamed into place as a whole."""
@@ -162,7 +168,7 @@ class IndexStore:
         fs.mkdirs(claim.getParent())
         if not fs.createNewFile(claim) or self.versions()[-1:] not in ([], [base]):
             raise ConcurrentCommit(f"version {version} of {self.path} is being written or exists")
-        body = {"segments": [vars(s) for s in segments], "n_chunks": n_chunks, "n_tokens": n_tokens, "schema": schema.jsonValue()}
+        body = {"segments": [vars(s) for s in segments], "n_chunks": n_chunks, "n_tokens": n_tokens, "schema": schema.jsonValue(), "buckets": self.buckets}
         _, draft = self._at(f"versions/.{uuid.uuid4().hex}")
         out = fs.create(draft, True)
         out.write(bytearray(json.dumps(body).encode()))
@@ -189,6 +195,8 @@ class IndexStore:
         documents of ``new``, and ones that have no chunk any more. Repeating a commit gives the same index.
         """
         base = self.snapshot()
+        if base.version and base.buckets != self.buckets:
+            raise ValueError(f"{self.path} is stored in {base.buckets} buckets")
         version = base.version + 1
         name = f"{version:012d}-{uuid.uuid4().hex[:8]}"
         schema = base.schema
@@ -290,6 +298,16 @@ class IndexStore:
         self._publish(base.version, version, segments, base.n_chunks, base.n_tokens, base.schema)
         return version
 
+    def maintain(self, most: int = 16) -> int:
+        """Compact when there are more than ``most`` segments: the newer half, and older ones no larger than what is merged."""
+        segments = self.snapshot().segments
+        if len(segments) <= most:
+            return self.versions()[-1]
+        count = max(2, most // 2)
+        while count < len(segments) and segments[-count - 1].rows <= sum(s.rows for s in segments[-count:]):
+            count += 1
+        return self.compact(count)
+
     def vacuum(self, keep: int = 2) -> list[str]:
         """Delete the segments that none of the last ``keep`` versions lists; returns their names. Call it when no writer is at work."""
         kept = {s.name for v in self.versions()[-keep:] for s in self.snapshot(v).segments}

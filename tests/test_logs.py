@@ -4,8 +4,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from grantseek.operators import logs
-from grantseek.sources import index
+from grantseek.operators import lexical, logs
+from grantseek.plans.ingest import load_documents
+from grantseek.sources.store import IndexStore
 from grantseek.streaming import ingest
 from grantseek.streaming import logs as live
 
@@ -128,7 +129,28 @@ def test_ingest_stream_resumes_and_replaces(spark, tmp_path):
     assert states == {"a.txt": ("done", 1), "b.txt": ("failed", 0)}
     (tmp_path / "src" / "c.md").write_text("second text about pears")
     run()  # only the new file is read
-    spark.catalog.refreshByPath(idx)
-    contents = sorted(r["content"] for r in index.read_index(spark, idx).collect())
-    assert contents == ["first text about apples", "second text about pears"]
+    now = IndexStore(spark, idx, 2).snapshot()
+    assert sorted(r["content"] for r in now.chunks().collect()) == ["first text about apples", "second text about pears"]
     assert spark.read.parquet(status).where("batch = 1").count() == 1
+    asked = spark.createDataFrame([(1, "pears")], "query_id bigint, question string")
+    hits = lexical.bm25_search(now.stored_postings(), asked, now.stats()).collect()  # what was just loaded is found
+    assert [r["chunk_id"] for r in hits] == [r["chunk_id"] for r in now.chunks().where("content LIKE 'second%'").collect()]
+
+
+def test_files_stored_from_the_same_bytes_are_left_alone(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"), 4)
+
+    def load(rows):
+        files = spark.createDataFrame([("ds", i, f"{i}.txt", bytearray(c.encode())) for i, c in rows], "dataset_id string, document_id string, name string, content binary")
+        return {r["document_id"]: r["state"] for r in load_documents(files, store).collect()}
+    assert load([("a", "apples and pears"), ("b", "plums"), ("c", " ")]) == {"a": "done", "b": "done", "c": "failed"}
+    assert load([("a", "apples and pears"), ("b", "cherries"), ("c", " ")]) == {"b": "done", "c": "failed"}
+    assert load([("b", " ")]) == {"b": "failed"}  # nothing readable is left of it
+    assert [(r["document_id"], r["content"]) for r in store.snapshot().chunks().collect()] == [("a", "apples and pears")]
+    for k in range(4):
+        load([("d", f"round {k}")])
+    before = len(store.snapshot().segments)
+    store.maintain(most=3)
+    after = store.snapshot()
+    assert len(after.segments) < before and sorted(r["content"] for r in after.chunks().collect()) == ["apples and pears", "round 3"]
+    assert {r["token"]: r["df"] for r in after.frequencies().collect()} == dict.fromkeys(["apples", "and", "pears", "round", "3"], 1)

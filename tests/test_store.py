@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grantseek.operators import best, lexical, ranked
+from grantseek.operators import best, hybrid, lexical, ranked
 from grantseek.sources import store as stored
 from grantseek.sources.store import ConcurrentCommit, IndexStore
 
@@ -158,6 +158,19 @@ def test_a_commit_reads_only_the_buckets_it_replaces(spark, tmp_path, monkeypatc
     assert kept(store.snapshot()) == rebuilt(store.snapshot())
 
 
+def test_winners_are_fetched_from_their_buckets(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"), buckets=16)
+    rng = random.Random(10)
+    store.commit(spark.createDataFrame([r for d in range(60) for r in rows_of(rng, "a", str(d))], SCHEMA))
+    picked = spark.createDataFrame([(1, "a-7-0001", "7"), (2, "a-9-0000", "9"), (2, "a-9-0009", "9")], "query_id bigint, chunk_id string, document_id string")
+    got = hybrid.late_fetch(picked, store.snapshot())
+    assert sorted((r.query_id, r.chunk_id) for r in got.collect()) == [(1, "a-7-0001"), (2, "a-9-0000")]
+    read = store.snapshot().holding(picked)
+    assert scan_metric(read, "numPartitions") <= 2 and scan_metric(store.snapshot().chunks(), "numPartitions") > 10
+    with pytest.raises(ValueError, match="16 buckets"):
+        IndexStore(spark, store.path, buckets=4).commit(removed=picked.selectExpr("'a' AS dataset_id", "document_id"))
+
+
 def scan_metric(df, name):
     """Sum of a metric over the file scans of an executed plan."""
     df.collect()

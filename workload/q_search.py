@@ -264,7 +264,7 @@ def _(t):
 @query("h3_late_fetch", """
 SELECT h.query_id, h.chunk_id, c.content FROM d_top_open h JOIN fx_chunk c ON c.chunk_id = h.chunk_id""")
 def _(t):
-    return hybrid.late_fetch(search(t), t.chunk).select("query_id", "chunk_id", "content")
+    return hybrid.late_fetch(search(t), chunk_index(t)).select("query_id", "chunk_id", "content")
 
 
 @query("h4_permission_filter", "SELECT query_id, chunk_id FROM d_seen_low")

@@ -308,6 +308,48 @@ def _(t):
                       (F.col("last_paged") + 1 == F.col("first_unpaged")).alias("pages_in_order"))
 
 
+# Texts of letters and single spaces: where they are cut follows from the places of the spaces.
+SPACED_SQL = "SELECT document_id, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS body FROM fx_document"
+CUTS_SQL = f"""
+SELECT * FROM (WITH RECURSIVE spaced AS MATERIALIZED ({SPACED_SQL}),
+ends AS MATERIALIZED (SELECT document_id, body, list_concat(list_filter(range(1, length(body) + 1), lambda p: body[p] = ' '), [length(body)]) AS ends FROM spaced WHERE body <> ''),
+cut AS (SELECT document_id, 0 AS k, CAST(0 AS BIGINT) AS a, list_max(list_filter(ends, lambda x: x <= 400)) AS b FROM ends
+ UNION ALL SELECT document_id, k + 1, a2, list_max(list_filter(ends, lambda x: x <= a2 + 400)) FROM (
+  SELECT c.document_id, c.k, e.ends, CASE WHEN list_min(list_filter(e.ends, lambda x: x > c.b)) - greatest(c.a, c.b - 80) <= 400 THEN greatest(c.a, c.b - 80) ELSE c.b END AS a2
+  FROM cut c JOIN ends e ON e.document_id = c.document_id WHERE c.b < length(e.body))),
+part AS (SELECT c.document_id, c.k, substring(e.body, c.a + 1, c.b - c.a) AS content, c.b - c.a AS size, max(c.k) OVER (PARTITION BY c.document_id) AS last,
+  lead(substring(e.body, c.a + 1, c.b - c.a)) OVER (PARTITION BY c.document_id ORDER BY c.k) AS next, lead(c.b - c.a) OVER (PARTITION BY c.document_id ORDER BY c.k) AS next_size
+ FROM cut c JOIN ends e ON e.document_id = c.document_id)
+SELECT document_id, CAST(k AS INT) AS ordinal, trim(CASE WHEN k = last - 1 AND next_size < 24 THEN concat(content, next) ELSE content END) AS content
+FROM part WHERE NOT (k = last AND k > 0 AND size < 24))"""
+
+
+def _spaced(t):
+    return t.document.select("document_id", F.trim(F.regexp_replace("text", "[^A-Za-z]+", " ")).alias("body"))
+
+
+@query("c1_piece_texts", f"""
+SELECT document_id, CAST(i AS INT) AS place, CASE WHEN i = n - 1 THEN word ELSE concat(word, ' ') END AS piece
+FROM (SELECT document_id, len(words) AS n, unnest(words) AS word, unnest(range(len(words))) AS i
+ FROM (SELECT document_id, CASE WHEN length(body) <= 400 THEN [body] ELSE string_split(body, ' ') END AS words FROM ({SPACED_SQL}) WHERE body <> ''))""")
+def _(t):
+    return chunking.recursive_split(_spaced(t), "body").select("document_id", F.posexplode("pieces").alias("place", "piece"))
+
+
+@query("c2_chunk_texts", CUTS_SQL)
+def _(t):
+    section = F.array(F.struct(F.col("body").alias("text"), F.lit(None).cast("int").alias("page")))
+    return chunking.chunk_sections(_spaced(t).select("document_id", section.alias("sections"))).select("document_id", "ordinal", "content")
+
+
+@query("c3_chunk_function", CUTS_SQL)
+def _(t):
+    """The same through the table function, in SQL."""
+    name = chunking.register_chunk_function(t.spark)
+    _spaced(t).createOrReplaceTempView("spaced_documents")
+    return t.spark.sql(f"SELECT d.document_id, c.ordinal, c.content FROM spaced_documents d, LATERAL {name}(d.body, 400, 80, 24) c")
+
+
 @query("c4_hard_chunks", f"""
 SELECT document_id, CAST(i AS INT) AS ordinal, substring(body, CAST(i * 400 + 1 AS BIGINT), 400) AS content
 FROM (SELECT document_id, body, unnest(range(CAST(ceil(length(body) / 400.0) AS BIGINT))) AS i
