@@ -57,7 +57,10 @@ def likely(rows: DataFrame, column: str, members: Bitmap, wanted: bool = True) -
         for batch in batches:
             hit = members.hits(batch.column(batch.num_columns - 1).to_numpy().view(U64))
             yield batch.filter(pa.array(hit == wanted)).select(range(batch.num_columns - 1))
-    return rows.withColumn("__hash", F.xxhash64(column)).mapInArrow(run, rows.schema)
+    names = rows.columns
+    flat = rows.toDF(*(f"c{i}" for i in range(len(names))))  # a task takes no names with dots or quotes
+    key = F.xxhash64(f"c{names.index(column)}").alias("hash")
+    return flat.select("*", key).mapInArrow(run, flat.schema).toDF(*names)
 
 
 def hashed(rows: DataFrame, make, schema: str) -> DataFrame:

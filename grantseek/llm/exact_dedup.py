@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grantseek.llm.scratch import named
+
 # Runs of white space that are not one space already; what else there is stays as it is.
 _RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
@@ -42,8 +44,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Every task keeps one row of a group before anything is moved, and nothing is joined.
     """
     body = normalized(F.col(text_col))
-    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]  # maps have no hash
+    plain = [named(f.name) for f in docs.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]  # maps have no hash
     order = F.struct(F.col(id_col).isNull().alias("without"), F.col(id_col).alias("id"), F.xxhash64(*plain).alias("tie"))
     rows = docs.select(F.xxhash64(body).alias("h1"), F.xxhash64(F.lit(20011), body).alias("h2"), F.sha2(body, 256).alias("sha256"),
-                       order.alias("order"), F.struct(*docs.columns).alias("row"))
+                       order.alias("order"), F.struct(*map(named, docs.columns)).alias("row"))
     return rows.groupBy("h1", "h2", "sha256").agg(F.min_by("row", "order").alias("row")).select("row.*")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grantseek.llm.scratch import Scratch
+from grantseek.llm.scratch import Scratch, named
 
 WEIGHTS = (3, 1, 2)  # by rank of the source, repeating
 SHARE = 1.5  # of all words
@@ -93,7 +93,7 @@ def _laid_out(docs: DataFrame, seed: int, weights: tuple[int, ...], share: float
     scratch = Scratch(docs.sparkSession)
     facts = [F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie")]
     sized = scratch.write(docs.select(*facts))
-    rows = docs.select(*facts, F.struct(*docs.columns).alias("row")) if carry else sized
+    rows = docs.select(*facts, F.struct(*map(named, docs.columns)).alias("row")) if carry else sized
     sources = scratch.write(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
                             .withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source"))))
     totals = sources.where("source_size > 0").agg(F.min("source_size").alias("least"), F.sum("target").alias("target")).first()

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from grantseek.common import ensure_checkpoint_dir
 
@@ -30,3 +33,16 @@ class Scratch:
         for table in tables:
             path = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def named(column: str) -> Column:
+    """A column of exactly this name, whatever marks it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def free_name(wanted: str, taken: Iterable[str]) -> str:
+    """``wanted``, or a longer name that no column has."""
+    held = {name.lower() for name in taken}
+    while wanted.lower() in held:
+        wanted += "_"
+    return wanted

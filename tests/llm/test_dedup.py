@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from grantseek.llm import exact_dedup, ngram_join, repeats
+from grantseek.llm import exact_dedup, mixing, ngram_join, repeats
 from grantseek.llm.graph import components
 from grantseek.llm.scratch import Scratch
 from tests.llm.helpers import documents, hostile
@@ -91,6 +91,23 @@ def test_join_bears_anything(spark):
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(["-11", "1", "2", "3", "4", "5", "8", "10", "None"])
 
 
+def test_near_copies_are_dropped_by_row(spark):
+    words = [f"word{i}" for i in range(60)]
+    t, near, u, v = " ".join(words), " ".join([*words[:-1], "other"]), " ".join(f"u{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))
+    rows = [(3, t), (7, t), (7, u), (None, near), (None, v), (None, v), (9, u + " end"), (5, "a b"), (5, "a b"), (5, None), (6, None), (2, near)]
+    left = ngram_join.drop_near_duplicates(documents(spark, rows).repartition(3), 80, 5)
+    want = [(2, near), (7, u), (None, v), (5, "a b"), (5, None), (6, None)]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in left.collect()))) == sorted(map(str, want))
+
+
+def test_stages_bear_any_column_name(spark):
+    rows = spark.createDataFrame([(1, "a b c", "s", 1, 2, 3, 4, 5, 6), (2, "a b c", "s", 1, 2, 3, 4, 5, 6), (3, "x y z", "s", 1, 2, 3, 4, 5, 6)],
+                                 "doc_id long, text string, source string, `a.b` int, node int, hash int, __hash int, `q``r` int, row int")
+    for stage in (exact_dedup.drop_exact_duplicates, lambda d: ngram_join.drop_near_duplicates(d, 80, 5), mixing.mixed_documents):
+        out = stage(rows)
+        assert out.columns == rows.columns and {tuple(r)[3:] for r in out.collect()} == {(1, 2, 3, 4, 5, 6)}
+
+
 def test_star_rounds_find_components(spark):
     rnd = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 160)] + [(1000 + rnd.randrange(40), 1000 + rnd.randrange(40)) for _ in range(30)] + [(7, 7)]
