@@ -28,7 +28,7 @@ def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id. Rows without an id stay."""
+    """One document of each group of near copies stays, the one with the smallest id, without an id only if none has one."""
     return ngram_join.drop_near_duplicates(docs, PERCENT, WORDS)
 
 
