@@ -145,8 +145,8 @@ def _scored(
                 cell = np.repeat((owner[part] - begin) * len(ids), times) + asking[pair]
                 scores = np.bincount(cell, weights=weight[pair], minlength=len(rows) * len(ids)).reshape(len(rows), len(ids))
                 scores *= ((lexical.K1 + 1.0) / (1.0 + lexical.K1 * (1.0 - lexical.B + lexical.B * lengths[rows] / avg_dl)))[:, None]
+                allowed = scores > 0  # a token is shared, even if the score rounds to nothing
                 scores = np.round(scores, 6)
-                allowed = scores > 0
                 if listed is not None:
                     allowed &= _allowed(listed, rows, scopes)
                 r, q = np.nonzero(needed.fits(scores, allowed))

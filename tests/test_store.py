@@ -238,6 +238,14 @@ def test_bounded_search_equals_the_sum_over_all_postings(spark, store, monkeypat
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, plain.select(columns).collect()))
 
 
+def test_a_score_that_rounds_to_nothing_is_a_hit(spark, store):
+    rows = [("a", str(d), f"{d}", 0, "common") for d in range(10)] + [("a", "long", "long", 0, " ".join(["common", *(f"x{i}" for i in range(400))]))]
+    store.commit(spark.createDataFrame(rows, SCHEMA))
+    now = store.snapshot()
+    got = lexical.bm25_search(now.stored_postings(), spark.createDataFrame([(1, "common")], "query_id bigint, question string"), now.stats()).collect()
+    assert len(got) == 11 and {r.chunk_id: r.kw for r in got}["long"] == 0.0
+
+
 def test_bounded_search_touches_few_postings(spark, tmp_path):
     rng = random.Random(7)
     vocabulary = [f"r{i}" for i in range(3000)]
