@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grantseek.common import spread_join
+from grantseek.common import cut_lineage, spread_join
 
 SHOWN_BY = ("rule_allow", "admin", "folder_allow", "public")
 ROOT, DANGLING = 0, -1  # places outside any folder, and in a folder the collection does not have
@@ -135,6 +135,67 @@ def applicable_rules(scopes: DataFrame, scope_kbs: DataFrame, acl: DataFrame) ->
         F.max("allow").alias("allow"), F.max("deny").alias("deny"))
 
 
+def access_signatures(scopes: DataFrame, scope_kbs: DataFrame, acl: DataFrame, closure: DataFrame, places: DataFrame,
+                      documents: DataFrame) -> DataFrame:
+    """scope_kbs with ``signature``: the (subject, rule's collection) pairs that can bear on this collection's documents.
+
+    Scopes of one collection, role kind and signature see the same documents of it, whoever
+    they are. A rule counts for the collection that its document or folder lies in, which
+    may be another than the one it was written for; it then bears only on scopes that hold both.
+    A signature is no longer than the scope's subjects times the collections their rules come from.
+    """
+    subjects = expand_subjects(scopes)
+    who = ["subject_type", "subject_id"]
+    targets = rule_targets(acl.join(subjects.select(*who).distinct(), who, "left_semi")).where("target <> 'chunk'")
+    of_folder = closure.join(places.select(F.col("place").alias("folder_id"), "kb_id"), "folder_id").select(
+        F.col("ancestor_id").alias("folder_id"), F.col("kb_id").alias("within")).distinct()
+    of_document = documents.select("document_id", F.col("kb_id").alias("within"))
+    named = [targets.where("target = 'kb'").select(*who, "kb_id", F.col("kb_id").alias("within")),
+             targets.where("target = 'document'").join(of_document, "document_id").select(*who, "kb_id", "within"),
+             targets.where("target = 'folder'").join(of_folder, "folder_id").select(*who, "kb_id", "within")]
+    bearing = cut_lineage(named[0].unionByName(named[1]).unionByName(named[2]).distinct())
+    held = spread_join(subjects, bearing, who, by="scope_id")
+    foreign = held.where("kb_id <> within").join(scope_kbs.select("scope_id", "kb_id"), ["scope_id", "kb_id"], "left_semi")
+    pairs = held.where("kb_id = within").unionByName(foreign.select(*held.columns))
+    marks = pairs.groupBy("scope_id", F.col("within").alias("kb_id")).agg(
+        F.sort_array(F.collect_set(F.struct(*who, F.col("kb_id").alias("of_kb")))).alias("_marks"))
+    none = F.array().cast(marks.schema["_marks"].dataType)
+    return scope_kbs.join(marks, ["scope_id", "kb_id"], "left").select(
+        *scope_kbs.columns, F.coalesce("_marks", none).alias("signature"))
+
+
+CLASS_KEY = ("kb_id", "is_admin", "signature")
+
+
+def access_classes(signed: DataFrame) -> DataFrame:
+    """(scope_id, dataset_id, n_scopes, kb_id, is_admin, signature): one row per class of ``access_signatures``, scope_id is a number of its own."""
+    return cut_lineage(signed.groupBy(*CLASS_KEY, "dataset_id").agg(F.count(F.lit(1)).alias("n_scopes"))
+                       .withColumn("scope_id", F.monotonically_increasing_id()))
+
+
+def class_rules(classes: DataFrame, acl: DataFrame) -> DataFrame:
+    """``applicable_rules`` of the classes, read from their signatures. Rules on chunks decide no document and are left out."""
+    pair = ["subject_type", "subject_id", "kb_id"]
+    held = classes.select("scope_id", F.explode("signature").alias("_s")).select(
+        "scope_id", "_s.subject_type", "_s.subject_id", F.col("_s.of_kb").alias("kb_id"))
+    mine = acl.join(held.select(*pair).distinct(), pair, "left_semi")
+    targets = rule_targets(mine).where("target <> 'chunk'").withColumn("_spread", F.xxhash64("kb_id", "document_id", "folder_id"))
+    return spread_join(targets, held, pair, by="_spread").groupBy(
+        "scope_id", "kb_id", "target", "document_id", "chunk_id", "folder_id").agg(
+        F.max("allow").alias("allow"), F.max("deny").alias("deny"))
+
+
+def total_by_scope(signed: DataFrame, classes: DataFrame, counts: DataFrame) -> DataFrame:
+    """Counts of classes (scope_id of the class, any sums) added up for every scope of ``signed``.
+
+    A class may hold a third of all scopes, so the join with it is salted by scope.
+    """
+    names = [c for c in counts.columns if c != "scope_id"]
+    known = classes.select("scope_id", *CLASS_KEY).join(counts, "scope_id").drop("scope_id")
+    each = spread_join(signed.select("scope_id", *CLASS_KEY), known, CLASS_KEY, by="scope_id")
+    return each.groupBy("scope_id").agg(*[F.sum(c).alias(c) for c in names])
+
+
 def kb_access(scope_kbs: DataFrame, rules: DataFrame) -> DataFrame:
     """scope_kbs with the collection's own rules: kb_allow and kb_deny."""
     ruled = rules.where("target = 'kb'").select(

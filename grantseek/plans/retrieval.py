@@ -66,6 +66,36 @@ def resolve(scopes: DataFrame, cat: Catalogue) -> Resolved:
                     perm.placed_documents(cat.documents, places))
 
 
+@dataclass(frozen=True)
+class Classes:
+    """Scopes grouped by what bears on them: ``of`` decides per class, ``totals`` hands counts back to the scopes."""
+
+    signed: DataFrame
+    classes: DataFrame
+    of: Resolved
+
+    def totals(self, counts: DataFrame) -> DataFrame:
+        return perm.total_by_scope(self.signed, self.classes, counts)
+
+
+def resolve_classes(scopes: DataFrame, cat: Catalogue) -> Classes:
+    """``resolve`` for very many scopes, such as all users of a system.
+
+    Rules of a role or tag meet the few classes they bear on, not every user of the role; rules of
+    one user make a class of that user alone. For counts over documents and folders.
+    """
+    closure = tree.ancestor_closure(cat.folders) if cat.closure is None else cat.closure
+    places = perm.folder_places(cat.folders, closure) if cat.places is None else cat.places
+    scope_kbs = cut_lineage(perm.requested_scope(scopes, cat.kbs, cat.grants))
+    signed = cut_lineage(perm.access_signatures(scopes, scope_kbs, cat.acl, closure, places, cat.documents))
+    classes = perm.access_classes(signed)
+    rules = cut_lineage(perm.class_rules(classes, cat.acl))
+    hits = cut_lineage(perm.folder_hits(rules, closure))
+    access = perm.kb_access(classes.select("scope_id", "kb_id", "dataset_id", "is_admin"), rules)
+    decided = Resolved(classes.select("scope_id"), access, rules, hits, places, perm.placed_documents(cat.documents, places))
+    return Classes(signed, classes, decided)
+
+
 def empty_reason(requests: DataFrame, access: DataFrame, searchable: DataFrame, kept: DataFrame) -> DataFrame:
     """(query_id, reason): null where there are citations.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grantseek.operators import folders as tree
 from grantseek.operators import permissions as perm
-from grantseek.plans.retrieval import Catalogue, resolve
+from grantseek.plans.retrieval import Catalogue, resolve, resolve_classes
 
 USER = "user_id bigint, username string, role string, tags array<string>, is_active boolean"
 KB = "kb_id bigint, dataset_id string, name string, is_active boolean"
@@ -126,6 +126,10 @@ def test_against_the_slow_version(spark, seed):
     counts = {x["scope_id"]: x["n_visible"] for x in perm.visible_counts(**r.listing()).collect() if x["n_visible"]}
     assert counts == {u: sum(s[0].values()) for u, s in slow.items() if any(s[0].values())}
 
+    by_class = resolve_classes(perm.user_scopes(cat.users), cat)
+    totals = by_class.totals(perm.visible_counts(**by_class.of.listing())).collect()
+    assert {x["scope_id"]: x["n_visible"] for x in totals if x["n_visible"]} == counts
+
     chunks = [(u[0], f"{d[0]}-000{i}", d[0]) for u in users for d in docs for i in range(2)]
     found = spark.createDataFrame(chunks, "scope_id bigint, chunk_id string, document_id string")
     seen = {(x["scope_id"], x["chunk_id"]): x["visible"] for x in perm.chunk_visibility(found, **r.decide()).collect()}
@@ -148,6 +152,24 @@ def test_against_the_slow_version(spark, seed):
         assert stats[u]["searchable_documents"] == len({k for k, v in s[0].items() if v} | s[3])
 
 
+def test_classes_of_many_users_equal_scopes(spark):
+    """Rules written for another collection than that of their target, and users who share everything."""
+    users, kbs, grants, folders, docs, acl = random_tables(11)
+    users = users + [(u, f"u{u}", "user", ["a"], True) for u in range(8, 60)]
+    grants = grants + [(u, k, True, False, False) for u in range(8, 60) for k in range(3) if (u + k) % 3]
+    rng = random.Random(5)
+    acl = [(*a[:1], rng.randrange(4) if rng.random() < 0.3 else a[1], *a[2:]) for a in acl]
+    cat = catalogue(spark, users, kbs, grants, folders, docs, acl)
+    scopes = perm.user_scopes(cat.users)
+    r, by_class = resolve(scopes, cat), resolve_classes(scopes, cat)
+    rows = lambda df: sorted(tuple(x) for x in df.collect())
+    assert rows(by_class.totals(perm.visible_counts(**by_class.of.listing())).where("n_visible > 0")) == rows(
+        perm.visible_counts(**r.listing()).where("n_visible > 0"))
+    assert rows(by_class.totals(perm.folder_counts_of(by_class.of.access, by_class.of.places, by_class.of.hits))) == rows(
+        perm.folder_counts_of(r.access, r.places, r.hits))
+    assert by_class.classes.count() < r.access.count() / 2
+
+
 def test_scope_rules_by_hand(spark):
     """The worked case: one document with an allowed chunk, a denied chunk, a hidden document."""
     users = [(1, "u", "user", [], True), (2, "boss", "admin", [], True)]

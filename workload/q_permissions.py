@@ -173,8 +173,8 @@ SELECT u.user_id, count(*) AS n_visible FROM (SELECT user_id, kb_id, decided_by
 def _(t):
     """Visible documents of every user, without a row per user and document."""
     cat = catalogue_of(t)
-    r = retrieval.resolve(perm.user_scopes(cat.users), cat)
-    counts = perm.visible_counts(**r.listing()).where("n_visible > 0")
+    users = retrieval.resolve_classes(perm.user_scopes(cat.users), cat)
+    counts = users.totals(perm.visible_counts(**users.of.listing())).where("n_visible > 0")
     return counts.withColumnRenamed("scope_id", "user_id")
 
 
