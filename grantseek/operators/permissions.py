@@ -135,18 +135,23 @@ def applicable_rules(scopes: DataFrame, scope_kbs: DataFrame, acl: DataFrame) ->
         F.max("allow").alias("allow"), F.max("deny").alias("deny"))
 
 
+def _shared(targets: DataFrame) -> DataFrame:
+    """Rules that many scopes may have in common, and those of one user on a whole collection."""
+    return targets.where("target <> 'chunk' AND (subject_type <> 'user' OR target = 'kb')")
+
+
 def access_signatures(scopes: DataFrame, scope_kbs: DataFrame, acl: DataFrame, closure: DataFrame, places: DataFrame,
                       documents: DataFrame) -> DataFrame:
-    """scope_kbs with ``signature``: the (subject, rule's collection) pairs that can bear on this collection's documents.
+    """scope_kbs with ``signature``: the (subject, rule's collection) pairs whose shared rules can bear on this collection.
 
-    Scopes of one collection, role kind and signature see the same documents of it, whoever
-    they are. A rule counts for the collection that its document or folder lies in, which
+    Scopes of one collection, role kind and signature see the same of it, but for their ``own_rules``.
+    A rule counts for the collection that its document or folder lies in, which
     may be another than the one it was written for; it then bears only on scopes that hold both.
     A signature is no longer than the scope's subjects times the collections their rules come from.
     """
     subjects = expand_subjects(scopes)
     who = ["subject_type", "subject_id"]
-    targets = rule_targets(acl.join(subjects.select(*who).distinct(), who, "left_semi")).where("target <> 'chunk'")
+    targets = _shared(rule_targets(acl.join(subjects.select(*who).distinct(), who, "left_semi")))
     of_folder = closure.join(places.select(F.col("place").alias("folder_id"), "kb_id"), "folder_id").select(
         F.col("ancestor_id").alias("folder_id"), F.col("kb_id").alias("within")).distinct()
     of_document = documents.select("document_id", F.col("kb_id").alias("within"))
@@ -164,13 +169,15 @@ def access_signatures(scopes: DataFrame, scope_kbs: DataFrame, acl: DataFrame, c
         *scope_kbs.columns, F.coalesce("_marks", none).alias("signature"))
 
 
-CLASS_KEY = ("kb_id", "is_admin", "signature")
-
+def access_classes(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes (scope_id, kb_id, dataset_id, is_admin, signature; scope_id is a number of the class) and members (scope_id, kb_id, is_admin, class_id).
 
-def access_classes(signed: DataFrame) -> DataFrame:
-    """(scope_id, dataset_id, n_scopes, kb_id, is_admin, signature): one row per class of ``access_signatures``, scope_id is a number of its own."""
-    return cut_lineage(signed.groupBy(*CLASS_KEY, "dataset_id").agg(F.count(F.lit(1)).alias("n_scopes"))
-                       .withColumn("scope_id", F.monotonically_increasing_id()))
+    A class may hold a third of all scopes, so joins with it are salted by scope.
+    """
+    key = ["kb_id", "is_admin", "signature"]
+    classes = cut_lineage(signed.select("dataset_id", *key).distinct().withColumn("scope_id", F.monotonically_increasing_id()))
+    known = classes.select(*key, F.col("scope_id").alias("class_id"))
+    return classes, cut_lineage(spread_join(signed.drop("dataset_id"), known, key, by="scope_id").drop("signature"))
 
 
 def class_rules(classes: DataFrame, acl: DataFrame) -> DataFrame:
@@ -179,21 +186,18 @@ def class_rules(classes: DataFrame, acl: DataFrame) -> DataFrame:
     held = classes.select("scope_id", F.explode("signature").alias("_s")).select(
         "scope_id", "_s.subject_type", "_s.subject_id", F.col("_s.of_kb").alias("kb_id"))
     mine = acl.join(held.select(*pair).distinct(), pair, "left_semi")
-    targets = rule_targets(mine).where("target <> 'chunk'").withColumn("_spread", F.xxhash64("kb_id", "document_id", "folder_id"))
+    targets = _shared(rule_targets(mine)).withColumn("_spread", F.xxhash64("kb_id", "document_id", "folder_id"))
     return spread_join(targets, held, pair, by="_spread").groupBy(
         "scope_id", "kb_id", "target", "document_id", "chunk_id", "folder_id").agg(
         F.max("allow").alias("allow"), F.max("deny").alias("deny"))
 
 
-def total_by_scope(signed: DataFrame, classes: DataFrame, counts: DataFrame) -> DataFrame:
-    """Counts of classes (scope_id of the class, any sums) added up for every scope of ``signed``.
-
-    A class may hold a third of all scopes, so the join with it is salted by scope.
-    """
-    names = [c for c in counts.columns if c != "scope_id"]
-    known = classes.select("scope_id", *CLASS_KEY).join(counts, "scope_id").drop("scope_id")
-    each = spread_join(signed.select("scope_id", *CLASS_KEY), known, CLASS_KEY, by="scope_id")
-    return each.groupBy("scope_id").agg(*[F.sum(c).alias(c) for c in names])
+def own_rules(scopes: DataFrame, scope_kbs: DataFrame, acl: DataFrame) -> DataFrame:
+    """``applicable_rules`` that a scope's user holds alone, on folders and documents: what its class does not know."""
+    who = scopes.select("scope_id", F.col("user_id").cast("string").alias("subject_id"))
+    held = rule_targets(acl.where("subject_type = 'user'")).where("target IN ('folder', 'document')").join(who, "subject_id")
+    return held.join(scope_kbs.select("scope_id", "kb_id"), ["scope_id", "kb_id"], "left_semi").select(
+        "scope_id", "kb_id", "target", "document_id", "chunk_id", "folder_id", "allow", "deny")
 
 
 def kb_access(scope_kbs: DataFrame, rules: DataFrame) -> DataFrame:
@@ -400,6 +404,84 @@ def visible_counts(placed: DataFrame, places: DataFrame, access: DataFrame, hits
     return base.unionByName(fixes).groupBy("scope_id").agg(F.sum("n").alias("n_visible"))
 
 
+def _own_places(members: DataFrame, places: DataFrame, access: DataFrame, hits: DataFrame, own_hits: DataFrame) -> DataFrame:
+    """Folders below a scope's own rules, with what its class (c_) and its own rules (o_) say of them."""
+    mine = own_hits.select("scope_id", "place", F.col("f_allow").alias("o_allow"), F.col("f_deny").alias("o_deny"))
+    at = mine.join(places, "place").join(members.drop("is_admin"), ["scope_id", "kb_id"])
+    return _of_class(at, access, hits)
+
+
+def _of_class(at: DataFrame, access: DataFrame, hits: DataFrame) -> DataFrame:
+    """Rows with class_id, kb_id and place, with the collection's flags and the folder rules (c_allow, c_deny) of the class."""
+    flags = access.drop("dataset_id").withColumnRenamed("scope_id", "class_id")
+    shared = hits.select(F.col("scope_id").alias("class_id"), "place", F.col("f_allow").alias("c_allow"), F.col("f_deny").alias("c_deny"))
+    return at.join(flags, ["class_id", "kb_id"]).join(shared, ["class_id", "place"], "left")
+
+
+def _either(left: str, right: str) -> Column:
+    return F.coalesce(F.col(left), F.lit(False)) | F.coalesce(F.col(right), F.lit(False))
+
+
+def _seen(df: DataFrame, name: str, folder: bool, document: str = "") -> DataFrame:
+    """Add ``name``: 1 if the document is shown by the class, with ``folder`` also by the scope's own folder
+    rules; rules on the document count as ``document`` says: none, those of the ``class``, or ``all``."""
+    no = F.lit(False)
+    both = {f"f_{e}": _either(f"c_{e}", f"o_{e}") if folder else F.col(f"c_{e}") for e in ("allow", "deny")}
+    rules = {"": lambda e: no, "class": lambda e: F.col(f"cd_{e}"), "all": lambda e: _either(f"cd_{e}", f"od_{e}")}[document]
+    flagged = df.withColumns(both | {f"d_{e}": rules(e) for e in ("allow", "deny")})
+    return flagged.withColumn(name, shown(decision(hit=True, document=True)).cast("bigint")).drop("f_allow", "f_deny", "d_allow", "d_deny")
+
+
+def own_visible_counts(members: DataFrame, placed: DataFrame, places: DataFrame, access: DataFrame, hits: DataFrame, rules: DataFrame,
+                       own_hits: DataFrame, own: DataFrame) -> DataFrame:
+    """(scope_id, n_visible): what scopes see more (or less, below 0) than their classes, by their own rules.
+
+    Documents of a folder below an own rule are counted by kind. Single documents are looked at where an own rule names them, and
+    where a rule of the class names one in such a folder.
+    """
+    at = cut_lineage(_own_places(members, places, access, hits, own_hits))
+    kinds = at.withColumn("is_public", F.explode(F.array(F.lit(False), F.lit(True))))
+    moved = _seen(_seen(kinds, "before", False), "after", True).where("before <> after")
+    sizes = placed.groupBy("place", "is_public").agg(F.count(F.lit(1)).alias("n_docs"))
+    by_folder = moved.join(sizes, ["place", "is_public"]).select(
+        "scope_id", ((F.col("after") - F.col("before")) * F.col("n_docs")).alias("n_visible"))
+
+    ruled = lambda df, who, mark: _document_rules(df).select(F.col("scope_id").alias(who), "document_id", F.col("d_allow").alias(f"{mark}_allow"),
+                                                             F.col("d_deny").alias(f"{mark}_deny"))
+    of_class, of_scope = ruled(rules, "class_id", "cd"), ruled(own, "scope_id", "od")
+    beside = of_class.select("class_id", "document_id").join(placed.select("document_id", "place"), "document_id").join(
+        at.select("scope_id", "class_id", "place"), ["class_id", "place"]).select("scope_id", "document_id")
+    pairs = of_scope.select("scope_id", "document_id").unionByName(beside).distinct()
+    each = pairs.join(placed, "document_id").join(members.drop("is_admin"), ["scope_id", "kb_id"])
+    mine = own_hits.select("scope_id", "place", F.col("f_allow").alias("o_allow"), F.col("f_deny").alias("o_deny"))
+    each = _of_class(each, access, hits).join(mine, ["scope_id", "place"], "left").join(
+        of_class, ["class_id", "document_id"], "left").join(of_scope, ["scope_id", "document_id"], "left")
+    for name, folder, document in (("all", True, "all"), ("bare", True, ""), ("shared", False, "class"), ("plain", False, "")):
+        each = _seen(each, f"_{name}", folder, document)
+    by_document = each.select("scope_id", (F.col("_all") - F.col("_bare") - F.col("_shared") + F.col("_plain")).alias("n_visible"))
+    return by_folder.unionByName(by_document)
+
+
+def own_folder_counts(members: DataFrame, places: DataFrame, access: DataFrame, hits: DataFrame, own_hits: DataFrame) -> DataFrame:
+    """(scope_id, total_folders, visible_folders, folder_granted): likewise for folders."""
+    at = _own_places(members, places, access, hits, own_hits)
+    no = F.lit(False)
+    def counts(allow: Column, deny: Column) -> tuple[Column, Column]:
+        seen = ~deny & (allow | F.col("is_admin") | ~F.col("shut"))
+        return seen.cast("bigint"), (~deny & allow).cast("bigint")
+    before = counts(F.coalesce("c_allow", no), F.coalesce("c_deny", no))
+    after = counts(_either("c_allow", "o_allow"), _either("c_deny", "o_deny"))
+    return at.select("scope_id", F.lit(0).cast("bigint").alias("total_folders"),
+                     (after[0] - before[0]).alias("visible_folders"), (after[1] - before[1]).alias("folder_granted"))
+
+
+def total_by_scope(members: DataFrame, of_classes: DataFrame, own: DataFrame) -> DataFrame:
+    """Counts of classes handed to their members, added up with what the members' own rules change."""
+    names = [c for c in own.columns if c != "scope_id"]
+    each = spread_join(members.select("scope_id", "class_id"), of_classes.withColumnRenamed("scope_id", "class_id"), ["class_id"], by="scope_id")
+    return each.drop("class_id").unionByName(own).groupBy("scope_id").agg(*[F.sum(c).alias(c) for c in names])
+
+
 def folder_counts_of(access: DataFrame, places: DataFrame, hits: DataFrame) -> DataFrame:
     """(scope_id, total_folders, visible_folders, folder_granted) without listing folders per scope."""
     sizes = places.groupBy("kb_id").agg(

@@ -68,32 +68,43 @@ def resolve(scopes: DataFrame, cat: Catalogue) -> Resolved:
 
 @dataclass(frozen=True)
 class Classes:
-    """Scopes grouped by what bears on them: ``of`` decides per class, ``totals`` hands counts back to the scopes."""
+    """Scopes grouped by the rules they share: ``of`` decides per class, the scopes' own rules correct that."""
 
-    signed: DataFrame
-    classes: DataFrame
+    members: DataFrame
     of: Resolved
+    own_rules: DataFrame
+    own_hits: DataFrame
 
-    def totals(self, counts: DataFrame) -> DataFrame:
-        return perm.total_by_scope(self.signed, self.classes, counts)
+    def visible_counts(self) -> DataFrame:
+        """(scope_id, n_visible), as ``permissions.visible_counts`` gives it."""
+        own = perm.own_visible_counts(self.members, **self.of.listing(), own_hits=self.own_hits, own=self.own_rules)
+        return perm.total_by_scope(self.members, perm.visible_counts(**self.of.listing()), own)
+
+    def folder_counts(self) -> DataFrame:
+        """As ``permissions.folder_counts_of`` gives it."""
+        where = (self.of.places, self.of.access, self.of.hits)
+        return perm.total_by_scope(self.members, perm.folder_counts_of(where[1], where[0], where[2]),
+                                   perm.own_folder_counts(self.members, *where, self.own_hits))
 
 
 def resolve_classes(scopes: DataFrame, cat: Catalogue) -> Classes:
-    """``resolve`` for very many scopes, such as all users of a system.
+    """``resolve`` for very many scopes, such as all users of a system: counts over documents and folders.
 
-    Rules of a role or tag meet the few classes they bear on, not every user of the role; rules of
-    one user make a class of that user alone. For counts over documents and folders.
+    Rules of a role or tag meet the few classes they bear on, not every user of the role. Rules of one user on folders
+    and documents are kept beside and correct what that user's class sees; those on a whole collection make a class.
     """
     closure = tree.ancestor_closure(cat.folders) if cat.closure is None else cat.closure
     places = perm.folder_places(cat.folders, closure) if cat.places is None else cat.places
     scope_kbs = cut_lineage(perm.requested_scope(scopes, cat.kbs, cat.grants))
     signed = cut_lineage(perm.access_signatures(scopes, scope_kbs, cat.acl, closure, places, cat.documents))
-    classes = perm.access_classes(signed)
+    classes, members = perm.access_classes(signed)
     rules = cut_lineage(perm.class_rules(classes, cat.acl))
     hits = cut_lineage(perm.folder_hits(rules, closure))
+    own = cut_lineage(perm.own_rules(scopes, scope_kbs, cat.acl))
+    own_hits = cut_lineage(perm.folder_hits(own, closure))
     access = perm.kb_access(classes.select("scope_id", "kb_id", "dataset_id", "is_admin"), rules)
     decided = Resolved(classes.select("scope_id"), access, rules, hits, places, perm.placed_documents(cat.documents, places))
-    return Classes(signed, classes, decided)
+    return Classes(members, decided, own, own_hits)
 
 
 def empty_reason(requests: DataFrame, access: DataFrame, searchable: DataFrame, kept: DataFrame) -> DataFrame:

@@ -126,8 +126,7 @@ def test_against_the_slow_version(spark, seed):
     counts = {x["scope_id"]: x["n_visible"] for x in perm.visible_counts(**r.listing()).collect() if x["n_visible"]}
     assert counts == {u: sum(s[0].values()) for u, s in slow.items() if any(s[0].values())}
 
-    by_class = resolve_classes(perm.user_scopes(cat.users), cat)
-    totals = by_class.totals(perm.visible_counts(**by_class.of.listing())).collect()
+    totals = resolve_classes(perm.user_scopes(cat.users), cat).visible_counts().collect()
     assert {x["scope_id"]: x["n_visible"] for x in totals if x["n_visible"]} == counts
 
     chunks = [(u[0], f"{d[0]}-000{i}", d[0]) for u in users for d in docs for i in range(2)]
@@ -163,11 +162,11 @@ def test_classes_of_many_users_equal_scopes(spark):
     scopes = perm.user_scopes(cat.users)
     r, by_class = resolve(scopes, cat), resolve_classes(scopes, cat)
     rows = lambda df: sorted(tuple(x) for x in df.collect())
-    assert rows(by_class.totals(perm.visible_counts(**by_class.of.listing())).where("n_visible > 0")) == rows(
+    assert rows(by_class.visible_counts().where("n_visible > 0")) == rows(
         perm.visible_counts(**r.listing()).where("n_visible > 0"))
-    assert rows(by_class.totals(perm.folder_counts_of(by_class.of.access, by_class.of.places, by_class.of.hits))) == rows(
+    assert rows(by_class.folder_counts()) == rows(
         perm.folder_counts_of(r.access, r.places, r.hits))
-    assert by_class.classes.count() < r.access.count() / 2
+    assert by_class.of.access.count() < r.access.count() / 2
 
 
 def test_scope_rules_by_hand(spark):

@@ -174,7 +174,7 @@ def _(t):
     """Visible documents of every user, without a row per user and document."""
     cat = catalogue_of(t)
     users = retrieval.resolve_classes(perm.user_scopes(cat.users), cat)
-    counts = users.totals(perm.visible_counts(**users.of.listing())).where("n_visible > 0")
+    counts = users.visible_counts().where("n_visible > 0")
     return counts.withColumnRenamed("scope_id", "user_id")
 
 
