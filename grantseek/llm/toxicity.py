@@ -31,6 +31,7 @@ SURPRISE = 9.0  # log rate times root of toxic documents that an entry needs; ch
 STEMS = (4, 5, 6, 7)  # bytes of a word's beginning that may be an entry
 FOLDS = 5
 ROUNDS = 30
+PART = 1 << 18  # bytes of text that a task of `without_toxic` scores at once (or one longer text)
 
 # Common insults that vote from the start, whatever the sample holds (fixed list); their accuracy is estimated like any other's.
 INSULTS = ("clown", "coward", "creep", "disgusting", "dumb", "fool", "freak", "garbage", "idiot", "imbecile", "jerk", "liar", "loser", "moron",
@@ -322,6 +323,7 @@ def without_toxic(docs: DataFrame, classifier: Classifier, text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = text_bytes(batch.column(batch.schema.get_field_index(text_col)))
-            score = np.concatenate([classifier.score(data[bounds[a]: bounds[b]], bounds[a: b + 1] - bounds[a]) for a, b in slabs(bounds)] or [np.zeros(0)])
-            yield batch.filter(pa.array(score < threshold))
+            for a, b in slabs(bounds, PART):
+                score = classifier.score(data[bounds[a]: bounds[b]], bounds[a: b + 1] - bounds[a])
+                yield batch.slice(a, b - a).filter(pa.array(score < threshold))
     return docs.mapInArrow(run, docs.schema)
