@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,17 +13,41 @@ from pyspark.sql import functions as F
 from grantseek.common import ensure_checkpoint_dir
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession, batch_rows: int | None = None) -> Iterator[None]:
+    """Shuffle files of what is written, or defined and run, in this block go as soon as it has run; its rows are elsewhere by then.
+
+    ``batch_rows`` bounds the rows that an Arrow batch of it takes to Python.
+    """
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    if batch_rows:
+        wanted["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(batch_rows)
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 class Scratch:
-    """Tables of one call. ``write`` cuts the lineage; ``drop`` frees the space of what is read no more."""
+    """Tables of one call. ``write`` cuts the lineage; ``drop`` frees the space of what is read no more.
+
+    With ``lean`` the shuffle files behind a table go as soon as it is written.
+    """
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, lean: bool = False):
         self.spark = spark
+        self.lean = lean
         self.folder = f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
         self._paths: dict[int, str] = {}
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, batch_rows: int | None = None) -> DataFrame:
         path = f"{self.folder}/{len(self._paths)}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        with shuffles_freed(self.spark, batch_rows) if self.lean else nullcontext():
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         out._scratch_path = path  # keeps the id from being used again
