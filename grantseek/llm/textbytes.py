@@ -7,7 +7,8 @@ one longer text).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -73,6 +74,21 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0]: bounds[-1]], bounds - bounds[0]
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """What gives freed memory back to the system; nothing where the C library has no such call."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def freed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after each, what it took goes back to the system, so that a worker waiting for its next task holds little."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        _trim()(0)
+
+
 def slabs(bounds: np.ndarray, limit: int = SLAB) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes, or of one longer row."""
     row, n = 0, len(bounds) - 1

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grantseek.common import top_k
-from grantseek.llm.textbytes import U64, SpanHash, signed, slabs, text_bytes
+from grantseek.llm.textbytes import U64, SpanHash, freed, signed, slabs, text_bytes
 
 SAMPLE = 3000  # labelled documents of each label that the model is fitted on
 ENTRIES = 300  # lexicon entries
@@ -321,7 +321,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: s
 def without_toxic(docs: DataFrame, classifier: Classifier, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; all columns. The decision is taken where a text is read, nothing is joined."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in freed(batches):
             data, bounds = text_bytes(batch.column(batch.schema.get_field_index(text_col)))
             for a, b in slabs(bounds, PART):
                 score = classifier.score(data[bounds[a]: bounds[b]], bounds[a: b + 1] - bounds[a])
