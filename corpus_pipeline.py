@@ -14,6 +14,7 @@ from grantseek.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
 from grantseek.llm.scratch import Scratch
 
 WORDS, PERCENT = 5, 80  # of a shingle; similarity from which on documents are near copies
+BATCH_ROWS = 1000  # rows that go to Python at once; what a worker holds grows with them
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +49,10 @@ ORACLE_SQL = None  # a trained classifier and byte-pair merges are beyond SQL; t
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark)
+    scratch = Scratch(spark, lean=True)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        out = scratch.write(stage(spark, docs, sf_dir))
+        out = scratch.write(stage(spark, docs, sf_dir), BATCH_ROWS)
         if k:
             scratch.drop(docs)
         docs = out
