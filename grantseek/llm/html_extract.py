@@ -1,7 +1,8 @@
 """HTML extraction: a bidirectional LSTM in numpy labels every text block of a page as article or not.
 
-A page becomes the sequence of its text blocks. A block is described by its tag path (hashed vectors of the names, classes, ids and
-roles of the elements around it), its words (hashed vectors) and a few shares (links, digits, capitals, stops). The network
+A page becomes the sequence of its text blocks. A block is described by its tag path (hashed vectors of the different names, classes, ids
+and roles of all elements around it, of which each dimension keeps the greatest value, so that no depth dilutes a mark; plain wrappers add
+nothing, and the nearest other element counts once more as such), its words (hashed vectors) and a few shares (links, digits, capitals, stops). The network
 reads the sequence in both directions, so every label sees the whole page.
 
 No page comes labelled. The network is trained on a bounded sample of pages (``SAMPLE``, by hash of the id): as they are, with
@@ -25,12 +26,12 @@ from pyspark.sql import functions as F
 from grantseek.llm.textbytes import U64, SpanHash, words
 
 SAMPLE = 240  # pages
-VARIANTS = 4  # rebuilt pages for each
+REBUILT = 1000  # rebuilt pages, however few pages there are: every place must come often enough
 EPOCHS = 6
 HIDDEN = 12
-PATHS, WORDS = 1 << 12, 1 << 12
+PATHS, WORDS = 1 << 15, 1 << 12
 PATH_WIDTH, WORD_WIDTH = 16, 8
-DEPTH = 32  # nearest elements around a block that describe it
+BEGINNING = 5  # letters of a class or id whose beginning counts as a name as well
 
 # Elements without an end tag, elements that do not end a block, elements whose content is not text, and elements that
 # end an open one of the same kind (fixed by HTML).
@@ -40,6 +41,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 SILENT = frozenset("script style textarea select".split())
 UNENDING = frozenset("script style".split())  # without an end tag these go to the end of the page
 CLOSES = {"p": ("p",), "li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
+SCOPES = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "td": ("table",), "th": ("table",), "tr": ("table",), "option": ("select",)}  # closing stops here
+NEUTRAL = frozenset("html body div span section table tbody thead tfoot tr td th center font".split())  # without a name they say nothing
+OUTSIDE = frozenset("nav header footer aside form head".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 # Markup of the rebuilt pages: places where an article stands and places where something else stands.
@@ -47,23 +51,46 @@ KEEP = ("article", "main", "section.content", "div.content", "div#content", "div
 DROP = ("nav", "header", "footer", "aside", "form", "div.sidebar", "div#sidebar", "div.menu", "ul.menu", "div.navbar", "div#header", "div.header", "div#footer", "div.footer",
         "div.ad", "div.ads", "div.advert", "div.advertisement", "div.banner", "div.sponsored", "div.promo", "div.cookie-notice", "div#cookie-banner", "div.notice", "div.alert",
         "div.newsletter", "div.subscribe", "div.popup", "div.comments", "section.comments", "div#comments", "ol.comment-list", "div.comment", "li.comment", "div.reply",
+        "div.kommentare", "section.commentaires", "ul.comentarios", "div.reacties", "div#disqus_thread", "div#respond", "div.responses", "section.discussion", "div.reviews", "div.feedback",
         "div.related", "div.share", "div.social", "div.breadcrumb", "div.widget", "div.login", "div.search", "div.copyright", "div.legal", "div.pagination", "div.tags")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|([^<]+|<)", re.S)
 _NAMED = re.compile(r"\b(class|id|role|data-keep)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
+_NO_ARTICLE = frozenset(part for place in DROP for part in re.findall(r"[a-z]+", place.partition(".")[2] or place.partition("#")[2]))
+
+
 @lru_cache(maxsize=20_000)
-def _described(tag: str, attributes: str) -> tuple[tuple[int, ...], str]:
-    """Path buckets of an element and its training mark."""
-    names, mark = [tag], ""
+def _described(tag: str, attributes: str) -> tuple[tuple[int, ...], tuple[int, ...], str, bool]:
+    """Path buckets of an element, those it has as the nearest one, its training mark, and whether its names say that it holds no article."""
+    names, mark = [] if tag in NEUTRAL else [tag], ""
     for kind, *values in _NAMED.findall(attributes) if attributes else ():
         value = "".join(values).lower()
         if kind.lower() == "data-keep":
             mark = value
         else:
-            names += [f".{part}" for part in re.findall(r"[a-z]+", value)]
-    return tuple(_bucket(n, PATHS) for n in names), mark
+            parts = re.findall(r"[a-z]+", value)
+            names += [f".{part}" for part in parts] + [f".{part[:BEGINNING]}-" for part in parts if len(part) >= BEGINNING]
+    buckets, nearest = (tuple(_bucket(mode + n, PATHS) for n in names) for mode in ("", "^"))
+    return buckets, nearest, mark, any(n[1:] in _NO_ARTICLE for n in names)
+
+
+class _Around:
+    """An open element: what it and all elements around it say."""
+
+    __slots__ = ("tag", "path", "held", "nearest", "mark", "article", "other")
+
+    def __init__(self, tag: str, attributes: str, outer: _Around | None):
+        buckets, nearest, mark, no_article = _described(tag, attributes)
+        path, held = (outer.path, outer.held) if outer else ((), frozenset())
+        new = tuple(dict.fromkeys(b for b in buckets if b not in held))
+        self.tag, self.path, self.held = tag, path + new if new else path, held | frozenset(new) if new else held
+        self.nearest = nearest or (outer.nearest if outer else ())
+        self.mark = mark or (outer.mark if outer else "")
+        inside = bool(outer and outer.article)
+        self.article = inside or tag in ("article", "main")
+        self.other = bool(outer and outer.other) or tag in OUTSIDE or inside and no_article
 
 
 @lru_cache(maxsize=100_000)
@@ -78,7 +105,8 @@ class Block:
     path: tuple[int, ...]
     linked: int  # characters inside links
     mark: str = ""
-    tags: frozenset[str] = frozenset()
+    article: bool = False  # inside article or main
+    other: bool = False  # inside an element that says that it holds no article
 
 
 def blocks(page: str) -> list[Block]:
@@ -87,7 +115,8 @@ def blocks(page: str) -> list[Block]:
     Unclosed and stray tags are put up with; what stands in scripts, styles and form controls is no text.
     """
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[_Around] = []
+    places: dict[str, list[int]] = {}  # where in the stack each tag is open
     parts: list[str] = []
     linked, silent = 0, ""
     endless: set[str] = set()  # form controls that no end tag follows any more
@@ -97,17 +126,20 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                around = [_described(*e) for e in stack[-DEPTH:]]
-                mark = next((m for _, m in reversed(around) if m), "")
-                out.append(Block(text, tuple(b for p, _ in around for b in p), linked, mark, frozenset(t for t, _ in stack)))
+                at = stack[-1] if stack else None
+                out.append(Block(text, at.path + at.nearest, linked, at.mark, at.article, at.other) if at else Block(text, (), linked))
             parts.clear()
         linked = 0
 
-    def close(tags: tuple[str, ...], within: int = 6) -> None:
-        for i in range(len(stack) - 1, max(-1, len(stack) - 1 - within), -1):
-            if stack[i][0] in tags:
-                del stack[i:]
-                return
+    def cut(size: int) -> None:
+        while len(stack) > size:
+            places[stack.pop().tag].pop()
+
+    def close(tags: tuple[str, ...], scopes: tuple[str, ...] = ()) -> None:
+        """End the nearest of these elements, unless one that they can't reach out of is nearer."""
+        found = max((places[t][-1] for t in tags if places.get(t)), default=-1)
+        if found > max((places[t][-1] for t in scopes if places.get(t)), default=-1):
+            cut(found)
 
     at, end = 0, len(page)
     while at < end:
@@ -126,7 +158,7 @@ def blocks(page: str) -> list[Block]:
         ending, tag, attributes, text = found.groups()
         if text is not None:
             parts.append(text)
-            if any(t == "a" for t, _ in stack[-4:]):
+            if places.get("a"):
                 linked += len(text)
             continue
         if tag is None:
@@ -135,10 +167,7 @@ def blocks(page: str) -> list[Block]:
         if tag not in INLINE:
             flush()
         if ending:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            close((tag,))
             continue
         if tag in SILENT:
             silent = "" if attributes.endswith("/") or tag in endless else tag
@@ -146,9 +175,12 @@ def blocks(page: str) -> list[Block]:
         if tag in ENDS_P:
             close(("p",))
         elif tag in CLOSES:
-            close(CLOSES[tag])
-        if tag not in VOID and not attributes.endswith("/"):
-            stack.append((tag, attributes))
+            close(CLOSES[tag], SCOPES.get(tag, ()))
+        elif tag == "a":
+            close(("a",))
+        if tag not in VOID and not attributes.endswith("/") and (tag != "a" or "href" in attributes.lower()):
+            places.setdefault(tag, []).append(len(stack))
+            stack.append(_Around(tag, attributes, stack[-1] if stack else None))
     flush()
     return out
 
@@ -186,6 +218,15 @@ def _mean(table: np.ndarray, bucket: np.ndarray, owner: np.ndarray, n: int) -> n
     return out
 
 
+def _greatest(table: np.ndarray, bucket: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Of each owner's buckets the greatest value in each dimension; zeros without any."""
+    out = np.zeros((n, table.shape[1]))
+    if len(bucket):
+        rows, first = np.unique(owner, return_index=True)
+        out[rows] = np.maximum.reduceat(table[bucket], first, axis=0)
+    return out
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -196,7 +237,7 @@ class Network:
     def __init__(self, seed: int = 0):
         rng = np.random.default_rng(seed)
         inputs = PATH_WIDTH + WORD_WIDTH + SHARES
-        self.w = {"path": rng.normal(0, 0.3, (PATHS, PATH_WIDTH)), "word": rng.normal(0, 0.1, (WORDS, WORD_WIDTH)), "out": rng.normal(0, 0.3, 2 * HIDDEN), "bias": np.zeros(1)}
+        self.w = {"path": rng.normal(0, 0.05, (PATHS, PATH_WIDTH)), "word": rng.normal(0, 0.1, (WORDS, WORD_WIDTH)), "out": rng.normal(0, 0.3, 2 * HIDDEN), "bias": np.zeros(1)}
         for side in "fb":
             self.w[f"x{side}"] = rng.normal(0, inputs ** -0.5, (inputs, 4 * HIDDEN))
             self.w[f"h{side}"] = rng.normal(0, HIDDEN ** -0.5, (HIDDEN, 4 * HIDDEN))
@@ -205,7 +246,7 @@ class Network:
     def inputs(self, described) -> np.ndarray:
         path, path_of, word, word_of, shares = described
         n = len(shares)
-        return np.hstack([_mean(self.w["path"], path, path_of, n), _mean(self.w["word"], word, word_of, n), shares])
+        return np.hstack([_greatest(self.w["path"], path, path_of, n), _mean(self.w["word"], word, word_of, n), shares])
 
     def _run(self, x: np.ndarray, side: str, keep: list | None = None) -> np.ndarray:
         """x: steps x pages x inputs. Hidden states of every step."""
@@ -266,14 +307,14 @@ class Network:
         d_states = d[:, :, None] * self.w["out"]
         dx = self._back(x, tape["f"], d_states[:, :, :HIDDEN], "f", grad)
         dx += _reverse(self._back(back, tape["b"], _reverse(d_states[:, :, HIDDEN:], n), "b", grad), n)
-        for name, width, offset, k in (("path", PATH_WIDTH, 0, 0), ("word", WORD_WIDTH, PATH_WIDTH, 2)):
-            table = np.zeros_like(self.w[name])
-            for j, page in enumerate(pages):
-                bucket, owner = page[k], page[k + 1]
-                if len(bucket):
-                    size = np.bincount(owner, minlength=n[j])[owner][:, None]
-                    np.add.at(table, bucket, dx[owner, j, offset: offset + width] / size)
-            grad[name] = table
+        grad["path"], grad["word"] = np.zeros_like(self.w["path"]), np.zeros_like(self.w["word"])
+        for j, (path, path_of, word, word_of, _) in enumerate(pages):
+            if len(path):
+                won = self.w["path"][path] == x[path_of, j, :PATH_WIDTH]
+                np.add.at(grad["path"], path, won * dx[path_of, j, :PATH_WIDTH])
+            if len(word):
+                size = np.bincount(word_of, minlength=n[j])[word_of][:, None]
+                np.add.at(grad["word"], word, dx[word_of, j, PATH_WIDTH: PATH_WIDTH + WORD_WIDTH] / size)
         return grad, loss
 
     def _back(self, x: np.ndarray, tape: list, d_out: np.ndarray, side: str, grad: dict) -> np.ndarray:
@@ -318,10 +359,13 @@ def _reverse(x: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _own_labels(sequence: list[Block]) -> np.ndarray | None:
-    """1 inside article or main and outside nav, header, footer, aside and form; None if the page has neither article nor main."""
-    if not any(x.tags & {"article", "main"} for x in sequence):
+    """1 inside article or main and outside nav, header, footer, aside, form and, within the article, places named like those of ``DROP``.
+
+    None if the page has neither article nor main.
+    """
+    if not any(x.article for x in sequence):
         return None
-    return np.array([float(bool(x.tags & {"article", "main"}) and not x.tags & {"nav", "header", "footer", "aside", "form", "head"}) for x in sequence])
+    return np.array([float(x.article and not x.other) for x in sequence])
 
 
 def _opened(markup: str, keep: str) -> tuple[str, str]:
@@ -339,45 +383,77 @@ def rebuilt(rng: np.random.Generator, good: list[str], bad: list[str]) -> str:
         some = pick(texts).split()
         return " ".join(some[: rng.integers(1, 6)])
 
+    def name() -> str:
+        return "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 10)))
+
+    def nested(inner: str) -> str:
+        """In up to 40 wrappers that say nothing."""
+        for _ in range(rng.integers(0, 41) if rng.random() < 0.15 else rng.integers(0, 4)):
+            style = rng.integers(6)
+            if style == 0:
+                inner = f"<table><tbody><tr><td>{inner}</td></tr></tbody></table>"
+            else:
+                tag = ("div", "div", "div", "section", "span")[style - 1]
+                inner = f"<{tag}{('', '', f' class={name()}', f' id={name()}')[rng.integers(4)]}>{inner}</{tag}>"
+        return inner
+
     def other() -> str:
-        opened, closed = _opened(DROP[rng.integers(len(DROP))], "0")
-        style = rng.integers(4)
+        place = DROP[rng.integers(len(DROP))]
+        if rng.random() < 0.5:  # names known by their beginnings only
+            tag, kind, named = re.match(r"(\w+)([.#]?)(.*)", place).groups()
+            place = tag + kind + "-".join(part[:BEGINNING] + name() if len(part) >= BEGINNING else part for part in re.findall("[a-z]+", named))
+        opened, closed = _opened(place, "0")
+        style = rng.integers(6)
         if style == 0:
             inner = "<ul>" + "".join(f'<li><a href="/">{short(good if rng.random() < 0.5 else bad)}</a></li>' for _ in range(rng.integers(1, 8))) + "</ul>"
         elif style == 1:
             inner = "".join(f"<p>{pick(good if rng.random() < 0.6 else bad)}</p>" for _ in range(rng.integers(1, 4)))
         elif style == 2:
             inner = pick(good if rng.random() < 0.4 else bad)
-        else:
+        elif style == 3:
             inner = f"<h3>{short(bad)}</h3><div>{pick(good if rng.random() < 0.5 else bad)}</div>"
-        return opened + inner + closed
+        else:  # a menu where no name says so
+            opened, closed = f'<div data-keep="0"{"" if style == 4 else f" class={name()}"}>', "</div>"
+            inner = (" ", "<br>", "</div><div>")[rng.integers(3)].join(f'<a href="/">{short(good if rng.random() < 0.5 else bad)}</a>' for _ in range(rng.integers(2, 8)))
+            inner = f"<div>{inner}</div>"
+        return opened + nested(inner) + closed
 
     def article() -> str:
-        opened, closed = _opened(KEEP[rng.integers(len(KEEP))], "1")
-        title = f"<h{rng.integers(1, 3)}>{short(good)}</h1>" if rng.random() < 0.8 else ""
-        body = []
+        kind = rng.random()
+        opened, closed = _opened(KEEP[rng.integers(len(KEEP))], "1") if kind < 0.6 else (f'<div data-keep="1"{"" if kind < 0.85 else f" class={name()}"}>', "</div>")
+        level = rng.integers(1, 3)
+        body = [f"<h{level}>{short(good)}</h{level}>"] if rng.random() < 0.8 else []
+        cells = rng.random() < 0.15
         for _ in range(rng.integers(1, 9)):
             text, style = (short if rng.random() < 0.15 else pick)(good), rng.integers(8)
-            body.append((f"<p><b>{text}<br>", f"<p>{text}", f"<div>{text}</div>", f"<blockquote>{text}</blockquote>", f"<ul><li>{text}</li></ul>")[style - 3] if style >= 3 else f"<p>{text}</p>")
+            if cells:
+                body.append(f"<table><tr><td>{text}</td></tr></table>")
+            else:
+                body.append((f"<p><b>{text}<br>", f"<p>{text}", f"<div>{text}</div>", f"<blockquote>{text}</blockquote>", f"<ul><li>{text}</li></ul>")[style - 3] if style >= 3 else f"<p>{text}</p>")
             if rng.random() < 0.08:
                 body.append(other())
-        return opened + title + "".join(body) + closed
-    wrap = [("", ""), ("<div>", "</div>"), ('<div class="wrapper">', "</div>"), ('<div id="page"><div class="container">', "</div></div>")][rng.integers(4)]
+        if rng.random() < 0.5:
+            body.append(other())
+        return nested(opened + nested("".join(body)) + closed)
     before, after = ("".join(other() for _ in range(rng.integers(0, 4))) for _ in range(2))
     head = f'<html><head data-keep="0"><title>{short(good)}</title></head><body data-keep="0">'
-    return head + wrap[0] + before + (article() if rng.random() < 0.95 else "") + after + wrap[1] + "</body></html>"
+    return head + nested(before + (article() if rng.random() < 0.95 else "") + after) + "</body></html>"
 
 
-def train(pages: DataFrame, sample: int = SAMPLE, variants: int = VARIANTS, id_col: str = "page_id", html_col: str = "html", seed: int = 0) -> Network:
-    """Fit on ``sample`` pages, the smallest by hash of the id, and ``variants`` rebuilt pages for each."""
-    known = pages.where(F.col(id_col).isNotNull() & F.col(html_col).isNotNull())
-    rows = known.orderBy(F.xxhash64(id_col), id_col, html_col).limit(sample).select(html_col).collect()  # bounded by the sample
+def train(pages: DataFrame, sample: int = SAMPLE, rebuilt_pages: int = REBUILT, id_col: str = "page_id", html_col: str = "html", seed: int = 0) -> Network:
+    """Fit on ``sample`` pages, the smallest by hash of the id, and ``rebuilt_pages`` pages rebuilt from their texts."""
+    known = pages.select(F.xxhash64(id_col).alias("h"), F.xxhash64(html_col).alias("g"), F.col(html_col).alias("html")).where(F.col(html_col).isNotNull() & F.col(id_col).isNotNull())
+    chosen = known.select("h", "g").distinct().orderBy("h", "g").limit(sample)  # two numbers of each page; whole pages only of those chosen
+    chosen = [tuple(r) for r in chosen.collect()]
+    wanted = F.broadcast(pages.sparkSession.createDataFrame(chosen, "h long, g long"))  # at most sample rows
+    rows = {(r["h"], r["g"]): r["html"] for r in known.join(wanted, ["h", "g"]).dropDuplicates(["h", "g"]).collect()}  # bounded by the sample
+    rows = [(rows[key],) for key in chosen]
     sequences = [s for s in (blocks(r[0]) for r in rows) if s]
     found = [(s, y) for s in sequences if (y := _own_labels(s)) is not None]
     good = [b.text for s, y in found for b, keep in zip(s, y, strict=True) if keep] or ["Some words that stand for an article."]
     bad = [b.text for s, y in found for b, keep in zip(s, y, strict=True) if not keep] or ["Menu", "Some words that stand for a notice."]
     rng = np.random.default_rng(seed)
-    for _ in range(variants * max(8, len(sequences))):
+    for _ in range(rebuilt_pages):
         s = blocks(rebuilt(rng, good, bad))
         if s:
             found.append((s, np.array([float(b.mark == "1") for b in s])))

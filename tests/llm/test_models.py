@@ -1,5 +1,7 @@
 """Operators 4, 5 and 9: held-out accuracy, gradients, calibration, odd rows."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -140,6 +142,50 @@ def test_articles_of_held_back_pages(spark):
     assert wrong <= 0.02 * len(rows)
 
 
+def test_articles_in_markup_kept_out_of_training(spark):
+    pages = read(spark, "pages").orderBy("page_id").limit(120)
+    network = html_extract.train(pages, sample=100)
+    held = []
+    for row in pages.collect()[:40]:
+        sequence = html_extract.blocks(row.html)
+        kept = [b.text for b in sequence if b.article and not b.other]
+        held.append((kept, [b.text for b in sequence if not b.article]))
+    e = html_extract.html.escape
+
+    def paragraphs(texts):
+        return "".join(f"<p>{e(t)}</p>" for t in texts)
+
+    def menu(texts):
+        return "<div>" + " ".join(f'<a href="/">{e(t)}</a>' for t in texts[:6]) + "</div>"
+
+    def wrapped(depth, inner, named=""):
+        return "".join(f"<div{named and f' class={named}{i}'}>" for i in range(depth)) + inner + "</div>" * depth
+    forms = {f"{d} wrappers": lambda a, o, d=d: (f"<nav>{menu(o)}</nav><article>{wrapped(d, paragraphs(a))}</article><footer>{e(o[-1])}</footer>", a) for d in (0, 10, 40)}
+    forms["named wrappers"] = lambda a, o: (f"<nav>{menu(o)}</nav><main>{wrapped(40, paragraphs(a), 'qz')}</main>", a)
+    forms["cell"] = lambda a, o: (f"<nav>{menu(o)}</nav><article><table><tr><td>{paragraphs(a)}</td></tr></table></article>", a)
+    forms["no container"] = lambda a, o: (f"<body>{menu(o)}<div>{paragraphs(a)}</div></body>", a)
+    for mark in ('class="kommentare"', 'id="disqus_thread"', 'class="comment-area"', 'class="reader-comments"'):
+        forms[mark] = lambda a, o, mark=mark: (f"<nav>{menu(o)}</nav><article>{paragraphs(a[:-1])}<div {mark}>{paragraphs(a[-1:])}</div></article>", a[:-1])
+    for form, make in forms.items():
+        right = wrong = lost = 0
+        for kept, other in held:
+            page, wanted = make(kept, other)
+            sequence = html_extract.blocks(page)
+            for b, p in zip(sequence, network.probabilities([html_extract.describe(sequence)])[0], strict=True):
+                size, want = len(b.text), b.text in wanted
+                right, wrong, lost = right + size * (p >= 0.5 and want), wrong + size * (p >= 0.5 and not want), lost + size * (p < 0.5 and want)
+        assert right >= 0.95 * (right + wrong) and right >= 0.95 * (right + lost), form
+
+
+def test_open_elements_take_time_in_proportion(spark):
+    began = time.process_time()
+    assert len(html_extract.blocks("<div>x" * 100_000)) == 100_000
+    assert len(html_extract.blocks("<li><ul><div>x</q>" * 20_000 + "<li>y" * 20_000)) == 40_000
+    assert time.process_time() - began < 20
+    cells = "<table><tr><td>a<table><tr><td>b<td>c</table>d<td>e</table>f"
+    assert [b.text for b in html_extract.blocks(cells)] == list("abcdef")
+
+
 def test_extraction_of_anything(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "v", "<article><p>Some words"), (3, "u", "<nav>only a menu</nav>"), (3, "u", "<nav>only a menu</nav>")],
                                   "page_id long, url string, html string")
