@@ -136,22 +136,27 @@ def applicable_rules(scopes: DataFrame, scope_kbs: DataFrame, acl: DataFrame) ->
 
 
 def _shared(targets: DataFrame) -> DataFrame:
-    """Rules that many scopes may have in common, and those of one user on a whole collection."""
-    return targets.where("target <> 'chunk' AND (subject_type <> 'user' OR target = 'kb')")
+    """Rules that many scopes may have in common."""
+    return targets.where("target <> 'chunk' AND subject_type <> 'user'")
 
 
 def access_signatures(scopes: DataFrame, scope_kbs: DataFrame, acl: DataFrame, closure: DataFrame, places: DataFrame,
                       documents: DataFrame) -> DataFrame:
-    """scope_kbs with ``signature``: the (subject, rule's collection) pairs whose shared rules can bear on this collection.
+    """scope_kbs with ``signature``, the (subject, rule's collection) pairs whose shared rules can bear on this collection, and
+    ``own_allow`` and ``own_deny``, what the user's own rules say of the whole collection.
 
-    Scopes of one collection, role kind and signature see the same of it, but for their ``own_rules``.
+    Scopes of one collection, role kind, signature and flags see the same of it, but for their ``own_rules``.
     A rule counts for the collection that its document or folder lies in, which
     may be another than the one it was written for; it then bears only on scopes that hold both.
-    A signature is no longer than the scope's subjects times the collections their rules come from.
+    A signature is no longer than the scope's roles and tags times the collections their rules come from. Signatures are made
+    for each set of roles and tags, then cut to what a scope holds.
     """
-    subjects = expand_subjects(scopes)
     who = ["subject_type", "subject_id"]
-    targets = _shared(rule_targets(acl.join(subjects.select(*who).distinct(), who, "left_semi")))
+    subjects = expand_subjects(scopes)
+    common = subjects.where("subject_type <> 'user' AND subject_id IS NOT NULL")
+    profiles = cut_lineage(common.groupBy("scope_id").agg(F.sort_array(F.collect_set(F.struct(*who))).alias("profile")))
+    known = profiles.select("profile").distinct().select("profile", F.explode("profile").alias("_s")).select("profile", "_s.*")
+    targets = _shared(rule_targets(acl.join(known.select(*who).distinct(), who, "left_semi")))
     of_folder = closure.join(places.select(F.col("place").alias("folder_id"), "kb_id"), "folder_id").select(
         F.col("ancestor_id").alias("folder_id"), F.col("kb_id").alias("within")).distinct()
     of_document = documents.select("document_id", F.col("kb_id").alias("within"))
@@ -159,25 +164,43 @@ def access_signatures(scopes: DataFrame, scope_kbs: DataFrame, acl: DataFrame, c
              targets.where("target = 'document'").join(of_document, "document_id").select(*who, "kb_id", "within"),
              targets.where("target = 'folder'").join(of_folder, "folder_id").select(*who, "kb_id", "within")]
     bearing = cut_lineage(named[0].unionByName(named[1]).unionByName(named[2]).distinct())
-    held = spread_join(subjects, bearing, who, by="scope_id")
-    foreign = held.where("kb_id <> within").join(scope_kbs.select("scope_id", "kb_id"), ["scope_id", "kb_id"], "left_semi")
-    pairs = held.where("kb_id = within").unionByName(foreign.select(*held.columns))
-    marks = pairs.groupBy("scope_id", F.col("within").alias("kb_id")).agg(
-        F.sort_array(F.collect_set(F.struct(*who, F.col("kb_id").alias("of_kb")))).alias("_marks"))
+    marks = cut_lineage(known.join(bearing, who).groupBy("profile", F.col("within").alias("kb_id")).agg(
+        F.sort_array(F.collect_set(F.struct(*who, F.col("kb_id").alias("of_kb")))).alias("_marks")))
     none = F.array().cast(marks.schema["_marks"].dataType)
-    return scope_kbs.join(marks, ["scope_id", "kb_id"], "left").select(
-        *scope_kbs.columns, F.coalesce("_marks", none).alias("signature"))
+    held = scope_kbs.groupBy("scope_id").agg(F.collect_set("kb_id").alias("_held"))
+    own = kb_rules_of(scopes, acl)
+    signed = scope_kbs.join(profiles.join(held, "scope_id"), "scope_id", "left").join(own, ["scope_id", "kb_id"], "left")
+    signed = spread_join(signed, marks, ["profile", "kb_id"], by="scope_id", how="left")
+    kept = F.filter("_marks", lambda m: (m["of_kb"] == F.col("kb_id")) | F.array_contains("_held", m["of_kb"]))
+    return signed.select(*scope_kbs.columns, F.coalesce(kept, none).alias("signature"),
+                         F.coalesce("own_allow", F.lit(False)).alias("own_allow"), F.coalesce("own_deny", F.lit(False)).alias("own_deny"))
+
+
+def kb_rules_of(scopes: DataFrame, acl: DataFrame) -> DataFrame:
+    """(scope_id, kb_id, own_allow, own_deny): rules of a scope's user alone on whole collections."""
+    who = scopes.select("scope_id", F.col("user_id").cast("string").alias("subject_id"))
+    return rule_targets(acl.where("subject_type = 'user'")).where("target = 'kb'").join(who, "subject_id").groupBy("scope_id", "kb_id").agg(
+        F.max("allow").alias("own_allow"), F.max("deny").alias("own_deny"))
 
 
 def access_classes(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes (scope_id, kb_id, dataset_id, is_admin, signature; scope_id is a number of the class) and members (scope_id, kb_id, is_admin, class_id).
+    """Classes (scope_id, kb_id, dataset_id, is_admin, signature, own_allow, own_deny; scope_id is a number of the class) and members
+    (scope_id, kb_id, is_admin, class_id).
 
     A class may hold a third of all scopes, so joins with it are salted by scope.
     """
-    key = ["kb_id", "is_admin", "signature"]
+    key = ["kb_id", "is_admin", "signature", "own_allow", "own_deny"]
     classes = cut_lineage(signed.select("dataset_id", *key).distinct().withColumn("scope_id", F.monotonically_increasing_id()))
     known = classes.select(*key, F.col("scope_id").alias("class_id"))
-    return classes, cut_lineage(spread_join(signed.drop("dataset_id"), known, key, by="scope_id").drop("signature"))
+    members = spread_join(signed.drop("dataset_id"), known, key, by="scope_id")
+    return classes, cut_lineage(members.drop("signature", "own_allow", "own_deny"))
+
+
+def class_access(classes: DataFrame, rules: DataFrame) -> DataFrame:
+    """``kb_access`` of the classes, with what their members' own rules say of the whole collection."""
+    access = kb_access(classes.drop("signature"), rules)
+    return access.withColumns({"kb_allow": F.col("kb_allow") | F.col("own_allow"), "kb_deny": F.col("kb_deny") | F.col("own_deny")}).select(
+        "scope_id", "kb_id", "dataset_id", "is_admin", "kb_allow", "kb_deny")
 
 
 def class_rules(classes: DataFrame, acl: DataFrame) -> DataFrame:
@@ -200,6 +223,42 @@ def own_rules(scopes: DataFrame, scope_kbs: DataFrame, acl: DataFrame) -> DataFr
         "scope_id", "kb_id", "target", "document_id", "chunk_id", "folder_id", "allow", "deny")
 
 
+def found_rules(found: DataFrame, scopes: DataFrame, scope_kbs: DataFrame, acl: DataFrame, placed: DataFrame,
+                closure: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rules, hits): ``applicable_rules`` and ``folder_hits`` as far as they bear on chunks found (scope_id, chunk_id, document_id).
+
+    For very many scopes that each found little: a rule of a role meets the rows found in its document, chunk or folder, never all
+    users of the role. Folder rules of roles and tags go down to the folders below, places found go up to the folder rules of users.
+    """
+    who = ["subject_type", "subject_id"]
+    subjects = cut_lineage(expand_subjects(scopes).where("subject_id IS NOT NULL"))
+    targets = cut_lineage(rule_targets(acl.join(subjects.select(*who).distinct(), who, "left_semi")))
+    columns = ["scope_id", "kb_id", "target", "document_id", "chunk_id", "folder_id", "allow", "deny"]
+    on_item = targets.where("target IN ('chunk', 'document')")
+
+    def met(items: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+        return items.join(rules.select(key).distinct(), key, "left_semi").join(subjects, "scope_id").join(rules, [*who, key]).select(*columns)
+    of_chunk = met(found.select("scope_id", "chunk_id").distinct(), on_item.where("target = 'chunk'"), "chunk_id")
+    of_document = met(found.select("scope_id", "document_id").distinct(), on_item, "document_id")
+    on_kb = targets.where("target = 'kb'")
+    of_kb = spread_join(scope_kbs.select("scope_id", "kb_id").join(subjects, "scope_id"), on_kb, [*who, "kb_id"], by="scope_id").select(*columns)
+    held = scope_kbs.select("scope_id", "kb_id")
+    rules = of_chunk.unionByName(of_document).unionByName(of_kb).join(held, ["scope_id", "kb_id"], "left_semi").groupBy(
+        "scope_id", "kb_id", "target", "document_id", "chunk_id", "folder_id").agg(F.max("allow").alias("allow"), F.max("deny").alias("deny"))
+
+    on_folder = targets.where("target = 'folder'").select(*who, "kb_id", F.col("folder_id").alias("ancestor_id"), "allow", "deny")
+    at = cut_lineage(found.select("scope_id", "document_id").distinct().join(placed, "document_id").select("scope_id", "place").distinct())
+    down = on_folder.where("subject_type <> 'user'").join(closure.select("folder_id", "ancestor_id"), "ancestor_id").groupBy(
+        *who, "kb_id", F.col("folder_id").alias("place")).agg(F.max("allow").alias("allow"), F.max("deny").alias("deny"))
+    shared = at.join(subjects.where("subject_type <> 'user'"), "scope_id").join(down, [*who, "place"])
+    own = on_folder.where("subject_type = 'user'").join(subjects, who)
+    up = at.join(own.select("scope_id").distinct(), "scope_id", "left_semi").join(
+        closure.select(F.col("folder_id").alias("place"), "ancestor_id"), "place").join(own, ["scope_id", "ancestor_id"])
+    hit = ["scope_id", "kb_id", "place", "allow", "deny"]
+    hits = shared.select(*hit).unionByName(up.select(*hit)).join(held, ["scope_id", "kb_id"], "left_semi")
+    return rules, hits.groupBy("scope_id", "place").agg(F.max("allow").alias("f_allow"), F.max("deny").alias("f_deny"))
+
+
 def kb_access(scope_kbs: DataFrame, rules: DataFrame) -> DataFrame:
     """scope_kbs with the collection's own rules: kb_allow and kb_deny."""
     ruled = rules.where("target = 'kb'").select(

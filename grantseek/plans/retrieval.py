@@ -66,6 +66,16 @@ def resolve(scopes: DataFrame, cat: Catalogue) -> Resolved:
                     perm.placed_documents(cat.documents, places))
 
 
+def resolve_found(found: DataFrame, scopes: DataFrame, cat: Catalogue) -> Resolved:
+    """``resolve`` as far as decisions about chunks found (scope_id, chunk_id, document_id) need it: its rules and hits are of those only."""
+    closure = tree.ancestor_closure(cat.folders) if cat.closure is None else cat.closure
+    places = perm.folder_places(cat.folders, closure) if cat.places is None else cat.places
+    scope_kbs = cut_lineage(perm.requested_scope(scopes, cat.kbs, cat.grants))
+    placed = perm.placed_documents(cat.documents, places)
+    rules, hits = (cut_lineage(df) for df in perm.found_rules(found, scopes, scope_kbs, cat.acl, placed, closure))
+    return Resolved(scopes, perm.kb_access(scope_kbs, rules), rules, hits, places, placed)
+
+
 @dataclass(frozen=True)
 class Classes:
     """Scopes grouped by the rules they share: ``of`` decides per class, the scopes' own rules correct that."""
@@ -91,7 +101,8 @@ def resolve_classes(scopes: DataFrame, cat: Catalogue) -> Classes:
     """``resolve`` for very many scopes, such as all users of a system: counts over documents and folders.
 
     Rules of a role or tag meet the few classes they bear on, not every user of the role. Rules of one user on folders
-    and documents are kept beside and correct what that user's class sees; those on a whole collection make a class.
+    and documents are kept beside and correct what that user's class sees; those on a whole collection are two flags of the
+    class, so the number of classes doesn't grow with the users.
     """
     closure = tree.ancestor_closure(cat.folders) if cat.closure is None else cat.closure
     places = perm.folder_places(cat.folders, closure) if cat.places is None else cat.places
@@ -102,7 +113,7 @@ def resolve_classes(scopes: DataFrame, cat: Catalogue) -> Classes:
     hits = cut_lineage(perm.folder_hits(rules, closure))
     own = cut_lineage(perm.own_rules(scopes, scope_kbs, cat.acl))
     own_hits = cut_lineage(perm.folder_hits(own, closure))
-    access = perm.kb_access(classes.select("scope_id", "kb_id", "dataset_id", "is_admin"), rules)
+    access = perm.class_access(classes, rules)
     decided = Resolved(classes.select("scope_id"), access, rules, hits, places, perm.placed_documents(cat.documents, places))
     return Classes(members, decided, own, own_hits)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grantseek.operators import folders as tree
 from grantseek.operators import permissions as perm
-from grantseek.plans.retrieval import Catalogue, resolve, resolve_classes
+from grantseek.plans.retrieval import Catalogue, resolve, resolve_classes, resolve_found
 
 USER = "user_id bigint, username string, role string, tags array<string>, is_active boolean"
 KB = "kb_id bigint, dataset_id string, name string, is_active boolean"
@@ -227,3 +227,34 @@ def test_create_folders(spark):
     ok, bad = tree.create_folders(folders, new)
     assert [(r["folder_id"], r["path"], r["depth"]) for r in ok.collect()] == [(11, "/1/", 1)]
     assert {r["folder_id"] for r in bad.collect()} == {10, 12, 13}
+
+
+def test_rules_on_collections_make_no_class_of_their_own(spark):
+    """However many users hold a rule on a whole collection, there are at most four classes of a collection and role."""
+    users = [(u, f"u{u}", "user", ["a"], True) for u in range(40)]
+    grants = [(u, 0, True, False, False) for u in range(40)]
+    docs = [(f"d{d}", 0, None, "public" if d % 2 else "restricted", f"doc{d}") for d in range(6)]
+    acl = [(u, 0, "user", str(u), None, None, None, "deny" if u % 3 else "allow") for u in range(30)]
+    acl += [(100, 0, "tag", "a", "d1", None, None, "deny"), (101, 0, "role", "user", "d2", None, None, "allow")]
+    cat = catalogue(spark, users, [(0, "ds0", "kb0", True)], grants, [], docs, acl)
+    scopes = perm.user_scopes(cat.users)
+    by_class = resolve_classes(scopes, cat)
+    assert by_class.of.access.count() == 3
+    want = {u: 3 for u in range(30, 40)} | {u: 5 for u in range(0, 30, 3)}
+    assert {r["scope_id"]: r["n_visible"] for r in by_class.visible_counts().collect() if r["n_visible"]} == want
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_rules_of_what_was_found(spark, seed):
+    """Chunks found get the decision of the full resolution, from rules that bear on them alone."""
+    users, kbs, grants, folders, docs, acl = random_tables(seed + 20)
+    rng = random.Random(seed)
+    acl = [(*a[:1], rng.randrange(4) if rng.random() < 0.2 else a[1], *a[2:]) for a in acl]
+    cat = catalogue(spark, users, kbs, grants, folders, docs, acl)
+    scopes = perm.user_scopes(cat.users)
+    some = [(u[0], f"{d[0]}-000{i}", d[0]) for u in users for d in docs for i in range(2) if rng.random() < 0.2]
+    found = spark.createDataFrame(some, "scope_id bigint, chunk_id string, document_id string")
+    full, part = resolve(scopes, cat), resolve_found(found, scopes, cat)
+    rows = lambda r: sorted(tuple(x) for x in perm.chunk_visibility(found, **r.decide()).select("scope_id", "chunk_id", "visible").collect())
+    assert rows(part) == rows(full)
+    assert part.rules.count() < full.rules.count()

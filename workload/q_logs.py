@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from grantseek.common import cut_lineage
 from grantseek.operators import chat, logs
 from grantseek.operators import permissions as perm
 from grantseek.plans import retrieval
@@ -132,9 +133,10 @@ def _(t):
     cat = catalogue_of(t)
     seen = exposures(t)
     users = cat.users.join(seen.select("user_id").distinct(), "user_id", "left_semi")
-    resolved = retrieval.resolve(perm.user_scopes(users), cat)
     found = seen.join(users.select("user_id"), "user_id", "left_semi").join(t.chunk.select("chunk_id", "document_id"), "chunk_id")
-    decided = perm.chunk_visibility(found.select(F.col("user_id").alias("scope_id"), "chunk_id", "document_id"), **resolved.decide())
+    found = cut_lineage(found.select(F.col("user_id").alias("scope_id"), "chunk_id", "document_id"))
+    resolved = retrieval.resolve_found(found, perm.user_scopes(users), cat)
+    decided = perm.chunk_visibility(found, **resolved.decide())
     return chat.denied_exposure(seen, decided).select("user_id", "chunk_id")
 
 
