@@ -177,8 +177,21 @@ def split_text(text: str, size: int, overlap: int, min_size: int) -> list[str]:
     return [kept for chunk in chunks if (kept := chunk.strip())]
 
 
+SLAB = 64  # rows whose texts and pieces are Python objects at once, whatever the size of an Arrow batch
+
+
+def _by_slab(rows: pa.Array, kind: pa.DataType, fn) -> pa.Array:
+    """``fn`` of a slab of rows after the other, as one array."""
+    parts = [fn(rows.slice(at, SLAB)) for at in range(0, len(rows), SLAB)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def pieces_of(c: Column, size: int) -> Column:
-    return _udf(lambda v: list(cut_pieces(v, size)), "array<string>")(c)
+    kind = pa.list_(pa.string())
+
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else list(cut_pieces(v, size)) for v in texts.to_pylist()], kind)
+    return F.arrow_udf(lambda texts: _by_slab(texts, kind, cut), "array<string>")(c)
 
 
 def split_sections(sections: Column, size: int, overlap: int, min_size: int) -> Column:
@@ -186,6 +199,8 @@ def split_sections(sections: Column, size: int, overlap: int, min_size: int) ->
 
     Marked non-deterministic so that no filter above makes Spark evaluate it twice.
     """
+    kind = pa.list_(pa.struct([("content", pa.string()), ("page", pa.int32())]))
+
     def split(documents: pa.Array) -> pa.Array:
         content: list[str] = []
         page: list[int | None] = []
@@ -199,4 +214,5 @@ def split_sections(sections: Column, size: int, overlap: int, min_size: int) ->
         chunks = pa.StructArray.from_arrays(
             [pa.array(content, pa.string()), pa.array(page, pa.int32())], names=["content", "page"])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), chunks)
-    return F.arrow_udf(split, "array<struct<content:string,page:int>>").asNondeterministic()(sections)
+    return F.arrow_udf(lambda documents: _by_slab(documents, kind, split),
+                       "array<struct<content:string,page:int>>").asNondeterministic()(sections)

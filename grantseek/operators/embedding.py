@@ -83,6 +83,10 @@ def _ragged(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.repeat(np.arange(len(column)), lengths), column.flatten()
 
 
+WIDE = 1 << 20  # best rows of all requests that a task holds
+SENT = 1 << 16  # rows of a batch sent on beyond that
+
+
 def score_pass(
     chunks: DataFrame, queries: DataFrame, *, k: int, threshold: float | None = None, rank_by_id: bool = False,
 ) -> DataFrame:
@@ -96,7 +100,9 @@ def score_pass(
 
     Rows that come back: kind ``stat`` (number, least and greatest score in
     scope), ``top`` (best ``k`` per task with score >= threshold) and ``hit``
-    (score of every keyword hit). Nothing of size requests x chunks leaves a task.
+    (score of every keyword hit). Nothing of size requests x chunks leaves a task,
+    unless ``k`` asks for it: more than ``WIDE`` best rows are not held but sent
+    on as they come, without those below the floor, and cut by the caller.
     """
     has = set(chunks.columns)
     q = queries.select(
@@ -108,6 +114,9 @@ def score_pass(
         groups.append((model, dim, part["query_id"].to_numpy(np.int64), part["scope_id"].to_numpy(np.int64),
                        np.array(part["qvec"].tolist(), dtype=np.float64).T))
     floor = -np.inf if threshold is None else threshold
+    asked = k * sum(len(g[2]) for g in groups)
+    wide = asked > WIDE and not rank_by_id
+    floored = asked <= 4 * WIDE  # a floor holds k scores a request
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(k, rank_by_id)
@@ -145,8 +154,13 @@ def score_pass(
                     n, lo, hi = stats.get(query_ids[j], (0, np.inf, -np.inf))
                     stats[query_ids[j]] = (n + len(col), min(lo, col.min()), max(hi, col.max()))
                 if k:
-                    r, j = np.nonzero(allowed & (scores >= floor) if rank_by_id else enough.fits(scores, allowed))
-                    best.add(query_ids[j], ids[rows[r]], docs[rows[r]], scores[r, j])
+                    fits = allowed & (scores >= floor) if rank_by_id or not floored else enough.fits(scores, allowed)
+                    r, j = np.nonzero(fits)
+                    if not wide:
+                        best.add(query_ids[j], ids[rows[r]], docs[rows[r]], scores[r, j])
+                    for at in range(0, len(r) if wide else 0, SENT):
+                        r_, j_ = r[at: at + SENT], j[at: at + SENT]
+                        yield _rows("top", len(r_), query_id=query_ids[j_], chunk_id=ids[rows[r_]], document_id=docs[rows[r_]], score=scores[r_, j_])
                 if hit is not None and len(hit[0]):
                     place = np.full(batch.num_rows, -1)
                     place[rows] = np.arange(len(rows))

@@ -123,15 +123,15 @@ def rule_targets(acl: DataFrame) -> DataFrame:
 def applicable_rules(scopes: DataFrame, scope_kbs: DataFrame, acl: DataFrame) -> DataFrame:
     """Rules that bear on each scope: scope_id, kb_id, target, ids, allow, deny.
 
-    Rules of other subjects fall out first. A role or tag may own a large share
-    of the rules; its copies are merged and the join with its scopes is salted.
+    Rules of other subjects, and of collections that none of a subject's scopes holds, fall out first. A role or tag may own
+    a large share of the rules; its copies are merged and the join with its scopes is salted. A rule meets the
+    scopes that hold its collection only, not every scope of its subject.
     """
-    subjects = expand_subjects(scopes)
-    mine = acl.join(subjects.select("subject_type", "subject_id").distinct(), ["subject_type", "subject_id"], "left_semi")
+    key = ["subject_type", "subject_id", "kb_id"]
+    subjects = cut_lineage(expand_subjects(scopes).join(scope_kbs.select("scope_id", "kb_id").distinct(), "scope_id"))
+    mine = acl.join(subjects.select(*key).distinct(), key, "left_semi")
     targets = rule_targets(mine).withColumn("_spread", F.xxhash64("kb_id", "document_id", "chunk_id", "folder_id"))
-    held = spread_join(targets, subjects, ["subject_type", "subject_id"], by="_spread")
-    held = held.join(scope_kbs.select("scope_id", "kb_id"), ["scope_id", "kb_id"], "left_semi")
-    return held.groupBy("scope_id", "kb_id", "target", "document_id", "chunk_id", "folder_id").agg(
+    return spread_join(targets, subjects, key, by="_spread").groupBy("scope_id", "kb_id", "target", "document_id", "chunk_id", "folder_id").agg(
         F.max("allow").alias("allow"), F.max("deny").alias("deny"))
 
 

@@ -66,3 +66,28 @@ def test_hard_chunks(spark):
     df = spark.createDataFrame([("a", " " + "x" * 10), ("b", "  ")], "id string, text string")
     out = chunking.hard_chunks(df, "text", 4).orderBy("ordinal").collect()
     assert [(r["id"], r["content"]) for r in out] == [("a", "xxxx"), ("a", "xxxx"), ("a", "xx")]
+
+
+def test_few_texts_are_python_objects_at_once():
+    """An Arrow batch of any size is cut slab by slab."""
+    import pyarrow as pa
+    seen = []
+
+    def fn(part):
+        seen.append(len(part))
+        return pa.array([[v] for v in part.to_pylist()], pa.list_(pa.string()))
+    rows = [str(i) for i in range(2 * arrow.SLAB + 1)]
+    out = arrow._by_slab(pa.array(rows), pa.list_(pa.string()), fn)
+    assert out.to_pylist() == [[v] for v in rows] and max(seen) == arrow.SLAB
+    assert arrow._by_slab(pa.array([], pa.string()), pa.list_(pa.string()), fn).to_pylist() == []
+
+
+def test_slabs_join_to_whole_batches(spark):
+    texts = [None if i % 9 == 0 else f"word{i} " * (i % 70) for i in range(200)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "document_id long, body string").coalesce(1)
+    got = {r["document_id"]: r["pieces"] for r in chunking.recursive_split(rows, "body", 50).collect()}
+    assert got == {i: None if t is None else list(arrow.cut_pieces(t, 50)) for i, t in enumerate(texts)}
+    section = "array(struct(body as text, cast(null as int) as page)) as sections"
+    cut = chunking.chunk_sections(rows.selectExpr("cast(document_id as string) as document_id", section), 50, 10, 5).collect()
+    assert sorted((int(r["document_id"]), r["ordinal"], r["content"]) for r in cut) == [
+        (i, n, c) for i, t in enumerate(texts) for n, c in enumerate(arrow.split_text(t or "", 50, 10, 5))]

@@ -196,3 +196,16 @@ def test_two_users_see_different_answers(spark):
     assert {c["document_name"] for c in rows[2]["citations"]} == {"Pub", "Sec"}
     assert rows[3]["reason"] == retrieval.NO_KB and rows[3]["citations"] is None
     assert rows[4]["reason"] == retrieval.NO_QUESTION
+
+
+def test_answers_longer_than_a_task_holds(spark, monkeypatch):
+    """Rows beyond ``WIDE`` are sent on as they come; the answer is the same."""
+    rng = np.random.default_rng(3)
+    chunks = spark.createDataFrame([(f"c{i}", f"d{i}", rng.normal(size=4).tolist()) for i in range(90)], "chunk_id string, document_id string, embedding array<double>")
+    asked = spark.createDataFrame([(q, rng.normal(size=4).tolist()) for q in range(3)], "query_id long, qvec array<double>")
+    rows = lambda k: sorted(tuple(r) for r in embedding.vector_topk(chunks, asked, k).collect())
+    want = {k: rows(k) for k in (7, 90)}
+    monkeypatch.setattr(embedding, "WIDE", 20)
+    assert rows(7) == want[7]
+    monkeypatch.setattr(embedding, "WIDE", 2)
+    assert rows(7) == want[7] and rows(90) == want[90] and len(want[90]) == 270
