@@ -147,3 +147,23 @@ def test_empty_files_in_hidden_folders_are_left_out(spark, tmp_path):
     empty = {r["name"] for r in files.scan_files(spark, str(tmp_path)).where("size = 0").collect()}
     full = {r["name"] for r in files.scan_files(spark, str(tmp_path)).where("size > 0").collect()}
     assert empty == {n.replace(".md", ".txt") for n in full} == {"a.txt", "e.txt", "f.txt"}
+
+
+def test_pages_become_files_of_one_folder(spark, tmp_path):
+    """Not a folder each, which would be listed one by one; rows of one page are lines of its file."""
+    from workload import q_streams
+    pages = spark.createDataFrame([(1, "a"), (2, None), (3, "ü"), (3, "ü"), (40, "")], "page_id long, value string")
+    q_streams.page_files(pages, str(tmp_path / "in it"))
+    assert {p.name: p.read_text() for p in (tmp_path / "in it").iterdir()} == {
+        "page_id=1.txt": "a\n", "page_id=2.txt": "\n", "page_id=3.txt": "ü\nü\n", "page_id=40.txt": "\n"}
+
+
+def test_files_are_parsed_once_for_a_commit(spark, tmp_path, monkeypatch):
+    from grantseek.sources.store import IndexStore
+    read, chunk_parsed = [], ingest.chunk_parsed
+    monkeypatch.setattr(ingest, "chunk_parsed", lambda parsed, *rest: read.extend(parsed.inputFiles()) or chunk_parsed(parsed, *rest))
+    rows = spark.createDataFrame([("d1", "s", "a.txt", bytearray(b"some words")), ("d2", "s", "b.txt", bytearray())],
+                                 "document_id string, dataset_id string, name string, content binary")
+    status = ingest.load_documents(rows, IndexStore(spark, str(tmp_path / "index"), 2))
+    assert {r["document_id"]: r["state"] for r in status.collect()} == {"d1": "done", "d2": "failed"}
+    assert read and all(f.endswith(".parquet") for f in read)
