@@ -19,6 +19,9 @@ both link with the pivot they are in one component anyway. So what is left to fi
 with another set of its group. Shingles that only one delta of the group holds count as differences
 with everybody; that alone rules out nearly all of these pairs, and the others are looked up by the rarest shingles of their
 deltas (enough of them that two sets that link share one), then verified on the deltas. No link is missed.
+
+Links between two sets that both link with a pivot of theirs change no component. They are counted without a row for each: the
+sets of a pivot are dealt into blocks, two blocks at a time are compared in a task, and only the count of each set leaves it.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grantseek.llm.bitmap import Bitmap, likely
+from grantseek.llm.bitmap import Bitmap, hashed, likely
 from grantseek.llm.graph import components
 from grantseek.llm.scratch import Scratch, free_name, named, shuffles_freed
 from grantseek.llm.textbytes import U64, SpanHash, freed, mix, signed, slabs, text_bytes, words
@@ -39,6 +42,8 @@ from grantseek.llm.textbytes import U64, SpanHash, freed, mix, signed, slabs, te
 BAND_RATIO = 1.2
 PART = 1 << 18  # bytes of text whose shingles a task holds at once (or one longer text)
 KEY_ROWS = 1000  # rows whose texts or keys a task holds at once
+BLOCK = 256  # sets of a pivot that are compared with as many others at once, about
+COLUMNS = 4096  # shingles a task compares them by at once
 SHARED = 0.05  # chance that an unrelated set of the band shares a given shingle, in the cost model
 
 
@@ -230,17 +235,41 @@ def _kept_keys(met: Bitmap):
     return run
 
 
+def _token_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Row, and hash with the pivot, of every shingle of the deltas (pivot, id, gone, delta)."""
+    lists = batch.column(3)
+    row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+    return row, mix(mix(batch.column(0).to_numpy().view(U64))[row] ^ lists.flatten().to_numpy().view(U64))
+
+
+def _met_tokens(met: Bitmap):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in freed(batches):
+            row, key = _token_keys(batch)
+            hit = np.flatnonzero(met.hits(key))
+            place = hit - np.searchsorted(row, row[hit])
+            row = row[hit]
+            old = place < batch.column(2).to_numpy()[row]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), batch.column(3).flatten().take(pa.array(hit)),
+                                              pa.array(old.astype(np.int64))], ["pivot", "id", "t", "old"])
+    return run
+
+
 def group_links(deltas: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b): the links inside the pivots' groups of which one end does not link with the pivot."""
     deltas = deltas.where("delta is not null")
     d = F.size("delta").cast("long")
     reach = _gap(F.col("n") + F.floor(F.col("n") * 100 / percent), percent)  # with the largest set that may link
     members = deltas.select("pivot", "id", "n", "linked", d.alias("d"), reach.alias("h"))
-    lonely = members.where("not linked").select("pivot").distinct()
-    tokens = deltas.join(lonely, "pivot", "left_semi").select("pivot", "id", "gone", F.posexplode("delta").alias("pos", "t"))
-    tokens = tokens.select("pivot", "id", "t", (F.col("pos") < F.col("gone")).cast("long").alias("old"))
-    often = tokens.groupBy("pivot", "t").agg(F.count("*").alias("often")).where("often > 1")
-    common = scratch.write(tokens.join(often, ["pivot", "t"]))
+    lonely = scratch.write(members.where("not linked").select("pivot").distinct())
+    lists = deltas.join(lonely, "pivot", "left_semi").select("pivot", "id", "gone", "delta")
+    # shingles that one delta of the group holds are kept back where they are; the bitmap lets few of them through
+    with shuffles_freed(deltas.sparkSession, KEY_ROWS):
+        met = Bitmap(hashed(lists, lambda batch: _token_keys(batch)[1], "h long").groupBy("h").agg(F.count("*").alias("often")).where("often > 1").select("h"))
+    tokens = lists.mapInArrow(_met_tokens(met), "pivot long, id long, t long, old long")
+    often = F.count("*").over(Window.partitionBy("pivot", "t"))
+    common = scratch.write(tokens.withColumn("often", often).where("often > 1"), KEY_ROWS)
+    met.close()
     held = common.groupBy("pivot", "id").agg(F.count("*").alias("c"), F.sum("old").alias("g"))
     viable = members.join(held, ["pivot", "id"]).where("d - c <= h").withColumn("need", F.greatest(F.lit(1), F.col("d") - F.col("h")))
     place = F.row_number().over(Window.partitionBy("pivot", "id").orderBy("often", "t"))
@@ -251,23 +280,132 @@ def group_links(deltas: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     apart = _gap(F.col("x.n") + F.col("y.n"), percent)
     least = F.expr("(x.d - x.c) + (y.d - y.c) + abs(x.g - y.g) + abs((x.c - x.g) - (y.c - y.g))")  # they differ in no fewer shingles
     most = F.expr("1 + least(x.c - x.place, y.c - y.place)")  # shared, if this is the first shared one in both orders
-    met = one.join(two, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.t") == F.col("y.t")) & F.expr("y.linked or x.id < y.id")
+    found = one.join(two, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.t") == F.col("y.t")) & F.expr("y.linked or x.id < y.id")
                    & (least <= apart) & (F.expr("x.d + y.d") - 2 * most <= apart))
-    met = scratch.write(met.select(F.col("x.pivot").alias("pivot"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    found = scratch.write(found.select(F.col("x.pivot").alias("pivot"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
     left = deltas.select("pivot", F.col("id").alias("a"), F.col("n").alias("n1"), F.col("delta").alias("x"))
     right = deltas.select("pivot", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("delta").alias("y"))
     apart = F.size("x") + F.size("y") - 2 * F.size(F.array_intersect("x", "y"))
-    out = met.join(left, ["pivot", "a"]).join(right, ["pivot", "b"]).where(apart <= _gap(F.col("n1") + F.col("n2"), percent)).select("a", "b")
+    out = found.join(left, ["pivot", "a"]).join(right, ["pivot", "b"]).where(apart <= _gap(F.col("n1") + F.col("n2"), percent)).select("a", "b")
     out = scratch.write(out)
-    scratch.drop(common, prefix, met)
+    scratch.drop(lonely, common, prefix, found)
+    return out
+
+
+def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many values each of the sets ``x`` shares with each of the sets ``y``."""
+    some, place = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    left, right = (np.repeat(np.arange(len(sets)), [len(v) for v in sets]) for sets in (x, y))
+    here, there = place[: len(left)], place[len(left):]
+    both = (np.bincount(here, minlength=len(some)) > 0) & (np.bincount(there, minlength=len(some)) > 0)
+    column = np.cumsum(both) - 1
+    out = np.zeros((len(x), len(y)), np.float32)
+    left, here = left[both[here]], column[here[both[here]]]
+    right, there = right[both[there]], column[there[both[there]]]
+    for at in range(0, int(both.sum()), COLUMNS):
+        parts = []
+        for row, value, rows in ((left, here, len(x)), (right, there, len(y))):
+            part = (value >= at) & (value < at + COLUMNS)
+            parts.append(np.zeros((rows, COLUMNS), np.float32))
+            parts[-1][row[part], value[part] - at] = 1
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def _near(pivot: int, same: bool, first: np.ndarray, ids: np.ndarray, n: np.ndarray, deltas: list[np.ndarray], stars: list[np.ndarray],
+          percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, links) of two blocks of a pivot's sets; ``first``: those of the first block. A pair counts with the smallest pivot that both link with."""
+    x, y = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(first), np.flatnonzero(~first))
+    d = np.array([len(v) for v in deltas])
+
+    def pick(lists, rows):
+        return [lists[i] for i in rows]
+    apart = d[x][:, None] + d[y] - 2 * _shared(pick(deltas, x), pick(deltas, y))
+    near = apart * (100 + percent) <= (n[x][:, None] + n[y]) * (100 - percent)
+    near &= ids[x][:, None] < ids[y] if same else ids[x][:, None] != ids[y]
+    if max(map(len, stars)) > 1:
+        for rows, others, known in ((x, y, near), (y, x, near.T)):  # one is the other's pivot: that link is a row already
+            row = np.repeat(np.arange(len(rows)), [len(stars[i]) for i in rows])
+            value = np.concatenate(pick(stars, rows))
+            place = np.minimum(np.searchsorted(ids[others], value), len(others) - 1)  # ids ascend
+            hit = ids[others][place] == value
+            known[row[hit], place[hit]] = False
+        earlier = [v[v < pivot] for v in stars]
+        near &= _shared(pick(earlier, x), pick(earlier, y)) == 0
+    links = np.zeros(len(ids), np.int64)
+    np.add.at(links, x, near.sum(1))
+    np.add.at(links, y, near.sum(0))
+    return ids, links
+
+
+def _block_links(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(table: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
+            pivot, low, high, at, ids, n = (table.column(c).to_numpy() for c in range(6))
+            lists = []
+            for c in (6, 7):
+                column = table.column(c).combine_chunks()
+                flat, offsets = column.flatten().to_numpy(), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy())))
+                lists.append((flat, offsets))
+            out_ids, out_links = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                rows = a + np.unique(ids[a:b], return_index=True)[1]  # copies of a row are one set
+                if len(rows) < 2 or (low[a] != high[a] and len(set(at[rows])) < 2):
+                    continue
+                deltas, stars = ([flat[o[i]: o[i + 1]] for i in rows] for flat, o in lists)
+                found, links = _near(int(pivot[a]), bool(low[a] == high[a]), at[rows] == low[a], ids[rows], n[rows], deltas, stars, percent)
+                out_ids.append(found[links > 0])
+                out_links.append(links[links > 0])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_ids)), pa.array(np.concatenate(out_links))], ["id", "links"])
+
+        held: pa.Table | None = None  # the last two blocks, until all their sets are here
+        for batch in freed(batches):
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            if not table.num_rows:
+                continue
+            keys = [table.column(c).to_numpy() for c in range(3)]
+            new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+            if len(new):
+                yield counted(table.slice(0, new[-1]), np.concatenate(([0], new)))
+            held = table.slice(new[-1] if len(new) else 0)
+        if held is not None:
+            yield counted(held, np.array([0, held.num_rows]))
+    return run
+
+
+def link_counts(deltas: DataFrame, inside: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(rep, links): how many other sets each set links with; ``inside``: what ``group_links`` found. Sets without a link have no row.
+
+    Every pair that links shares a pivot or one is the other's. Pairs that both link with a pivot are counted in blocks, with the smallest
+    such pivot only; all others are rows of ``inside`` or of the pivots.
+    """
+    linked = deltas.where("linked")
+    own = scratch.write(linked.groupBy("id").agg(F.collect_set("pivot").alias("stars")))  # at most a pivot for each key of the set
+    sizes = linked.where("delta is not null").groupBy("pivot").agg(F.count("*").alias("sets")).where("sets > 1")
+    rows = linked.where("delta is not null").join(sizes.hint("merge"), "pivot").join(own.hint("merge"), "id")
+    blocks = F.ceil(F.col("sets") / BLOCK)
+    rows = rows.withColumn("at", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = rows.select("pivot", F.least("at", "other").alias("low"), F.greatest("at", "other").alias("high"), "at", "id", "n", "delta", "stars")
+    rows = rows.repartition("pivot", "low", "high").sortWithinPartitions("pivot", "low", "high")
+    near = scratch.write(rows.mapInArrow(_block_links(percent), "id long, links long"), KEY_ROWS)
+    left, right = own.select(F.col("id").alias("a"), F.col("stars").alias("x")), own.select(F.col("id").alias("b"), F.col("stars").alias("y"))
+    other = inside.join(left, "a", "left").join(right, "b", "left").where("not coalesce(arrays_overlap(x, y), false)").select("a", "b")
+    rows = linked.select(F.col("pivot").alias("a"), F.col("id").alias("b")).unionByName(other)
+    rows = rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ends = rows.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(1).cast("long").alias("links"))
+    out = scratch.write(ends.unionAll(near.select(F.col("id"), "links")).groupBy("rep").agg(F.sum("links").alias("links")))
+    scratch.drop(own, near)
     return out
 
 
-def jaccard_components(docs: DataFrame, percent: int = 90, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``id_col``, n_shingles (size of its set), component_id, links.
+def jaccard_components(
+    docs: DataFrame, percent: int = 90, k: int = 3, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True,
+) -> DataFrame:
+    """One row per document: ``id_col``, n_shingles (size of its set), component_id, links (unless not ``count_links``).
 
-    component_id is the smallest id that can be reached over links; ``links`` counts the links to other sets
-    that were verified to find it (copies of one set count as one). Null or blank text: no shingles, its own component. Copies of a
+    component_id is the smallest id that can be reached over links; ``links`` counts all other sets that
+    link with the document's (copies of one set count as one). Null or blank text: no shingles, its own component. Copies of a
     set are one set here (a 128-bit sum of its shingles tells them), however many there are. Rows without
     an id take no part; an id on several rows is one node. Other columns are not read. An empty table gives no rows.
     """
@@ -293,17 +431,19 @@ def jaccard_components(docs: DataFrame, percent: int = 90, k: int = 3, id_col: s
     pairs = scratch.write(keyed.join(met.select("key", "pivot").hint("merge"), "key").where("id <> pivot").select("pivot", "id").distinct())
     scratch.drop(shared)
     deltas = star_deltas(pairs, texts, percent, k, scratch)
-    links = deltas.where("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b")).unionByName(group_links(deltas, percent, scratch))
+    inside = group_links(deltas, percent, scratch)
+    links = deltas.where("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b")).unionByName(inside)
     links = scratch.write(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     parts = components(links, scratch).withColumnRenamed("node", "rep")
-    degree = (links.select(F.col("a").alias("rep")).unionAll(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links")))
-    placed = classes.join(parts, "rep", "left").join(degree, "rep", "left").select(
-        "print1", "print2", F.coalesce("component", "rep").alias("component_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
-    scratch.drop(pairs, deltas)
-    out = members.join(placed, ["print1", "print2"], "left")
+    placed = classes.join(parts, "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
+    if count_links:
+        placed = placed.join(link_counts(deltas, inside, percent, scratch), "rep", "left").withColumn("links", F.coalesce("links", F.lit(0).cast("long")))
+    counts = ["links"] if count_links else []
+    scratch.drop(pairs, deltas, inside)
+    out = members.join(placed.select("print1", "print2", "component_id", *counts), ["print1", "print2"], "left")
     return out.select(F.col("id").alias(id_col), "n_shingles",
                       F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
-                      F.when(F.col("n_shingles") > 0, F.col("links")).otherwise(F.lit(0).cast("long")).alias("links"))
+                      *[F.when(F.col("n_shingles") > 0, F.col(c)).otherwise(F.lit(0).cast("long")).alias(c) for c in counts])
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,7 +457,7 @@ def drop_near_duplicates(docs: DataFrame, percent: int, k: int, id_col: str = "d
     scratch = Scratch(docs.sparkSession, lean=True)
     column = free_name("node", docs.columns)
     node = F.xxhash64(named(id_col).cast("long"), named(text_col))
-    parts = jaccard_components(docs.select(node.alias("id"), named(text_col).alias("text")), percent, k, "id", "text")
+    parts = jaccard_components(docs.select(node.alias("id"), named(text_col).alias("text")), percent, k, "id", "text", count_links=False)
     parts = scratch.write(parts.select(F.col("id").alias("node"), F.col("component_id").alias("part")).distinct())
     shared = scratch.write(parts.where("node <> part").select("part").distinct())
     parts = parts.join(shared.hint("merge"), "part", "left_semi")

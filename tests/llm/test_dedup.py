@@ -63,6 +63,19 @@ def test_components_are_exact(spark, percent, k, seed):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, percent, k)
 
 
+@pytest.mark.parametrize(("percent", "k", "seed", "block"), [(90, 3, 4, 256), (80, 5, 5, 4), (80, 1, 6, 3)])
+def test_all_links_are_counted(spark, monkeypatch, percent, k, seed, block):
+    """Links between two sets that both link with their pivot too, over several blocks; copies of a set are one."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rows = near_copies(seed, copies=20)
+    rows += [(10 ** 6 + i, t) for i, (_, t) in enumerate(rows[:9])] + rows[:3]
+    sets = {i: frozenset(shingles(t, k)) for i, t in rows}
+    other = {s: sum(100 * len(s & o) >= percent * len(s | o) for o in set(sets.values()) if o != s) for s in set(sets.values())}
+    assert max(other.values()) > 5
+    got = ngram_join.jaccard_components(documents(spark, rows), percent, k).collect()
+    assert {r.doc_id: r.links for r in got} == {i: other[s] if s else 0 for i, s in sets.items()}
+
+
 def test_every_link_shares_a_key():
     """Pigeonhole: sets that link always meet, in exact and in deep plans."""
     rng = np.random.default_rng(5)
