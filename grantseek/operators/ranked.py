@@ -9,6 +9,8 @@ scores at most the sum of the next ``dl`` of them from the j-th on, times the fa
 2. Of every other token only the postings of lengths at which the bound reaches the floor. A chunk of the answer has a first token,
    and its posting is among them. The chunks found get their whole score in the same way.
 
+If a round finds very many postings, all chunks get their score in one scan of their tokens, which moves none of them; that is the answer.
+
 Postings are stored in order of (token, dl): the tokens of a pass skip row groups, and so do the lengths. Scores of a batch of chunks are
 a sparse product: tokens of the chunks with the weights of the requests.
 """
@@ -30,9 +32,11 @@ from grantseek.operators.best import Best, Floor
 
 FIRST = 5  # times the limit: postings of the first round
 CLOSE = 2e-6  # scores are rounded to six places; a bound this much below the floor may still round up to it
-BROADCAST_CHUNKS = 500_000  # chunk ids that are sent to every task at most; more are joined by a shuffle
+BROADCAST_CHUNKS = 500_000  # postings whose chunk ids are sent to every task at most; of more, all chunks are scored where they lie
 CELLS = 1 << 20  # of the largest matrix in a task
 ANY = (0, 2**31 - 1)  # every length
+CODED = "document_id string, chunk_id string, dl bigint, codes array<int>"
+CODED_NAMES = ["document_id", "chunk_id", "dl", "codes"]
 FOUND = "query_id bigint, chunk_id string, document_id string, kw double"
 
 
@@ -111,13 +115,13 @@ def matching(postings: DataFrame, terms: dict[str, tuple[int, int]]) -> DataFram
 
 def _scored(
     index: lexical.StoredPostings, found: DataFrame, requests: list[_Request], audience: DataFrame | None, limit: int, floors: dict[int, float],
-) -> DataFrame:
-    """(query_id, chunk_id, document_id, kw): the best ``limit`` of each request in each task, not below its floor, of the chunks found."""
-    chunks = cut_lineage(found.select("chunk_id").distinct())
-    side = F.broadcast(chunks) if chunks.count() <= BROADCAST_CHUNKS else chunks
-    rows = index.lexicon.join(side, "chunk_id", "left_semi")
-    if audience is not None:
-        rows = rows.join(audience, "document_id")
+) -> tuple[DataFrame, bool]:
+    """(query_id, chunk_id, document_id, kw): the best ``limit`` of each request in each task, not below its floor, of the chunks found; and
+    whether these were all chunks, because too many were found."""
+    whole, scoped = found.count() > BROADCAST_CHUNKS, audience is not None
+    rows = index.lexicon.where("chunk_id is not null")
+    if not whole:
+        rows = rows.join(F.broadcast(cut_lineage(found.select("chunk_id").distinct())), "chunk_id", "left_semi")
     # The requests of each token and its weight in them: a pass times 32 numbers.
     pairs = sorted((t[1], q, t[0]) for q, r in enumerate(requests) for t in r.tokens)
     vocabulary = pa.array(sorted({p[0] for p in pairs}), pa.string())
@@ -126,16 +130,26 @@ def _scored(
     ids, scopes = np.array([r.query_id for r in requests]), np.array([r.scope_id for r in requests])
     floor, avg_dl = np.array([floors.get(r.query_id, 0.0) for r in requests]), index.avg_dl
 
+    def coded(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """(document_id, chunk_id, dl, codes): rows with a token of the pass, and which these are."""
+        lex = batch.column(2)
+        lengths = np.nan_to_num(lex.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        code = pc.index_in(lex.flatten(), value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
+        count = np.bincount(np.repeat(np.arange(batch.num_rows), lengths)[code >= 0], minlength=batch.num_rows)
+        some = pa.array(np.flatnonzero(count))
+        codes = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count[count > 0]))), pa.int32()), pa.array(code[code >= 0], pa.int32()))
+        return pa.RecordBatch.from_arrays([batch.column(1).take(some), batch.column(0).take(some), pa.array(lengths).take(some), codes], names=CODED_NAMES)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, needed = Best(limit), Floor(limit, floor)
         for batch in batches:
-            lex = batch.column(2)
-            lengths = np.nan_to_num(lex.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-            code = pc.index_in(lex.flatten(), value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(batch.num_rows), lengths)[code >= 0]
-            code = code[code >= 0]
-            chunk, document = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            listed = batch.column(3) if batch.num_columns > 3 else None
+            if not scoped:
+                batch = coded(batch)
+            document, chunk = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            lengths, codes = batch.column(2).to_numpy(), batch.column(3)
+            code = codes.flatten().to_numpy()
+            owner = np.repeat(np.arange(batch.num_rows), codes.value_lengths().to_numpy())
+            listed = batch.column(4) if batch.num_columns > 4 else None
             step = max(1, CELLS // len(ids))
             for begin in range(0, batch.num_rows, step):
                 rows = np.arange(begin, min(begin + step, batch.num_rows))
@@ -154,8 +168,10 @@ def _scored(
         query, chunk, document, score = best.rows()
         yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(chunk, pa.string()), pa.array(document, pa.string()), pa.array(score)],
                                          ["query_id", "chunk_id", "document_id", "kw"])
-    columns = ["chunk_id", "document_id", "lex", *(["audience"] if audience is not None else [])]
-    return rows.select(*columns).mapInArrow(scan, FOUND)
+    rows = rows.select("chunk_id", "document_id", "lex")
+    if scoped:  # only the codes move, not the tokens
+        rows = rows.mapInArrow(lambda batches: (coded(batch) for batch in batches), CODED).join(audience, "document_id").select(*CODED_NAMES, "audience")
+    return rows.mapInArrow(scan, FOUND), whole
 
 
 def _allowed(listed: pa.Array, rows: np.ndarray, scopes: np.ndarray) -> np.ndarray:
@@ -201,12 +217,16 @@ def bounded_pass(
         return index.postings.sparkSession.createDataFrame([], f"{FOUND}, kw_rank int")
     best = [F.desc("kw"), F.asc("chunk_id")]
     taken = first_round(requests, limit)
-    scored = _scored(index, matching(index.postings, taken), requests, audience, limit, {})
-    scored = cut_lineage(top_k(scored, ["query_id"], best, limit, rank="kw_rank", salts=16))
+    scored, whole = _scored(index, matching(index.postings, taken), requests, audience, limit, {})
+    scored = cut_lineage(top_k(scored.distinct() if whole else scored, ["query_id"], best, limit, rank="kw_rank", salts=16))
+    if whole:
+        return scored
     floors = {r["query_id"]: r["kw"] for r in scored.where(F.col("kw_rank") == limit).select("query_id", "kw").collect()}  # a row a request
     terms = second_round(requests, taken, floors, index.avg_dl)
     if not terms:
         return scored
-    rest = _scored(index, matching(index.postings, terms), requests, audience, limit, floors)
+    rest, whole = _scored(index, matching(index.postings, terms), requests, audience, limit, floors)
+    if whole:
+        return top_k(rest.distinct(), ["query_id"], best, limit, rank="kw_rank", salts=16)
     both = scored.drop("kw_rank").unionByName(rest).distinct()  # a chunk of both rounds has one score
     return top_k(both, ["query_id"], best, limit, rank="kw_rank", salts=16)

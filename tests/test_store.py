@@ -238,6 +238,37 @@ def test_bounded_search_equals_the_sum_over_all_postings(spark, store, monkeypat
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, plain.select(columns).collect()))
 
 
+@pytest.mark.parametrize("scoped", [False, True])
+def test_where_very_many_postings_match_the_tokens_stay_where_they_are(spark, store, monkeypatch, scoped):
+    """The same answer as the sum over postings, without a shuffle of the chunks' tokens."""
+    rng = random.Random(9)
+    store.commit(spark.createDataFrame([r for d in range(60) for r in rows_of(rng, f"s{d % 3}", str(d), n=6)], SCHEMA))
+    snapshot = store.snapshot()
+    queries = spark.createDataFrame([(q, " ".join(rng.sample(WORDS, 5))) for q in range(12)], "query_id bigint, question string")
+    audience = None
+    if scoped:
+        audience = spark.createDataFrame([(str(d), [q for q in range(12) if (q + d) % 3]) for d in range(60)], "document_id string, audience array<bigint>")
+    plain = lexical.bm25_search(lexical.build_postings(snapshot.chunks()), queries, lexical.corpus_stats(snapshot.chunks()), audience, 7)
+    monkeypatch.setattr(ranked, "BROADCAST_CHUNKS", 0)
+    plans = []
+    top_k = ranked.top_k
+    monkeypatch.setattr(ranked, "top_k", lambda df, *a, **kw: (plans.append(df), top_k(df, *a, **kw))[1])
+    got = lexical.bm25_search(snapshot.stored_postings(), queries, snapshot.stats(), audience, 7)
+    columns = ["query_id", "chunk_id", "document_id", "kw", "kw_rank"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, plain.select(columns).collect()))
+    plan = plans[0]._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == int(scoped) and not any("lex#" in line for line in joins)
+    assert plan.index("MapInArrow") < plan.index("lex#")  # no join sees tokens
+
+
+def test_tokens_are_made_where_chunks_are_written(spark, store, monkeypatch):
+    made = []
+    monkeypatch.setattr(stored, "with_tokens", lambda df: (made.append(df), lexical.with_tokens(df))[1])
+    store.commit(spark.createDataFrame(rows_of(random.Random(1), "s0", "0", n=6), SCHEMA))
+    assert "RepartitionByExpression" in made[-1]._jdf.queryExecution().analyzed().toString()
+
+
 def test_a_score_that_rounds_to_nothing_is_a_hit(spark, store):
     rows = [("a", str(d), f"{d}", 0, "common") for d in range(10)] + [("a", "long", "long", 0, " ".join(["common", *(f"x{i}" for i in range(400))]))]
     store.commit(spark.createDataFrame(rows, SCHEMA))
