@@ -73,14 +73,17 @@ def root_document_counts(documents: DataFrame) -> DataFrame:
 def folder_tree(
     folders: DataFrame, documents: DataFrame, acl: DataFrame, closure: DataFrame, access: DataFrame | None = None,
 ) -> DataFrame:
-    """Tree rows with counts; with ``access`` (folder visibility), one pruned tree per scope.
+    """Tree rows with counts; with ``access`` (``open_folders``, or folder visibility), one pruned tree per scope.
 
     A folder shows only if it and every ancestor are visible. Counts include
     hidden folders. Order rows by depth, sort_order, folder_id to display them.
+    Lists of scopes (``open_folders``) meet the counts as lists; folder visibility meets every ancestor.
     """
     counted = folder_counts(materialize_paths(folders, closure), documents, acl)
     if access is None:
         return counted
+    if "scopes" in access.columns:
+        return access.join(counted, "folder_id").withColumn("scope_id", F.explode("scopes")).drop("scopes")
     chain = closure.select("folder_id", F.col("ancestor_id"))
     shown = access.select("scope_id", F.col("folder_id").alias("ancestor_id"), "visible")
     whole = shown.join(chain, "ancestor_id").groupBy("scope_id", "folder_id").agg(F.min("visible").alias("shown"))

@@ -13,10 +13,12 @@ scopes x folders or scopes x documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grantseek.common import cut_lineage, spread_join
+from grantseek.common import PASS_QUERIES, cut_lineage, spread_join
 
 SHOWN_BY = ("rule_allow", "admin", "folder_allow", "public")
 ROOT, DANGLING = 0, -1  # places outside any folder, and in a folder the collection does not have
@@ -319,19 +321,70 @@ def shown(by: Column) -> Column:
     return by.isin(*SHOWN_BY)
 
 
+def _passes(access: DataFrame) -> int:
+    """Parts the scopes are dealt into, so that a list of scopes is no longer than a pass."""
+    return max(1, -(-access.select("scope_id").distinct().count() // PASS_QUERIES))
+
+
+def _dealt(df: DataFrame, passes: int) -> DataFrame:
+    return df.withColumn("_pass", F.pmod(F.xxhash64("scope_id"), F.lit(passes)))
+
+
+def _listed(rows: DataFrame, passes: int, *sides: tuple[DataFrame, str, Sequence[str]]) -> DataFrame:
+    """``rows`` once a pass, with lists of the scopes that have a flag there: of each side (rows of scopes, key, flags).
+
+    A listing of scopes x rows reads its flags from these lists, so it is not shuffled to meet the rules.
+    """
+    out = rows.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)).cast("array<bigint>")))
+    for side, key, flags in sides:
+        lists = _dealt(side, passes).groupBy(key, "_pass").agg(*[F.collect_set(F.when(F.col(f), F.col("scope_id"))).alias(f"_of_{f}") for f in flags])
+        out = out.join(lists, [key, "_pass"], "left")
+    return out
+
+
+def _flag(name: str) -> Column:
+    """Whether the row's scope is in the list of ``name``."""
+    return F.coalesce(F.array_contains(f"_of_{name}", F.col("scope_id")), F.lit(False))
+
+
 def folder_visibility(access: DataFrame, places: DataFrame, hits: DataFrame) -> DataFrame:
     """(scope_id, kb_id, folder_id, denied, visible, granted) for every folder of every scope.
 
-    The full listing, for reports; searches use ``folder_hits`` alone.
+    The full listing, for reports; searches use ``folder_hits`` alone. Folders meet the lists of scopes that have a rule
+    there before they meet their scopes: the listing itself is never shuffled.
     """
-    every = spread_join(places, access.select("scope_id", "kb_id", "is_admin"), ["kb_id"], by="place")
-    flags = every.join(hits, ["scope_id", "place"], "left")
-    deny, allow = F.coalesce("f_deny", F.lit(False)), F.coalesce("f_allow", F.lit(False))
-    return flags.select("scope_id", "kb_id", F.col("place").alias("folder_id"), deny.alias("denied"),
+    passes = _passes(access)
+    marked = _listed(places, passes, (hits, "place", ["f_allow", "f_deny"]))
+    every = spread_join(marked, _dealt(access.select("scope_id", "kb_id", "is_admin"), passes), ["kb_id", "_pass"], by="place")
+    deny, allow = _flag("f_deny"), _flag("f_allow")
+    return every.select("scope_id", "kb_id", F.col("place").alias("folder_id"), deny.alias("denied"),
                         (~deny & (allow | F.col("is_admin") | ~F.col("shut"))).alias("visible"),
                         (~deny & allow).alias("granted"))
 
 
+def open_folders(access: DataFrame, places: DataFrame, hits: DataFrame, closure: DataFrame) -> DataFrame:
+    """(folder_id, scopes): who sees a folder and every folder above it, as lists of scopes no longer than a pass.
+
+    Rules and shut folders act on all that lies below. So a rule that denies a folder above denies the folder too, and of the shut
+    folders above it the topmost of each collection tells whether all of them are opened. A folder may have several lists; no scope is in two.
+    """
+    passes = _passes(access)
+    none = F.array().cast("array<bigint>")
+    dealt = _dealt(access.select("scope_id", "kb_id", "is_admin").distinct(), passes)
+    held = dealt.groupBy("kb_id", "_pass").agg(
+        F.collect_set("scope_id").alias("_all"), F.collect_set(F.when(~F.col("is_admin"), F.col("scope_id"))).alias("_plain"))
+    shut = places.where("shut").select(F.col("place").alias("ancestor_id"), "kb_id").distinct()
+    tops = closure.join(shut, "ancestor_id").groupBy("folder_id", "kb_id").agg(F.max_by("ancestor_id", "distance").alias("place"))
+    tops = _listed(tops, passes, (hits, "place", ["f_allow"])).join(held, ["kb_id", "_pass"])
+    closed = tops.select(F.col("folder_id").alias("place"), "_pass", F.array_except("_plain", F.coalesce("_of_f_allow", none)).alias("_closed"))
+    closed = closed.groupBy("place", "_pass").agg(F.flatten(F.collect_list("_closed")).alias("_closed"))
+    own = places.where("place IS NOT NULL").select("place", "kb_id").distinct()
+    marked = _listed(own, passes, (hits, "place", ["f_deny"])).join(closed, ["place", "_pass"], "left").join(held, ["kb_id", "_pass"])
+    seen = F.array_except(F.array_except("_all", F.coalesce("_of_f_deny", none)), F.coalesce("_closed", none))
+    return marked.groupBy(F.col("place").alias("folder_id"), "_pass").agg(
+        F.array_distinct(F.flatten(F.collect_list(seen))).alias("scopes")).drop("_pass")
+
+
 def _document_rules(rules: DataFrame) -> DataFrame:
     return rules.where("target = 'document'").groupBy("scope_id", "document_id").agg(
         F.max("allow").alias("d_allow"), F.max("deny").alias("d_deny"))
@@ -349,9 +402,15 @@ def document_visibility(placed: DataFrame, access: DataFrame, hits: DataFrame, r
     """Every document of every scope's collections: decided_by and visible.
 
     The result is scopes x documents by definition; a search uses ``audience``
-    and ``visible_pairs`` instead. Hot collections are salted by document.
+    and ``visible_pairs`` instead. Hot collections are salted by document; documents meet the lists of scopes under a rule first,
+    so the result is never shuffled.
     """
-    return _decide(spread_join(placed, access.drop("dataset_id"), ["kb_id"], by="document_id"), hits, rules)
+    passes = _passes(access)
+    marked = _listed(placed, passes, (hits, "place", ["f_allow", "f_deny"]), (_document_rules(rules), "document_id", ["d_allow", "d_deny"]))
+    every = spread_join(marked, _dealt(access.drop("dataset_id"), passes), ["kb_id", "_pass"], by="document_id")
+    flagged = every.withColumns({f: _flag(f) for f in ("f_allow", "f_deny", "d_allow", "d_deny")})
+    return flagged.select("scope_id", "kb_id", "document_id", decision(hit=True, document=True).alias("decided_by")).withColumn(
+        "visible", shown(F.col("decided_by")))
 
 
 def visible_pairs(pairs: DataFrame, placed: DataFrame, access: DataFrame, hits: DataFrame, rules: DataFrame) -> DataFrame:
@@ -417,19 +476,44 @@ def audience(placed: DataFrame, places: DataFrame, access: DataFrame, hits: Data
     return listed.select("document_id", final.alias("audience")).where(F.size("audience") > 0)
 
 
+def _chunk_rules(rules: DataFrame) -> DataFrame:
+    return rules.where("target = 'chunk'").groupBy("scope_id", "chunk_id").agg(
+        F.max("allow").alias("c_allow"), F.max("deny").alias("c_deny"))
+
+
+def _chunk_seen(document: Column) -> Column:
+    """From c_allow, c_deny, opened (the document has an allowed chunk) and whether the document is visible."""
+    no = F.lit(False)
+    return (F.when(F.coalesce("c_deny", no), no).when(F.coalesce("c_allow", no), F.lit(True))
+            .when(F.coalesce("opened", no), no).otherwise(F.coalesce(document, no)))
+
+
 def chunk_visibility(found: DataFrame, placed: DataFrame, access: DataFrame, hits: DataFrame, rules: DataFrame) -> DataFrame:
-    """Add ``visible`` to chunks found (scope_id, chunk_id, document_id): the last word before a prompt."""
-    on_chunk = rules.where("target = 'chunk'").groupBy("scope_id", "chunk_id").agg(
-        F.max("allow").alias("_c_allow"), F.max("deny").alias("_c_deny"))
-    listed = opened_documents(rules).withColumn("_white", F.lit(True))
+    """Add ``visible`` to chunks found (scope_id, chunk_id, document_id): the last word before a prompt.
+
+    ``found`` may be chunks (chunk_id, document_id, kb_id) instead, kb_id that of their document: each is then judged for every scope
+    that holds the collection, and scope_id is added. Rows of chunks then meet lists of scopes under a rule; the listing is never shuffled.
+    """
+    listed = opened_documents(rules).withColumn("opened", F.lit(True))
+    if "scope_id" not in found.columns:
+        return _every_chunk(found, placed, access, hits, rules, listed)
     docs = visible_pairs(found, placed, access, hits, rules).select(
         "scope_id", "document_id", F.col("visible").alias("_doc"))
     key = ["scope_id", "document_id"]
-    flags = found.join(on_chunk, ["scope_id", "chunk_id"], "left").join(listed, key, "left").join(docs, key, "left")
-    no = F.lit(False)
-    seen = (F.when(F.coalesce("_c_deny", no), no).when(F.coalesce("_c_allow", no), F.lit(True))
-            .when(F.coalesce("_white", no), no).otherwise(F.coalesce("_doc", no)))
-    return flags.withColumn("visible", seen).drop("_c_allow", "_c_deny", "_white", "_doc")
+    flags = found.join(_chunk_rules(rules), ["scope_id", "chunk_id"], "left").join(listed, key, "left").join(docs, key, "left")
+    return flags.withColumn("visible", _chunk_seen(F.col("_doc"))).drop("c_allow", "c_deny", "opened", "_doc")
+
+
+def _every_chunk(chunks: DataFrame, placed: DataFrame, access: DataFrame, hits: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFrame:
+    passes = _passes(access)
+    at = chunks.join(placed.withColumnRenamed("kb_id", "_kb"), "document_id")
+    marked = _listed(at, passes, (hits, "place", ["f_allow", "f_deny"]), (_document_rules(rules), "document_id", ["d_allow", "d_deny"]),
+                     (listed, "document_id", ["opened"]), (_chunk_rules(rules), "chunk_id", ["c_allow", "c_deny"]))
+    holders = _dealt(access.select("scope_id", "kb_id"), passes)
+    every = spread_join(marked, holders, ["kb_id", "_pass"], by="chunk_id").join(
+        access.drop("dataset_id").withColumnRenamed("kb_id", "_kb"), ["scope_id", "_kb"])
+    flagged = every.withColumns({f: _flag(f) for f in ("f_allow", "f_deny", "d_allow", "d_deny", "opened", "c_allow", "c_deny")})
+    return flagged.select("scope_id", *chunks.columns, _chunk_seen(shown(decision(hit=True, document=True))).alias("visible"))
 
 
 def permission_filter(found: DataFrame, placed: DataFrame, access: DataFrame, hits: DataFrame, rules: DataFrame) -> DataFrame:
@@ -586,26 +670,34 @@ def scope_stats(
     return out.select("scope_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in names])
 
 
+def _once(rows: DataFrame, access: DataFrame, key: str, facts: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """``facts(rows, access)`` without repeats. Where a key stands in one row, and a scope holds its collection in one,
+    nothing repeats; only the others are compared."""
+    number = lambda df, *by: df.distinct().withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    rows, access = number(rows, key), number(access.drop("dataset_id"), "scope_id", "kb_id")
+    one, more = (rows.where(c).drop("_n") for c in ("_n = 1", "_n > 1"))
+    single, several = (access.where(c).drop("_n") for c in ("_n = 1", "_n > 1"))
+    return facts(one, single).unionByName(facts(one, several).unionByName(facts(more, access.drop("_n"))).distinct())
+
+
 def diagnose(placed: DataFrame, places: DataFrame, access: DataFrame, hits: DataFrame, rules: DataFrame) -> DataFrame:
     """Why somebody can or cannot find something: (scope_id, kind, item), one row per fact."""
-    decided = document_visibility(placed, access, hits, rules)
-    docs = decided.select("scope_id", F.when(F.col("visible"), "visible_document").otherwise("hidden_document")
-                          .alias("kind"), F.col("document_id").alias("item"))
-    tree = folder_visibility(access, places, hits)
+    def of_documents(rows: DataFrame, by: DataFrame) -> DataFrame:
+        kind = F.when(F.col("visible"), "visible_document").otherwise("hidden_document")
+        return document_visibility(rows, by, hits, rules).select("scope_id", kind.alias("kind"), F.col("document_id").alias("item"))
+
+    def of_folders(rows: DataFrame, by: DataFrame) -> DataFrame:
+        seen = F.when(F.col("visible"), "visible_folder").otherwise("hidden_folder")
+        kinds = F.when(F.col("granted"), F.array(seen, F.lit("granted_folder"))).otherwise(F.array(seen))
+        return folder_visibility(by, rows, hits).select("scope_id", F.explode(kinds).alias("kind"), F.col("folder_id").cast("string").alias("item"))
     chunk = rules.where("target = 'chunk'")
-    fact = lambda df, kind, item: df.select("scope_id", F.lit(kind).alias("kind"), F.col(item).cast("string").alias("item"))
-    facts = [
-        fact(chunk.where("allow"), "allowed_chunk", "chunk_id"),
-        fact(chunk.where("deny"), "denied_chunk", "chunk_id"),
-        fact(opened_documents(rules), "whitelist_document", "document_id"),
-        fact(tree.where("visible"), "visible_folder", "folder_id"),
-        fact(tree.where("NOT visible"), "hidden_folder", "folder_id"),
-        fact(tree.where("granted"), "granted_folder", "folder_id"),
-    ]
-    out = docs
-    for f in facts:
-        out = out.unionByName(f)
-    return out.distinct()
+    fact = lambda df, kind, item: df.select("scope_id", F.lit(kind).alias("kind"), F.col(item).alias("item"))
+    of_chunks = fact(chunk.where("allow"), "allowed_chunk", "chunk_id").unionByName(fact(chunk.where("deny"), "denied_chunk", "chunk_id")).distinct()
+    opened = fact(opened_documents(rules), "whitelist_document", "document_id")
+    out = _once(placed, access, "document_id", of_documents)
+    for facts in (_once(places, access, "place", of_folders), of_chunks, opened):
+        out = out.unionByName(facts)
+    return out
 
 
 def visibility_matrix(placed: DataFrame, places: DataFrame, access: DataFrame, hits: DataFrame, rules: DataFrame) -> DataFrame:

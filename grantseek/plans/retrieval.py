@@ -62,8 +62,8 @@ def resolve(scopes: DataFrame, cat: Catalogue) -> Resolved:
     rules = cut_lineage(perm.applicable_rules(scopes, scope_kbs, cat.acl))
     hits = cut_lineage(perm.folder_hits(rules, closure))
     places = perm.folder_places(cat.folders, closure) if cat.places is None else cat.places
-    return Resolved(scopes, perm.kb_access(scope_kbs, rules), rules, hits, places,
-                    perm.placed_documents(cat.documents, places))
+    access = cut_lineage(perm.kb_access(scope_kbs, rules))  # of a known size: a row for each scope and collection
+    return Resolved(scopes, access, rules, hits, places, perm.placed_documents(cat.documents, places))
 
 
 def resolve_found(found: DataFrame, scopes: DataFrame, cat: Catalogue) -> Resolved:

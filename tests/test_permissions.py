@@ -258,3 +258,60 @@ def test_rules_of_what_was_found(spark, seed):
     rows = lambda r: sorted(tuple(x) for x in perm.chunk_visibility(found, **r.decide()).select("scope_id", "chunk_id", "visible").collect())
     assert rows(part) == rows(full)
     assert part.rules.count() < full.rules.count()
+
+
+@pytest.mark.parametrize("seed, limit", [(0, 512), (1, 3), (2, 1)])
+def test_listings_by_lists_of_scopes(spark, monkeypatch, seed, limit):
+    """Trees, chunks and facts of all scopes, also when the scopes are dealt into several passes."""
+    monkeypatch.setattr(perm, "PASS_QUERIES", limit)
+    tables = random_tables(seed)
+    cat = catalogue(spark, *tables)
+    r = resolve(perm.user_scopes(cat.users), cat)
+    closure = tree.ancestor_closure(cat.folders)
+    shown = lambda access: sorted((x["scope_id"], x["folder_id"], x["doc_count"]) for x in tree.folder_tree(
+        cat.folders, cat.documents, cat.acl, closure, access).collect())
+    seen = perm.folder_visibility(r.access, r.places, r.hits)
+    assert shown(perm.open_folders(r.access, r.places, r.hits, closure)) == shown(seen)
+    assert max(len(x["scopes"]) for x in perm.open_folders(r.access, r.places, r.hits, closure).collect()) <= max(limit, 8)
+
+    chunks = cat.documents.select(F.concat("document_id", F.lit("-0001")).alias("chunk_id"), "document_id", "kb_id")
+    found = chunks.join(r.access.select("scope_id", "kb_id"), "kb_id")
+    rows = lambda df: sorted(tuple(x) for x in df.select("scope_id", "chunk_id", "kb_id", "visible").collect())
+    assert rows(perm.chunk_visibility(chunks, **r.decide())) == rows(perm.chunk_visibility(found, **r.decide()))
+
+    facts = [tuple(x) for x in perm.diagnose(**r.listing()).collect()]
+    assert len(facts) == len(set(facts))
+    kinds = lambda df, kind, item: {(x["scope_id"], kind, str(x[item])) for x in df.collect()}
+    decided = perm.document_visibility(**r.decide())
+    want = set()
+    for df, item in ((decided, "document_id"), (seen, "folder_id")):
+        name = item[:-3]
+        want |= kinds(df.where("visible"), f"visible_{name}", item) | kinds(df.where("NOT visible"), f"hidden_{name}", item)
+    want |= kinds(seen.where("granted"), "granted_folder", "folder_id")
+    assert {f for f in facts if "chunk" not in f[1] and f[1] != "whitelist_document"} == want
+
+
+def test_facts_of_repeated_rows(spark):
+    """A document in two collections, and rows that stand twice, give each fact once."""
+    users, kbs, grants, folders, docs, acl = random_tables(3)
+    docs = docs + docs[:20] + [(docs[5][0], (docs[5][1] + 1) % 3, None, "public", "x")]
+    cat = catalogue(spark, users, kbs, grants + grants[:9], folders + folders[:7], docs, acl)
+    r = resolve(perm.user_scopes(cat.users), cat)
+    facts = [tuple(x) for x in perm.diagnose(**r.listing()).collect()]
+    assert len(facts) == len(set(facts))
+    of_documents = {f for f in facts if f[1] in ("visible_document", "hidden_document")}
+    assert of_documents == {(x["scope_id"], "visible_document" if x["visible"] else "hidden_document", x["document_id"])
+                            for x in perm.document_visibility(**r.decide()).collect()}
+
+
+def test_folder_listing_is_not_shuffled(spark):
+    """Folders and rules are shuffled, their product with the scopes is not."""
+    cat = catalogue(spark, *random_tables(0))
+    r = resolve(perm.user_scopes(cat.users), cat)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = perm.folder_visibility(r.access, r.places, r.hits)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Exchange" in plan and "hashpartitioning(scope_id" not in plan

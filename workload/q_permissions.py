@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from grantseek.common import cut_lineage
 from grantseek.operators import folders as tree
 from grantseek.operators import permissions as perm
 from grantseek.plans import retrieval
@@ -13,7 +14,7 @@ from workload.registry import query
 
 def by_request(t, df, requests):
     """Rows per request instead of per merged scope."""
-    return requests.select("query_id", "scope_id").join(df, "scope_id").drop("scope_id")
+    return cut_lineage(requests.select("query_id", "scope_id")).join(df, "scope_id").drop("scope_id")
 
 
 # ---------------------------------------------------------------- collections
@@ -85,8 +86,7 @@ def _(t):
     """Every chunk of the collections each request may read."""
     requests, resolved = scoped(t)
     chunks = t.chunk.select("chunk_id", "document_id").join(t.document.select("document_id", "kb_id"), "document_id")
-    hits = chunks.join(resolved.access.select("scope_id", "kb_id"), "kb_id").drop("kb_id")
-    seen = perm.chunk_visibility(hits, **resolved.decide())
+    seen = perm.chunk_visibility(chunks, **resolved.decide())
     return by_request(t, seen, requests).select("query_id", "chunk_id", "visible")
 
 
@@ -350,7 +350,8 @@ SELECT s.scope_id AS query_id, f.folder_id, {_COUNTS} FROM d_folder_state s JOIN
 WHERE NOT EXISTS (SELECT 1 FROM d_closure c JOIN d_folder_state x ON x.folder_id = c.ancestor_id WHERE x.scope_id = s.scope_id AND c.folder_id = s.folder_id AND NOT x.visible)""")
 def _(t):
     requests, r = scoped(t)
-    rows = tree.folder_tree(t.folder, t.document, t.acl, tree.ancestor_closure(t.folder), perm.folder_visibility(r.access, r.places, r.hits))
+    closure = tree.ancestor_closure(t.folder)
+    rows = tree.folder_tree(t.folder, t.document, t.acl, closure, perm.open_folders(r.access, r.places, r.hits, closure))
     return by_request(t, rows, requests).select("query_id", "folder_id", "doc_count", "child_count", "acl_count")
 
 
