@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from grantseek.llm.textbytes import U64
 
 BITS = 27  # log2 of its size: 16 MB at most, whatever the data
+SHIFTS = (1, 7)  # where a hash holds the numbers of its bits in a word; all are set, so fewer others hit
 
 
 class Bitmap:
@@ -23,7 +24,7 @@ class Bitmap:
         column = hashes.columns[0]
         h = F.col(column)
         word = F.shiftrightunsigned(h, 64 - bits + 6)
-        bit = F.expr(f"shiftleft(1L, cast(shiftright({column}, 1) & 63 as int))")
+        bit = F.expr(" | ".join(f"shiftleft(1L, cast(shiftright({column}, {shift}) & 63 as int))" for shift in SHIFTS))
         words = hashes.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
         index = words.column("word").to_numpy().astype(np.uint32)
         values = words.column("bits").to_numpy().view(U64)
@@ -41,7 +42,8 @@ class Bitmap:
             index, values = self._held.value
             self._table = values if index is None else self._filled(index, values)
         word = (hashes >> U64(64 - self.bits + 6)).astype(np.int64)
-        return (self._table[word] >> ((hashes >> U64(1)) & U64(63))) & U64(1) == 1
+        held = self._table[word]
+        return np.logical_and.reduce([(held >> ((hashes >> U64(shift)) & U64(63))) & U64(1) == 1 for shift in SHIFTS])
 
     def close(self) -> None:
         """Free it everywhere; for bitmaps that no lazy table reads any more."""

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from grantseek.llm import exact_dedup, mixing, ngram_join, repeats
+from grantseek.llm.bitmap import Bitmap
 from grantseek.llm.graph import components
 from grantseek.llm.scratch import Scratch
 from tests.llm.helpers import documents, hostile
@@ -209,3 +210,12 @@ def test_exact_copies_go_by_row(spark):
 def test_exact_groups_need_no_python(spark):
     plan = exact_dedup.exact_duplicates(hostile(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_bitmap_lets_few_others_through(spark):
+    rng = np.random.default_rng(7)
+    members, others = rng.integers(0, 2 ** 64, 400, np.uint64), rng.integers(0, 2 ** 64, 20000, np.uint64)
+    held = Bitmap(spark.createDataFrame([(int(h),) for h in members.view(np.int64)], "h long"), bits=14)
+    assert held.hits(members).all()
+    assert held.hits(others).mean() < 0.01  # 2.4 % with one bit a member
+    held.close()
