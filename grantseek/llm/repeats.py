@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grantseek.llm.bitmap import Bitmap, hashed
-from grantseek.llm.scratch import Scratch
-from grantseek.llm.textbytes import U64, SpanHash, mix, signed, slabs, text_bytes
+from grantseek.llm.scratch import Scratch, shuffles_freed
+from grantseek.llm.textbytes import U64, SpanHash, freed, mix, signed, slabs, text_bytes
 
 LENGTH = 100
 GRAM = 32
 SPLIT = 4  # parts into which a run is cut from round to round
+TEXT_ROWS = 1000  # rows whose texts a task holds at once
 
 
 def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -73,7 +74,7 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int, gram: int):
 
 
 def _texts(batches: Iterator[pa.RecordBatch]):
-    for batch in batches:
+    for batch in freed(batches):
         data, bounds = text_bytes(batch.column(1))
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for a, b in slabs(bounds):
@@ -135,7 +136,7 @@ def _nodes(width: int, parent: int, active: Bitmap | None, length: int, gram: in
     Of equal runs in one batch only the first is to be ranked; the others are copies already, and get no core.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in freed(batches):
             data, bounds = text_bytes(batch.column(3))
             doc, base, size = (batch.column(i).to_numpy() for i in range(3))
             flat = [batch.column(i).flatten().to_numpy().astype(np.int64) for i in (4, 5, 6)]
@@ -175,8 +176,9 @@ def _nodes(width: int, parent: int, active: Bitmap | None, length: int, gram: in
 def repeated_spans(texts: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc, low, high): stretches of bytes that go, overlapping, from (id, text). Rows without an id are not read."""
     grams = texts.mapInArrow(_grams(length, gram), "gram long, n byte").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
-    repeated = Bitmap(grams.select("gram"))
-    regions = scratch.write(texts.mapInArrow(_regions(repeated, length, gram), REGION))
+    with shuffles_freed(texts.sparkSession, TEXT_ROWS):
+        repeated = Bitmap(grams.select("gram"))
+        regions = scratch.write(texts.mapInArrow(_regions(repeated, length, gram), REGION))
     repeated.close()
     strings = length - gram + 1  # that hold a gram
     widths = [SPLIT ** k for k in range(30, -1, -1) if 3 * SPLIT ** k <= strings]  # each a part of the one before
@@ -239,7 +241,7 @@ def _packed(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in freed(batches):
         out = []
         for key, size, body, spans in zip(*(batch.column(i) for i in range(4)), strict=True):
             raw = pa.decompress(body.as_py(), size.as_py(), _CODEC, asbytes=True) if size.as_py() else b""
@@ -269,7 +271,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
 
     def having(wanted: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in freed(batches):
                 ids = batch.column(0)
                 hit = touched.hits(mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(U64) + U64(5)))
                 hit &= ids.is_valid().to_numpy(zero_copy_only=False)
