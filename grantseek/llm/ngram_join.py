@@ -17,7 +17,7 @@ A key's sets are not paired with each other. Each is verified against a pivot of
 differs in from the pivot is kept: its *delta*. Two sets of the key differ in exactly what their deltas differ in, and if
 both link with the pivot they are in one component anyway. So what is left to find are sets that do not link with the pivot but
 with another set of its group. Shingles that only one delta of the group holds count as differences
-with everybody; that alone rules out nearly all of these pairs, and the others are looked up by the rarest shingles of their
+with everybody: a set with more of them than a link allows leaves the group first. The others are looked up by the rarest shingles of their
 deltas (enough of them that two sets that link share one), then verified on the deltas. No link is missed.
 
 Links between two sets that both link with a pivot of theirs change no component. They are counted without a row for each: the
@@ -235,11 +235,26 @@ def _kept_keys(met: Bitmap):
     return run
 
 
-def _token_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Row, and hash with the pivot, of every shingle of the deltas (pivot, id, gone, delta)."""
+def _token_keys(batch: pa.RecordBatch, new: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Row, and hash with the pivot, of every shingle of the deltas (pivot, id, gone, delta ...), or of those only that the pivot lacks (``new``)."""
     lists = batch.column(3)
-    row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
-    return row, mix(mix(batch.column(0).to_numpy().view(U64))[row] ^ lists.flatten().to_numpy().view(U64))
+    sizes = lists.value_lengths().to_numpy()
+    row = np.repeat(np.arange(batch.num_rows), sizes)
+    shingles = lists.flatten().to_numpy().view(U64)
+    if new:
+        ours = np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row] >= batch.column(2).to_numpy()[row]
+        row, shingles = row[ours], shingles[ours]
+    return row, mix(mix(batch.column(0).to_numpy().view(U64))[row] ^ shingles)
+
+
+def _may_link(shared: Bitmap):
+    """Deltas (pivot, id, gone, delta, reach ...) that hold no more than ``reach`` shingles that neither the pivot nor another delta of its group has."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in freed(batches):
+            row, key = _token_keys(batch, new=True)
+            own = np.bincount(row[~shared.hits(key)], minlength=batch.num_rows)
+            yield batch.filter(pa.array(own <= batch.column(4).to_numpy()))
+    return run
 
 
 def _met_tokens(met: Bitmap):
@@ -257,15 +272,28 @@ def _met_tokens(met: Bitmap):
 
 def group_links(deltas: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b): the links inside the pivots' groups of which one end does not link with the pivot."""
-    deltas = deltas.where("delta is not null")
-    d = F.size("delta").cast("long")
-    reach = _gap(F.col("n") + F.floor(F.col("n") * 100 / percent), percent)  # with the largest set that may link
-    members = deltas.select("pivot", "id", "n", "linked", d.alias("d"), reach.alias("h"))
-    lonely = scratch.write(members.where("not linked").select("pivot").distinct())
-    lists = deltas.join(lonely, "pivot", "left_semi").select("pivot", "id", "gone", "delta")
+    n = F.col("n")
+    reach = _gap(n + F.floor(n * 100 / percent), percent)  # with the largest set that may link
+    deltas = deltas.where("delta is not null").select("pivot", "id", "gone", "delta", reach.alias("reach"), "n", "linked")
+    lonely = scratch.write(deltas.where("not linked").select("pivot").distinct())
+    lists = deltas.join(lonely, "pivot", "left_semi")
+
+    def repeated(lists: DataFrame, new: bool) -> Bitmap:
+        with shuffles_freed(lists.sparkSession, KEY_ROWS):
+            keys = hashed(lists.select("pivot", "id", "gone", "delta"), lambda batch: _token_keys(batch, new)[1], "h long")
+            return Bitmap(keys.groupBy("h").agg(F.count("*").alias("often")).where("often > 1").select("h"))
+    # most sets meet a pivot for one passage that they share with it: what they hold besides stands alone and they leave here, before their shingles move
+    met = repeated(lists, new=True)
+    some = scratch.write(lists.mapInArrow(_may_link(met), lists.schema), KEY_ROWS)
+    met.close()
+    groups = scratch.write(some.groupBy("pivot").agg(F.count("*").alias("sets"), F.bool_and("linked").alias("linked")).where("sets > 1 and not linked").select("pivot"))
+    scratch.drop(lonely)
+    deltas = scratch.write(some.join(groups, "pivot", "left_semi"), KEY_ROWS)
+    scratch.drop(some, groups)
+    members = deltas.select("pivot", "id", "n", "linked", F.size("delta").cast("long").alias("d"), F.col("reach").alias("h"))
+    lists = deltas.select("pivot", "id", "gone", "delta")
     # shingles that one delta of the group holds are kept back where they are; the bitmap lets few of them through
-    with shuffles_freed(deltas.sparkSession, KEY_ROWS):
-        met = Bitmap(hashed(lists, lambda batch: _token_keys(batch)[1], "h long").groupBy("h").agg(F.count("*").alias("often")).where("often > 1").select("h"))
+    met = repeated(lists, new=False)
     tokens = lists.mapInArrow(_met_tokens(met), "pivot long, id long, t long, old long")
     often = F.count("*").over(Window.partitionBy("pivot", "t"))
     common = scratch.write(tokens.withColumn("often", often).where("often > 1"), KEY_ROWS)
@@ -288,7 +316,7 @@ def group_links(deltas: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     apart = F.size("x") + F.size("y") - 2 * F.size(F.array_intersect("x", "y"))
     out = found.join(left, ["pivot", "a"]).join(right, ["pivot", "b"]).where(apart <= _gap(F.col("n1") + F.col("n2"), percent)).select("a", "b")
     out = scratch.write(out)
-    scratch.drop(lonely, common, prefix, found)
+    scratch.drop(deltas, common, prefix, found)
     return out
 
 

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from grantseek.llm import exact_dedup, mixing, ngram_join, repeats
@@ -93,6 +94,29 @@ def test_every_link_shares_a_key():
                 assert np.intersect1d(key[row == 0], key[row == 1]).size
 
 
+def test_sets_that_share_a_passage_move_no_shingles(spark, monkeypatch):
+    """Sets that meet a pivot for a passage leave the group before their shingles are shuffled; what links among them is still found."""
+    rnd = random.Random(7)
+
+    def text(n):
+        return " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage = text(150)
+    rows = [(i, f"{text(150)} {passage} {text(150)}") for i in range(1, 25)]
+    rows += [(100 + i, rows[5][1] + " " + text(3 * i)) for i in range(4)]
+    moved = []
+
+    def write(self, df, *args, plain=Scratch.write):
+        out = plain(self, df, *args)
+        if {"t", "often"} <= set(df.columns):
+            moved.append({r.id for r in out.select("id").distinct().collect()})
+        return out
+    monkeypatch.setattr(ngram_join.Scratch, "write", write)
+    got = ngram_join.jaccard_components(documents(spark, rows), 80, 5, count_links=False).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 80, 5)
+    assert {r.component_id for r in got if r.doc_id >= 100} == {6}
+    assert moved and moved[0] <= {6, 100, 101, 102, 103}
+
+
 def test_join_bears_anything(spark):
     docs = hostile(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
