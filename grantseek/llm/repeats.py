@@ -34,6 +34,7 @@ LENGTH = 100
 GRAM = 32
 SPLIT = 4  # parts into which a run is cut from round to round
 TEXT_ROWS = 1000  # rows whose texts a task holds at once
+PART = 1 << 18  # bytes of text that are hashed at once (or one longer text): what is made of them stays in the processor's cache
 
 
 def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -77,7 +78,7 @@ def _texts(batches: Iterator[pa.RecordBatch]):
     for batch in freed(batches):
         data, bounds = text_bytes(batch.column(1))
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for a, b in slabs(bounds):
+        for a, b in slabs(bounds, PART):
             yield ids[a:b], data[bounds[a]: bounds[b]], bounds[a: b + 1] - bounds[a]
 
 
@@ -127,6 +128,20 @@ def node_hash(doc: np.ndarray, at: np.ndarray, node: np.ndarray) -> np.ndarray:
     return mix(mix(doc.astype(U64) + U64(0x1234567)) ^ (at.astype(U64) * U64(0x9E3779B97F4A7C15)) ^ (node.astype(U64) << U64(48)))
 
 
+def _copies(core: np.ndarray, hull: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which runs have the core and the hull of one at an earlier place; of a place given twice neither is a copy of the other."""
+    again = np.zeros(len(core), bool)
+    both = mix(core) ^ hull
+    order = np.argsort(both)
+    equal = both[order][1:] == both[order][:-1]
+    some = order[np.concatenate([equal, [False]]) | np.concatenate([[False], equal])] if len(order) else order  # nearly all stand alone
+    some = some[np.lexsort((at[some], doc[some], hull[some], core[some]))]
+    same = (core[some][1:] == core[some][:-1]) & (hull[some][1:] == hull[some][:-1])
+    same &= (doc[some][1:] != doc[some][:-1]) | (at[some][1:] != at[some][:-1])
+    again[some[1:][same]] = True
+    return again
+
+
 NODE = "core long, hull long, doc long, at int, node short"
 
 
@@ -142,7 +157,7 @@ def _nodes(width: int, parent: int, active: Bitmap | None, length: int, gram: in
             flat = [batch.column(i).flatten().to_numpy().astype(np.int64) for i in (4, 5, 6)]
             counts = np.diff(batch.column(4).offsets.to_numpy())
             cut = np.concatenate([[0], np.cumsum(counts)])
-            for a, b in slabs(bounds):
+            for a, b in slabs(bounds, PART):
                 part = slice(cut[a], cut[b])
                 row = np.repeat(np.arange(a, b), counts[a:b])
                 at, first, last = (x[part] for x in flat)
@@ -154,6 +169,8 @@ def _nodes(width: int, parent: int, active: Bitmap | None, length: int, gram: in
                 if active is not None:
                     go = active.hits(node_hash(doc[row], at, node * width // parent))
                     row, at, node = row[go], at[go], node[go]
+                    if not len(row):
+                        continue
                 d1 = node * width
                 d2 = np.minimum(d1 + width, length - gram + 1) - 1
                 text = data[bounds[a]: bounds[b]]
@@ -162,11 +179,7 @@ def _nodes(width: int, parent: int, active: Bitmap | None, length: int, gram: in
                 low, high = np.maximum(at - d2, 0), np.minimum(at - d1 + length, size[row])
                 hull = SpanHash(text, which=1)(low + shift, high + shift) ^ mix((at - d2 - low).astype(U64) + ((at - d1 + length - high) << 16).astype(U64))
                 core = mix(core ^ mix((node << 8).astype(U64) + U64(width)))
-                order = np.lexsort((at, doc[row], hull, core))
-                again = np.zeros(len(order), bool)
-                same = (core[order][1:] == core[order][:-1]) & (hull[order][1:] == hull[order][:-1])
-                same &= (doc[row[order]][1:] != doc[row[order]][:-1]) | (at[order][1:] != at[order][:-1])
-                again[order[1:][same]] = True
+                again = _copies(core, hull, doc[row], at)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(signed(core), mask=again), pa.array(signed(hull), mask=again), pa.array(doc[row]),
                     pa.array(at.astype(np.int32)), pa.array(node.astype(np.int16))], ["core", "hull", "doc", "at", "node"])
@@ -240,6 +253,18 @@ def _packed(batch: pa.RecordBatch) -> pa.RecordBatch:
                                        pa.array([pa.compress(r, _CODEC, asbytes=True) for r in raw], pa.binary())], ["id", "size", "body"])
 
 
+def _whole(key: int | None, raw: bytes) -> tuple:
+    """What comes out of a text of which nothing goes."""
+    return key, len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), []
+
+
+def _results(out: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))]
+    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out
+                                      else [pa.array([], t) for t in kinds], names)
+
+
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in freed(batches):
         out = []
@@ -249,10 +274,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             packed = np.array(pairs or [], np.int64)
             removed, runs, digest, kept = _kept(raw, list(zip((packed >> 32).tolist(), (packed & 0xFFFFFFFF).tolist(), strict=True)))
             out.append((key.as_py(), len(raw), removed, runs, digest, kept))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))]
-        names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out
-                                         else [pa.array([], t) for t in kinds], names)
+        yield _results(out)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,15 +291,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     lists = scratch.write(spans.select("doc", packed).groupBy("doc").agg(F.collect_set("span").alias("spans")))  # bounded by the document
     touched = Bitmap(hashed(lists.select("doc"), lambda b: mix(b.column(0).to_numpy().astype(U64) + U64(5)), "h long"))
 
-    def having(wanted: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in freed(batches):
-                ids = batch.column(0)
-                hit = touched.hits(mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(U64) + U64(5)))
-                hit &= ids.is_valid().to_numpy(zero_copy_only=False)
-                yield _packed(batch.filter(pa.array(hit == wanted)))
-        return run
-    moved = rows.mapInArrow(having(True), MOVED).join(lists.withColumnRenamed("doc", "id").hint("merge"), "id", "left")
-    still = rows.mapInArrow(having(False), MOVED).withColumn("spans", F.lit(None).cast("array<bigint>"))
-    out = moved.mapInArrow(_apply, RESULT).unionByName(still.mapInArrow(_apply, RESULT))
+    def having(batch: pa.RecordBatch) -> np.ndarray:
+        ids = batch.column(0)
+        hit = touched.hits(mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(U64) + U64(5)))
+        return hit & ids.is_valid().to_numpy(zero_copy_only=False)
+
+    def changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in freed(batches):
+            yield _packed(batch.filter(pa.array(having(batch))))
+
+    def unchanged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in freed(batches):
+            rest = batch.filter(pa.array(~having(batch)))
+            yield _results([_whole(key.as_py(), (t.as_py() or "").encode()) for key, t in zip(rest.column(0), rest.column(1), strict=True)])
+    moved = rows.mapInArrow(changed, MOVED).join(lists.withColumnRenamed("doc", "id").hint("merge"), "id", "left")
+    out = moved.mapInArrow(_apply, RESULT).unionByName(rows.mapInArrow(unchanged, RESULT))
     return out.withColumnRenamed("id", id_col)

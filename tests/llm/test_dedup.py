@@ -195,6 +195,43 @@ def test_repeats_are_exact(spark, length, gram, seed):
     assert all(sum(s.high - s.low for s in r.spans) == r.n_removed for r in got)
 
 
+def test_texts_are_hashed_in_small_parts(monkeypatch):
+    """What is made of the texts at once stays small, and no anchor is lost by the cuts."""
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abcdefgh ") for _ in range(9000)) for _ in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100), pa.int64()), pa.array(texts)], ["id", "text"])
+    sizes = []
+
+    class Measured(repeats.SpanHash):
+        def __init__(self, data, *args, **named):
+            sizes.append(len(data))
+            super().__init__(data, *args, **named)
+    monkeypatch.setattr(repeats, "SpanHash", Measured)
+
+    def found():
+        return sorted((g, n) for b in repeats._grams(100, 32)(iter([batch])) for g, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+    parts = found()
+    assert len(sizes) > 1 and max(sizes) <= 1 << 18
+    monkeypatch.setattr(repeats, "PART", 1 << 30)
+    assert dict(parts).keys() == dict(found()).keys()
+
+
+def test_copies_in_a_batch_are_those_after_the_first():
+    rng = np.random.default_rng(1)
+    core, hull, doc, at = (rng.integers(0, top, 400) for top in (6, 3, 9, 5))
+    got = repeats._copies(core.astype(np.uint64), hull.astype(np.uint64), doc, at)
+    rows, kept = list(zip(core.tolist(), hull.tolist(), doc.tolist(), at.tolist(), strict=True)), got.tolist()
+    first = {}
+    for c, h, d, a in rows:
+        first[c, h] = min(first.get((c, h), (d, a)), (d, a))
+    assert all(not k for (c, h, d, a), k in zip(rows, kept, strict=True) if (d, a) == first[c, h])
+    assert {(r, k) for r, k in zip(rows, kept, strict=True) if not k} >= {((c, h, *place), False) for (c, h), place in first.items()}
+    for (c, h, d, a), k in zip(rows, kept, strict=True):  # every other place is marked at least once
+        if (d, a) != first[c, h]:
+            assert any(k2 for r2, k2 in zip(rows, kept, strict=True) if r2 == (c, h, d, a))
+    assert not len(repeats._copies(*(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))))
+
+
 def test_repeats_bear_anything(spark):
     docs = hostile(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
