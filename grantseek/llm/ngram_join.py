@@ -15,7 +15,8 @@ are left out by both. (Deep plans leave nothing out: there a segment may meet on
 
 A key's sets are not paired with each other. Each is verified against a pivot of the key (its smallest id), and what it
 differs in from the pivot is kept: its *delta*. Two sets of the key differ in exactly what their deltas differ in, and if
-both link with the pivot they are in one component anyway. So what is left to find are sets that do not link with the pivot but
+both link with the pivot they are in one component anyway. Sets that meet others for a passage only, and hold more shingles of their
+own than any link allows, leave before pivots are chosen. So what is left to find are sets that do not link with the pivot but
 with another set of its group. Shingles that only one delta of the group holds count as differences
 with everybody: a set with more of them than a link allows leaves the group first. The others are looked up by the rarest shingles of their
 deltas (enough of them that two sets that link share one), then verified on the deltas. No link is missed.
@@ -191,6 +192,51 @@ def _sets(k: int):
     return run
 
 
+def _shingles(k: int):
+    """All shingles of the texts (id, text) of a batch, as hashes."""
+    def run(batch: pa.RecordBatch) -> np.ndarray:
+        data, bounds = text_bytes(batch.column(1))
+        parts = [_shingle_sets(data[bounds[a]: bounds[b]], bounds[a: b + 1] - bounds[a], k)[1] for a, b in slabs(bounds, PART)]
+        return np.concatenate([np.zeros(0, U64), *parts])
+    return run
+
+
+def _meeting(shared: Bitmap, percent: int, k: int):
+    """Ids of the texts (id, text) with no more shingles of their own than a link allows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in freed(batches):
+            data, bounds = text_bytes(batch.column(1))
+            for a, b in slabs(bounds, PART):
+                part = bounds[a: b + 1]
+                doc, h = _shingle_sets(data[part[0]: part[-1]], part - part[0], k)
+                n = np.bincount(doc, minlength=b - a)
+                own = np.bincount(doc[~shared.hits(h)], minlength=b - a)
+                reach = (n + n * 100 // percent) * (100 - percent) // (100 + percent)  # with the largest set that may link
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).filter(pa.array(own <= reach))], ["id"])
+    return run
+
+
+def may_link(pairs: DataFrame, texts: DataFrame, percent: int, k: int, scratch: Scratch) -> DataFrame:
+    """The ids of the pairs (pivot, id) but for sets that can link with nobody: too many of their shingles are in no other set of a pair.
+
+    Sets that share one passage meet under a key for it, in more and larger groups the more texts there are. Here they leave
+    before they are compared; each set is read once, whatever the number of its pivots, and only hashes are shuffled.
+    """
+    wanted = scratch.write(pairs.select(F.explode(F.array("pivot", "id")).alias("id")).distinct())
+    with shuffles_freed(pairs.sparkSession):
+        members = Bitmap(wanted.select(F.xxhash64("id").alias("h")))
+    found = likely(texts, "id", members)  # a few others besides: they can only keep a set
+    with shuffles_freed(pairs.sparkSession, KEY_ROWS):
+        hashes = hashed(found, _shingles(k), "h long")
+        shared = Bitmap(hashes.groupBy("h").agg(F.count("*").alias("often")).where("often > 1").select("h"))
+    kept = scratch.write(found.mapInArrow(_meeting(shared, percent, k), "id long"), KEY_ROWS)
+    out = scratch.write(kept.join(wanted.hint("merge"), "id", "left_semi").distinct())
+    shared.close()
+    members.close()
+    scratch.drop(wanted, kept)
+    return out
+
+
 def _gap(size, percent: int):
     """The largest symmetric difference of two sets that link, from the sum of their sizes."""
     return F.floor(size * (100 - percent) / (100 + percent))
@@ -454,10 +500,16 @@ def jaccard_components(
     shared = scratch.write(shared.join(classes.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi"), KEY_ROWS)
     repeated.close()
     scratch.drop(signed_sets)
-    keyed = shared.select(F.explode("keys").alias("key"), "id")
-    met = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last")
-    pairs = scratch.write(keyed.join(met.select("key", "pivot").hint("merge"), "key").where("id <> pivot").select("pivot", "id").distinct())
-    scratch.drop(shared)
+
+    def met(shared: DataFrame) -> DataFrame:
+        """(pivot, id): every set with the smallest id of each of its keys."""
+        keyed = shared.select(F.explode("keys").alias("key"), "id")
+        pivots = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last")
+        return scratch.write(keyed.join(pivots.select("key", "pivot").hint("merge"), "key").where("id <> pivot").select("pivot", "id").distinct())
+    first = met(shared)
+    able = may_link(first, texts, percent, k, scratch)
+    pairs = met(shared.join(able.hint("merge"), "id", "left_semi"))  # pivots anew: those that link with nobody are none
+    scratch.drop(shared, first, able)
     deltas = star_deltas(pairs, texts, percent, k, scratch)
     inside = group_links(deltas, percent, scratch)
     links = deltas.where("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b")).unionByName(inside)

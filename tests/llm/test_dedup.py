@@ -117,6 +117,26 @@ def test_sets_that_share_a_passage_move_no_shingles(spark, monkeypatch):
     assert moved and moved[0] <= {6, 100, 101, 102, 103}
 
 
+def test_sets_that_share_a_passage_meet_no_pivot(spark, monkeypatch):
+    """Texts with more words of their own than a link allows leave before pairs are made, whichever of them would be the pivot."""
+    rnd = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(120))
+    rows = [(i, passage + "".join(f" own{i}w{j}" for j in range(60))) for i in range(40)]
+    base = [f"near{j}" for j in range(60)]
+    for i in range(40, 46):
+        base[rnd.randrange(60)] = f"edit{i}"
+        rows.append((i, passage + " " + " ".join(base)))
+    moved, before = [], ngram_join.star_deltas
+
+    def spy(pairs, *args):
+        moved.extend(i for row in pairs.collect() for i in row)
+        return before(pairs, *args)
+    monkeypatch.setattr(ngram_join, "star_deltas", spy)
+    found = {r[0]: (r[1], r[2]) for r in ngram_join.jaccard_components(documents(spark, rows), 90, 3).select("doc_id", "n_shingles", "component_id").collect()}
+    assert found == brute_components(rows, 90, 3)
+    assert moved and min(moved) >= 40
+
+
 def test_join_bears_anything(spark):
     docs = hostile(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
