@@ -4,32 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from collections.abc import Iterable, Iterator
-from contextlib import contextmanager, nullcontext
+from collections.abc import Iterable
+from contextlib import nullcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantseek.common import ensure_checkpoint_dir
-
-
-@contextmanager
-def shuffles_freed(spark: SparkSession, batch_rows: int | None = None) -> Iterator[None]:
-    """Shuffle files of what is written, or defined and run, in this block go as soon as it has run; its rows are elsewhere by then.
-
-    ``batch_rows`` bounds the rows that an Arrow batch of it takes to Python.
-    """
-    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
-    if batch_rows:
-        wanted["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(batch_rows)
-    before = {key: spark.conf.get(key) for key in wanted}
-    for key, value in wanted.items():
-        spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
+from grantseek.common import ensure_checkpoint_dir, shuffles_freed
 
 
 class Scratch:

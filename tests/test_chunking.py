@@ -91,3 +91,16 @@ def test_slabs_join_to_whole_batches(spark):
     cut = chunking.chunk_sections(rows.selectExpr("cast(document_id as string) as document_id", section), 50, 10, 5).collect()
     assert sorted((int(r["document_id"]), r["ordinal"], r["content"]) for r in cut) == [
         (i, n, c) for i, t in enumerate(texts) for n, c in enumerate(arrow.split_text(t or "", 50, 10, 5))]
+
+
+def test_merge_overlap_bears_a_document_without_text(spark, tmp_path):
+    """A text of blanks has no chunk, hence no last one; long texts are squeezed once, not once a chunk."""
+    from workload.registry import QUERIES
+    rows = [(0, "some words. " * 200, "en", "web", 2400), (1, "  \n ", "en", "web", 4), (2, None, "en", "web", 0), (3, "short", "en", "web", 5)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(25).selectExpr("id as p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    import workload.q_text  # noqa: F401
+    found = QUERIES["c2_merge_overlap"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in found.collect()) == [(str(i), True, True, True) for i in range(4)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert all("regexp_replace(body" not in part.split(") AS ")[0] for part in plan.split("lambdafunction(")[1:])

@@ -285,13 +285,14 @@ def _(t):
     parts = arrow.split_sections(F.array(section), 400, 80, 24)
     rows = t.document.select("document_id", body.alias("body")).withColumn("parts", parts).withColumn("chunks", F.col("parts.content"))
     flat = lambda c: F.regexp_replace(c, r"(?U)\s", "")
+    rows = rows.select("document_id", "chunks", flat(F.col("body")).alias("flat"))  # once a text, not once a chunk
     sizes = F.transform("chunks", lambda c: F.char_length(c))
     inner = F.slice(sizes, 1, F.greatest(F.size(sizes) - 1, F.lit(0)))
     return rows.select(
         "document_id",
-        (F.coalesce(F.array_max(inner) <= 400, F.lit(True)) & (F.element_at(sizes, -1) <= 423)).alias("within_size"),
-        F.forall("chunks", lambda c: flat(F.col("body")).contains(flat(c))).alias("in_text"),
-        (F.char_length(flat(F.array_join("chunks", ""))) >= F.char_length(flat(F.col("body")))).alias("overlaps"))
+        (F.coalesce(F.array_max(inner) <= 400, F.lit(True)) & F.coalesce(F.try_element_at(sizes, F.lit(-1)) <= 423, F.lit(True))).alias("within_size"),
+        F.forall("chunks", lambda c: F.col("flat").contains(flat(c))).alias("in_text"),
+        (F.char_length(flat(F.array_join("chunks", ""))) >= F.char_length("flat")).alias("overlaps"))
 
 
 @query("c3_chunk_sections", """

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantseek.common import ensure_checkpoint_dir
+from grantseek.common import ensure_checkpoint_dir, shuffles_freed
 from grantseek.sources.index import save_bucketed
 from grantseek.sources.store import IndexStore, Snapshot
 
@@ -305,6 +305,7 @@ def fx(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 TEXT = ("document", "chunk", "file")
+ROW_GROUP = 16 << 20  # bytes
 _STORED: dict[tuple[str, str, str], object] = {}
 
 
@@ -325,7 +326,8 @@ class Tables:
             rows = make()
             if name in TEXT:  # as many files as cores; the test data is one small file per table
                 rows = rows.repartition(self.spark.sparkContext.defaultParallelism)
-            rows.write.parquet(path)
+            with shuffles_freed(self.spark):  # a file has many row groups, so that no task reads a whole file
+                rows.write.option("parquet.block.size", ROW_GROUP).parquet(path)
             _STORED[key] = path, rows.schema
         path, schema = _STORED[key]
         return self.spark.read.schema(schema).parquet(path)
