@@ -269,6 +269,38 @@ def test_tokens_are_made_where_chunks_are_written(spark, store, monkeypatch):
     assert "RepartitionByExpression" in made[-1]._jdf.queryExecution().analyzed().toString()
 
 
+def test_postings_are_sorted_a_range_of_tokens_at_a_time(spark, store, monkeypatch):
+    """Every posting is written once, in more than one pass, and reads skip what other passes wrote."""
+    monkeypatch.setattr(stored, "PASS_POSTINGS", 8)
+    parts, write = [], IndexStore._write
+
+    def seen(rows, folder, *args, **kwargs):
+        if "/postings/" in folder:
+            parts.append({r.token for r in rows.select("token").collect()})
+        return write(rows, folder, *args, **kwargs)
+    monkeypatch.setattr(IndexStore, "_write", staticmethod(seen))
+    rows = [("s", str(i), f"{i}-0000", 0, text) for i, text in enumerate(["pear fig apple", "fig 7 çedilla apple", "zoo 中文字 pear", "", "apple kiwi 7 7"])]
+    store.commit(spark.createDataFrame(rows, SCHEMA))
+    assert len(parts) > 1
+    assert sum(map(len, parts)) == len(set().union(*parts)) and all(a and b and max(a) < min(b) for a, b in zip(parts, parts[1:]))
+    now = store.snapshot()
+    assert kept(now) == rebuilt(now)
+    postings = sorted((r.token, r.dl, r.chunk_id) for r in now.postings().collect())
+    assert postings == sorted((r.token, r.dl, r.chunk_id) for r in lexical.build_postings(now.chunks()).collect())
+
+
+def test_tokens_are_read_only_where_a_document_is_replaced(spark, store, monkeypatch):
+    rng = random.Random(3)
+    cut, written = stored.cut_lineage, []
+    monkeypatch.setattr(stored, "cut_lineage", lambda df: (written.append(df.columns), cut(df))[1])
+    store.commit(spark.createDataFrame(rows_of(rng, "a", "1"), SCHEMA))
+    store.commit(spark.createDataFrame(rows_of(rng, "a", "2"), SCHEMA))
+    assert not any("lex" in columns for columns in written)
+    store.commit(spark.createDataFrame(rows_of(rng, "a", "1"), SCHEMA))
+    assert any("lex" in columns for columns in written)
+    assert kept(store.snapshot()) == rebuilt(store.snapshot())
+
+
 def test_a_score_that_rounds_to_nothing_is_a_hit(spark, store):
     rows = [("a", str(d), f"{d}", 0, "common") for d in range(10)] + [("a", "long", "long", 0, " ".join(["common", *(f"x{i}" for i in range(400))]))]
     store.commit(spark.createDataFrame(rows, SCHEMA))
