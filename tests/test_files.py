@@ -52,6 +52,16 @@ def test_bad_files_and_details_cost_no_row(spark):
     assert json.loads(out[5]) == {"Token": "***", "in": {"PASSWORD": "***", "t": "y" * 2000 + "…"}, "l": [{"token": 2}]}
 
 
+def test_texts_are_cleaned_once_whatever_their_format(spark, monkeypatch):
+    cleaned, clean = [], files.text.clean_text
+    monkeypatch.setattr(files.text, "clean_text", lambda c: (cleaned.append(c), clean(c))[1])
+    rows = [("a.html", "<p>x &amp; y</p>"), ("b.csv", "1, 2\n"), ("c.json", "{\"k\": 1}"), ("d.txt", "\ufb01n  &amp; <p>")]
+    given = spark.createDataFrame([(n, bytearray(v, "utf-8")) for n, v in rows], "name string, content binary")
+    found = {r["name"]: r["sections"][0]["text"] for r in files.parse_documents(given).collect()}
+    assert found == {"a.html": "x & y", "b.csv": "1 | 2", "c.json": '{\n "k": 1\n}', "d.txt": "fin &amp; <p>"}
+    assert len(cleaned) == 1
+
+
 def test_explicit_extension_wins(spark):
     df = spark.createDataFrame([("noname", ".TXT", bytearray(b"hi")), ("x.zip", None, bytearray(b"hi")), ("y.txt", "", bytearray(b""))], "name string, ext string, content binary")
     rows = {r["name"]: r for r in files.parse_documents(df).collect()}
